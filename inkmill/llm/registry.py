@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from inkmill.llm import exact_dedup
+from inkmill.llm import exact_dedup, language_id, packing
 
-QUERIES = {"op7_exact_dedup": exact_dedup.op7_exact_dedup}
+QUERIES = {
+    "op4_language_id": language_id.op4_language_id,
+    "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op9_packing": packing.op9_packing,
+}
 ORACLES = {"op7_exact_dedup": exact_dedup.ORACLE}
