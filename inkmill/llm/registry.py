@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from inkmill.llm import exact_dedup, language_id, packing
+from inkmill.llm import exact_dedup, language_id, ngram_join, packing
 
 QUERIES = {
     "op4_language_id": language_id.op4_language_id,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op9_packing": packing.op9_packing,
+    "op10_ngram_join": ngram_join.op10_ngram_join,
 }
-ORACLES = {"op7_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op7_exact_dedup": exact_dedup.ORACLE, "op10_ngram_join": ngram_join.ORACLE}
