@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from inkmill.llm import decontamination, exact_dedup, language_id, ngram_join, packing, toxicity
+from inkmill.llm import decontamination, exact_dedup, language_id, ngram_join, packing, pii, toxicity, url_filter
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op2_decontamination": decontamination.op2_decontamination,
     "op4_language_id": language_id.op4_language_id,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_url_filter": url_filter.op6_url_filter,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op9_packing": packing.op9_packing,
     "op10_ngram_join": ngram_join.op10_ngram_join,
 }
-ORACLES = {"op2_decontamination": decontamination.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op10_ngram_join": ngram_join.ORACLE}
+ORACLES = {"op6_url_filter": url_filter.ORACLE, "op2_decontamination": decontamination.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op10_ngram_join": ngram_join.ORACLE}
