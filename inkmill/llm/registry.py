@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from inkmill.llm import decontamination, exact_dedup, language_id, ngram_join, packing, pii, toxicity, url_filter
+from inkmill.llm import decontamination, exact_dedup, language_id, license_scan, ngram_join, packing, pii, toxicity, url_filter
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_decontamination": decontamination.op2_decontamination,
+    "op3_license_scan": license_scan.op3_license_scan,
     "op4_language_id": language_id.op4_language_id,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_url_filter": url_filter.op6_url_filter,
@@ -14,4 +15,4 @@ QUERIES = {
     "op9_packing": packing.op9_packing,
     "op10_ngram_join": ngram_join.op10_ngram_join,
 }
-ORACLES = {"op6_url_filter": url_filter.ORACLE, "op2_decontamination": decontamination.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op10_ngram_join": ngram_join.ORACLE}
+ORACLES = {"op3_license_scan": license_scan.ORACLE, "op6_url_filter": url_filter.ORACLE, "op2_decontamination": decontamination.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op10_ngram_join": ngram_join.ORACLE}
