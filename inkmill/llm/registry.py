@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkmill.llm import decontamination, exact_dedup, language_id, license_scan, ngram_join, packing, pii, toxicity, url_filter
+from inkmill.llm import decontamination, exact_dedup, language_id, license_scan, ngram_join, packing, pii, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_packing": packing.op9_packing,
     "op10_ngram_join": ngram_join.op10_ngram_join,
 }
