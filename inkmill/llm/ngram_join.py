@@ -6,16 +6,19 @@ two partners meet among the first m + 1 shingles of both in any order that all s
 and in two shingles among the first m + 2. The order used is by number of sets that hold
 the shingle, then by hash: shingles of passages that many documents share come last, and
 a set with more than m shingles of its own has no partner at all. Numbers are counted over
-all sets, on the half of the shingles with the smaller hashes; the others come after it.
+all sets: first on a share of the shingles, those with the smallest hashes, which tells most
+sets without a partner, and then on all shingles of the other sets.
 
 Light sets (at most `boundary` shingles) are paired where they share one of the fixed-size
 subsets (two shingles of the first m + 2); heavy sets scan the inverted lists of their first
 m + 1. The boundary is where the estimated work is least: subsets made against list
 entries scanned.
 
-Only components are wanted, so a list isn't expanded into its pairs. In two rounds each set
-is held against hubs of its lists, then lists whose sets have become one component drop
-out, and the remaining pairs between different components are all verified. Every link is
+Only components are wanted, so a list isn't expanded into its pairs. In a few rounds each set
+is held against a hub of its lists, first the one whose shingles are the most common, as
+those of a text are that others were copied from. Lists whose sets have become one component
+drop out, and the pairs between different components that remain are all verified, where
+sizes and the shared shingle's places leave room for a link. Every link is
 verified on the exact sets: 100 * intersection >= 75 * union.
 
 Null, empty and blank texts have no set, no links and themselves as component. Repeated
@@ -41,8 +44,9 @@ PERCENT = 75
 SHARD_BYTES = 24 << 20
 MAX_LIGHT = 64
 #: Hub rounds before the remaining pairs are enumerated.
-ROUNDS = 2
-_HALF = np.uint64(1 << 63)
+ROUNDS = 3
+#: Share of the shingles, those with the smallest hashes, on which sets without a partner are told.
+SIFTED = 3 / 8
 _LOW16 = np.uint64(0xFFFF)
 
 
@@ -72,8 +76,9 @@ def set_rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sig long")
 
 
-def _packed(docs: DataFrame, shards: int) -> DataFrame:
+def _packed(docs: DataFrame, shards: int, share: float) -> DataFrame:
     """The shingles that can be among the first of their set, packed by shard: the hash's upper 48 bits over a row number."""
+    limit = min(2**64 - 1, int(share * 2**64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -88,7 +93,7 @@ def _packed(docs: DataFrame, shards: int) -> DataFrame:
                     if int(sig[r]) not in seen:
                         seen.add(int(sig[r]))
                         fresh[r] = True
-                below = np.concatenate(([0], np.cumsum(hashes < _HALF)))
+                below = np.concatenate(([0], np.cumsum(hashes <= np.uint64(limit))))
                 lower = below[at[1:]] - below[at[:-1]]
                 wide = np.where(fresh, np.minimum(n, np.maximum(lower, lacking(n) + 2)), 0)
                 rows = np.flatnonzero(fresh)
@@ -142,26 +147,39 @@ def _shared(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     })
 
 
-_PREFIX = "sig long, n long, k1 int, k2 int, scan long, tokens array<long>"
+_PREFIX = "sig long, n long, k1 int, k2 int, alone long, scan long, tokens array<long>"
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _prefixes(shared: DataFrame, share: float) -> DataFrame:
     """The shared shingles among the first m + 1 (k1 of them) and m + 2 (k2) of each set, in order; the rest of these nobody else has."""
-    for batch in batches:
-        out: list[list] = [[] for _ in range(6)]
-        for sig, n, lower, parts in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-            value = np.frombuffer(b"".join(parts), np.uint64)
-            token, df = value >> np.uint64(16), (value & _LOW16).astype(np.int64)
-            outside = token >= np.uint64(1 << 47)
-            order = np.lexsort((token, np.where(outside, 0, df), outside))
-            m, alone = n - -(-n * PERCENT // 100), lower - int((~outside).sum())
-            k1, k2 = (min(len(order), max(0, p - alone)) if lower >= p else len(order) for p in (m + 1, m + 2))
-            if not k2:
-                continue
-            chosen = order[:k2]
-            for column, x in zip(out, (sig, n, k1, k2, int((df[chosen[:k1]] - 1).sum()), token[chosen].astype(np.int64).tolist()), strict=True):
-                column.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())), strict=True)], names=["sig", "n", "k1", "k2", "scan", "tokens"])
+    limit = np.uint64(min(2**64 - 1, int(share * 2**64)) >> 16)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in range(7)]
+            for sig, n, lower, parts in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                value = np.frombuffer(b"".join(parts), np.uint64)
+                token, df = value >> np.uint64(16), (value & _LOW16).astype(np.int64)
+                outside = token > limit
+                order = np.lexsort((token, np.where(outside, 0, df), outside))
+                m, alone = n - -(-n * PERCENT // 100), lower - int((~outside).sum())
+                k1, k2 = (min(len(order), max(0, p - alone)) if lower >= p else len(order) for p in (m + 1, m + 2))
+                if not k2:
+                    continue
+                chosen = order[:k2]
+                for column, x in zip(out, (sig, n, k1, k2, alone, int((df[chosen[:k1]] - 1).sum()), token[chosen].astype(np.int64).tolist()), strict=True):
+                    column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)], names=["sig", "n", "k1", "k2", "alone", "scan", "tokens"])
+
+    parts = shared.groupBy("sig", "n", "lower").agg(F.collect_list("shared").alias("parts"))
+    return parts.mapInArrow(run, _PREFIX)
+
+
+def _ordered(texts: DataFrame, shingles: int, share: float) -> DataFrame:
+    """What _prefixes gives for all sets, with numbers counted on a share of the shingles."""
+    shards = int(min(65536, max(1, -(-int(shingles * share) * 8 // SHARD_BYTES))))
+    shared = materialise(_packed(texts, shards, share).groupBy("shard").applyInPandas(_shared, "sig long, n long, lower long, shared binary"), "shared")
+    return materialise(_prefixes(shared, share), "prefixes")
 
 
 def choose_boundary(prefixes: DataFrame, largest: int = MAX_LIGHT) -> int:
@@ -174,27 +192,38 @@ def choose_boundary(prefixes: DataFrame, largest: int = MAX_LIGHT) -> int:
 
 
 def _lists(prefixes: DataFrame, boundary: int) -> DataFrame:
-    """(key, sig, n, light): inverted lists of heavy sets and of light ones near the boundary, and subset lists of light sets."""
-    light = F.col("n") <= boundary
+    """Inverted lists of heavy sets and of light ones near the boundary, and subset lists of light sets.
+
+    (key, sig, n, light, pos, center): pos is how many shingles of the set come before the list's in the order, or
+    fewer; center is how common the set's first shingles are, which is most for what others were copied from.
+    """
+    light, center = F.col("n") <= boundary, F.col("scan") / (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1)
     single = prefixes.where((100 * F.col("n") >= PERCENT * (boundary + 1)) & (F.col("k1") > 0)).select(
-        F.explode(F.expr("slice(tokens, 1, k1)")).alias("token"), "sig", "n", light.alias("light")
+        F.posexplode(F.expr("slice(tokens, 1, k1)")).alias("i", "token"), "sig", "n", light.alias("light"), "alone", center.alias("center")
     )
     subset = prefixes.where(light & (F.col("k2") > 1)).select(
-        F.explode(F.expr("flatten(transform(slice(tokens, 1, k2 - 1), (x, i) -> transform(slice(tokens, i + 2, k2), y -> xxhash64(least(x, y), greatest(x, y)))))")).alias("key"),
-        "sig", "n", F.lit(False).alias("light"),
+        F.explode(F.expr("flatten(transform(slice(tokens, 1, k2 - 1), (x, i) -> transform(slice(tokens, i + 2, k2), y -> named_struct('i', i, 'key', xxhash64(least(x, y), greatest(x, y))))))")).alias("s"),
+        "sig", "n", "alone", center.alias("center"),
+    )
+    return single.select(F.xxhash64("token").alias("key"), "sig", "n", "light", (F.col("alone") + F.col("i")).alias("pos"), "center").unionByName(
+        subset.select("s.key", "sig", "n", F.lit(False).alias("light"), (F.col("alone") + F.col("s.i")).alias("pos"), "center")
     )
-    return single.select(F.xxhash64("token").alias("key"), "sig", "n", "light").unionByName(subset)
 
 
 def _may(a: str, b: str) -> F.Column:
-    return F.expr(f"100 * least({a}.n, {b}.n) >= {PERCENT} * greatest({a}.n, {b}.n) and not ({a}.light and {b}.light)")
+    """Whether sizes, and what is left of both sets from the shared shingle on if it is their first, leave room for a link."""
+    needed = f"{PERCENT} * ({a}.n + {b}.n)"
+    return F.expr(
+        f"100 * least({a}.n, {b}.n) >= {PERCENT} * greatest({a}.n, {b}.n) and not ({a}.light and {b}.light)"
+        f" and {100 + PERCENT} * ({a}.n - {a}.pos) >= {needed} and {100 + PERCENT} * ({b}.n - {b}.pos) >= {needed}"
+    )
 
 
 def _hub_pairs(lists: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
-    """Each set with the hub that most of its lists name: the smallest set in the first round, then by another hash in each."""
+    """Each set with the hub that most of its lists name: the most central set at first, then that of a component by hash."""
     rows = _labelled(lists, labels)
-    rank = F.struct("n", "sig") if turn == 0 else F.struct(F.xxhash64("sig", F.lit(turn)).alias("h"), "sig")
-    hubs = rows.groupBy("key").agg(F.min_by(F.struct("sig", "n", "light", "label"), rank).alias("h"))
+    rank = F.struct("center", "sig") if turn == 0 else F.struct(F.xxhash64("label", F.lit(turn)).alias("h"), "center", "sig")
+    hubs = rows.groupBy("key").agg(F.max_by(F.struct("sig", "n", "light", "pos", "label"), rank).alias("h"))
     met = rows.alias("r").join(hubs, "key").select("r.*", "h").where(
         (F.col("sig") != F.col("h.sig")) & (F.col("label") != F.col("h.label")) & _may("r", "h")
     )
@@ -230,16 +259,12 @@ def link(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs (doc_id, text)."""
     base = materialise(set_rows(docs), "sets")
     classes = base.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
-    total = base.agg(F.sum("n")).first()[0] or 0
-    shards = int(min(65536, max(1, -(-total * 4 // SHARD_BYTES))))
-    shared = materialise(_packed(docs, shards).groupBy("shard").applyInPandas(_shared, "sig long, n long, lower long, shared binary"), "shared")
-    prefixes = materialise(
-        shared.groupBy("sig", "n", "lower").agg(F.collect_list("shared").alias("parts")).mapInArrow(_prefixes, _PREFIX), "prefixes"
-    )
+    sifted = _ordered(docs, base.agg(F.sum("n")).first()[0] or 0, SIFTED)
+    alive = sifted.select("sig").join(classes, "sig").select("sig", F.col("rep").alias("doc_id"))
+    texts = materialise(docs.select("doc_id", "text").join(alive, "doc_id").select("sig", "text").dropDuplicates(["sig"]), "texts")
+    prefixes = _ordered(texts, sifted.agg(F.sum("n")).first()[0] or 0, 1.0)
     lists = _lists(prefixes, choose_boundary(prefixes))
     lists = materialise(lists.join(lists.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi"), "lists")
-    alive = lists.select("sig").distinct().join(classes, "sig").select("sig", F.col("rep").alias("doc_id"))
-    texts = materialise(docs.select("doc_id", "text").join(alive, "doc_id").select("sig", "text").dropDuplicates(["sig"]), "texts")
     checked, labels = None, None
     for turn in range(ROUNDS + 1):
         if turn < ROUNDS:
