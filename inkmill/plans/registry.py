@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from inkmill.plans import prose
+
+QUERIES = dict(prose.QUERIES)
+ORACLES = dict(prose.ORACLES)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    """Tokens, seventeen counts, pooled author profiles, and each draft's findings against its author, in order."""
+    return prose.scan_vs_author(spark, sf_dir)
