@@ -118,8 +118,8 @@ def _packed(docs: DataFrame, shards: int, share: float) -> DataFrame:
     return docs.select("text").mapInArrow(run, "shard int, head binary, packed binary")
 
 
-def _shared(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Of each set the shingles of this shard that another set has too, each over the number of its sets."""
+def _shared(key: tuple, rows: pd.DataFrame, buckets: int) -> pd.DataFrame:
+    """The shingles of this shard that several sets have, each over the number of its sets, packed by a bucket of sets."""
     heads = [np.frombuffer(x, np.uint64).reshape(3, -1) for x in rows["head"]]
     base = np.concatenate(([0], np.cumsum([h.shape[1] for h in heads])))
     tokens = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["packed"]])
@@ -136,50 +136,54 @@ def _shared(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     df = np.repeat(count, count)
     keep = df > 1
     token, node, df = token[keep], node[keep], df[keep]
-    order = np.argsort(node, kind="stable")
-    value = ((token << np.uint64(16)) | np.minimum(df, 65535).astype(np.uint64))[order]
-    node = node[order]
-    used, at = np.unique(node, return_index=True)
-    at = np.append(at, len(node))
-    return pd.DataFrame({
-        "sig": sigs[used].view(np.int64), "n": head[1][first[used]].astype(np.int64), "lower": head[2][first[used]].astype(np.int64),
-        "shared": [value[at[k] : at[k + 1]].tobytes() for k in range(len(used))],
-    })
+    value = (token << np.uint64(16)) | np.minimum(df, 65535).astype(np.uint64)
+    bucket = (sigs[node] % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((node, bucket))
+    value, node, bucket = value[order], node[order], bucket[order]
+    cut = np.searchsorted(bucket, np.arange(buckets + 1))
+    out: list[list] = [[], [], [], []]
+    for b in np.flatnonzero(np.diff(cut)):
+        used, renamed = np.unique(node[cut[b] : cut[b + 1]], return_inverse=True)
+        for column, x in zip(out, (int(b), head[:, first[used]].tobytes(), value[cut[b] : cut[b + 1]].tobytes(), renamed.astype(np.uint32).tobytes()), strict=True):
+            column.append(x)
+    return pd.DataFrame(dict(zip(("bucket", "head", "packed", "node"), out, strict=True)))
 
 
 _PREFIX = "sig long, n long, k1 int, k2 int, alone long, scan long, tokens array<long>"
 
 
-def _prefixes(shared: DataFrame, share: float) -> DataFrame:
-    """The shared shingles among the first m + 1 (k1 of them) and m + 2 (k2) of each set, in order; the rest of these nobody else has."""
+def _prefixes(key: tuple, rows: pd.DataFrame, share: float) -> pd.DataFrame:
+    """The shared shingles among the first m + 1 (k1 of them) and m + 2 (k2) of each set of a bucket, in order; the rest of these nobody else has."""
     limit = np.uint64(min(2**64 - 1, int(share * 2**64)) >> 16)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
-            for sig, n, lower, parts in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                value = np.frombuffer(b"".join(parts), np.uint64)
-                token, df = value >> np.uint64(16), (value & _LOW16).astype(np.int64)
-                outside = token > limit
-                order = np.lexsort((token, np.where(outside, 0, df), outside))
-                m, alone = n - -(-n * PERCENT // 100), lower - int((~outside).sum())
-                k1, k2 = (min(len(order), max(0, p - alone)) if lower >= p else len(order) for p in (m + 1, m + 2))
-                if not k2:
-                    continue
-                chosen = order[:k2]
-                for column, x in zip(out, (sig, n, k1, k2, alone, int((df[chosen[:k1]] - 1).sum()), token[chosen].astype(np.int64).tolist()), strict=True):
-                    column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)], names=["sig", "n", "k1", "k2", "alone", "scan", "tokens"])
-
-    parts = shared.groupBy("sig", "n", "lower").agg(F.collect_list("shared").alias("parts"))
-    return parts.mapInArrow(run, _PREFIX)
+    heads = [np.frombuffer(x, np.uint64).reshape(3, -1) for x in rows["head"]]
+    base = np.concatenate(([0], np.cumsum([h.shape[1] for h in heads])))
+    head = np.concatenate(heads, axis=1)
+    node = np.concatenate([np.frombuffer(x, np.uint32).astype(np.int64) + b for x, b in zip(rows["node"], base, strict=False)])
+    value = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["packed"]])
+    sigs, first, name = np.unique(head[0], return_index=True, return_inverse=True)
+    node, token, df = name[node], value >> np.uint64(16), (value & _LOW16).astype(np.int64)
+    outside = token > limit
+    order = np.lexsort((token, np.where(outside, 0, df), outside, node))
+    node, token, df, outside = node[order], token[order], df[order], outside[order]
+    at = np.searchsorted(node, np.arange(len(sigs) + 1))
+    n, lower = head[1][first].astype(np.int64), head[2][first].astype(np.int64)
+    held, m = np.diff(at), lacking(n)
+    alone = lower - np.bincount(node[~outside], minlength=len(sigs))
+    k1, k2 = (np.where(lower >= p, np.clip(p - alone, 0, held), held) for p in (m + 1, m + 2))
+    scanned = np.concatenate(([0], np.cumsum(df - 1)))
+    scan = scanned[at[:-1] + k1] - scanned[at[:-1]]
+    some = np.flatnonzero(k2)
+    return pd.DataFrame({
+        "sig": sigs[some].view(np.int64), "n": n[some], "k1": k1[some], "k2": k2[some], "alone": alone[some], "scan": scan[some],
+        "tokens": [token[at[k] : at[k] + k2[k]].astype(np.int64) for k in some],
+    })
 
 
 def _ordered(texts: DataFrame, shingles: int, share: float) -> DataFrame:
     """What _prefixes gives for all sets, with numbers counted on a share of the shingles."""
     shards = int(min(65536, max(1, -(-int(shingles * share) * 8 // SHARD_BYTES))))
-    shared = materialise(_packed(texts, shards, share).groupBy("shard").applyInPandas(_shared, "sig long, n long, lower long, shared binary"), "shared")
-    return materialise(_prefixes(shared, share), "prefixes")
+    packed = _packed(texts, shards, share).groupBy("shard").applyInPandas(lambda key, rows: _shared(key, rows, shards), "bucket int, head binary, packed binary, node binary")
+    return materialise(packed.groupBy("bucket").applyInPandas(lambda key, rows: _prefixes(key, rows, share), _PREFIX), "prefixes")
 
 
 def choose_boundary(prefixes: DataFrame, largest: int = MAX_LIGHT) -> int:
