@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkmill.plans import prose
+from inkmill.plans import judged, prose
 
-QUERIES = dict(prose.QUERIES)
-ORACLES = dict(prose.ORACLES)
+QUERIES = prose.QUERIES | judged.QUERIES
+ORACLES = prose.ORACLES | judged.ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
