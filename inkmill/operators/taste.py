@@ -73,7 +73,9 @@ def auc(scores: DataFrame, *by: str) -> DataFrame:
     cells = cells.select(*by, "cell", F.coalesce(F.sum("cell_neg").over(before), F.lit(0)).alias("below"))
     placed = each.withColumn("in_cell", F.coalesce(F.sum("neg").over(within), F.lit(0))).join(cells, [*by, "cell"])
     wins = F.sum(F.col("pos") * (2 * (F.col("below") + F.col("in_cell")) + F.col("neg")))
-    return placed.groupBy(*by).agg(F.round(F.try_divide(wins, 2 * F.sum("pos") * F.sum("neg")), 3).alias("auc"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    sums = placed.groupBy(*by).agg(wins.alias("w"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg")).withColumn("d", 2 * F.col("n_pos") * F.col("n_neg"))
+    # rounded in whole numbers, half up
+    return sums.select(*by, F.when(F.col("d") > 0, F.expr("(w * 2000 + d) div (2 * d)").cast("double") / 1000).alias("auc"), "n_pos", "n_neg")
 
 
 def youden(scores: DataFrame, *by: str) -> DataFrame:

@@ -45,7 +45,9 @@ def scan(counts: DataFrame, own: DataFrame | None = None) -> DataFrame:
         .when(F.col("own").isNull(), F.concat(one(F.col("rate")), F.lit(" vs floor "), one(F.col("limit"))))
         .otherwise(F.concat(one(F.col("rate")), F.lit(" vs author "), one(F.col("own"))))
     )
-    rows = rows.withColumn("allowed", F.round("limit", 2))
+    # rounded from whole hundredths, as a half may fall between two doubles
+    half_up = F.round(F.col("own").cast("decimal(20,2)") * F.lit(HEADROOM).cast("decimal(4,2)"), 2).cast("double")
+    rows = rows.withColumn("allowed", F.when(~F.col("gated"), F.lit(0.0)).otherwise(F.greatest("floor", F.coalesce(half_up, F.lit(0.0)))))
     order = Window.partitionBy("doc_id").orderBy(F.desc(F.round(F.col("rate") - F.col("allowed"), 2)), "pos")
     return rows.select("doc_id", "author", "key", "label", "count", "rate", "allowed", why.alias("why"), F.row_number().over(order).cast("long").alias("place"))
 

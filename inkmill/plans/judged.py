@@ -65,7 +65,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taste.axis_scores(answers(spark, sf_dir), "id", "label", "generator")
 
 
-_AUC = "round(sum(CASE WHEN a.p > b.p THEN 2 WHEN a.p = b.p THEN 1 ELSE 0 END)::DOUBLE / (2 * count(*)), 3)"
+_AUC = "((sum(CASE WHEN a.p > b.p THEN 2 WHEN a.p = b.p THEN 1 ELSE 0 END) * 2000 + 2 * count(*)) // (4 * count(*)))::DOUBLE / 1000"
 
 
 def generator_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +73,7 @@ def generator_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scores(spark, sf_dir).where("axis = 'presence'")
     gens = spark.createDataFrame([(f"gen{k}",) for k in range(GENERATORS)], "g string")
     both = rows.where("label = 1").crossJoin(F.broadcast(gens)).select("g", "p", "label")  # four generators
-    return taste.auc(both.unionByName(rows.where("label = 0").select(F.col("generator").alias("g"), "p", "label")), "g").select(F.col("g").alias("generator"), "auc", "n_neg")
+    return taste.auc(both.unionByName(rows.where("label = 0").select(F.col("generator").alias("g"), "p", "label")), "g").where("n_neg > 0").select(F.col("g").alias("generator"), "auc", "n_neg")
 
 
 _GENERATOR_AUC = f"WITH s AS MATERIALIZED (SELECT * FROM ({_scores_sql('id, label, generator', answers_sql())}) WHERE axis = 'presence') SELECT b.generator, {_AUC} AS auc, count(DISTINCT b.id) AS n_neg FROM s a JOIN s b ON a.label = 1 AND b.label = 0 GROUP BY b.generator"

@@ -69,7 +69,7 @@ def _scan_sql(own: bool) -> str:
     return f"""WITH counts AS MATERIALIZED ({S.counts(DRAFTS, "doc_id, author")}){f", own AS ({_PROFILE})" if own else ""},
     r AS (SELECT doc_id, c.author, c.key, label, gated, min_count, pos, count, floor, {S.rate("count", "c.words")} AS rate, {rate_of} AS own FROM counts c JOIN {S.registry()} ON c.key = registry.key {base} WHERE count > 0),
     a AS (SELECT *, CASE WHEN gated THEN greatest(floor, coalesce(own * {tells.HEADROOM}::DOUBLE, 0)) ELSE 0 END AS lim FROM r),
-    f AS (SELECT *, round(lim, 2) AS allowed FROM a WHERE NOT gated OR (count >= min_count AND rate > lim))
+    f AS (SELECT *, CASE WHEN gated THEN greatest(floor, coalesce(round(own::DECIMAL(20, 2) * {tells.HEADROOM}::DECIMAL(4, 2), 2)::DOUBLE, 0)) ELSE 0 END AS allowed FROM a WHERE NOT gated OR (count >= min_count AND rate > lim))
     SELECT doc_id, author, key, label, count, rate, allowed,
       CASE WHEN NOT gated THEN 'never author voice' WHEN own IS NULL THEN {one("rate")} || ' vs floor ' || {one("lim")} ELSE {one("rate")} || ' vs author ' || {one("own")} END AS why,
       row_number() OVER (PARTITION BY doc_id ORDER BY round(rate - allowed, 2) DESC, pos) AS place FROM f"""
