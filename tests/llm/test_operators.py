@@ -1,0 +1,324 @@
+"""Every operator on small tables with nulls, blanks, repeats and clashing columns, and against plain versions."""
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from inkmill.llm import components, decontamination, exact_dedup, language_id, license_scan, ngram_join, packing, pii, suffix, suffix_dedup, tokens, toxicity, url_filter, words
+from tests.llm import brute
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, sig long, label string"
+
+
+def table(spark, rows):
+    """documents with columns whose names the operators use themselves."""
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), 7, "x") for i, t in rows], SCHEMA)
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(n))
+
+
+def corpus(seed=1):
+    """Texts with copies, near copies, shared passages, blanks and nulls."""
+    rng = random.Random(seed)
+    passage = prose(rng, 70)
+    rows = [(0, None), (1, ""), (2, "  \n"), (3, "one two"), (4, "one  two"), (5, "One Two three")]
+    for k in range(6, 40):
+        rows.append((k, prose(rng, rng.randint(3, 120)) + (" " + passage if k % 4 == 0 else "")))
+    for k in range(40, 70):
+        base = rows[rng.randint(6, 39)][1].split(" ")
+        for _ in range(rng.randint(0, 4)):
+            base[rng.randrange(len(base))] = prose(rng, 1)
+        rows.append((k, " ".join(base)))
+    rows += [(k, rows[6 + k % 5][1]) for k in range(70, 90)]
+    return rows
+
+
+EMPTY = []
+SCHEMA_NAMES = ["doc_id", "text", "lang", "source", "n_chars", "sig", "label"]
+
+
+def test_exact_dedup(spark):
+    rows = corpus()
+    got = {r["doc_id"]: r for r in exact_dedup.deduplicate(table(spark, rows)).collect()}
+    norm = {i: __import__("re").sub(r"[\x20\x09-\x0D]+", " ", t or "") for i, t in rows}
+    for i, t in norm.items():
+        group = [j for j, u in norm.items() if u == t]
+        assert (got[i]["keep_id"], got[i]["group_size"]) == (min(group), len(group))
+    kept = exact_dedup.drop_repeats(table(spark, rows))
+    assert kept.count() == len(set(norm.values())) and kept.columns == SCHEMA_NAMES
+    assert exact_dedup.deduplicate(table(spark, EMPTY)).count() == 0
+    null_id = spark.createDataFrame([(None, "a"), (1, "a")], "doc_id long, text string")
+    assert {r["keep_id"] for r in exact_dedup.deduplicate(null_id).collect()} == {1}
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 50, 3000])
+def test_perfect_hash(n):
+    keys = np.frombuffer(b"".join(hashlib.sha256(str(k).encode()).digest() for k in range(n)), ">u8").reshape(-1, 4).astype(np.uint64)
+    seeds, slots = exact_dedup.build_hash(keys)
+    assert sorted(slots) == list(range(n))
+    assert (exact_dedup.find_slots(keys, seeds, n) == slots).all()
+
+
+def test_shingle_hashes_match_sets():
+    texts = [t for _, t in corpus()] + ["a b c d e", "A\tb\nc  d e", "é ü é ü é ü"]
+    sets = []
+    for _, _, raw, starts in words.text_blocks(pa.array(texts, pa.string())):
+        h, at = words.row_sets(raw, starts)
+        sets += [set(h[at[k] : at[k + 1]].tolist()) for k in range(len(at) - 1)]
+    want = [brute.shingles(t) for t in texts]
+    assert [len(s) for s in sets] == [len(s) for s in want]
+    for a in range(0, len(texts), 7):
+        for b in range(len(texts)):
+            assert len(sets[a] & sets[b]) == len(want[a] & want[b])
+
+
+def test_ngram_join(spark):
+    rows = corpus()
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.link(table(spark, rows)).collect()}
+    want = brute.jaccard_components(rows)
+    assert got == {i: (len(brute.shingles(t)), want[i]) for i, t in rows}
+    assert ngram_join.link(table(spark, EMPTY)).count() == 0
+    kept = ngram_join.drop_near(table(spark, rows))
+    assert {r["doc_id"] for r in kept.collect()} == {i for i in want if want[i] == i} and kept.columns == SCHEMA_NAMES
+
+
+def test_ngram_join_of_a_large_group(spark):
+    """Copies around one text, of which some are linked with it only, and none is missed."""
+    rng = random.Random(9)
+    base = prose(rng, 150).split(" ")
+    rows = [(0, " ".join(base))]
+    for k in range(1, 120):
+        own = list(base)
+        for p in rng.sample(range(150), rng.randint(1, 7)):
+            own[p] = prose(rng, 1)
+        rows.append((k, " ".join(own)))
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.link(table(spark, rows)).collect()}
+    assert got == brute.jaccard_components(rows)
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    edges = [(k, k + 1) for k in range(0, 60)] + [(100 + k, 100) for k in range(1, 30)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
+    got = {r["node"]: r["label"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    label = {}
+    for a, b in edges:
+        label.setdefault(a, a), label.setdefault(b, b)
+    for _ in range(100):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    assert got == {k: v for k, v in label.items() if k != v}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_packing(spark):
+    rows = [*corpus(), (100, "word " * 9000), (101, "it's İ ß ½ 12345 'tis\u00a0x"), (102, "<|endoftext|>")]
+    got = packing.pack(table(spark, rows)).collect()
+    cache = tokens.WordCache(packing.default_tokenizer())
+    ids = {i: [*cache.encode(t or "").tolist(), 2] for i, t in rows}
+    by_doc, by_sequence = {}, {}
+    for r in got:
+        own = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert len(own) == r["length"] and zlib.crc32(np.array(own, "<u4").tobytes()) == r["ids_crc32"] and r["doc_tokens"] == len(ids[r["doc_id"]])
+        by_doc.setdefault(r["doc_id"], []).append((r["start"], r["length"]))
+        by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for pieces in (*by_doc.values(), *by_sequence.values()):
+        at = 0
+        for start, n in sorted(pieces):
+            assert start == at
+            at += n
+        assert at <= 4096 or pieces in by_doc.values()
+    assert set(by_doc) == {i for i, _ in rows} and {i: sum(n for _, n in p) for i, p in by_doc.items()} == {i: len(x) for i, x in ids.items()}
+    assert packing.pack(table(spark, EMPTY)).count() == 0
+
+
+def test_minimum_slack():
+    assert packing.fill({5: 2, 3: 1}, 12) in ({5: 1, 3: 1}, {5: 2}) and sum(k * v for k, v in packing.fill({5: 2, 3: 1}, 12).items()) == 10
+    rng = random.Random(5)
+    for _ in range(40):
+        counts = {rng.randint(1, 30): rng.randint(1, 3) for _ in range(4)}
+        items = [k for k, v in counts.items() for _ in range(v)]
+        best = max(s for m in range(1 << len(items)) if (s := sum(x for k, x in enumerate(items) if m >> k & 1)) <= 60)
+        chosen = packing.fill(counts, 60)
+        assert sum(k * v for k, v in chosen.items()) == best and all(v <= counts[k] for k, v in chosen.items())
+        used = {}
+        for pattern, n in packing.patterns(counts, 60):
+            assert sum(k * v for k, v in pattern.items()) <= 60
+            for k, v in pattern.items():
+                used[k] = used.get(k, 0) + v * n
+        assert used == counts
+
+
+def test_tokens_equal_the_tokenizer():
+    rng = random.Random(3)
+    texts = ["", None, "a", "Ünï çødé 12ab_cd--x", "it's", "x\u0130y", "\x0b a", *("".join(rng.choice("ab1 ,.é\n'ÀŸ") for _ in range(60)) for _ in range(60))]
+    cache = tokens.WordCache(packing.default_tokenizer())
+    rows = [ids[at[k] : at[k + 1]].tolist() for _, ids, at in tokens.token_rows(pa.array(texts, pa.string()), cache) for k in range(len(at) - 1)]
+    assert rows == [cache.encode(t or "").tolist() for t in texts]
+
+
+def test_pii(spark):
+    rows = [
+        *corpus(), (100, "a@b.c_d@e.f x@y mail: Q.w+1@mail-1.example.org."), (101, "1.2.3.4.5.6.7.8 256.1.1.1 0001.02.3.004"), (102, "4111 1111 1111 1111, 4111-1111-1111-1112"),
+        (103, "+1 (988) 555-2485+44 20 7946 0958.. +12"), (104, "9" * 9000), (105, "a." * 4000 + "@x.y"), (106, "é 😀 +1234567890 😀 a@b.co 🙂"), (107, "tel 212-555-1234, password=0b5a1c9d8e7f6a5b4c"),
+    ]
+    trees = pii.train(spark)
+    got = {r["doc_id"]: r for r in pii.find(table(spark, rows), trees).collect()}
+    for i, t in rows:
+        spans = brute.base_spans(t)
+        assert got[i]["base_sha256"] == brute.base_digest(t), t
+        assert [got[i][f"n_{k}"] for k in brute.KINDS] == [sum(x[1] == k for x in spans) for k in range(4)]
+        assert {f"{brute.KINDS[k]}:{s}:{e}" for s, k, e in spans} <= set(filter(None, got[i]["spans"].split(",")))
+    assert "secret:" in got[107]["spans"] and "phone:4:16" in got[107]["spans"]
+    assert pii.find(table(spark, EMPTY), trees).count() == 0
+
+
+def test_decontamination(spark):
+    rng = random.Random(4)
+    items = [(k, prose(rng, rng.randint(9, 60))) for k in range(30)] + [(30, None), (31, ""), (32, "one two"), (33, items_text := prose(rng, 20)), (34, items_text)]
+    rows = corpus()
+    for k in range(100, 140):
+        own = items[k % 30][1].split(" ")
+        if k % 3 == 0:
+            own[rng.randrange(len(own))] = "changed"
+        rows.append((k, prose(rng, rng.choice((0, 30, 3000))) + " " + " ".join(own) + " " + prose(rng, 20)))
+    rows.append((140, items_text))
+    found = decontamination.contained(table(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r["doc_id"], r["item_id"]): (r["n_common"], r["n_item"]) for r in found.collect()}
+    sets, want = {i: brute.shingles(t) for i, t in rows}, {}
+    for j, t in items:
+        own = brute.shingles(t)
+        for i, s in sets.items():
+            if own and 100 * len(own & s) >= 75 * len(own):
+                want[i, j] = (len(own & s), len(own))
+    assert got == want and (3, 32) in want and (140, 34) in want
+    blocks = decontamination.contained(table(spark, rows), spark.createDataFrame(items, "item_id long, text string"), block_chars=500)
+    assert {(r["doc_id"], r["item_id"]) for r in blocks.collect()} == set(want)
+    kept = decontamination.drop_contaminated(table(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r["doc_id"] for r in kept.collect()} == set(sets) - {i for i, _ in want}
+
+
+def test_license_scan(spark):
+    template = license_scan.TEMPLATES[3][0]
+    rows = [(1, None), (2, ""), (3, template), (4, "x " * 5000 + template.upper() + " y" * 300), (5, template.replace("General", "Particular")), (6, "Released under the MIT License. " * 3), (6, "Released under the MIT License.")]
+    got = sorted((r["doc_id"], r["license"]) for r in license_scan.scan(table(spark, rows)).collect())
+    assert got == [(3, "gpl-3.0"), (4, "gpl-3.0"), (6, "mit"), (6, "mit")]
+    assert license_scan.scan(table(spark, EMPTY)).count() == 0
+    with pytest.raises(ValueError, match="no word"):
+        license_scan.Templates((("  ", "none"),))
+
+
+def test_language_id(spark):
+    rng = random.Random(6)
+    letters = {"aa": "abcdefgh", "bb": "ijklmnop", "cc": "qrstuvwx"}
+    spoken = {g: ["".join(rng.choice(x) for _ in range(rng.randint(3, 9))) for _ in range(40)] for g, x in letters.items()}
+    rows = [(k, " ".join(rng.choice(spoken[g]) for _ in range(80)), g) for k, g in enumerate(["aa", "bb", "cc"] * 40)]
+    rows += [(200, None, "aa"), (201, "", "bb"), (202, "123 !!", "cc"), (203, rows[0][1], None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = language_id.identify(docs, language_id.learn(docs.where(language_id.fold() != 0)))
+    got = {r["doc_id"]: r for r in found.collect()}
+    assert all(got[i]["lang_pred"] == lang for i, _, lang in rows[:120])
+    assert [got[i]["lang_pred"] for i in (200, 201, 202, 203)] == ["und", "und", "und", "aa"]
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+    none = language_id.identify(docs, language_id.learn(docs.where("false")))
+    assert {r["lang_pred"] for r in none.collect()} == {"und"}
+
+
+def test_toxicity(spark):
+    rng = random.Random(7)
+    rows, labels = [], []
+    for k in range(300):
+        text = prose(rng, rng.randint(10, 150)).split(" ")
+        if k % 3 == 0:
+            for _ in range(4):
+                text[rng.randrange(len(text))] = rng.choice(("vilest", "foulest", "zorkish")) + rng.choice(("", ".", "ly"))
+        rows.append((k, " ".join(text)))
+        labels.append((k, int(k % 3 == 0), 1))
+    rows += [(1000, None), (1001, ""), (1002, "!!"), (1003, "word " * 3000), (1004, rows[0][1])]
+    marks = spark.createDataFrame([*labels, (5000, None, 1), (0, 1, 0)], "doc_id long, toxic int, quality int")
+    net = toxicity.learned(table(spark, rows), marks)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(table(spark, rows), net).collect()}
+    held = [k for k in range(300) if zlib.crc32(str(k).encode()) % 3 == 1]
+    right = sum((got[k] >= toxicity.THRESHOLD) == (k % 3 == 0) for k in held)
+    assert right >= 0.95 * len(held)
+    assert [got[k] for k in (1000, 1001, 1002)] == [0, 0, 0] and got[1004] == got[0]
+    kept = toxicity.drop_toxic(table(spark, rows), marks)
+    assert {r["doc_id"] for r in kept.collect()} == {k for k, s in got.items() if s < toxicity.THRESHOLD} and kept.columns == SCHEMA_NAMES
+    assert {r["score"] for r in toxicity.score(table(spark, rows[:3]), toxicity.learned(table(spark, rows), marks.where("toxic = 0"))).collect()} == {0.0}
+
+
+def test_gradients():
+    """Back-propagation against differences."""
+    rng = np.random.default_rng(0)
+    texts, toxic = ["bad word here " * 5, "good word there " * 5], [1, 0]
+    net = toxicity.train(texts, toxic)
+    params = {"words": net.words, "chars": net.chars, "inputs": net.inputs, "states": net.states, "bias": net.bias, "attention": net.attention, "output": net.output, "b0": np.array([net.scale[0]])}
+    raw, begin, end, at, keys = toxicity._words_of(texts)
+    distinct, first, number = np.unique(keys, return_index=True, return_inverse=True)
+    grams, gram_at = toxicity._trigrams(raw, begin[first], end[first])
+    args = (number, at, np.array([0, 0]), np.array([0, 1]), np.array([15, 12]), np.array(toxic), np.zeros(2, bool), (distinct % np.uint64(toxicity.WORD_BUCKETS)).astype(np.int64), grams, gram_at, np.diff(gram_at))
+
+    def loss():
+        seen = {}
+        pool = toxicity._pool
+        toxicity._pool = lambda *a: seen.setdefault("x", pool(*a))
+        try:
+            toxicity._gradients(net, params, *args)
+        finally:
+            toxicity._pool = pool
+        p = 1 / (1 + np.exp(-seen["x"][0]))
+        return -(np.log(p[0]) + np.log(1 - p[1])) / 2
+
+    grads = toxicity._gradients(net, params, *args)
+    for name in ("inputs", "states", "bias", "attention", "output", "b0", "words"):
+        flat, g = params[name].reshape(-1), grads[name].reshape(-1)
+        for k in rng.choice(np.flatnonzero(g) if g.any() else np.arange(len(g)), min(4, len(g)), replace=False):
+            old = flat[k]
+            flat[k] = old + 1e-5
+            up = loss()
+            flat[k] = old - 1e-5
+            down = loss()
+            flat[k] = old
+            assert (up - down) / 2e-5 == pytest.approx(g[k], rel=2e-3, abs=1e-7), name
+
+
+def test_url_filter(spark):
+    urls = [
+        None, "", "no scheme", "http://", "HTTP://A.Example.ORG?x", "http://example.org/es/1#x", "https://m.example.org/en/12?q", "https://example.org/en/2", "x://org/", "x://com/fr/1", "x://a.com/de/", "x://badorg/x",
+        "a://b://c/d", *(f"http://h.net/es/{k}" for k in range(20)), *(f"http://u.example.org/es/{k}" for k in range(20)), *(f"http://v.com/item{chr(97 + k % 26)}{chr(97 + k // 26)}/x" for k in range(40)),
+    ]
+    pages = spark.createDataFrame([(k, u, "h", "n") for k, u in enumerate(urls)], "page_id long, url string, host string, template string")
+    got = {r["page_id"]: r for r in url_filter.judged(pages).collect()}
+    at = lambda k: tuple(got[k][c] for c in ("host", "path", "rule", "verdict"))
+    assert [at(k)[:3] for k in range(4)] == [("", "", None)] * 4
+    assert at(4)[:3] == ("a.example.org", "", None) and at(5) == ("example.org", "/es/1", "example.org/es/", "block") and at(6) == ("m.example.org", "/en/12", "example.org/en/1", "block")
+    assert at(7)[2:] == ("org/", "allow") and at(8)[2:] == ("org/", "allow") and at(9)[2:] == ("com/fr/", "allow") and at(10)[2:] == ("com/de/", "block") and at(11)[2] is None
+    assert at(12)[:2] == ("b:", "//c/d")
+    assert at(13)[2:] == (None, "block") and got[60]["template"].startswith("*") and len(got) == len(urls)
+    assert url_filter.judged(pages.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_suffix_array(seed):
+    rng = np.random.default_rng(seed)
+    for _ in range(25):
+        data = rng.integers(0, int(rng.choice([1, 2, 4, 256])), int(rng.integers(0, 200))).astype(np.uint8)
+        got = suffix.suffix_array(data, 2 * len(data) + 2, limit=int(rng.choice([1, 100, 1 << 20])))
+        assert got.tolist() == sorted(range(len(data)), key=lambda k: data.tobytes()[k:])
+
+
+def test_suffix_dedup(spark):
+    rows = [*corpus(), (200, "ab" * 300), (201, "x" * 99), (202, "x" * 100), (203, "x" * 101), (204, "é" * 400), (205, "y" * 100 + "x" * 100), (206, "x" * 100)]
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.deduplicate(table(spark, rows)).collect()}
+    texts = dict(rows)
+    for i, gone in brute.repeated_bytes(rows).items():
+        raw = (texts[i] or "").encode()
+        kept = bytes(c for c, g in zip(raw, gone, strict=True) if not g)
+        spans = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
+        assert got[i] == (len(raw), sum(gone), spans, hashlib.sha256(kept).hexdigest()), i
+    assert suffix_dedup.deduplicate(table(spark, EMPTY)).count() == 0
