@@ -15,6 +15,7 @@ from inkmill.functions import text as T
 from inkmill.functions.metrics import mtld as mtld_of
 from inkmill.operators import dataset, style, tells
 from inkmill.plans import sqltext as S
+from inkmill.sources.scratch import spread, written
 
 #: Our own sentences; each detector fires in one of them at least, some just under their thresholds.
 SUFFIXES = (
@@ -36,7 +37,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, author and the document with a suffix of ours."""
     suffix = F.element_at(F.array(*map(F.lit, SUFFIXES)), (F.pmod("doc_id", F.lit(len(SUFFIXES))) + 1).cast("int"))
-    return documents(spark, sf_dir).select("doc_id", F.col("source").alias("author"), F.concat("text", suffix).alias("text"))
+    return spread(documents(spark, sf_dir).select("doc_id", F.col("source").alias("author"), F.concat("text", suffix).alias("text")), "doc_id")
 
 
 DRAFTS = f"(SELECT doc_id, source AS author, text || ([{', '.join(map(S.quoted, SUFFIXES))}])[(doc_id % {len(SUFFIXES)}) + 1] AS text FROM documents)"
@@ -44,7 +45,7 @@ DRAFTS = f"(SELECT doc_id, source AS author, text || ([{', '.join(map(S.quoted,
 
 def spaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, author and text, with a blank line for every line break."""
-    return documents(spark, sf_dir).select("doc_id", F.col("source").alias("author"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    return spread(documents(spark, sf_dir).select("doc_id", F.col("source").alias("author"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text")), "doc_id")
 
 
 SPACED = "(SELECT doc_id, source AS author, replace(text, chr(10), chr(10) || chr(10)) AS text FROM documents)"
@@ -55,7 +56,7 @@ def tell_counts(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
 
 
 def scan_vs_author(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = tell_counts(spark, sf_dir, "doc_id", "author")
+    counted = written(tell_counts(spark, sf_dir, "doc_id", "author"), "counts")  # read twice, and counted once
     return tells.scan(counted, tells.profile(counted))
 
 
@@ -83,7 +84,7 @@ def style_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def style_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return style.profile(style_rows(spark, sf_dir), NO_MTLD)
+    return style.profile(written(style_rows(spark, sf_dir), "style"), NO_MTLD)
 
 
 _MEASURED = S.measured(SPACED, "doc_id, author")
@@ -127,22 +128,22 @@ def _compare_sql(kind: str) -> str:
 
 
 def compare_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = style_rows(spark, sf_dir)
+    rows = written(style_rows(spark, sf_dir), "style")
     return style.compare(rows, style.profile(rows, NO_MTLD), NO_MTLD)
 
 
 def compare_single(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = style_rows(spark, sf_dir)
+    rows = written(style_rows(spark, sf_dir), "style")
     return style.compare(rows, one_sample(style.profile(rows, NO_MTLD)), NO_MTLD)
 
 
 def mtld(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prose = documents(spark, sf_dir).select("doc_id", T.prose_style(F.col("text")).alias("prose"))
+    prose = spread(documents(spark, sf_dir).select("doc_id", "text"), "doc_id").select("doc_id", T.prose_style(F.col("text")).alias("prose"))
     return prose.select("doc_id", mtld_of(F.transform(T.tokens(F.col("prose")), F.lower)).alias("v")).select("doc_id", F.round("v", 1).alias("mtld"))
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id")
 
 
 _PAGES = f"SELECT page_id, url, substr(sha256(url), 1, 16) AS cache_key, substr(sha256(url), 1, 12) AS id, text, {S.blank_words('text')}::BIGINT AS words FROM (SELECT page_id, url, {S.html_text('html')} AS text FROM pages)"
