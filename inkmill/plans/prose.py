@@ -15,6 +15,7 @@ from inkmill.functions import text as T
 from inkmill.functions.metrics import mtld as mtld_of
 from inkmill.operators import dataset, style, tells
 from inkmill.plans import sqltext as S
+from inkmill.sources import sinks
 from inkmill.sources.scratch import spread, written
 
 #: Our own sentences; each detector fires in one of them at least, some just under their thresholds.
@@ -178,6 +179,26 @@ def _conversation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _CONVERSATIONS = "(SELECT conv_id * 1000 + turn AS doc_id, role AS author, text FROM conversations)"
 
+def caveats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents under the vocabulary floor, and whether they are so short that this gives a direction only."""
+    prose = spread(documents(spark, sf_dir).select("doc_id", "text"), "doc_id").select("doc_id", T.prose_style(F.col("text")).alias("prose"))
+    rows = written(prose.select("doc_id", F.lit("").alias("author"), T.word_count(F.col("prose")).alias("words"), mtld_of(F.transform(T.tokens(F.col("prose")), F.lower)).alias("v")), "mtld")
+    rows = rows.withColumn("mtld", F.round("v", 1))
+    return style.caveats(rows, style.compare(rows, None, ("mtld",)))
+
+
+def corpus_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metrics of every page that is long enough; the others are counted by failure_counts."""
+    texts = dataset.fetched(pages(spark, sf_dir)).where("status = 'ok'").select(F.col("page_id").alias("doc_id"), "url", "text")
+    return style.measured(texts, "doc_id", "url", with_mtld=False)
+
+
+def poles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels by pole."""
+    rows = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.when(F.col("quality") == 1, F.lit("exemplar-essay")).otherwise(F.lit("anti-exemplar")).alias("pole"))
+    return rows.select("doc_id", "pole", dataset.pole_label(F.col("pole")).alias("label"))
+
+
 QUERIES = {
     "word_counts": lambda s, d: documents(s, d).select("doc_id", T.word_count(F.col("text")).alias("words"), T.blank_words(F.col("text")).alias("blank_words")),
     "prepare_scan": lambda s, d: drafts(s, d).select("doc_id", F.md5(T.prose_scan(F.col("text"))).alias("prose_md5")),
@@ -189,6 +210,7 @@ QUERIES = {
     "tell_scan_no_baseline": lambda s, d: tells.scan(tell_counts(s, d, "doc_id", "author")),
     "tell_scan_vs_author": scan_vs_author,
     "tell_verdicts": lambda s, d: tells.verdicts(documents(s, d), scan_vs_author(s, d)),
+    "tell_report": lambda s, d: sinks.report(tells.scan(tell_counts(s, d, "doc_id", "author"))),
     "tell_conversations": lambda s, d: D.counts(_conversation_rows(s, d), "doc_id", "author"),
     "sentence_stats": _sentence_stats,
     "paragraph_stats": lambda s, d: style_rows(s, d).select("doc_id", "paragraphs", "para_len_cv"),
@@ -200,6 +222,10 @@ QUERIES = {
     "mixed_register_warning": lambda s, d: style.mixed_registers(style_profile(s, d)),
     "style_compare_range": compare_range,
     "style_compare_single": compare_single,
+    "style_caveats": caveats,
+    "style_samples_used": lambda s, d: tells.samples_used(spaced(s, d), "author", style.SAMPLE_WORDS, T.word_count(T.prose_style(F.col("text")))),
+    "corpus_rows": corpus_rows,
+    "pole_labels": poles,
     "style_floors": lambda s, d: style.compare(style_rows(s, d), None, NO_MTLD),
     "html_text_words": lambda s, d: dataset.fetched(pages(s, d)).select("page_id", "cache_key", "id", "words", F.md5("text").alias("text_md5"), "status"),
     "failure_counts": lambda s, d: dataset.failure_counts(dataset.fetched(pages(s, d))),
@@ -211,6 +237,7 @@ QUERIES = {
     "generated_clean": lambda s, d: dataset.generated(drafts(s, d).select("doc_id", F.concat(F.lit("Sure, here it is:\n\n# A title\n"), "text").alias("text"))).select("doc_id", "words", "used", F.md5("text").alias("text_md5")),
 }
 
+_MTLD = f"{S.mtld('tk')} FROM (SELECT doc_id, list_transform({S.tokens('prose')}, lambda t: lower(t)) AS tk FROM (SELECT doc_id, {S.prose_style('text')} AS prose FROM documents)))"
 _STRIP = rf"\A[{T.SPACE}]+|[{T.SPACE}]+\z"
 ORACLES = {
     "word_counts": f"SELECT doc_id, {S.word_count('text')}::BIGINT AS words, {S.blank_words('text')}::BIGINT AS blank_words FROM documents",
@@ -223,6 +250,7 @@ ORACLES = {
     "tell_scan_no_baseline": _scan_sql(False),
     "tell_scan_vs_author": _scan_sql(True),
     "tell_verdicts": f"SELECT doc_id, count(key) AS n_findings, count(key) > 0 AS has_findings FROM documents LEFT JOIN ({_scan_sql(True)}) USING (doc_id) GROUP BY doc_id",
+    "tell_report": f"SELECT doc_id, place, printf('  [%3dx] %-34s %s', count, label, why) AS line FROM ({_scan_sql(False)})",
     "tell_conversations": S.counts(_CONVERSATIONS, "doc_id, author"),
     "sentence_stats": f"SELECT doc_id, words, sentences, sent_len_mean, sent_len_cv FROM ({_MEASURED})",
     "paragraph_stats": f"SELECT doc_id, paragraphs, para_len_cv FROM ({_MEASURED})",
@@ -232,11 +260,15 @@ ORACLES = {
         FROM (SELECT doc_id, {S.sentences("prose")} AS sents FROM (SELECT doc_id, {S.prose_style("text")} AS prose FROM {SPACED})) WHERE len(sents) >= 4)
       GROUP BY doc_id, opening HAVING count(*) > 1)) WHERE place <= 3""",
     "flat_runs": f"SELECT doc_id, longest_flat_run FROM ({_MEASURED})",
-    "mtld": f"SELECT doc_id, round(mtld, 1) AS mtld FROM ({S.mtld('tk')} FROM (SELECT doc_id, list_transform({S.tokens('prose')}, lambda t: lower(t)) AS tk FROM (SELECT doc_id, {S.prose_style('text')} AS prose FROM documents))))",
+    "mtld": f"SELECT doc_id, round(mtld, 1) AS mtld FROM ({_MTLD})",
     "style_profile": f"WITH m AS MATERIALIZED ({_MEASURED}), {_STYLE_PROFILE} SELECT author, metric, mean, lo, hi, n_values, n_samples FROM own",
     "mixed_register_warning": f"WITH m AS MATERIALIZED ({_MEASURED}), {_STYLE_PROFILE} SELECT author, lo, hi, lo > 0 AND hi / nullif(lo, 0) > {style.MIXED} AS mixed FROM own WHERE metric = 'sent_len_mean'",
     "style_compare_range": _compare_sql("range"),
     "style_compare_single": _compare_sql("single"),
+    "style_caveats": f"SELECT doc_id, words, words < {style.SHORT} AS directional FROM ({_MTLD}) JOIN (SELECT doc_id, {S.word_count(S.prose_style('text'))}::BIGINT AS words FROM documents) USING (doc_id) WHERE round(mtld, 1) < {style.FLOORS['mtld']}",
+    "style_samples_used": f"SELECT doc_id, author, words, words >= {style.SAMPLE_WORDS} AS used FROM (SELECT doc_id, author, {S.word_count(S.prose_style('text'))}::BIGINT AS words FROM {SPACED})",
+    "corpus_rows": S.measured(f"(SELECT page_id AS doc_id, url, text FROM ({_PAGES}) WHERE words >= {dataset.CORPUS_WORDS})", "doc_id, url"),
+    "pole_labels": "SELECT doc_id, pole, CASE WHEN starts_with(pole, 'exemplar') THEN 1 ELSE 0 END::INT AS label FROM (SELECT doc_id, CASE WHEN quality = 1 THEN 'exemplar-essay' ELSE 'anti-exemplar' END AS pole FROM labels)",
     "style_floors": _compare_sql("floors"),
     "html_text_words": f"SELECT page_id, cache_key, id, words, md5(text) AS text_md5, {_STATUS} AS status FROM ({_PAGES})",
     "failure_counts": f"SELECT split_part({_STATUS}, ' ', 1) AS word, count(*) AS n FROM ({_PAGES}) GROUP BY ALL",

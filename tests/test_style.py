@@ -84,3 +84,9 @@ def test_assignment_and_resume(spark):
     assert sorted((r["generator"], r["i"], r["mirrors"], r["brief"]) for r in wanted.collect()) == [("a", 0, "x", 0), ("a", 1, "y", 1), ("b", 0, "z", 0), ("b", 1, "x", 1)]
     done = spark.createDataFrame([("b", "z")], "generator string, mirrors string")
     assert dataset.pending(wanted, done, ["generator", "mirrors"]).count() == 3
+
+
+def test_rarity(spark):
+    docs = spark.createDataFrame([(1, "The the rare 3x"), (2, "unknown")], "doc_id long, text string")
+    table = spark.createDataFrame([("the", 7.0), ("rare", 3.0), ("zero", 0.0)], "word string, zipf double")
+    assert [(r["doc_id"], r["zipf_mean"]) for r in style.rarity(docs, table).collect()] == [(1, 5.67)]
