@@ -64,29 +64,40 @@ def _blank_lengths(paras: Column) -> Column:
     return F.transform(paras, lambda x: F.regexp_count(x, F.lit(f"[^{T.SPACE}]+")).cast("long"))
 
 
+def _counted(values: DataFrame, by: str, value: str) -> DataFrame:
+    """Each distinct value of a group once, with its number n, how many rows lie below it, and the group's rows all.
+
+    The windows run over distinct values, which rounding keeps few, and not over rows.
+    """
+    each = values.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("n"))
+    below = Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return each.withColumns({"below": F.coalesce(F.sum("n").over(below), F.lit(0)), "all": F.sum("n").over(Window.partitionBy(by))})
+
+
+def _at(place: Column, value: str) -> Column:
+    """The value at a place, counted from 0, of a group of _counted(…)."""
+    return F.max(F.when((F.col("below") <= place) & (place < F.col("below") + F.col("n")), F.col(value)))
+
+
 def spread(values: DataFrame) -> DataFrame:
     """metric, n, min, p10, median, p90 and max of (metric, value); null under four values.
 
-    p10 and p90 are values at whole places, the median is interpolated; ranks are windows a metric.
+    p10 and p90 are values at whole places, the median is interpolated.
     """
-    w = Window.partitionBy("metric").orderBy("value")
-    whole = Window.partitionBy("metric")
-    ranked = values.where("value is not null").withColumns({"r": F.row_number().over(w) - 1, "n": F.count("*").over(whole)})
-    at = lambda place: F.max(F.when(F.col("r") == place, F.col("value")))
-    middle = (at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2
-    enough = F.first("n") >= LEAST_VALUES
-    return ranked.groupBy("metric").agg(
-        F.count("*").alias("n"),
+    rows, n = _counted(values, "metric", "value"), F.col("all")
+    middle = (_at(F.floor((n - 1) / 2), "value") + _at(F.floor(n / 2), "value")) / 2
+    enough = F.first("all") >= LEAST_VALUES
+    return rows.groupBy("metric").agg(
+        F.sum("n").alias("n"),
         *(F.when(enough, F.round(c, 3)).alias(name) for name, c in (
-            ("min", F.min("value")), ("p10", at(F.floor(F.col("n") * 0.1))), ("median", middle), ("p90", at(F.least(F.col("n") - 1, F.floor(F.col("n") * 0.9)))), ("max", F.max("value")),
+            ("min", F.min("value")), ("p10", _at(F.floor(n * 0.1), "value")), ("median", middle), ("p90", _at(F.least(n - 1, F.floor(n * 0.9)), "value")), ("max", F.max("value")),
         )),
     )
 
 
 def upper_median(rows: DataFrame, by: str, value: str) -> DataFrame:
     """The value at place n // 2 of each group."""
-    ranked = rows.withColumns({"r": F.row_number().over(Window.partitionBy(by).orderBy(value)) - 1, "n": F.count("*").over(Window.partitionBy(by))})
-    return ranked.where(F.col("r") == F.floor(F.col("n") / 2)).select(by, F.col("n"), F.col(value).alias("upper_median"))
+    return _counted(rows, by, value).groupBy(by).agg(F.first("all").alias("n"), _at(F.floor(F.col("all") / 2), value).alias("upper_median"))
 
 
 def assignments(models: DataFrame, exemplars: DataFrame, per_model: int) -> DataFrame:
