@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from inkmill.llm import decontamination, exact_dedup, ngram_join, packing, toxicity
-from inkmill.llm.store import materialise
+from inkmill.llm.store import materialise, small_batches
 
 
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from all labelled documents outside fold 1, as the operator's query does."""
+    small_batches(spark)
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 

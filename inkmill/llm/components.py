@@ -16,10 +16,11 @@ def components(edges: DataFrame) -> DataFrame:
     small stars in turn), which keeps the components and halves the distances. Every
     round is a written table, and the driver sees one count a round.
     """
-    current = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    rows = edges.count()  # no round has more
+    current = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", rows)
     while True:
         large = _star(current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b"))), larger=True)
-        after = materialise(_star(large, larger=False), "edges")
+        after = materialise(_star(large, larger=False), "edges", 2 * rows)
         if after.count() == current.count() and after.exceptAll(current).isEmpty():
             return after.select(F.col("a").alias("node"), F.col("b").alias("label"))
         current = after

@@ -36,15 +36,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkmill.llm.components import components
-from inkmill.llm.store import documents, materialise
+from inkmill.llm.store import FILE_ROWS, documents, materialise
 from inkmill.llm.words import mix, row_sets, text_blocks
 
 PERCENT = 75
 #: Bytes of packed shingles in a shard, about, and the largest size that can be light.
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 8 << 20
 MAX_LIGHT = 64
 #: Hub rounds before the remaining pairs are enumerated.
-ROUNDS = 3
+ROUNDS = 2
 #: Share of the shingles, those with the smallest hashes, on which sets without a partner are told.
 SIFTED = 3 / 8
 _LOW16 = np.uint64(0xFFFF)
@@ -183,7 +183,7 @@ def _ordered(texts: DataFrame, shingles: int, share: float) -> DataFrame:
     """What _prefixes gives for all sets, with numbers counted on a share of the shingles."""
     shards = int(min(65536, max(1, -(-int(shingles * share) * 8 // SHARD_BYTES))))
     packed = _packed(texts, shards, share).groupBy("shard").applyInPandas(lambda key, rows: _shared(key, rows, shards), "bucket int, head binary, packed binary, node binary")
-    return materialise(packed.groupBy("bucket").applyInPandas(lambda key, rows: _prefixes(key, rows, share), _PREFIX), "prefixes")
+    return materialise(packed.groupBy("bucket").applyInPandas(lambda key, rows: _prefixes(key, rows, share), _PREFIX), "prefixes", shards * FILE_ROWS)
 
 
 def choose_boundary(prefixes: DataFrame, largest: int = MAX_LIGHT) -> int:
@@ -261,31 +261,34 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def link(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs (doc_id, text)."""
-    base = materialise(set_rows(docs), "sets")
+    n_docs = docs.count()
+    base = materialise(set_rows(docs), "sets", n_docs)
     classes = base.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
     sifted = _ordered(docs, base.agg(F.sum("n")).first()[0] or 0, SIFTED)
+    n_alive = sifted.count()
     alive = sifted.select("sig").join(classes, "sig").select("sig", F.col("rep").alias("doc_id"))
-    texts = materialise(docs.select("doc_id", "text").join(alive, "doc_id").select("sig", "text").dropDuplicates(["sig"]), "texts")
+    texts = materialise(docs.select("doc_id", "text").join(alive, "doc_id").select("sig", "text").dropDuplicates(["sig"]), "texts", 20 * n_alive)
     prefixes = _ordered(texts, sifted.agg(F.sum("n")).first()[0] or 0, 1.0)
     lists = _lists(prefixes, choose_boundary(prefixes))
-    lists = materialise(lists.join(lists.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi"), "lists")
+    lists = materialise(lists.join(lists.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi"), "lists", 40 * n_alive)
     checked, labels = None, None
     for turn in range(ROUNDS + 1):
         if turn < ROUNDS:
             pairs = _hub_pairs(lists, labels, turn)
         else:
-            rows = materialise(_labelled(lists, labels), "open-lists")
+            rows = materialise(_labelled(lists, labels), "open-lists", 40 * n_alive)
             pairs = rows.alias("x").join(rows.alias("y"), "key").where((F.col("x.sig") > F.col("y.sig")) & (F.col("x.label") != F.col("y.label")) & _may("x", "y")).select(
                 F.col("x.sig").alias("a"), F.col("y.sig").alias("b")
             ).distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        found = materialise(_verified(pairs, texts), "verified")
+        found = materialise(_verified(pairs, texts), "verified", 20 * n_alive)
         checked = found if checked is None else checked.unionByName(found)
         labels = components(checked.where("linked").select("a", "b"))
     grown = classes.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     roots = grown.groupBy("label").agg(F.min("rep").alias("component_id"), F.sum("size").alias("rows"))
-    of = grown.join(roots.where("rows > 1"), "label").select("sig", "component_id")
+    roots = materialise(roots.where("rows > 1"), "roots", n_docs)  # read from a table, so that the join with a large component can be split
+    of = grown.join(roots, "label").select("sig", "component_id")
     return base.join(of, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

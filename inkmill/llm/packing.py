@@ -11,9 +11,8 @@ kept bit sets. The pattern is used as often as the counts allow. Patterns say wh
 ranks of each length go where, so pieces find their sequence by their rank: the rank
 in a partition, written with the pieces, and the number in the partitions before it.
 
-A sequence whose length is a power of two needs no padding, so the last, partly filled
-window counts a power of two as full. Null text counts as empty, which still has the
-end id. Repeated rows are packed each for itself; an empty table gives no rows.
+Null text counts as empty, which still has the end id. Repeated rows are packed each for
+itself; an empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+#: Bytes of a batch that goes to a Python worker, about; the JVM and the worker each hold one or two a task.
+ARROW_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,13 +39,30 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Writes df once and reads it back: later steps neither recompute it nor depend on executors' disks."""
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound on Arrow batches: long texts would fill ones of 10,000 rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
+#: Rows of a file that materialise writes at least, where it knows how many there can be.
+FILE_ROWS = 100_000
+
+
+def materialise(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """Writes df once and reads it back: later steps neither recompute it nor depend on executors' disks.
+
+    rows: how many df has at most. It bounds the number of files, two a core at least: tables of a few
+    thousand rows needn't be as many files as there are shuffle partitions.
+    """
     spark = df.sparkSession
+    small_batches(spark)
     path = new_path(spark, label)
+    if rows is not None:
+        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

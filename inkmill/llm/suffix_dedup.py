@@ -37,8 +37,8 @@ from inkmill.llm.words import _power, mix, text_blocks
 
 SIZE, GRAM = 100, 24
 #: Bytes of listed grams and of contexts in a shard, about.
-ENTRY_BYTES, CONTEXT_BYTES = 24 << 20, 4 << 20
-BLOCK_BYTES = 1 << 20
+ENTRY_BYTES, CONTEXT_BYTES = 8 << 20, 4 << 20
+BLOCK_BYTES = 512 << 10
 _LOW16 = np.uint64(0xFFFF)
 _VALUE = np.random.default_rng(77).integers(0, 2**64, 256, dtype=np.uint64)
 

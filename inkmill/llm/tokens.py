@@ -18,8 +18,8 @@ import pyarrow as pa
 from inkmill.llm.words import mix, text_blocks
 
 #: Code points in a block, about, and words that the cache holds at most.
-BLOCK_CHARS = 1 << 20
-CACHE_WORDS = 400_000
+BLOCK_CHARS = 512 << 10
+CACHE_WORDS = 200_000
 _TOP = 0x250
 _OTHER, _SPACE, _LETTER, _DIGIT, _ODD = range(5)
 

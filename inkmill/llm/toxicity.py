@@ -31,7 +31,7 @@ from inkmill.llm.store import documents
 from inkmill.llm.words import mix, span_hashes, text_blocks
 
 #: Bounds of the training sample: texts of each label, and bytes of a text (longer ones aren't sampled).
-SAMPLE = {1: 1200, 0: 2400}
+SAMPLE = {1: 600, 0: 1200}
 SAMPLE_BYTES = 20_000
 WINDOW, STRIDE = 32, 24
 STATES, EMBEDDED = 8, 5
@@ -40,11 +40,11 @@ WORD_BUCKETS, CHAR_BUCKETS = 1 << 14, 1 << 14
 REPEATED = 0.4
 STEPS, BATCH, RATE = 360, 96, 0.01
 THRESHOLD = 0.7
-#: Windows scored at once, and words whose inputs a task keeps.
-WINDOWS_AT_ONCE = 2048
-CACHE_WORDS = 300_000
+#: Windows scored and words described at once, and words whose inputs a task keeps.
+WINDOWS_AT_ONCE, WORDS_AT_ONCE = 2048, 20_000
+CACHE_WORDS = 150_000
 #: Text is worked on in blocks of about so many bytes.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 512 << 10
 
 _INSIDE = np.zeros(256, bool)
 _INSIDE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -69,8 +69,7 @@ def _trigrams(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.n
     size = end - begin
     at = np.concatenate(([0], np.cumsum(size)))
     place = np.repeat(begin - at[:-1], size) + np.arange(at[-1])
-    padded = np.concatenate(([0], _LOWER[raw], [0])).astype(np.uint64)
-    before, here, after = padded[place], padded[place + 1], padded[place + 2]
+    before, here, after = (_LOWER[raw[np.clip(place + k, 0, len(raw) - 1)]].astype(np.uint64) for k in (-1, 0, 1))
     before[at[:-1]] = 0
     after[at[1:] - 1] = 0
     return (mix(before << np.uint64(16) | here << np.uint64(8) | after) % np.uint64(CHAR_BUCKETS)).astype(np.int64), at
@@ -99,6 +98,12 @@ class Network:
         return np.concatenate([counted, self.words[word] + np.add.reduceat(self.chars[grams], at[:-1], axis=0) / n], axis=1).astype(np.float32)
 
 
+    def inputs_of(self, raw: np.ndarray, keys: np.ndarray, begin: np.ndarray, end: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """The channels of the words, some at a time."""
+        parts = [words[k : k + WORDS_AT_ONCE] for k in range(0, len(words), WORDS_AT_ONCE)]
+        return np.concatenate([self.channels(keys[w], *_trigrams(raw, begin[w], end[w])) for w in parts])
+
+
 def _gates(x: np.ndarray, h: np.ndarray, net: Network, d: int) -> tuple[np.ndarray, ...]:
     z = 0.5 * np.tanh(0.5 * (x[:, 0] + h @ net.states[d, 0])) + 0.5
     r = 0.5 * np.tanh(0.5 * (x[:, 1] + h @ net.states[d, 1])) + 0.5
@@ -159,16 +164,15 @@ class Scorer:
         # word 0 fills windows that are shorter; nothing attends to it
         self.projected = [[np.zeros((1, STATES), np.float32) for _ in range(3)] for _ in range(2)]
 
-    def numbers(self, raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        keys = span_hashes(raw, begin, end)
+    def numbers(self, raw: np.ndarray, begin: np.ndarray, end: np.ndarray, keys: np.ndarray | None = None) -> np.ndarray:
+        keys = span_hashes(raw, begin, end) if keys is None else keys
         distinct, first, back = np.unique(keys, return_index=True, return_inverse=True)
         if len(self.known) > CACHE_WORDS:
             self.clear()
         listed = distinct.tolist()
         new = [k for k, x in enumerate(listed) if x not in self.known]
         if new:
-            own = first[new]
-            x = self.net.channels(keys[own], *_trigrams(raw, begin[own], end[own]))
+            x = self.net.inputs_of(raw, keys, begin, end, first[new])
             self.known.update(zip((listed[k] for k in new), range(len(self.projected[0][0]), len(self.projected[0][0]) + len(new)), strict=True))
             for d in (0, 1):
                 for g in (0, 1, 2):
@@ -211,45 +215,63 @@ def _window_starts(n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, row, np.minimum(WINDOW, n[row])
 
 
-def _odds(buckets: np.ndarray, row: np.ndarray, toxic: np.ndarray, size: int) -> np.ndarray:
-    """The logarithm of how much more often each bucket is in toxic rows, near 0 where it is rare."""
-    pairs = np.unique(row * size + buckets)
-    r, b = pairs // size, pairs % size
-    bad, good = (np.bincount(b[toxic[r] == k], minlength=size) for k in (1, 0))
+def _odds(parts: Iterator[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, size: int) -> np.ndarray:
+    """The logarithm of how much more often each bucket is in toxic rows, near 0 where it is rare. parts: (bucket, row) of whole rows."""
+    bad, good = np.zeros(size), np.zeros(size)
+    for buckets, row in parts:
+        pairs = np.unique(row * size + buckets.astype(np.int64))
+        of = toxic[pairs // size]
+        bad += np.bincount(pairs[of == 1] % size, minlength=size)
+        good += np.bincount(pairs[of == 0] % size, minlength=size)
     rate = (bad + bad.sum() / max(1, good.sum()) + 0.5) / (good + 1.5) / ((toxic == 1).sum() / max(1, (toxic == 0).sum()))
     return (np.log(rate) * np.minimum(1, (bad + good) / 8)).astype(np.float32)
 
 
+def _words_of(texts: list[str]) -> tuple[np.ndarray, ...]:
+    """Bytes of all texts, where their words begin and end, the first word of each text and the end, and the words' hashes; block by block."""
+    raws, begins, ends, ats, keys, done, words = [], [], [], [np.zeros(1, np.int64)], [], 0, 0
+    for _, _, raw, starts in text_blocks(pa.array(texts, pa.string())):
+        begin, end, at = letter_spans(raw, starts)
+        raws.append(raw), begins.append((begin + done).astype(np.int32)), ends.append((end + done).astype(np.int32)), ats.append(at[1:] + words), keys.append(span_hashes(raw, begin, end))
+        done, words = done + len(raw), words + len(begin)
+    return tuple(np.concatenate(x) for x in (raws, begins, ends, ats, keys))
+
+
 def train(texts: list[str], toxic: list[int], seed: int = 5) -> Network | None:
     """A network from whole texts with labels 1 and 0; None without both kinds."""
     label = np.array(toxic, np.int64)
     if not (label == 1).any() or not (label == 0).any():
         return None
     rng = np.random.default_rng(seed)
-    raw = np.frombuffer("\n".join(texts).encode(), np.uint8)
-    starts = np.concatenate(([0], np.cumsum([len(t.encode()) + 1 for t in texts])))
-    starts[-1] -= 1
-    begin, end, at = letter_spans(raw, starts)
+    raw, begin, end, at, keys = _words_of(texts)
     row = np.repeat(np.arange(len(texts)), np.diff(at))
-    keys = span_hashes(raw, begin, end)
     distinct, first, number = np.unique(keys, return_index=True, return_inverse=True)
-    grams, gram_at = _trigrams(raw, begin[first], end[first])
-    size = np.diff(gram_at)
+    number = number.astype(np.int32)
+    size = end[first] - begin[first]
+    gram_at = np.concatenate(([0], np.cumsum(size)))
+    grams = np.concatenate([_trigrams(raw, begin[w], end[w])[0].astype(np.uint16) for k in range(0, len(first), WORDS_AT_ONCE) for w in [first[k : k + WORDS_AT_ONCE]]])
     bucket = (distinct % np.uint64(WORD_BUCKETS)).astype(np.int64)
-    pairs = np.unique(row * len(distinct) + number)
-    used = pairs % len(distinct)
-    gram_row = np.repeat(pairs // len(distinct), size[used])
-    gram_of = grams[np.repeat(gram_at[used] - np.cumsum(size[used]) + size[used], size[used]) + np.arange(size[used].sum())]
+
+    def word_parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        yield bucket[number], row
+
+    def gram_parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for k in range(0, len(texts), 100):  # texts at a time, as a word has many trigrams
+            span = slice(at[k], at[min(k + 100, len(texts))])
+            pairs = np.unique(row[span] * len(distinct) + number[span])
+            used = pairs % len(distinct)
+            yield grams[np.repeat(gram_at[used] - np.cumsum(size[used]) + size[used], size[used]) + np.arange(size[used].sum())], np.repeat(pairs // len(distinct), size[used])
+
     channels, small = 3 + EMBEDDED, lambda *s: rng.normal(0, 0.3, s)
     net = Network(
-        _odds(bucket[number], row, label, WORD_BUCKETS), _odds(gram_of, gram_row, label, CHAR_BUCKETS), rng.normal(0, 0.05, (WORD_BUCKETS, EMBEDDED)), rng.normal(0, 0.05, (CHAR_BUCKETS, EMBEDDED)),
+        _odds(word_parts(), label, WORD_BUCKETS), _odds(gram_parts(), label, CHAR_BUCKETS), rng.normal(0, 0.05, (WORD_BUCKETS, EMBEDDED)), rng.normal(0, 0.05, (CHAR_BUCKETS, EMBEDDED)),
         small(2, 3, channels, STATES), small(2, 3, STATES, STATES), np.zeros((2, 3, STATES)), small(2 * STATES), small(2 * STATES), (0.0, 1.0, 0.0),
     )
     starts_of, window_row, window_size = _window_starts(np.diff(at))
     by_row = np.searchsorted(window_row, np.arange(len(texts) + 1))
     has = np.flatnonzero(np.diff(by_row))
     # at first the worst window is that with the most telling word
-    x = net.channels(distinct, grams, gram_at)
+    x = net.inputs_of(raw, keys, begin, end, first)
     told = np.concatenate((x[number, :2].sum(axis=1), np.zeros(WINDOW)))
     spots = (at[window_row] + starts_of)[:, None] + np.arange(WINDOW)
     logits = np.where(np.arange(WINDOW) < window_size[:, None], told[np.minimum(spots, len(told) - 1)], -9).max(axis=1)
@@ -260,7 +282,7 @@ def train(texts: list[str], toxic: list[int], seed: int = 5) -> Network | None:
         if step in (STEPS // 3, 2 * STEPS // 3):
             net.scale = (float(params["b0"][0]), 1.0, 0.0)
             scorer = Scorer(net)
-            logits, _ = scorer.windows(scorer.numbers(raw, begin, end), at)
+            logits, _ = scorer.windows(scorer.numbers(raw, begin, end, keys), at)
         half = BATCH // 2
         rows = np.concatenate([rng.choice(has[label[has] == k], half) for k in (1, 0) if (label[has] == k).any()])
         worst = np.array([by_row[r] + int(np.argmax(logits[by_row[r] : by_row[r + 1]])) for r in rows])
@@ -278,7 +300,7 @@ def train(texts: list[str], toxic: list[int], seed: int = 5) -> Network | None:
             params[k] -= rate * (m / (1 - 0.9 ** (step + 1))) / (np.sqrt(v / (1 - 0.99 ** (step + 1))) + 1e-7)
     net.scale = (float(params["b0"][0]), 1.0, 0.0)
     scorer = Scorer(net)
-    logits, window_of = scorer.windows(scorer.numbers(raw, begin, end), at)
+    logits, window_of = scorer.windows(scorer.numbers(raw, begin, end, keys), at)
     worst = np.full(len(texts), -np.inf)
     np.maximum.at(worst, window_of, logits)
     net.scale = (net.scale[0], *_calibrated(worst[has], label[has]))

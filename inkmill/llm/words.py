@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 
 SHINGLE = 5
-#: Text is worked on in blocks of about so many bytes, so that the arrays stay small.
-BLOCK_BYTES = 2 << 20
+#: Text is worked on in blocks of about so many bytes and rows at most, so that the arrays stay small.
+BLOCK_BYTES, BLOCK_ROWS = 512 << 10, 256
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -51,15 +51,16 @@ def text_blocks(column: pa.Array, size: int = BLOCK_BYTES) -> Iterator[tuple[int
     """(first row, row after the last, bytes, where each row starts and the end); null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.fill_null("").cast(pa.large_string())
-    _, offsets, data = column.buffers()
-    starts = np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8)
-    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
-    at = 0
-    while at < len(column):
-        to = max(at + 1, int(np.searchsorted(starts, starts[at] + size, "right")) - 1)
-        yield at, to, raw[starts[at] : starts[to]], starts[at : to + 1] - starts[at]
-        at = to
+    for low in range(0, len(column), BLOCK_ROWS):  # so that no copy of a whole batch is made
+        part = column.slice(low, BLOCK_ROWS).fill_null("").cast(pa.large_string())
+        _, offsets, data = part.buffers()
+        starts = np.frombuffer(offsets, np.int64, len(part) + 1, part.offset * 8)
+        raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+        at = 0
+        while at < len(part):
+            to = max(at + 1, int(np.searchsorted(starts, starts[at] + size, "right")) - 1)
+            yield low + at, low + to, raw[starts[at] : starts[to]], starts[at : to + 1] - starts[at]
+            at = to
 
 
 def word_spans(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
