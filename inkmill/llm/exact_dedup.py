@@ -139,12 +139,12 @@ def groups(arrivals: DataFrame, index: DataFrame, shards: int) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """doc_id, digest, keep_id and group_size of every row."""
-    keyed = materialise(digests(docs), "digests", docs.count())
+    keyed = materialise(digests(docs), "digests", 20 * docs.count())
     low, high, n = keyed.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
     split = 0 if low is None else (low + high) // 2
     shards = max(1, -(-n // SHARD_DIGESTS))
     old = F.coalesce(F.col("doc_id") <= split, F.lit(False))
-    index = materialise(build_index(keyed.where(old), shards), "perfect-hash", shards)
+    index = materialise(build_index(keyed.where(old), shards), "perfect-hash", shards * SHARD_DIGESTS)
     found = groups(keyed.where(~old), index, shards)
     return keyed.join(found, "digest", "left").select(
         "doc_id", "digest", F.coalesce("keep_id", "doc_id").alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size")

@@ -262,7 +262,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def link(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs (doc_id, text)."""
     n_docs = docs.count()
-    base = materialise(set_rows(docs), "sets", n_docs)
+    base = materialise(set_rows(docs), "sets", 20 * n_docs)
     classes = base.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
     sifted = _ordered(docs, base.agg(F.sum("n")).first()[0] or 0, SIFTED)
     n_alive = sifted.count()
@@ -270,13 +270,13 @@ def link(docs: DataFrame) -> DataFrame:
     texts = materialise(docs.select("doc_id", "text").join(alive, "doc_id").select("sig", "text").dropDuplicates(["sig"]), "texts", 20 * n_alive)
     prefixes = _ordered(texts, sifted.agg(F.sum("n")).first()[0] or 0, 1.0)
     lists = _lists(prefixes, choose_boundary(prefixes))
-    lists = materialise(lists.join(lists.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi"), "lists", 40 * n_alive)
+    lists = materialise(lists.join(lists.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi"), "lists", 10 * n_alive)
     checked, labels = None, None
     for turn in range(ROUNDS + 1):
         if turn < ROUNDS:
             pairs = _hub_pairs(lists, labels, turn)
         else:
-            rows = materialise(_labelled(lists, labels), "open-lists", 40 * n_alive)
+            rows = materialise(_labelled(lists, labels), "open-lists", 10 * n_alive)
             pairs = rows.alias("x").join(rows.alias("y"), "key").where((F.col("x.sig") > F.col("y.sig")) & (F.col("x.label") != F.col("y.label")) & _may("x", "y")).select(
                 F.col("x.sig").alias("a"), F.col("y.sig").alias("b")
             ).distinct()

@@ -51,14 +51,14 @@ FILE_ROWS = 100_000
 def materialise(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """Writes df once and reads it back: later steps neither recompute it nor depend on executors' disks.
 
-    rows: how many df has at most. It bounds the number of files, two a core at least: tables of a few
-    thousand rows needn't be as many files as there are shuffle partitions.
+    rows: how many df has at most, or more where a row is much work. It bounds the number of files and of
+    the tasks that write them: tables of a few thousand rows needn't have a file a shuffle partition.
     """
     spark = df.sparkSession
     small_batches(spark)
     path = new_path(spark, label)
     if rows is not None:
-        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
