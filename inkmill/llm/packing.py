@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from inkmill.llm.store import documents, materialise
-from inkmill.llm.tokens import WordCache, token_rows
+from inkmill.llm.tokens import token_rows, word_cache
 
 CAPACITY = 4096
 END_ID = 2
@@ -47,7 +47,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     """The pieces of every document, with the task that made them and their rank there among those of their length."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, part, seen = WordCache(tokenizer), TaskContext.get().partitionId(), {}
+        cache, part, seen = word_cache(tokenizer), TaskContext.get().partitionId(), {}
         for batch in batches:
             rows: list[list] = [[] for _ in range(7)]
             for first, ids, at in token_rows(batch.column(1), cache):

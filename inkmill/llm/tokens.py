@@ -9,6 +9,7 @@ were seen; all other texts go to the tokenizer as they are.
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 from collections.abc import Iterator
 
@@ -77,6 +78,12 @@ class WordCache:
         self.flat = np.concatenate((self.flat, flat))
 
 
+@functools.lru_cache(maxsize=1)
+def word_cache(path: str) -> WordCache:
+    """One tokenizer and cache a worker process: tasks that follow one another don't load it again."""
+    return WordCache(path)
+
+
 def token_rows(column: pa.Array, cache: WordCache) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, ids, where each row's begin and the end) of block after block."""
     for first, to, raw, starts in text_blocks(column, BLOCK_CHARS):
