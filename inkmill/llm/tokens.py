@@ -4,7 +4,8 @@ The tokenizer splits a normalised text into words and encodes each for itself, s
 words have equal ids. For texts of plain characters (Latin letters below U+0250, no
 apostrophe, ordinary white space) the words are found in numpy, each distinct word of
 a block is encoded once by the tokenizer, and a cache keeps the ids of the words that
-were seen; all other texts go to the tokenizer as they are.
+were seen; all other texts, and those that hold an added token (<|endoftext|>), go to
+the tokenizer as they are.
 """
 
 from __future__ import annotations
@@ -51,7 +52,8 @@ class WordCache:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Contents of added tokens, which the tokenizer matches in the text before it splits words.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         n = self.tokenizer.get_vocab_size()
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None) or "</w>"
         self.ends = np.array([str(self.tokenizer.id_to_token(i)).endswith(suffix) for i in range(n)])
@@ -93,6 +95,8 @@ def token_rows(column: pa.Array, cache: WordCache) -> Iterator[tuple[int, np.nda
         kinds = _KIND[np.minimum(codes, _TOP)]
         odd_before = np.concatenate(([0], np.cumsum(kinds == _ODD)))
         odd = odd_before[at[1:]] > odd_before[at[:-1]]
+        odd |= np.array([any(x in t for x in cache.added) for t in texts], bool)
+        kinds[np.repeat(odd, np.diff(at))] = _ODD  # their words aren't wanted
         ids, bounds = _plain(codes, kinds, at, cache)
         if odd.any():
             rows = [cache.encode(texts[r]) if odd[r] else ids[bounds[r] : bounds[r + 1]] for r in range(len(texts))]

@@ -162,6 +162,19 @@ def test_tokens_equal_the_tokenizer():
     assert rows == [cache.encode(t or "").tolist() for t in texts]
 
 
+def test_added_tokens_are_matched_in_texts(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(packing.default_tokenizer())
+    texts = ["one two", "a <|endoftext|> b", "<|startoftext|>x<|endoftext|>", "it's <|endoftext|>", "<|ENDOFTEXT|> <| endoftext |> <|endoftext", None]
+    want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert want[1].count(49407) == 1 and want[2][0] == 49406
+    cache = tokens.WordCache(packing.default_tokenizer())
+    assert [ids[at[k] : at[k + 1]].tolist() for _, ids, at in tokens.token_rows(pa.array(texts, pa.string()), cache) for k in range(len(at) - 1)] == want
+    got = {r["doc_id"]: r for r in packing.pack(table(spark, list(enumerate(texts)))).collect()}
+    assert [got[k]["ids_crc32"] for k in range(len(texts))] == [zlib.crc32(np.array([*w, 2], "<u4").tobytes()) for w in want]
+
+
 def test_pii(spark):
     rows = [
         *corpus(), (100, "a@b.c_d@e.f x@y mail: Q.w+1@mail-1.example.org."), (101, "1.2.3.4.5.6.7.8 256.1.1.1 0001.02.3.004"), (102, "4111 1111 1111 1111, 4111-1111-1111-1112"),
