@@ -13,7 +13,10 @@ meet at that gram. The work is done in these steps, each by key, none in one pla
    Their bytes go to shards by gram, and each shard sorts its suffixes by induction, with
    queues on disk where it is larger than its memory bound. Neighbours with `size` bytes in
    common are one string; all but its first occurrence repeat.
-4. The repeats of a document are united and cut from it.
+4. A gram whose contexts are more than a shard's bytes is cut in pieces, each sorted for
+   itself. The first occurrences in each piece then go to shards by a digest of their
+   string, so that a string comes at most once from each piece; the first one stays.
+5. The repeats of a document are united and cut from it.
 
 Null text counts as empty; texts shorter than `size` bytes lose nothing. Repeated rows of
 one id count as copies of which the first stays only if their ids differ; equal ids keep
@@ -39,7 +42,11 @@ SIZE, GRAM = 100, 24
 #: Bytes of listed grams and of contexts in a shard, about.
 ENTRY_BYTES, CONTEXT_BYTES = 8 << 20, 4 << 20
 BLOCK_BYTES = 512 << 10
+#: Neighbouring pieces of a gram go so many shards further.
+_STEP = 0x9E3779B1
 _LOW16 = np.uint64(0xFFFF)
+#: A string that is the first in its piece of a gram: its digest, and where it starts.
+_STRING = np.dtype([("high", "<u8"), ("low", "<u8"), ("doc", "<i8"), ("at", "<i8")])
 _VALUE = np.random.default_rng(77).integers(0, 2**64, 256, dtype=np.uint64)
 
 
@@ -98,11 +105,11 @@ def _listed(docs: DataFrame, shards: int, size: int, gram: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "shard int, ids binary, first binary, n binary, gram binary, context binary")
 
 
-_MARK = "doc_id long, first long, n long, gram long"
+_MARK = "doc_id long, first long, n long, gram long, piece long, split boolean"
 
 
-def _sifted(size: int):
-    """Of a shard's grams: repeats (gram null; first and n in bytes), and contexts that differ (first and number of starts)."""
+def _sifted(size: int, bound: int):
+    """Of a shard's grams: repeats (gram null; first and n in bytes), and contexts that differ (first and number of starts), a gram's in pieces of about bound bytes."""
 
     def of(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         read = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in rows[c]])
@@ -114,9 +121,13 @@ def _sifted(size: int):
         number = np.cumsum(new_gram) - 1
         several = new & (np.bincount(number, weights=new)[number] > 1)
         again = ~new
+        volume = np.where(several, n + size - 1, 0)
+        before, total = np.cumsum(volume) - volume, np.bincount(number, weights=volume)
+        piece, split = (before - before[new_gram][number]) // bound, total[number] > bound
         return pd.DataFrame({
             "doc_id": np.concatenate((ids[again], ids[several])), "first": np.concatenate((first[again], first[several])), "n": np.concatenate((n[again] + size - 1, n[several])),
             "gram": pd.array(np.concatenate((np.zeros(again.sum(), np.int64), (gram[several] >> np.uint64(1)).astype(np.int64))), "Int64").astype("Int64"),
+            "piece": np.concatenate((np.zeros(again.sum(), np.int64), piece[several])), "split": np.concatenate((np.zeros(again.sum(), bool), split[several])),
             "whole": np.concatenate((np.ones(again.sum(), bool), np.zeros(several.sum(), bool))),
         })
 
@@ -125,23 +136,33 @@ def _sifted(size: int):
 
 def _contexts(marks: DataFrame, texts: DataFrame, shards: int, size: int) -> DataFrame:
     """The bytes of the contexts that differ, by shard."""
-    wanted = marks.where("not whole").groupBy("doc_id").agg(F.collect_list(F.struct("first", "n", "gram")).alias("spans"))
+    wanted = marks.where("not whole").groupBy("doc_id").agg(F.collect_list(F.struct("first", "n", "gram", "piece", "split")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for doc, text, spans in zip(*(batch.column(k) for k in range(3)), strict=True):
                 raw = (text.as_py() or "").encode()
                 for s in spans.as_py():
-                    for column, value in zip(out, (s["gram"] % shards, doc.as_py(), s["first"], s["n"], raw[s["first"] : s["first"] + s["n"] + size - 1]), strict=True):
+                    for column, value in zip(out, ((s["gram"] + s["piece"] * _STEP) % shards, doc.as_py(), s["first"], s["n"], s["split"], raw[s["first"] : s["first"] + s["n"] + size - 1]), strict=True):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["shard", "doc_id", "first", "n", "raw"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], names=["shard", "doc_id", "first", "n", "split", "raw"])
 
-    return texts.join(wanted, "doc_id").select("doc_id", "text", "spans").mapInArrow(run, "shard int, doc_id long, first long, n long, raw binary")
+    return texts.join(wanted, "doc_id").select("doc_id", "text", "spans").mapInArrow(run, "shard int, doc_id long, first long, n long, split boolean, raw binary")
 
 
-def _sorted_repeats(size: int):
-    """The bytes that strings of a shard's contexts cover which start earlier too, as runs."""
+def _runs(doc: np.ndarray, place: np.ndarray, size: int) -> dict[str, np.ndarray]:
+    """The bytes that strings of size bytes from these places cover."""
+    order = np.lexsort((place, doc))
+    d, p = doc[order], place[order]
+    new = np.concatenate(([True], (d[1:] != d[:-1]) | (p[1:] > p[:-1] + size))) if len(d) else np.zeros(0, bool)
+    begin = np.flatnonzero(new)
+    last = np.append(begin[1:], len(d)) - 1 if len(d) else begin
+    return {"doc_id": d[begin], "first": p[begin], "n": p[last] + size - p[begin]}
+
+
+def _sorted_repeats(size: int, parts: int):
+    """The bytes that strings of a shard's contexts cover which start earlier too, as runs; and the strings of split grams that don't, packed by part of parts."""
 
     def of(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "first"], kind="stable")
@@ -163,12 +184,34 @@ def _sorted_repeats(size: int):
         first = least[group]
         # the same start can be in the data once only: contexts of one gram don't share starts
         again = ranks[(doc[ranks] != doc[first]) | (place[ranks] != place[first])]
-        again = again[np.lexsort((place[again], doc[again]))]
-        d, p = doc[again], place[again]
-        new = np.concatenate(([True], (d[1:] != d[:-1]) | (p[1:] > p[:-1] + size))) if len(d) else np.zeros(0, bool)
-        begin = np.flatnonzero(new)
-        last = np.append(begin[1:], len(d)) - 1 if len(d) else begin
-        return pd.DataFrame({"doc_id": d[begin], "first": p[begin], "n": p[last] + size - p[begin]})
+        out = pd.DataFrame(_runs(doc[again], place[again], size)).assign(part=0, packed=None)
+        ours = np.unique(first[np.repeat(rows["split"].to_numpy(bool), n)[first]])
+        if not len(ours):
+            return out
+        raw = data.tobytes()
+        strings = np.empty(len(ours), _STRING)
+        digests = np.frombuffer(b"".join(hashlib.blake2b(raw[k : k + size], digest_size=16).digest() for k in starts[ours].tolist()), "<u8").reshape(-1, 2)
+        strings["high"], strings["low"], strings["doc"], strings["at"] = digests[:, 0], digests[:, 1], doc[ours], place[ours]
+        part = (strings["high"] % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        cut = np.searchsorted(part[order], np.arange(parts + 1))
+        sent = np.flatnonzero(np.diff(cut))
+        packed = [strings[order[cut[k] : cut[k + 1]]].tobytes() for k in sent]
+        return pd.concat([out, pd.DataFrame({"doc_id": -1, "first": 0, "n": 0, "part": sent, "packed": packed})], ignore_index=True)
+
+    return of
+
+
+def _later(size: int):
+    """The bytes of a part's strings that came from other pieces of their gram, where they start earlier."""
+
+    def of(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        strings = np.concatenate([np.frombuffer(x, _STRING) for x in rows["packed"]])
+        strings = strings[np.lexsort((strings["at"], strings["doc"], strings["low"], strings["high"]))]
+        new = np.concatenate(([True], (strings["high"][1:] != strings["high"][:-1]) | (strings["low"][1:] != strings["low"][:-1])))
+        first = strings[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        again = strings[(strings["doc"] != first["doc"]) | (strings["at"] != first["at"])]
+        return pd.DataFrame(_runs(again["doc"], again["at"], size))
 
     return of
 
@@ -194,12 +237,18 @@ def repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = int(min(65536, max(1, -(-total * 34 * 2 // (size - gram) // ENTRY_BYTES))))
     marks = materialise(
-        _listed(docs, shards, size, gram).groupBy("shard").applyInPandas(_sifted(size), _MARK + ", whole boolean"), "marks"
+        _listed(docs, shards, size, gram).groupBy("shard").applyInPandas(_sifted(size, CONTEXT_BYTES), _MARK + ", whole boolean"), "marks"
     )
-    volume = marks.where("not whole").agg(F.sum(F.col("n") + size - 1)).first()[0] or 0
-    sorts = int(min(1 << 20, max(1, -(-volume // CONTEXT_BYTES))))
-    found = _contexts(marks, docs, sorts, size).groupBy("shard").applyInPandas(_sorted_repeats(size), "doc_id long, first long, n long")
-    return marks.where("whole").select("doc_id", "first", "n").unionByName(found)
+    volume, split = marks.where("not whole").agg(F.sum(F.col("n") + size - 1), F.sum(F.when(F.col("split"), F.col("n")))).first()
+    sorts = int(min(1 << 20, max(1, -(-(volume or 0) // CONTEXT_BYTES))))
+    parts = int(min(65536, max(1, -(-(split or 0) * _STRING.itemsize // ENTRY_BYTES))))
+    found = _contexts(marks, docs, sorts, size).groupBy("shard").applyInPandas(_sorted_repeats(size, parts), "doc_id long, first long, n long, part int, packed binary")
+    whole = marks.where("whole").select("doc_id", "first", "n")
+    if not split:
+        return whole.unionByName(found.select("doc_id", "first", "n"))
+    found = materialise(found, "pieces")
+    later = found.where("packed is not null").groupBy("part").applyInPandas(_later(size), "doc_id long, first long, n long")
+    return whole.unionByName(found.where("packed is null").select("doc_id", "first", "n")).unionByName(later)
 
 
 def deduplicate(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:

@@ -335,3 +335,20 @@ def test_suffix_dedup(spark):
         spans = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
         assert got[i] == (len(raw), sum(gone), spans, hashlib.sha256(kept).hexdigest()), i
     assert suffix_dedup.deduplicate(table(spark, EMPTY)).count() == 0
+
+
+def test_suffix_dedup_splits_hot_grams(spark, monkeypatch):
+    rng = random.Random(9)
+    passage = prose(rng, 60)
+    rows = [(k, f"{prose(rng, 25)} {passage} {prose(rng, 25)}" if k % 3 == 0 else prose(rng, 30)) for k in range(1200)]
+    rows += [(1200 + k, "x" + passage[20:] + "y" * (k % 2)) for k in range(3)]
+    monkeypatch.setattr(suffix_dedup, "CONTEXT_BYTES", 3000)
+    seen, contexts = [], suffix_dedup._contexts
+    monkeypatch.setattr(suffix_dedup, "_contexts", lambda *a: seen.append(contexts(*a)) or seen[-1])
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.deduplicate(table(spark, rows)).collect()}
+    texts = dict(rows)
+    for i, gone in brute.repeated_bytes(rows).items():
+        kept = bytes(c for c, g in zip(texts[i].encode(), gone, strict=True) if not g)
+        assert got[i][1] == sum(gone) and got[i][3] == hashlib.sha256(kept).hexdigest(), i
+    held = seen[0].selectExpr("shard", "length(raw) as size").groupBy("shard").sum("size").toPandas()["sum(size)"]
+    assert held.max() < 10 * suffix_dedup.CONTEXT_BYTES < held.sum() / 4
