@@ -8,6 +8,9 @@ the least similarity a held template can have with its window is found with a pr
 of 1 - MISS. Candidates are verified by the exact share of the template's word shingles
 that the whole text holds.
 
+The registered query also looks for standard notices and whole license texts, in classes of
+like length, each with windows and bands of its own; their words lose edge punctuation.
+
 Null and empty texts hold nothing; templates without a word are refused. Repeated rows each
 give their own matches; an empty table gives no rows. Other columns are ignored.
 """
@@ -22,8 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkmill.llm.license_texts import NOTICES, whole_texts
 from inkmill.llm.store import documents
-from inkmill.llm.words import mix, text_blocks, word_hashes
+from inkmill.llm.words import mix, span_hashes, text_blocks, word_hashes, word_spans
 
 PERCENT = 75
 SHINGLE = 5
@@ -50,14 +54,29 @@ def _shingles(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     return mix(out)
 
 
+_EDGE = np.zeros(256, bool)
+_EDGE[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+
+
+def bare_word_hashes(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As word_hashes, of words without punctuation at their edges."""
+    begin, end = word_spans(raw, starts)
+    place, inner = np.arange(len(raw)), ~_EDGE[raw]
+    after = np.minimum.accumulate(np.where(inner, place, len(raw))[::-1])[::-1]
+    before = np.maximum.accumulate(np.where(inner, place, -1))
+    left, right = after[begin], before[end - 1] + 1
+    some = left < end
+    return span_hashes(raw, left[some], right[some]), np.searchsorted(begin[some], starts)
+
+
 class Templates:
     """Word shingles of the templates, and the bands of their windows."""
 
-    def __init__(self, templates: tuple = TEMPLATES, percent: int = PERCENT, miss: float = MISS):
+    def __init__(self, templates: tuple = TEMPLATES, percent: int = PERCENT, miss: float = MISS, hashes=word_hashes):
         self.names, self.percent = [n for _, n in templates], percent
         sets = []
         for text, name in templates:
-            words, at = word_hashes(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))
+            words, at = hashes(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))
             if not at[1]:
                 raise ValueError(f"the template of {name} has no word")
             sets.append((np.unique(_shingles(words, min(SHINGLE, len(words)))), len(words), min(SHINGLE, len(words))))
@@ -69,8 +88,9 @@ class Templates:
         self.bands = math.ceil(math.log(miss) / math.log(1 - least))
         self.seeds = mix(np.arange(1, self.bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         self.sets = [s for s, _, _ in sets]
+        members = [set(s.tolist()) for s in self.sets]
         self.vocabulary = np.unique(np.concatenate(self.sets))
-        self.owners: list[list[int]] = [[k for k, s in enumerate(self.sets) if x in set(s.tolist())] for x in self.vocabulary.tolist()]
+        self.owners: list[list[int]] = [[k for k, s in enumerate(members) if x in s] for x in self.vocabulary.tolist()]
 
     def matches(self, words: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int]]:
         """(row, template, shingles in common) of the templates that rows of words hold."""
@@ -104,15 +124,39 @@ class Templates:
         return {k for s in np.unique(slot[self.vocabulary[slot] == minima]) for k in self.owners[s]}
 
 
-def scan(docs: DataFrame, templates: tuple = TEMPLATES) -> DataFrame:
+class Scanner:
+    """Templates as they stand, and notices and whole texts by bare words in classes of like length."""
+
+    def __init__(self, templates: tuple, bare: tuple = ()):
+        every = (*templates, *bare)
+        self.names = [n for _, n in every]
+        classes: dict[int, list[int]] = {}
+        for k in range(len(templates), len(every)):
+            classes.setdefault(len(every[k][0].split()).bit_length(), []).append(k)
+        self.exact = Templates(templates)
+        self.bare = [(np.array(own), Templates(tuple(every[k] for k in own), hashes=bare_word_hashes)) for _, own in sorted(classes.items())]
+        self.sizes = np.concatenate([self.exact.sizes, np.zeros(len(bare), np.int64)])
+        for own, t in self.bare:
+            self.sizes[own] = t.sizes
+
+    def matches(self, raw: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int]]:
+        found = self.exact.matches(*word_hashes(raw, starts))
+        if self.bare:
+            words, at = bare_word_hashes(raw, starts)
+            for own, t in self.bare:
+                found += [(r, int(own[k]), c) for r, k, c in t.matches(words, at)]
+        return found
+
+
+def scan(docs: DataFrame, templates: tuple = TEMPLATES, bare: tuple = ()) -> DataFrame:
     """(doc_id, license, template, n_common, n_template, containment) of the templates that rows of docs (doc_id, text) hold."""
-    held = docs.sparkSession.sparkContext.broadcast(Templates(templates))
+    held = docs.sparkSession.sparkContext.broadcast(Scanner(templates, bare))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = held.value
         for batch in batches:
             for first, to, raw, starts in text_blocks(batch.column(1)):
-                found = t.matches(*word_hashes(raw, starts))
+                found = t.matches(raw, starts)
                 ids = batch.column(0).slice(first, to - first).cast(pa.int64()).take(pa.array([r for r, _, _ in found], pa.int64()))
                 yield pa.RecordBatch.from_arrays([
                     ids, pa.array([t.names[k] for _, k, _ in found], pa.string()), pa.array([k for _, k, _ in found], pa.int64()), pa.array([c for _, _, c in found], pa.int64()),
@@ -124,7 +168,7 @@ def scan(docs: DataFrame, templates: tuple = TEMPLATES) -> DataFrame:
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The license templates that documents hold."""
-    return scan(documents(spark, sf_dir))
+    return scan(documents(spark, sf_dir), bare=(*NOTICES, *whole_texts()))
 
 
 def _template_sql() -> str:

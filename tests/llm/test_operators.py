@@ -337,6 +337,20 @@ def test_suffix_dedup(spark):
     assert suffix_dedup.deduplicate(table(spark, EMPTY)).count() == 0
 
 
+def test_license_query_finds_real_notices(spark, tmp_path):
+    from pathlib import Path
+
+    whole = Path(license_scan.__file__).parent / "licenses"
+    texts = [
+        '# Licensed under the Apache License, Version 2.0 (the "License");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0',
+        "This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.",
+        "It is (licensed under the MIT License), see below.", "pre " * 900 + (whole / "GPL-3").read_text() + " post" * 900, (whole / "Apache-2.0").read_text(), "nothing of that kind here at all", None,
+    ]
+    table(spark, list(enumerate(texts))).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r["doc_id"], r["license"]) for r in license_scan.op3_license_scan(spark, str(tmp_path)).collect()}
+    assert {(0, "apache-2.0"), (1, "gpl-3.0-or-later"), (2, "mit"), (3, "gpl-3.0"), (4, "apache-2.0")} <= got and not {k for k, _ in got} & {5, 6}
+
+
 def test_suffix_dedup_splits_hot_grams(spark, monkeypatch):
     rng = random.Random(9)
     passage = prose(rng, 60)
