@@ -11,8 +11,9 @@ kept bit sets. The pattern is used as often as the counts allow. Patterns say wh
 ranks of each length go where, so pieces find their sequence by their rank: the rank
 in a partition, written with the pieces, and the number in the partitions before it.
 
-Null text counts as empty, which still has the end id. Repeated rows are packed each for
-itself; an empty table gives no rows. Other columns are ignored.
+Null text counts as empty, which still has the end id. Repeated rows, with one id or several,
+are packed each for itself; an empty table gives no rows. A very long text is tokenised as a
+whole by one task and cut there. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from inkmill.llm.store import documents, materialise
-from inkmill.llm.tokens import token_rows, word_cache
+from inkmill.llm.tokens import GROUP, word_cache
 
 CAPACITY = 4096
 END_ID = 2
@@ -47,20 +48,20 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     """The pieces of every document, with the task that made them and their rank there among those of their length."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, part, seen = word_cache(tokenizer), TaskContext.get().partitionId(), {}
+        cache, part, seen, end, width = word_cache(tokenizer), TaskContext.get().partitionId(), [0] * (capacity + 1), np.uint32(end_id).astype("<u4").tobytes(), 4 * capacity
         for batch in batches:
-            rows: list[list] = [[] for _ in range(7)]
-            for first, ids, at in token_rows(batch.column(1), cache):
-                for r in range(len(at) - 1):
-                    own = np.append(ids[at[r] : at[r + 1]], np.uint32(end_id)).astype("<u4")
-                    for start in range(0, len(own), capacity):
-                        piece = own[start : start + capacity]
-                        rank = seen.get(len(piece), 0)
-                        seen[len(piece)] = rank + 1
-                        for column, value in zip(rows, (first + r, start, len(piece), zlib.crc32(piece), len(own), part, rank), strict=True):
-                            column.append(value)
-            ids_of = batch.column(0).cast(pa.int64()).take(pa.array(rows[0], pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids_of, *(pa.array(c, t) for c, t in zip(rows[1:], _PIECE.types[1:], strict=True))], schema=_PIECE)
+            rows: list[tuple] = []
+            for first in range(0, batch.num_rows, GROUP):
+                for row, ids in enumerate(cache.ids(batch.column(1).slice(first, GROUP).to_pylist()), first):
+                    own = ids + end
+                    for at in range(0, len(own), width):
+                        piece = own[at : at + width]
+                        n = len(piece) // 4
+                        rows.append((row, at // 4, n, zlib.crc32(piece), len(own) // 4, part, seen[n]))
+                        seen[n] += 1
+            row, *columns = zip(*rows, strict=True) if rows else [()] * 7
+            ids_of = batch.column(0).cast(pa.int64()).take(pa.array(row, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids_of, *(pa.array(c, t) for c, t in zip(columns, _PIECE.types[1:], strict=True))], schema=_PIECE)
 
     return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, rank long")
 

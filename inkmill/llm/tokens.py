@@ -1,52 +1,47 @@
-"""Token ids of many texts at once.
+"""Token ids of many texts.
 
-The tokenizer splits a normalised text into words and encodes each for itself, so equal
+The tokenizer splits a lower-cased text into words and encodes each for itself, so equal
 words have equal ids. For texts of plain characters (Latin letters below U+0250, no
-apostrophe, ordinary white space) the words are found in numpy, each distinct word of
-a block is encoded once by the tokenizer, and a cache keeps the ids of the words that
-were seen; all other texts, and those that hold an added token (<|endoftext|>), go to
-the tokenizer as they are.
+apostrophe, ordinary white space) the words are found by a pattern, a table keeps the ids
+of the words that were seen, and new words are encoded many at a time. All other texts,
+and those that hold an added token (<|endoftext|>), go to the tokenizer as they are.
 """
 
 from __future__ import annotations
 
 import functools
+import re
 import unicodedata
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 
-from inkmill.llm.words import mix, text_blocks
-
-#: Code points in a block, about, and words that the cache holds at most.
-BLOCK_CHARS = 512 << 10
-CACHE_WORDS = 200_000
+#: Words that the table holds at most, and texts whose new words are encoded together.
+CACHE_WORDS = 400_000
+GROUP = 64
 _TOP = 0x250
-_OTHER, _SPACE, _LETTER, _DIGIT, _ODD = range(5)
 
 
-def _kinds() -> np.ndarray:
-    kinds = np.zeros(_TOP + 1, np.uint8)
+def _classes() -> tuple[str, str, str, str]:
+    """Letters, digits, white space and odd characters below U+0250, as members of pattern classes."""
+    letters, digits, odd = [], [], [*range(0x09), 0x0B, 0x0C, *range(0x0E, 0x20), *range(0x7F, 0xA1), 0x27, 0xAD]
     for c in range(_TOP):
-        group = unicodedata.category(chr(c))
-        kinds[c] = _LETTER if group[0] == "L" else _DIGIT if group[0] == "N" else _OTHER
-        # lower-casing one of these gives other than one character
-        if len(chr(c).lower()) != 1 or ord(chr(c).lower()) >= _TOP:
-            kinds[c] = _ODD
-    kinds[[0x20, 0x09, 0x0A, 0x0D]] = _SPACE
-    kinds[[*range(0x09), 0x0B, 0x0C, *range(0x0E, 0x20), *range(0x7F, 0xA1), 0x27, 0xAD, _TOP]] = _ODD
-    return kinds
+        low = chr(c).lower()
+        if len(low) != 1 or ord(low) >= _TOP:
+            odd.append(c)
+        elif unicodedata.category(chr(c))[0] == "L":
+            letters.append(c)
+        elif unicodedata.category(chr(c))[0] == "N":
+            digits.append(c)
+    return tuple("".join(f"\\u{c:04x}" for c in kind) for kind in (letters, digits, (0x20, 0x09, 0x0A, 0x0D), odd))
 
 
-_KIND = _kinds()
-_LOW = np.array([ord(chr(c).lower()) if len(chr(c).lower()) == 1 else c for c in range(_TOP + 1)], np.uint32)
-_BASE = np.uint64(0xD6E8FEB86659FD93)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
+_LETTER, _DIGIT, _SPACE, _ODD = _classes()
+_odd_in = re.compile(f"[{_ODD}\\u{_TOP:04x}-\\U0010ffff]").search
+_words_of = re.compile(f"[{_LETTER}]+|[{_DIGIT}]|[^{_LETTER}{_DIGIT}{_SPACE}]+").findall
 
 
 class WordCache:
-    """The tokenizer, and the ids of words that it has encoded."""
+    """The tokenizer, and the ids of words that it has encoded, as little-endian unsigned 32-bit numbers."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -57,92 +52,35 @@ class WordCache:
         n = self.tokenizer.get_vocab_size()
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None) or "</w>"
         self.ends = np.array([str(self.tokenizer.id_to_token(i)).endswith(suffix) for i in range(n)])
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.ids, self.at = [np.zeros(0, np.uint32)], np.zeros(1, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        self.known: dict[str, bytes] = {}
 
-    def encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+    def encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def add(self, keys: list[int], words: list[str]) -> None:
+    def add(self, words: list[str]) -> None:
         """Encodes words in runs; the last token of each carries the end-of-word mark."""
-        encoded = self.tokenizer.encode_batch_fast([" ".join(words[k : k + 512]) for k in range(0, len(words), 512)], add_special_tokens=False)
-        flat = np.concatenate([np.array(e.ids, np.uint32) for e in encoded])
-        ends = np.flatnonzero(self.ends[flat]) + 1
-        if len(ends) != len(words) or ends[-1] != len(flat):
-            raise ValueError("a word's tokens can't be told apart")
-        n = len(self.at) - 1
-        self.known.update(zip(keys, range(n, n + len(words)), strict=True))
-        self.at = np.concatenate((self.at, self.at[-1] + ends))
-        self.flat = np.concatenate((self.flat, flat))
+        for k in range(0, len(words), 512):
+            part = words[k : k + 512]
+            flat = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.ends[flat]) + 1
+            if len(ends) != len(part) or ends[-1] != len(flat):
+                raise ValueError("a word's tokens can't be told apart")
+            raw, at = flat.tobytes(), [0, *(4 * ends).tolist()]
+            self.known.update((w, raw[a:b]) for w, a, b in zip(part, at, at[1:], strict=False))
+
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text; null counts as empty."""
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        plain = [None if not t or _odd_in(t) or any(x in t for x in self.added) else _words_of(t.lower()) for t in texts]
+        new = set().union(*(w for w in plain if w is not None)).difference(self.known)
+        if new:
+            self.add(sorted(new))
+        of = self.known.__getitem__
+        return [b"".join(map(of, w)) if w is not None else self.encode(t) if t else b"" for t, w in zip(texts, plain, strict=True)]
 
 
 @functools.lru_cache(maxsize=1)
 def word_cache(path: str) -> WordCache:
-    """One tokenizer and cache a worker process: tasks that follow one another don't load it again."""
+    """One tokenizer and table a worker process: tasks that follow one another don't load it again."""
     return WordCache(path)
-
-
-def token_rows(column: pa.Array, cache: WordCache) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, ids, where each row's begin and the end) of block after block."""
-    for first, to, raw, starts in text_blocks(column, BLOCK_CHARS):
-        texts = [raw[starts[k] : starts[k + 1]].tobytes().decode("utf-8") for k in range(to - first)]
-        codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
-        at = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
-        kinds = _KIND[np.minimum(codes, _TOP)]
-        odd_before = np.concatenate(([0], np.cumsum(kinds == _ODD)))
-        odd = odd_before[at[1:]] > odd_before[at[:-1]]
-        odd |= np.array([any(x in t for x in cache.added) for t in texts], bool)
-        kinds[np.repeat(odd, np.diff(at))] = _ODD  # their words aren't wanted
-        ids, bounds = _plain(codes, kinds, at, cache)
-        if odd.any():
-            rows = [cache.encode(texts[r]) if odd[r] else ids[bounds[r] : bounds[r + 1]] for r in range(len(texts))]
-            bounds = np.concatenate(([0], np.cumsum([len(x) for x in rows])))
-            ids = np.concatenate(rows)
-        yield first, ids, bounds
-
-
-def _plain(codes: np.ndarray, kinds: np.ndarray, at: np.ndarray, cache: WordCache) -> tuple[np.ndarray, np.ndarray]:
-    n = len(codes)
-    fresh = np.zeros(n + 1, bool)
-    fresh[at] = True
-    word = (kinds != _SPACE) & (kinds != _ODD)
-    change = np.ones(n + 1, bool)
-    change[1:n] = (kinds[1:] != kinds[:-1]) | (kinds[1:] == _DIGIT)
-    change |= fresh
-    begin = np.flatnonzero(change[:n] & word)
-    every = np.flatnonzero(change)
-    end = every[np.searchsorted(every, begin, "right")]
-    low = _LOW[np.minimum(codes, _TOP)]
-    power, inverse = _powers(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(low * power[:n], out=total[1:])
-    keys = mix((total[end] - total[begin]) * inverse[begin] + (end - begin).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    distinct, where, inverse_of = np.unique(keys, return_index=True, return_inverse=True)
-    if len(cache.known) > CACHE_WORDS:
-        cache.clear()
-    listed = distinct.tolist()
-    new = [k for k, x in enumerate(listed) if x not in cache.known]
-    if new:
-        text = low.astype("<u4").tobytes().decode("utf-32-le")
-        cache.add([listed[k] for k in new], [text[begin[where[k]] : end[where[k]]] for k in new])
-    slot = np.array([cache.known[x] for x in listed], np.int64)[inverse_of] if listed else np.zeros(0, np.int64)
-    size = cache.at[slot + 1] - cache.at[slot]
-    out_at = np.concatenate(([0], np.cumsum(size)))
-    ids = cache.flat[np.repeat(cache.at[slot] - out_at[:-1], size) + np.arange(out_at[-1])]
-    return ids, out_at[np.searchsorted(begin, at)]
-
-
-_kept: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_kept[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _kept[k] = np.cumprod(steps, dtype=np.uint64)
-    return _kept[0][:n], _kept[1][:n]
