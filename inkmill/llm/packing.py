@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from inkmill.llm.store import documents, materialise
-from inkmill.llm.tokens import GROUP, word_cache
+from inkmill.llm.tokens import word_cache
 
 CAPACITY = 4096
 END_ID = 2
@@ -51,14 +51,13 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
         cache, part, seen, end, width = word_cache(tokenizer), TaskContext.get().partitionId(), [0] * (capacity + 1), np.uint32(end_id).astype("<u4").tobytes(), 4 * capacity
         for batch in batches:
             rows: list[tuple] = []
-            for first in range(0, batch.num_rows, GROUP):
-                for row, ids in enumerate(cache.ids(batch.column(1).slice(first, GROUP).to_pylist()), first):
-                    own = ids + end
-                    for at in range(0, len(own), width):
-                        piece = own[at : at + width]
-                        n = len(piece) // 4
-                        rows.append((row, at // 4, n, zlib.crc32(piece), len(own) // 4, part, seen[n]))
-                        seen[n] += 1
+            for row, text in enumerate(batch.column(1)):
+                own = cache.ids(text.as_py()) + end
+                for at in range(0, len(own), width):
+                    piece = own[at : at + width]
+                    n = len(piece) // 4
+                    rows.append((row, at // 4, n, zlib.crc32(piece), len(own) // 4, part, seen[n]))
+                    seen[n] += 1
             row, *columns = zip(*rows, strict=True) if rows else [()] * 7
             ids_of = batch.column(0).cast(pa.int64()).take(pa.array(row, pa.int64()))
             yield pa.RecordBatch.from_arrays([ids_of, *(pa.array(c, t) for c, t in zip(columns, _PIECE.types[1:], strict=True))], schema=_PIECE)

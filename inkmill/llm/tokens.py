@@ -1,10 +1,10 @@
 """Token ids of many texts.
 
-The tokenizer splits a lower-cased text into words and encodes each for itself, so equal
-words have equal ids. For texts of plain characters (Latin letters below U+0250, no
-apostrophe, ordinary white space) the words are found by a pattern, a table keeps the ids
-of the words that were seen, and new words are encoded many at a time. All other texts,
-and those that hold an added token (<|endoftext|>), go to the tokenizer as they are.
+The tokenizer splits a lower-cased text at white space and within the runs between into
+words, and encodes each word for itself, so equal runs have equal ids. For texts of plain
+characters (Latin letters below U+0250, no apostrophe, ordinary white space) a table keeps
+the ids of the runs that were seen, and the words of new runs go to the tokenizer's model. All
+other texts, and those that hold an added token (<|endoftext|>), go to the tokenizer as they are.
 """
 
 from __future__ import annotations
@@ -12,12 +12,13 @@ from __future__ import annotations
 import functools
 import re
 import unicodedata
+from array import array
 
 import numpy as np
 
-#: Words that the table holds at most, and texts whose new words are encoded together.
-CACHE_WORDS = 400_000
-GROUP = 64
+#: Runs that the table holds at most.
+CACHE_RUNS = 400_000
+_PROBE = "Probe 12ab, (c)d--x\n\u00e9t\u00c9 na\u00efve\u017f\u0142 \u00b0\u00bd ..! Zz_9"
 _TOP = 0x250
 
 
@@ -40,8 +41,44 @@ _odd_in = re.compile(f"[{_ODD}\\u{_TOP:04x}-\\U0010ffff]").search
 _words_of = re.compile(f"[{_LETTER}]+|[{_DIGIT}]|[^{_LETTER}{_DIGIT}{_SPACE}]+").findall
 
 
+def _byte_letters() -> dict[int, str]:
+    """The character that byte-level vocabularies write for each byte: itself where it is printable, else one from U+0100 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) if b in shown else chr(256 + rest.index(b)) for b in range(256)}
+
+
+_LETTERS = _byte_letters()
+
+
+class _Words(dict):
+    """The ids of words, from the tokenizer's model."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, word: str) -> bytes:
+        spelt = word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
+        self[word] = ids = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+        return ids
+
+
+class _Runs(dict):
+    """The ids of runs of anything but white space."""
+
+    def __init__(self, words: _Words):
+        super().__init__()
+        self.words = words
+
+    def __missing__(self, run: str) -> bytes:
+        own = _words_of(run)
+        self[run] = ids = self.words[own[0]] if len(own) == 1 else b"".join([self.words[w] for w in own])
+        return ids
+
+
 class WordCache:
-    """The tokenizer, and the ids of words that it has encoded, as little-endian unsigned 32-bit numbers."""
+    """The tokenizer, and the ids of runs that it has encoded, as little-endian unsigned 32-bit numbers."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -49,35 +86,27 @@ class WordCache:
         self.tokenizer = Tokenizer.from_file(path)
         #: Contents of added tokens, which the tokenizer matches in the text before it splits words.
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        n = self.tokenizer.get_vocab_size()
-        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None) or "</w>"
-        self.ends = np.array([str(self.tokenizer.id_to_token(i)).endswith(suffix) for i in range(n)])
-        self.known: dict[str, bytes] = {}
+        self.words = _Words(self.tokenizer.model)
+        self.known = _Runs(self.words)
+        #: Whether this tokenizer splits and spells words as described here; one that doesn't encodes all texts itself.
+        self.splits = self._ids(_PROBE) == self.encode(_PROBE)
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def add(self, words: list[str]) -> None:
-        """Encodes words in runs; the last token of each carries the end-of-word mark."""
-        for k in range(0, len(words), 512):
-            part = words[k : k + 512]
-            flat = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(self.ends[flat]) + 1
-            if len(ends) != len(part) or ends[-1] != len(flat):
-                raise ValueError("a word's tokens can't be told apart")
-            raw, at = flat.tobytes(), [0, *(4 * ends).tolist()]
-            self.known.update((w, raw[a:b]) for w, a, b in zip(part, at, at[1:], strict=False))
-
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text; null counts as empty."""
-        if len(self.known) > CACHE_WORDS:
+    def _ids(self, text: str) -> bytes:
+        return b"".join(map(self.known.__getitem__, text.lower().split()))
+
+    def ids(self, text: str | None) -> bytes:
+        """The ids of a text; null counts as empty."""
+        if not text:
+            return b""
+        if not self.splits or _odd_in(text) or any(x in text for x in self.added):
+            return self.encode(text)
+        if len(self.known) > CACHE_RUNS:
             self.known.clear()
-        plain = [None if not t or _odd_in(t) or any(x in t for x in self.added) else _words_of(t.lower()) for t in texts]
-        new = set().union(*(w for w in plain if w is not None)).difference(self.known)
-        if new:
-            self.add(sorted(new))
-        of = self.known.__getitem__
-        return [b"".join(map(of, w)) if w is not None else self.encode(t) if t else b"" for t, w in zip(texts, plain, strict=True)]
+            self.words.clear()
+        return self._ids(text)
 
 
 @functools.lru_cache(maxsize=1)
