@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from inkmill.llm.components import components
 from inkmill.llm.store import FILE_ROWS, documents, materialise
-from inkmill.llm.words import mix, row_sets, text_blocks
+from inkmill.llm.words import row_sets, set_signatures, text_blocks
 
 PERCENT = 75
 #: Bytes of packed shingles in a shard, about, and the largest size that can be light.
@@ -55,11 +55,6 @@ def lacking(s: np.ndarray) -> np.ndarray:
     return s - -(-s * PERCENT // 100)
 
 
-def _signatures(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(hashes + np.uint64(0x632BE59BD9B4E019)), dtype=np.uint64)))
-    return mix(total[at[1:]] - total[at[:-1]] + np.diff(at).astype(np.uint64))
-
-
 def set_rows(docs: DataFrame) -> DataFrame:
     """doc_id, n (size of the set) and sig (a hash of the set; null if it is empty)."""
 
@@ -69,7 +64,7 @@ def set_rows(docs: DataFrame) -> DataFrame:
             for _, _, raw, starts in text_blocks(batch.column(1)):
                 hashes, at = row_sets(raw, starts)
                 n.append(np.diff(at))
-                sig.append(_signatures(hashes, at).view(np.int64))
+                sig.append(set_signatures(hashes, at).view(np.int64))
             n, sig = np.concatenate(n), np.concatenate(sig)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.int64(), mask=n == 0)], names=["doc_id", "n", "sig"])
 
@@ -85,7 +80,7 @@ def _packed(docs: DataFrame, shards: int, share: float) -> DataFrame:
         for batch in batches:
             for _, _, raw, starts in text_blocks(batch.column(0)):
                 hashes, at = row_sets(raw, starts)
-                n, sig = np.diff(at), _signatures(hashes, at)
+                n, sig = np.diff(at), set_signatures(hashes, at)
                 if len(seen) > 500_000:
                     seen.clear()
                 fresh = np.zeros(len(n), bool)

@@ -121,3 +121,9 @@ def row_sets(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
         new = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])))
         hashes, row = hashes[new], row[new]
     return hashes, np.searchsorted(row, np.arange(len(at)))
+
+
+def set_signatures(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of each row's set."""
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(hashes + np.uint64(0x632BE59BD9B4E019)), dtype=np.uint64)))
+    return mix(total[at[1:]] - total[at[:-1]] + np.diff(at).astype(np.uint64))

@@ -213,10 +213,29 @@ def test_decontamination(spark):
     assert got == want and (3, 32) in want and (140, 34) in want
     blocks = decontamination.contained(table(spark, rows), spark.createDataFrame(items, "item_id long, text string"), block_chars=500)
     assert {(r["doc_id"], r["item_id"]) for r in blocks.collect()} == set(want)
+    exact = decontamination.contained(table(spark, rows), spark.createDataFrame(items, "item_id long, text string"), miss=0.0)
+    assert {(r["doc_id"], r["item_id"]) for r in exact.collect()} == set(want)
+    odd = spark.createDataFrame([(None, items_text)], "item_id long, text string")
+    assert [tuple(r)[:2] for r in decontamination.contained(table(spark, [(7, items_text), (7, items_text), (8, None)]), odd).collect()] == [(7, None)] * 2
+    for chars in (0, 1 << 20):
+        assert decontamination.contained(table(spark, EMPTY), odd, block_chars=chars).count() == 0 and decontamination.contained(table(spark, rows), odd.where("false"), block_chars=chars - 1).count() == 0
     kept = decontamination.drop_contaminated(table(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
     assert {r["doc_id"] for r in kept.collect()} == set(sets) - {i for i, _ in want}
 
 
+def test_decontamination_looks_up_minima_only():
+    """Candidates come from the signature: long items need few of a document's shingles, and most items that share one shingle by chance aren't candidates."""
+    rng = random.Random(8)
+    doc = prose(rng, 4000).split(" ")
+    items = [" ".join(doc[k : k + 300]) for k in range(0, 3600, 300)] + [" ".join(doc[k : k + 5]) + " " + prose(rng, 250) for k in range(0, 4000, 20)]
+    index = decontamination.ItemIndex(list(range(len(items))), items)
+    hashes, at = words.row_sets(raw := np.frombuffer(" ".join(doc).encode(), np.uint8), np.array([0, len(raw)]))
+    assert len(decontamination.minima(hashes, at, index.partitions[-1][0])) < len(hashes) / 4
+    found = index.candidates(hashes, at)
+    assert set(range(12)) <= set(found.tolist()) and len(found) < 12 + 100
+    assert index.search(hashes, at)[1].tolist() == list(range(12))
+
+
 def test_license_scan(spark):
     template = license_scan.TEMPLATES[3][0]
     rows = [(1, None), (2, ""), (3, template), (4, "x " * 5000 + template.upper() + " y" * 300), (5, template.replace("General", "Particular")), (6, "Released under the MIT License. " * 3), (6, "Released under the MIT License.")]
