@@ -1,23 +1,29 @@
 """License scans: which texts hold a license template.
 
-Texts are cut in overlapping windows of `window` words, `stride` apart, so that any run of
-window - stride words lies whole in one. Templates are cut alike. The MinHash signature of a
-window is taken in bands of one row, so that two windows with a Jaccard similarity of s
-share a band with a probability of 1 - (1 - s) ** bands; the number of bands is set such that
-the least similarity a held template can have with its window is found with a probability
-of 1 - MISS. Candidates are verified by the exact share of the template's word shingles
-that the whole text holds.
-
-The registered query also looks for standard notices and whole license texts, in classes of
-like length, each with windows and bands of its own; their words lose edge punctuation.
+Templates are in classes by the power of two of their number of word shingles. For a class
+up to n shingles a text is cut in overlapping windows of blocks of about n / 16 shingles,
+one window from each block on, so long that any run of n shingles lies whole in one. The
+MinHash signature of a window, and that of a template, is one minimum a band; a template
+is a candidate where a band's minima are the same. A template of which a run of the text no
+longer than it holds `percent` of a hundred shingles has with that run's window at least the Jaccard
+similarity s = held / (template + window - held), and shares a band with a probability of
+1 - (1 - s) ** bands; the number of bands of a class is set such that this is 1 - MISS at
+least for each of its templates. Candidates are verified by the exact share of the
+template's shingles that the whole text holds. Minima of blocks are made from those of the
+class below, so a further class costs half of the one before.
+
+The registered query also looks for standard notices and whole license texts; their words
+lose edge punctuation. Very long texts are worked on whole, by one task.
 
 Null and empty texts hold nothing; templates without a word are refused. Repeated rows each
-give their own matches; an empty table gives no rows. Other columns are ignored.
+give their own matches; an empty table gives no rows. Other columns are ignored, also ones
+named as results are.
 """
 
 from __future__ import annotations
 
 import math
+from collections import namedtuple
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,82 +75,123 @@ def bare_word_hashes(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, n
     return span_hashes(raw, left[some], right[some]), np.searchsorted(begin[some], starts)
 
 
+#: A class of templates: block size, blocks a window, bands, its templates, and for each band the minima they have.
+Class = namedtuple("Class", "block blocks bands members minima")
+
+
 class Templates:
-    """Word shingles of the templates, and the bands of their windows."""
+    """Word shingles of the templates, and the bands of their classes."""
 
     def __init__(self, templates: tuple = TEMPLATES, percent: int = PERCENT, miss: float = MISS, hashes=word_hashes):
-        self.names, self.percent = [n for _, n in templates], percent
-        sets = []
-        for text, name in templates:
+        self.names, self.percent, self.sets = [n for _, n in templates], percent, []
+        kinds: dict[tuple[int, int], list[int]] = {}
+        for k, (text, name) in enumerate(templates):
             words, at = hashes(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))
             if not at[1]:
                 raise ValueError(f"the template of {name} has no word")
-            sets.append((np.unique(_shingles(words, min(SHINGLE, len(words)))), len(words), min(SHINGLE, len(words))))
-        self.sizes = np.array([len(s) for s, _, _ in sets])
-        longest = max(n for _, n, _ in sets)
-        self.stride, self.window = longest, 2 * longest
-        self.widths = sorted({w for _, _, w in sets})
-        least = min(math.ceil(len(s) * percent / 100) / (len(s) + self.window) for s, _, _ in sets)
-        self.bands = math.ceil(math.log(miss) / math.log(1 - least))
-        self.seeds = mix(np.arange(1, self.bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        self.sets = [s for s, _, _ in sets]
-        members = [set(s.tolist()) for s in self.sets]
-        self.vocabulary = np.unique(np.concatenate(self.sets))
-        self.owners: list[list[int]] = [[k for k, s in enumerate(members) if x in s] for x in self.vocabulary.tolist()]
+            width = min(SHINGLE, len(words))
+            self.sets.append(np.unique(_shingles(words, width)))
+            kinds.setdefault((width, len(self.sets[k]).bit_length() - 1), []).append(k)
+        self.sizes = np.array([len(s) for s in self.sets])
+        self.widths: dict[int, dict[int, Class]] = {}
+        for (width, level), members in sorted(kinds.items()):
+            block = max(1, (1 << level) >> 3)
+            blocks = -(-((2 << level) - 1 + block - 1) // block)
+            held = -(-self.sizes[members] * percent // 100)
+            least = float((held / (self.sizes[members] + block * blocks - held)).min())
+            bands = 1 if least >= 1 else math.ceil(math.log(miss) / math.log(1 - least))
+            minima = [{} for _ in range(bands)]
+            for k in members:
+                for i, x in enumerate(_permuted(self.sets[k], bands).min(axis=1).tolist()):
+                    minima[i].setdefault(x, []).append(k)
+            self.widths.setdefault(width, {})[level] = Class(block, blocks, bands, members, minima)
 
     def matches(self, words: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int]]:
         """(row, template, shingles in common) of the templates that rows of words hold."""
         found = []
-        for width in self.widths:
-            hashes = _shingles(words, width)
-            row = np.searchsorted(at, np.arange(len(hashes)), "right") - 1
-            whole = np.arange(len(hashes)) + width <= at[row + 1]
-            slot = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
-            hit = whole & (self.vocabulary[slot] == hashes)
-            # a window without a template's shingle can't share a band with it: only the others need signatures
-            places = np.flatnonzero(hit)
-            if not len(places):
+        for width, classes in self.widths.items():
+            hashes, begin = _rows_of_shingles(words, at, width)
+            if not len(hashes):
                 continue
-            windows = {(int(r), int(w)) for r, p in zip(row[places], places - at[row[places]], strict=True) for w in range(max(0, (p - self.window) // self.stride + 1), p // self.stride + 1)}
-            candidates = {(r, k) for r, w in windows for k in self._banded(hashes, at[r] + w * self.stride, min(at[r] + w * self.stride + self.window, at[r + 1] - width + 1))}
-            for r, k in sorted(candidates):
-                own = np.unique(slot[places[row[places] == r]])
-                common = int(np.isin(self.vocabulary[own], self.sets[k]).sum())
+            last, own = -1, hashes
+            for r, k in sorted(_candidates(hashes, begin, classes)):
+                if r != last:
+                    last, own = r, np.unique(hashes[begin[r] : begin[r + 1]])
+                common = int((own[np.minimum(np.searchsorted(own, self.sets[k]), len(own) - 1)] == self.sets[k]).sum())
                 if 100 * common >= self.percent * self.sizes[k]:
                     found.append((r, k, common))
         return found
 
-    def _banded(self, hashes: np.ndarray, first: int, last: int) -> set[int]:
-        """Templates that share a band's minimum with the window."""
-        own = np.unique(hashes[first:last])
-        if not len(own):
-            return set()
-        minima = own[np.argmin(mix(own[None, :] ^ self.seeds[:, None]), axis=1)]
-        slot = np.minimum(np.searchsorted(self.vocabulary, minima), len(self.vocabulary) - 1)
-        return {k for s in np.unique(slot[self.vocabulary[slot] == minima]) for k in self.owners[s]}
+
+def _rows_of_shingles(words: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of rows of words, none across rows, and where each row's begin and the end."""
+    begin = np.concatenate(([0], np.cumsum(np.maximum(0, np.diff(at) - width + 1))))
+    row = np.repeat(np.arange(len(at) - 1), np.diff(begin))
+    return _shingles(words, width)[at[:-1][row] + np.arange(begin[-1]) - begin[:-1][row]] if begin[-1] else np.zeros(0, np.uint64), begin
+
+
+_FACTORS = np.random.default_rng(20240711).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _permuted(hashes: np.ndarray, bands: int) -> np.ndarray:
+    """A row a band: the upper half of each hash times an odd number of the band."""
+    out = np.empty((bands, len(hashes)), np.uint32)
+    for i in range(bands):
+        out[i] = hashes * _FACTORS[i] >> np.uint64(32)
+    return out
+
+
+def _candidates(hashes: np.ndarray, begin: np.ndarray, classes: dict[int, Class]) -> set[tuple[int, int]]:
+    """(row, template) where a window of the row and the template share a band."""
+    low, block, out = _permuted(hashes, max(c.bands for c in classes.values())), 1, set()
+    for level in sorted(classes):
+        c = classes[level]
+        while block < c.block:
+            count = (np.diff(begin) + 1) // 2
+            half = np.concatenate(([0], np.cumsum(count)))
+            pairs = 2 * np.arange(half[-1]) + np.repeat(begin[:-1] - 2 * half[:-1], count)
+            low, begin, block = np.minimum.reduceat(low, pairs, axis=1), half, 2 * block
+        left = np.repeat(begin[1:], np.diff(begin)) - np.arange(begin[-1])
+        low = low[: max(x.bands for k, x in classes.items() if k >= level)]
+        windows = _windows(low[: c.bands], left, c.blocks)
+        fresh = np.ones(windows.shape[1], bool)
+        for i, known in enumerate(c.minima):
+            fresh[1:] = windows[i, 1:] != windows[i, :-1]
+            fresh[begin[:-1][np.diff(begin) > 0]] = True
+            maybe = np.zeros(1 << 16, bool)
+            maybe[[x & 0xFFFF for x in known]] = True
+            places = np.flatnonzero(maybe[windows[i] & np.uint32(0xFFFF)] & fresh)
+            if len(places):
+                rows = np.searchsorted(begin, places, "right") - 1
+                out.update((r, k) for r, x in zip(rows.tolist(), windows[i, places].tolist(), strict=True) for k in known.get(x, ()))
+    return out
+
+
+def _windows(low: np.ndarray, left: np.ndarray, blocks: int) -> np.ndarray:
+    """The minima over so many blocks from each one on, or to the end of its row; left: blocks from each to that end."""
+    reach, out = 1, low
+    while reach < blocks:
+        step = min(reach, blocks - reach)
+        wider = out.copy()
+        np.minimum(out[:, :-step], out[:, step:], out=wider[:, :-step])
+        ends = np.flatnonzero(left <= step)
+        wider[:, ends] = out[:, ends]
+        reach, out = reach + step, wider
+    return out
 
 
 class Scanner:
-    """Templates as they stand, and notices and whole texts by bare words in classes of like length."""
+    """Templates as they stand, and notices and whole texts by bare words."""
 
     def __init__(self, templates: tuple, bare: tuple = ()):
-        every = (*templates, *bare)
-        self.names = [n for _, n in every]
-        classes: dict[int, list[int]] = {}
-        for k in range(len(templates), len(every)):
-            classes.setdefault(len(every[k][0].split()).bit_length(), []).append(k)
-        self.exact = Templates(templates)
-        self.bare = [(np.array(own), Templates(tuple(every[k] for k in own), hashes=bare_word_hashes)) for _, own in sorted(classes.items())]
-        self.sizes = np.concatenate([self.exact.sizes, np.zeros(len(bare), np.int64)])
-        for own, t in self.bare:
-            self.sizes[own] = t.sizes
+        self.names = [n for _, n in (*templates, *bare)]
+        self.exact, self.bare = Templates(templates), Templates(bare, hashes=bare_word_hashes) if bare else None
+        self.sizes = np.concatenate([self.exact.sizes, self.bare.sizes]) if bare else self.exact.sizes
 
     def matches(self, raw: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int]]:
         found = self.exact.matches(*word_hashes(raw, starts))
         if self.bare:
-            words, at = bare_word_hashes(raw, starts)
-            for own, t in self.bare:
-                found += [(r, int(own[k]), c) for r, k, c in t.matches(words, at)]
+            found += [(r, len(self.exact.sizes) + k, c) for r, k, c in self.bare.matches(*bare_word_hashes(raw, starts))]
         return found
 
 

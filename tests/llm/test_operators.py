@@ -246,6 +246,38 @@ def test_license_scan(spark):
         license_scan.Templates((("  ", "none"),))
 
 
+def test_license_bands_find_edited_templates():
+    """Recall on templates of every length of which a share over the threshold is left, in the midst of other words."""
+    rng = random.Random(12)
+    templates = tuple((prose(rng, n), str(n)) for n in (3, 5, 6, 8, 12, 19, 30, 70, 150, 400, 1500))
+    known = license_scan.Templates(templates)
+    wanted = hits = 0
+    for turn in range(12):
+        texts = []
+        for text, _ in templates:
+            own = text.split(" ")
+            for _ in range(len(own) // 25):
+                own[rng.randrange(len(own))] = prose(rng, 1)
+            texts.append(" ".join((prose(rng, rng.randint(1, 900)), " ".join(own), prose(rng, rng.randint(1, 900)))))
+        raws = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+        at = np.concatenate(([0], np.cumsum([len(r) for r in raws])))
+        got = {(r, k): c for r, k, c in known.matches(*words.word_hashes(np.concatenate(raws), at))}
+        for r, text in enumerate(texts):
+            w = text.lower().split()
+            for k, (template, _) in enumerate(templates):
+                t = template.lower().split()
+                width = min(5, len(t))
+                own, held = ({tuple(x[i : i + width]) for i in range(len(x) - width + 1)} for x in (t, w))
+                if 100 * len(own & held) >= 75 * len(own):
+                    wanted, hits = wanted + 1, hits + (got.get((r, k)) == len(own & held))
+    assert wanted > 80 and hits == wanted
+
+
+def test_license_scan_with_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, license_scan.TEMPLATES[1][0], "own", 5)], "doc_id long, text string, license string, template int")
+    assert [(r["license"], r["template"]) for r in license_scan.scan(rows).collect()] == [("mit", 1)]
+
+
 def test_language_id(spark):
     rng = random.Random(6)
     letters = {"aa": "abcdefgh", "bb": "ijklmnop", "cc": "qrstuvwx"}
