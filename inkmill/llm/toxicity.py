@@ -6,15 +6,21 @@ trained, and how much more often the word, and its most and its average telling
 are in toxic texts than in others, counted on the training texts. Two gated recurrent
 layers read a window of words forwards and backwards, attention pools their states, and a
 logistic unit scores the window. Windows overlap and cover the whole text; the text's
-score is that of its worst window, calibrated on the training texts.
+score is a calibrated sum of its worst window, the mean of its worst few and the number
+of its windows.
 
 Training texts are labelled as wholes. A toxic text is trained on the window that the
 present weights find worst, a clean one on that, on a window at random, or on a word of
-such a window over and over, so that faint evidence doesn't add up where words repeat.
+such a window over and over, so that faint evidence doesn't add up where words repeat. A
+text sees counts that leave itself out, and most embeddings are left out at each step, so
+that the network doesn't learn to trust words that it has seen in one text. A fifth of the
+labelled texts is kept back from counts and steps: the checkpoint and the calibration with
+the least loss there are taken, both labels weighing about the same.
 
 Null texts and texts without a word score 0. Null labels aren't learned from; without
-labels of both kinds every score is 0. Repeated rows score alike; an empty table gives
-no rows. Other columns are ignored.
+labels of both kinds every score is 0. Repeated rows score alike; where one id has several
+texts, each is learned from with the id's label (1 if any of its labels is). Very long
+texts are scored whole, by one task. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,16 +36,22 @@ from pyspark.sql import functions as F
 from inkmill.llm.store import documents
 from inkmill.llm.words import mix, span_hashes, text_blocks
 
-#: Bounds of the training sample: texts of each label, and bytes of a text (longer ones aren't sampled).
-SAMPLE = {1: 600, 0: 1200}
-SAMPLE_BYTES = 20_000
-WINDOW, STRIDE = 32, 24
+#: Bound of the training sample: texts of each label, whole ones of any length.
+SAMPLE = {1: 600, 0: 2400}
+WINDOW, STRIDE = 64, 48
 STATES, EMBEDDED = 8, 5
-WORD_BUCKETS, CHAR_BUCKETS = 1 << 14, 1 << 14
+#: Hashed words with a count, and hashed words and trigrams with an embedding (trigrams are counted in the same).
+ODDS_BUCKETS, WORD_BUCKETS, CHAR_BUCKETS = 1 << 18, 1 << 14, 1 << 14
 #: Share of the clean random windows that are trained on as one of their words over and over.
 REPEATED = 0.4
 STEPS, BATCH, RATE = 360, 96, 0.01
+#: Share of the labelled texts kept back for calibration and for choosing among the checkpoints, steps between these, weight of the smoothing of
+#: counts, chance that a word's or character's trained embedding is left out in training, and share of the embeddings that decays a step.
+KEPT_BACK, CHECK_EVERY, SMOOTH, DROPPED, DECAY = 0.2, 60, 2.0, 0.85, 0.002
 THRESHOLD = 0.7
+#: Worst windows whose mean the calibration sees, and how much more the clean texts weigh there than the toxic ones.
+TOP, TILT = 5, 1.5
+PRIOR = (0.4, 0.4, -0.3, 0.0)
 #: Windows scored and words described at once, and words whose inputs a task keeps.
 WINDOWS_AT_ONCE, WORDS_AT_ONCE = 2048, 20_000
 CACHE_WORDS = 150_000
@@ -88,13 +100,13 @@ class Network:
     bias: np.ndarray  # direction x gate x state
     attention: np.ndarray
     output: np.ndarray
-    scale: tuple[float, float, float]  # output bias, and slope and bias of the calibration
+    scale: tuple  # output bias, and the calibration: weights of what _summary gives, and their bias
 
     def channels(self, keys: np.ndarray, grams: np.ndarray, at: np.ndarray) -> np.ndarray:
         odds = self.char_odds[grams]
         n = np.diff(at)[:, None]
         word = (keys % np.uint64(WORD_BUCKETS)).astype(np.int64)
-        counted = np.stack([self.word_odds[word], np.maximum.reduceat(odds, at[:-1]), np.add.reduceat(odds, at[:-1]) / n[:, 0]], axis=1)
+        counted = np.stack([self.word_odds[(keys % np.uint64(ODDS_BUCKETS)).astype(np.int64)], np.maximum.reduceat(odds, at[:-1]), np.add.reduceat(odds, at[:-1]) / n[:, 0]], axis=1)
         return np.concatenate([counted, self.words[word] + np.add.reduceat(self.chars[grams], at[:-1], axis=0) / n], axis=1).astype(np.float32)
 
 
@@ -197,15 +209,29 @@ class Scorer:
         out = []
         for _, _, raw, starts in text_blocks(column, BLOCK_BYTES):
             begin, end, at = letter_spans(raw, starts)
-            worst = np.full(len(starts) - 1, -np.inf)
+            score = np.zeros(len(starts) - 1)
             if len(begin):
-                logits, row = self.windows(self.numbers(raw, begin, end), at)
-                np.maximum.at(worst, row, logits)
-            _, slope, bias = self.net.scale
-            out.append(np.where(np.isinf(worst), 0.0, 1 / (1 + np.exp(-np.clip(slope * np.where(np.isinf(worst), 0, worst) + bias, -40, 40)))))
+                some = np.diff(at) > 0
+                score[some] = _logistic(_summary(*self.windows(self.numbers(raw, begin, end), at), len(some))[some] @ self.net.scale[1])
+            out.append(score)
         return np.concatenate(out) if out else np.zeros(0)
 
 
+def _logistic(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+
+
+def _summary(logits: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """What the calibration sees of each of n rows: the logit of the worst window, the mean of the worst TOP (or all, if fewer), the logarithm of their number, and 1."""
+    order = np.lexsort((-logits, row))
+    at = np.searchsorted(row[order], np.arange(n + 1))
+    count = np.diff(at)
+    place = at[:-1, None] + np.arange(TOP)
+    held = np.arange(TOP) < count[:, None]
+    top = np.where(held, np.clip(logits[order], -30, 30)[np.minimum(place, max(0, len(order) - 1))] if len(order) else 0.0, 0.0)
+    return np.stack([top[:, 0], top.sum(axis=1) / np.maximum(1, held.sum(axis=1)), np.log(np.maximum(1, count)), np.ones(n)], axis=1)
+
+
 def _window_starts(n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first word, row, words) of each window of rows of n words."""
     count = np.where(n > 0, 1 + np.maximum(0, -(-(n - WINDOW) // STRIDE)), 0)
@@ -215,16 +241,20 @@ def _window_starts(n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, row, np.minimum(WINDOW, n[row])
 
 
-def _odds(parts: Iterator[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, size: int) -> np.ndarray:
-    """The logarithm of how much more often each bucket is in toxic rows, near 0 where it is rare. parts: (bucket, row) of whole rows."""
-    bad, good = np.zeros(size), np.zeros(size)
+def _odds(parts: Iterator[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, counted: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The logarithm of how much more often each bucket is in toxic rows, near 0 where it is rare; and the same as a row of each label sees it, which doesn't count itself.
+
+    parts: (bucket, row) of whole rows; counted: which rows count.
+    """
+    seen = np.zeros((2, size))
     for buckets, row in parts:
         pairs = np.unique(row * size + buckets.astype(np.int64))
-        of = toxic[pairs // size]
-        bad += np.bincount(pairs[of == 1] % size, minlength=size)
-        good += np.bincount(pairs[of == 0] % size, minlength=size)
-    rate = (bad + bad.sum() / max(1, good.sum()) + 0.5) / (good + 1.5) / ((toxic == 1).sum() / max(1, (toxic == 0).sum()))
-    return (np.log(rate) * np.minimum(1, (bad + good) / 8)).astype(np.float32)
+        pairs = pairs[counted[pairs // size]]
+        for k in (0, 1):
+            seen[k] += np.bincount(pairs[toxic[pairs // size] == k] % size, minlength=size)
+    ratio = max(1, (counted & (toxic == 1)).sum()) / max(1, (counted & (toxic == 0)).sum())
+    of = lambda good, bad: np.log((bad + SMOOTH * ratio) / (good + SMOOTH) / ratio).astype(np.float32)
+    return of(*seen), np.stack([of(np.maximum(seen[0] - 1, 0), seen[1]), of(seen[0], np.maximum(seen[1] - 1, 0))])
 
 
 def _words_of(texts: list[str]) -> tuple[np.ndarray, ...]:
@@ -245,6 +275,10 @@ def train(texts: list[str], toxic: list[int], seed: int = 5) -> Network | None:
     rng = np.random.default_rng(seed)
     raw, begin, end, at, keys = _words_of(texts)
     row = np.repeat(np.arange(len(texts)), np.diff(at))
+    back = np.zeros(len(texts), bool)
+    for k in (0, 1):
+        own = rng.permutation(np.flatnonzero((label == k) & (np.diff(at) > 0)))
+        back[own[: int(KEPT_BACK * len(own))]] = True
     distinct, first, number = np.unique(keys, return_index=True, return_inverse=True)
     number = number.astype(np.int32)
     size = end[first] - begin[first]
@@ -252,8 +286,10 @@ def train(texts: list[str], toxic: list[int], seed: int = 5) -> Network | None:
     grams = np.concatenate([_trigrams(raw, begin[w], end[w])[0].astype(np.uint16) for k in range(0, len(first), WORDS_AT_ONCE) for w in [first[k : k + WORDS_AT_ONCE]]])
     bucket = (distinct % np.uint64(WORD_BUCKETS)).astype(np.int64)
 
+    counter = (distinct % np.uint64(ODDS_BUCKETS)).astype(np.int64)
+
     def word_parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        yield bucket[number], row
+        yield counter[number], row
 
     def gram_parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for k in range(0, len(texts), 100):  # texts at a time, as a word has many trigrams
@@ -263,9 +299,10 @@ def train(texts: list[str], toxic: list[int], seed: int = 5) -> Network | None:
             yield grams[np.repeat(gram_at[used] - np.cumsum(size[used]) + size[used], size[used]) + np.arange(size[used].sum())], np.repeat(pairs // len(distinct), size[used])
 
     channels, small = 3 + EMBEDDED, lambda *s: rng.normal(0, 0.3, s)
+    (word_odds, seen_words), (char_odds, seen_chars) = _odds(word_parts(), label, ~back, ODDS_BUCKETS), _odds(gram_parts(), label, ~back, CHAR_BUCKETS)
     net = Network(
-        _odds(word_parts(), label, WORD_BUCKETS), _odds(gram_parts(), label, CHAR_BUCKETS), rng.normal(0, 0.05, (WORD_BUCKETS, EMBEDDED)), rng.normal(0, 0.05, (CHAR_BUCKETS, EMBEDDED)),
-        small(2, 3, channels, STATES), small(2, 3, STATES, STATES), np.zeros((2, 3, STATES)), small(2 * STATES), small(2 * STATES), (0.0, 1.0, 0.0),
+        word_odds, char_odds, rng.normal(0, 0.05, (WORD_BUCKETS, EMBEDDED)), rng.normal(0, 0.05, (CHAR_BUCKETS, EMBEDDED)),
+        small(2, 3, channels, STATES), small(2, 3, STATES, STATES), np.zeros((2, 3, STATES)), small(2 * STATES), small(2 * STATES), (0.0, None),
     )
     starts_of, window_row, window_size = _window_starts(np.diff(at))
     by_row = np.searchsorted(window_row, np.arange(len(texts) + 1))
@@ -277,19 +314,19 @@ def train(texts: list[str], toxic: list[int], seed: int = 5) -> Network | None:
     logits = np.where(np.arange(WINDOW) < window_size[:, None], told[np.minimum(spots, len(told) - 1)], -9).max(axis=1)
     params = {"words": net.words, "chars": net.chars, "inputs": net.inputs, "states": net.states, "bias": net.bias, "attention": net.attention, "output": net.output, "b0": np.zeros(1)}
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in params.items()}
-    scorer = None
+    fit = has[~back[has]]
+    judged = has[back[has]] if back.any() else has
+    best = (np.inf, None, None)
     for step in range(STEPS):
-        if step in (STEPS // 3, 2 * STEPS // 3):
-            net.scale = (float(params["b0"][0]), 1.0, 0.0)
-            scorer = Scorer(net)
-            logits, _ = scorer.windows(scorer.numbers(raw, begin, end, keys), at)
+        if step and step % CHECK_EVERY == 0:
+            logits, best = _checked(net, params, raw, begin, end, keys, number, at, label, judged, best)
         half = BATCH // 2
-        rows = np.concatenate([rng.choice(has[label[has] == k], half) for k in (1, 0) if (label[has] == k).any()])
+        rows = np.concatenate([rng.choice(fit[label[fit] == k], half) for k in (1, 0) if (label[fit] == k).any()])
         worst = np.array([by_row[r] + int(np.argmax(logits[by_row[r] : by_row[r + 1]])) for r in rows])
         chance = np.array([rng.integers(by_row[r], by_row[r + 1]) for r in rows])
         chosen = np.where((label[rows] == 1) | (rng.random(len(rows)) < 0.5), worst, chance)
         same = (label[rows] == 0) & (chosen == chance) & (rng.random(len(rows)) < REPEATED)
-        grads = _gradients(net, params, number, at, starts_of[chosen], window_row[chosen], window_size[chosen], label[rows], same, bucket, grams, gram_at, size)
+        grads = _gradients(net, params, number, at, starts_of[chosen], window_row[chosen], window_size[chosen], label[rows], same, bucket, counter, grams, gram_at, size, (seen_words, seen_chars, rng))
         rate = RATE * (1.0 if step < STEPS // 2 else 0.4)
         for k, g in grads.items():
             m, v = moments[k]
@@ -298,39 +335,60 @@ def train(texts: list[str], toxic: list[int], seed: int = 5) -> Network | None:
             v *= 0.99
             v += 0.01 * g * g
             params[k] -= rate * (m / (1 - 0.9 ** (step + 1))) / (np.sqrt(v / (1 - 0.99 ** (step + 1))) + 1e-7)
-    net.scale = (float(params["b0"][0]), 1.0, 0.0)
-    scorer = Scorer(net)
-    logits, window_of = scorer.windows(scorer.numbers(raw, begin, end, keys), at)
-    worst = np.full(len(texts), -np.inf)
-    np.maximum.at(worst, window_of, logits)
-    net.scale = (net.scale[0], *_calibrated(worst[has], label[has]))
+        for k in ("words", "chars"):
+            params[k] *= 1 - DECAY
+    _, (_, kept, net.scale) = _checked(net, params, raw, begin, end, keys, number, at, label, judged, best)
+    for k, v in kept.items():
+        if k != "b0":
+            setattr(net, k, v)
     return net
 
 
-def _calibrated(logit: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """Slope and bias of the logistic fit with the least cross entropy on a grid, to targets drawn in a little."""
-    y, x, best = np.where(label == 1, 0.995, 0.005), np.clip(logit, -30, 30), (np.inf, 1.0, 0.0)
-    for slope in np.geomspace(0.1, 4, 24):
-        for middle in np.linspace(-8, 8, 65):
-            p = 1 / (1 + np.exp(-np.clip(slope * (x - middle), -30, 30)))
-            loss = -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
-            best = min(best, (loss, float(slope), float(-slope * middle)))
-    return best[1:]
-
-
-def _gradients(net, params, number, at, first, row, size, label, same, bucket, grams, gram_at, gram_n) -> dict[str, np.ndarray]:
-    """Of the mean cross entropy over windows, by back-propagation through time."""
+def _checked(net, params, raw, begin, end, keys, number, at, label, judged, best):
+    """The logits of all windows under the present weights, and these weights with their calibration if they have the least loss on the judged texts so far."""
+    net.scale = (float(params["b0"][0]), None)
+    scorer = Scorer(net)
+    logits, window_of = scorer.windows(scorer.numbers(raw, begin, end, keys), at)
+    loss, weights = _calibrated(_summary(logits, window_of, len(label))[judged], label[judged])
+    if loss < best[0]:
+        best = (loss, {k: v.copy() for k, v in params.items()}, (net.scale[0], weights))
+    return logits, best
+
+
+def _calibrated(x: np.ndarray, label: np.ndarray) -> tuple[float, np.ndarray]:
+    """The least cross entropy of a logistic fit to x in which both labels weigh the same (TILT times as much for 0), and its weights.
+
+    A ridge, the stronger the fewer toxic texts there are, draws all weights but the bias to PRIOR; those of logits aren't below 0.
+    """
+    n = np.array([(label == 0).sum() / TILT, (label == 1).sum()])
+    share, w = (1 / np.maximum(n, 1))[label], np.array(PRIOR)
+    y, ridge = np.where(label == 1, 0.99, 0.01), np.diag([1.0, 1.0, 1.0, 0.0]) * 2 / (n[1] + 1)
+    for _ in range(60):
+        p = _logistic(x @ w)
+        slope = x.T @ (share * (y - p)) - ridge @ (w - PRIOR)
+        w = w + np.linalg.solve((x * (share * np.maximum(p * (1 - p), 0.01))[:, None]).T @ x + ridge + 1e-6 * np.eye(4), slope).clip(-0.5, 0.5)
+        w[:2] = np.maximum(w[:2], 0)
+    p = np.clip(_logistic(x @ w), 1e-9, 1 - 1e-9)
+    return float(-(share * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum()), w
+
+
+def _gradients(net, params, number, at, first, row, size, label, same, bucket, counter, grams, gram_at, gram_n, seen=None) -> dict[str, np.ndarray]:
+    """Of the mean cross entropy over windows, by back-propagation through time. seen: counts as a row of each label sees them, and a source of chance for dropping embeddings."""
     n, time = len(first), int(size.max())
     live = np.arange(time)[:, None] < size
     ids = np.where(live, number[np.minimum(at[row] + first + np.arange(time)[:, None], len(number) - 1)], 0)
     ids[:, same] = ids[size[same] // 2, np.flatnonzero(same)]
-    flat, back = np.unique(ids, return_inverse=True)
-    back = back.reshape(ids.shape)
+    # a word is looked up once for each label of the windows that hold it
+    flat, back = np.unique(ids * 2 + label, return_inverse=True)
+    back, of = back.reshape(ids.shape), flat & 1
+    flat = flat >> 1
     spread = np.repeat(np.arange(len(flat)), gram_n[flat])
     own = grams[np.repeat(gram_at[flat] - np.cumsum(gram_n[flat]) + gram_n[flat], gram_n[flat]) + np.arange(gram_n[flat].sum())]
-    odds, own_at = net.char_odds[own], np.concatenate(([0], np.cumsum(gram_n[flat])))[:-1]
+    own_at = np.concatenate(([0], np.cumsum(gram_n[flat])))[:-1]
+    odds, told = (net.char_odds[own], net.word_odds[counter[flat]]) if seen is None else (seen[1][of[spread], own], seen[0][of, counter[flat]])
+    kept_in = np.ones(len(flat)) if seen is None else (seen[2].random(len(flat)) >= DROPPED) / (1 - DROPPED)
     mean = np.add.reduceat(net.chars[own], own_at, axis=0) / gram_n[flat][:, None]
-    table = np.concatenate([np.stack([net.word_odds[bucket[flat]], np.maximum.reduceat(odds, own_at), np.add.reduceat(odds, own_at) / gram_n[flat]], axis=1), net.words[bucket[flat]] + mean], axis=1)
+    table = np.concatenate([np.stack([told, np.maximum.reduceat(odds, own_at), np.add.reduceat(odds, own_at) / gram_n[flat]], axis=1), (net.words[bucket[flat]] + mean) * kept_in[:, None]], axis=1)
     x = table[back] * live[:, :, None]
     grads = {k: np.zeros_like(v) for k, v in params.items()}
     states, kept = np.zeros((time, n, 2 * STATES)), [[None] * time for _ in range(2)]
@@ -343,7 +401,7 @@ def _gradients(net, params, number, at, first, row, size, label, same, bucket, g
             kept[d][t] = (h, z, r, u, c)
             h = c + z * (h - c)
             states[t, :, d * STATES : (d + 1) * STATES] = h
-    net.scale = (float(params["b0"][0]), 1.0, 0.0)
+    net.scale = (float(params["b0"][0]), None)
     logit, pooled, a = _pool(states, live, net)
     dlogit = (1 / (1 + np.exp(-logit)) - label) / n
     grads["output"] += pooled.T @ dlogit
@@ -373,6 +431,7 @@ def _gradients(net, params, number, at, first, row, size, label, same, bucket, g
             dx[t] += np.einsum("ngs,gcs->nc", gates, net.inputs[d])
     by_word = np.zeros((len(flat), EMBEDDED))
     np.add.at(by_word, back.ravel(), (dx * live[:, :, None])[:, :, 3:].reshape(-1, EMBEDDED))
+    by_word *= kept_in[:, None]
     np.add.at(grads["words"], bucket[flat], by_word)
     np.add.at(grads["chars"], own, (by_word / gram_n[flat][:, None])[spread])
     return grads
@@ -388,7 +447,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = No
     ids = {}
     for kind, n in (sample or SAMPLE).items():
         ids |= {r["doc_id"]: kind for r in marked.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect()}
-    rows = docs.where(F.col("doc_id").isin(list(ids)) & (F.octet_length("text") <= SAMPLE_BYTES)).select("doc_id", "text").collect() if ids else []
+    rows = docs.where(F.col("doc_id").isin(list(ids)) & F.col("text").isNotNull()).select("doc_id", "text").collect() if ids else []
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     return train([r["text"] for r in rows], [ids[r["doc_id"]] for r in rows])
 

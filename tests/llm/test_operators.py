@@ -326,7 +326,7 @@ def test_gradients():
     raw, begin, end, at, keys = toxicity._words_of(texts)
     distinct, first, number = np.unique(keys, return_index=True, return_inverse=True)
     grams, gram_at = toxicity._trigrams(raw, begin[first], end[first])
-    args = (number, at, np.array([0, 0]), np.array([0, 1]), np.array([15, 12]), np.array(toxic), np.zeros(2, bool), (distinct % np.uint64(toxicity.WORD_BUCKETS)).astype(np.int64), grams, gram_at, np.diff(gram_at))
+    args = (number, at, np.array([0, 0]), np.array([0, 1]), np.array([15, 12]), np.array(toxic), np.zeros(2, bool), (distinct % np.uint64(toxicity.WORD_BUCKETS)).astype(np.int64), (distinct % np.uint64(toxicity.ODDS_BUCKETS)).astype(np.int64), grams, gram_at, np.diff(gram_at))
 
     def loss():
         seen = {}
@@ -352,6 +352,57 @@ def test_gradients():
             assert (up - down) / 2e-5 == pytest.approx(g[k], rel=2e-3, abs=1e-7), name
 
 
+@pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.1"), reason="no test tables here")
+def test_toxicity_on_labels_held_out(spark):
+    found = toxicity.op5_toxicity(spark, "/root/testdata/sf0.1").where("held_out").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").select("score", "predicted", "toxic").toPandas()
+    bad, good = found[found.toxic == 1], found[found.toxic == 0]
+    rank = found.score.rank()
+    auc = (rank[found.toxic == 1].sum() - len(bad) * (len(bad) + 1) / 2) / (len(bad) * len(good))
+    assert bad.predicted.mean() >= 0.9 and good.predicted.mean() <= 0.01 and auc >= 0.95
+
+
+def test_windows_cover_whole_texts():
+    for n in (0, 1, 63, 64, 65, 112, 113, 5000):
+        first, row, size = toxicity._window_starts(np.array([n]))
+        covered = np.zeros(n, bool)
+        for f, k in zip(first, size, strict=True):
+            covered[f : f + k] = True
+        assert covered.all() and all(size <= toxicity.WINDOW)
+
+
+def test_scores_against_a_plain_reading():
+    """The vectorised scorer against one word after the other."""
+    rng = random.Random(3)
+    texts = [" ".join((["vile"] if k % 2 else []) + [prose(rng, rng.randint(1, 150))]) for k in range(40)]
+    net = toxicity.train(texts, [k % 2 for k in range(40)])
+    got = toxicity.Scorer(net).texts(pa.array([*texts, None]))
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    for text, score in zip(texts, got, strict=False):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        begin, end, _ = toxicity.letter_spans(raw, np.array([0, len(raw)]))
+        x = net.inputs_of(raw, words.span_hashes(raw, begin, end), begin, end, np.arange(len(begin)))
+        logits, at = [], 0
+        while True:
+            own = x[max(0, min(at, len(x) - toxicity.WINDOW)) :][: toxicity.WINDOW]
+            states = []
+            for d, order in ((0, range(len(own))), (1, range(len(own) - 1, -1, -1))):
+                h, out = np.zeros(toxicity.STATES), [None] * len(own)
+                for t in order:
+                    z, r = (sigmoid(own[t] @ net.inputs[d, g] + net.bias[d, g] + h @ net.states[d, g]) for g in (0, 1))
+                    c = np.tanh(own[t] @ net.inputs[d, 2] + net.bias[d, 2] + r * (h @ net.states[d, 2]))
+                    h = out[t] = c + z * (h - c)
+                states.append(out)
+            both = np.concatenate([np.array(s) for s in states], axis=1)
+            weight = np.exp(both @ net.attention)
+            logits.append((weight / weight.sum()) @ both @ net.output + net.scale[0])
+            if at + toxicity.WINDOW >= len(x):
+                break
+            at += toxicity.STRIDE
+        top = sorted(logits, reverse=True)[: toxicity.TOP]
+        assert score == pytest.approx(sigmoid(np.dot(net.scale[1], [top[0], np.mean(top), np.log(len(logits)), 1])), abs=1e-4)
+    assert got[-1] == 0
+
+
 def test_url_filter(spark):
     urls = [
         None, "", "no scheme", "http://", "HTTP://A.Example.ORG?x", "http://example.org/es/1#x", "https://m.example.org/en/12?q", "https://example.org/en/2", "x://org/", "x://com/fr/1", "x://a.com/de/", "x://badorg/x",
