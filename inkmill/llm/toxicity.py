@@ -176,8 +176,15 @@ class Scorer:
         # word 0 fills windows that are shorter; nothing attends to it
         self.projected = [[np.zeros((1, STATES), np.float32) for _ in range(3)] for _ in range(2)]
 
-    def numbers(self, raw: np.ndarray, begin: np.ndarray, end: np.ndarray, keys: np.ndarray | None = None) -> np.ndarray:
-        keys = span_hashes(raw, begin, end) if keys is None else keys
+    def enter(self, x: np.ndarray) -> None:
+        """Takes in words with these channels; they get the next numbers."""
+        for d in (0, 1):
+            for g in (0, 1, 2):
+                own = (x @ self.net.inputs[d, g] + self.net.bias[d, g]) * (0.5 if g < 2 else 1.0)
+                self.projected[d][g] = np.concatenate([self.projected[d][g], own.astype(np.float32)])
+
+    def numbers(self, raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        keys = span_hashes(raw, begin, end)
         distinct, first, back = np.unique(keys, return_index=True, return_inverse=True)
         if len(self.known) > CACHE_WORDS:
             self.clear()
@@ -186,10 +193,7 @@ class Scorer:
         if new:
             x = self.net.inputs_of(raw, keys, begin, end, first[new])
             self.known.update(zip((listed[k] for k in new), range(len(self.projected[0][0]), len(self.projected[0][0]) + len(new)), strict=True))
-            for d in (0, 1):
-                for g in (0, 1, 2):
-                    own = (x @ self.net.inputs[d, g] + self.net.bias[d, g]) * (0.5 if g < 2 else 1.0)
-                    self.projected[d][g] = np.concatenate([self.projected[d][g], own.astype(np.float32)])
+            self.enter(x)
         return np.array([self.known[x] for x in listed], np.int64)[back] if listed else np.zeros(0, np.int64)
 
     def windows(self, numbers: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -310,8 +314,9 @@ def train(texts: list[str], toxic: list[int], seed: int = 5) -> Network | None:
     # at first the worst window is that with the most telling word
     x = net.inputs_of(raw, keys, begin, end, first)
     told = np.concatenate((x[number, :2].sum(axis=1), np.zeros(WINDOW)))
-    spots = (at[window_row] + starts_of)[:, None] + np.arange(WINDOW)
-    logits = np.where(np.arange(WINDOW) < window_size[:, None], told[np.minimum(spots, len(told) - 1)], -9).max(axis=1)
+    logits = np.full(len(starts_of), -9.0)
+    for k in range(WINDOW):
+        logits = np.maximum(logits, np.where(k < window_size, told[np.minimum(at[window_row] + starts_of + k, len(told) - 1)], -9))
     params = {"words": net.words, "chars": net.chars, "inputs": net.inputs, "states": net.states, "bias": net.bias, "attention": net.attention, "output": net.output, "b0": np.zeros(1)}
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in params.items()}
     fit = has[~back[has]]
@@ -319,7 +324,7 @@ def train(texts: list[str], toxic: list[int], seed: int = 5) -> Network | None:
     best = (np.inf, None, None)
     for step in range(STEPS):
         if step and step % CHECK_EVERY == 0:
-            logits, best = _checked(net, params, raw, begin, end, keys, number, at, label, judged, best)
+            logits, best = _checked(net, params, raw, begin, end, keys, first, number, at, label, judged, best)
         half = BATCH // 2
         rows = np.concatenate([rng.choice(fit[label[fit] == k], half) for k in (1, 0) if (label[fit] == k).any()])
         worst = np.array([by_row[r] + int(np.argmax(logits[by_row[r] : by_row[r + 1]])) for r in rows])
@@ -337,18 +342,19 @@ def train(texts: list[str], toxic: list[int], seed: int = 5) -> Network | None:
             params[k] -= rate * (m / (1 - 0.9 ** (step + 1))) / (np.sqrt(v / (1 - 0.99 ** (step + 1))) + 1e-7)
         for k in ("words", "chars"):
             params[k] *= 1 - DECAY
-    _, (_, kept, net.scale) = _checked(net, params, raw, begin, end, keys, number, at, label, judged, best)
+    _, (_, kept, net.scale) = _checked(net, params, raw, begin, end, keys, first, number, at, label, judged, best)
     for k, v in kept.items():
         if k != "b0":
             setattr(net, k, v)
     return net
 
 
-def _checked(net, params, raw, begin, end, keys, number, at, label, judged, best):
+def _checked(net, params, raw, begin, end, keys, first, number, at, label, judged, best):
     """The logits of all windows under the present weights, and these weights with their calibration if they have the least loss on the judged texts so far."""
     net.scale = (float(params["b0"][0]), None)
     scorer = Scorer(net)
-    logits, window_of = scorer.windows(scorer.numbers(raw, begin, end, keys), at)
+    scorer.enter(net.inputs_of(raw, keys, begin, end, first))
+    logits, window_of = scorer.windows(number + 1, at)
     loss, weights = _calibrated(_summary(logits, window_of, len(label))[judged], label[judged])
     if loss < best[0]:
         best = (loss, {k: v.copy() for k, v in params.items()}, (net.scale[0], weights))
