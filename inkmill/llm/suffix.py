@@ -3,7 +3,9 @@
 The types and sorted left-most S suffixes of a text induce its suffix array in two sweeps
 over its first characters. A sweep reads suffixes from a queue whose order is first
 character, then arrival; as arrivals come in order, a bucket a character, appended to and
-read once, is such a priority queue. Buckets over a memory limit are appended to files.
+read once, is such a priority queue. Buckets over a memory limit are appended to files in
+the task's own temporary folder; nothing else reads them, and a task that is run again
+makes its own.
 All suffixes of a bucket are handled as arrays, so a sweep takes as many array steps as
 there are characters and the longest run of one character.
 

@@ -7,20 +7,25 @@ meet at that gram. The work is done in these steps, each by key, none in one pla
 
 1. Documents equal as wholes are grouped by digest. All but the first repeat entirely.
 2. Every document lists its grams, each with the starts for which it is the smallest and
-   a hash of their context, all bytes that these strings cover. The grams go to shards.
-   Of equal contexts all but the first are repeats. A gram with one context is done.
+   a hash of their context, all bytes that these strings cover. The grams go to shards; one
+   that a sample of the documents tells to be frequent goes to several, by document. Of
+   equal contexts (128 bits of gram and context, lengths included) all but the first are
+   repeats. A gram with one context is done.
 3. The first occurrences of the differing contexts of a gram may still overlap in a string.
    Their bytes go to shards by gram, and each shard sorts its suffixes by induction, with
-   queues on disk where it is larger than its memory bound. Neighbours with `size` bytes in
-   common are one string; all but its first occurrence repeat.
-4. A gram whose contexts are more than a shard's bytes is cut in pieces, each sorted for
-   itself. The first occurrences in each piece then go to shards by a digest of their
-   string, so that a string comes at most once from each piece; the first one stays.
+   queues on the task's own disk where it is larger than its memory bound. Neighbours with
+   `size` bytes in common are one string; all but its first occurrence repeat.
+4. A gram whose contexts are more than a shard's bytes, or that is frequent, is cut in
+   pieces, each sorted for itself. The first occurrences in each piece then go to shards by
+   a digest of their string, so that a string comes at most once from each piece; the first
+   one stays.
 5. The repeats of a document are united and cut from it.
 
-Null text counts as empty; texts shorter than `size` bytes lose nothing. Repeated rows of
-one id count as copies of which the first stays only if their ids differ; equal ids keep
-all. An empty table gives no rows. Other columns are ignored.
+Null text counts as empty; texts shorter than `size` bytes lose nothing. Rows of one id with
+equal texts are one document and get one answer. Rows of one id with differing texts, and
+rows without id, which come first, are documents of their own, in order of their digests. A
+very long text is worked on whole, by one task. An empty table gives no rows. Other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -40,11 +45,13 @@ from inkmill.llm.words import _power, mix, text_blocks
 
 SIZE, GRAM = 100, 24
 #: Bytes of listed grams and of contexts in a shard, about.
-ENTRY_BYTES, CONTEXT_BYTES = 8 << 20, 4 << 20
+ENTRY_BYTES, CONTEXT_BYTES = 8 << 20, 2 << 20
+#: One document in so many is sampled for frequent grams; a gram is frequent if it has more occurrences than that by the sample.
+SAMPLED, FREQUENT = 16, 200_000
 BLOCK_BYTES = 512 << 10
 #: Neighbouring pieces of a gram go so many shards further.
 _STEP = 0x9E3779B1
-_LOW16 = np.uint64(0xFFFF)
+_LOW32 = np.uint64(0xFFFFFFFF)
 #: A string that is the first in its piece of a gram: its digest, and where it starts.
 _STRING = np.dtype([("high", "<u8"), ("low", "<u8"), ("doc", "<i8"), ("at", "<i8")])
 _VALUE = np.random.default_rng(77).integers(0, 2**64, 256, dtype=np.uint64)
@@ -84,7 +91,41 @@ def grams(raw: np.ndarray, starts: np.ndarray, size: int = SIZE, gram: int = GRA
     return row[first], first - starts[row[first]], stop - first, hashes[place[first]], context
 
 
-def _listed(docs: DataFrame, shards: int, size: int, gram: int) -> DataFrame:
+def frequent_grams(docs: DataFrame, size: int, gram: int) -> dict[int, int]:
+    """The grams that a sample of the documents tells to be frequent, and in how many parts their occurrences go: one for FREQUENT of them.
+
+    They are at most the number of all occurrences over FREQUENT. The sample decides where occurrences go, not what is found.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, raw, starts in text_blocks(batch.column(0), BLOCK_BYTES):
+                keys, n = np.unique(grams(raw, starts, size, gram)[3], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["gram", "n"])
+
+    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0).select("text").mapInArrow(run, "gram long, n long")
+    counted = sample.groupBy("gram").agg((F.sum("n") * SAMPLED).alias("n")).where(F.col("n") > FREQUENT).collect()
+    return {r["gram"]: -(-r["n"] // FREQUENT) for r in counted}
+
+
+class Frequent:
+    """Parts of frequent grams."""
+
+    def __init__(self, parts: dict[int, int]):
+        self.gram = np.sort(np.array(list(parts), np.int64).view(np.uint64))
+        self.parts = np.array([parts[k] for k in self.gram.view(np.int64).tolist()], np.uint64)
+
+    def part(self, key: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """0 for grams that aren't frequent, else the document's part of them, from 1 on."""
+        out = np.zeros(len(key), np.uint64)
+        if len(self.gram):
+            slot = np.minimum(np.searchsorted(self.gram, key), len(self.gram) - 1)
+            hit = np.flatnonzero(self.gram[slot] == key)
+            out[hit] = mix(ids[hit].view(np.uint64)) % self.parts[slot[hit]] + np.uint64(1)
+        return out
+
+
+def _listed(docs: DataFrame, shards: int, size: int, gram: int, frequent: Frequent) -> DataFrame:
     """The grams of every document, packed by shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,13 +133,17 @@ def _listed(docs: DataFrame, shards: int, size: int, gram: int) -> DataFrame:
             ids = batch.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False)
             for at, _, raw, starts in text_blocks(batch.column(1), BLOCK_BYTES):
                 row, first, n, key, context = grams(raw, starts, size, gram)
-                shard = ((key & _LOW16) * np.uint64(shards) >> np.uint64(16)).astype(np.int32)
+                own_ids = ids[at + row]
+                part = frequent.part(key, own_ids)
+                to = np.where(part > 0, mix(key + part * np.uint64(_STEP)), key)
+                shard = ((to & _LOW32) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
                 order = np.argsort(shard, kind="stable")
-                cut = np.searchsorted(shard[order], np.arange(shards + 1))
+                sorted_shard = shard[order]
+                cut = np.flatnonzero(np.concatenate(([True], sorted_shard[1:] != sorted_shard[:-1]))) if len(order) else np.zeros(0, np.int64)
                 out: list[list] = [[], [], [], [], [], []]
-                for s in np.flatnonzero(np.diff(cut)):
-                    own = order[cut[s] : cut[s + 1]]
-                    for column, value in zip(out, (int(s), ids[at + row[own]].tobytes(), first[own].astype(np.int64).tobytes(), n[own].astype(np.uint16).tobytes(), key[own].tobytes(), context[own].tobytes()), strict=True):
+                for begin, end in zip(cut, np.append(cut[1:], len(order)), strict=True):
+                    own = order[begin:end]
+                    for column, value in zip(out, (int(sorted_shard[begin]), own_ids[own].tobytes(), first[own].astype(np.int64).tobytes(), n[own].astype(np.uint16).tobytes(), key[own].tobytes(), context[own].tobytes()), strict=True):
                         column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], names=["shard", "ids", "first", "n", "gram", "context"])
 
@@ -108,22 +153,23 @@ def _listed(docs: DataFrame, shards: int, size: int, gram: int) -> DataFrame:
 _MARK = "doc_id long, first long, n long, gram long, piece long, split boolean"
 
 
-def _sifted(size: int, bound: int):
+def _sifted(size: int, bound: int, frequent: Frequent):
     """Of a shard's grams: repeats (gram null; first and n in bytes), and contexts that differ (first and number of starts), a gram's in pieces of about bound bytes."""
 
     def of(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         read = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in rows[c]])
         ids, first, n, gram, context = read("ids", np.int64), read("first", np.int64), read("n", np.uint16).astype(np.int64), read("gram", np.uint64), read("context", np.uint64)
-        order = np.lexsort((first, ids, context, gram))
-        ids, first, n, gram, context = ids[order], first[order], n[order], gram[order], context[order]
-        new_gram = np.concatenate(([True], gram[1:] != gram[:-1]))
-        new = new_gram | np.concatenate(([True], context[1:] != context[:-1]))
+        part = frequent.part(gram, ids)
+        order = np.lexsort((first, ids, context, part, gram))
+        ids, first, n, gram, context, part = ids[order], first[order], n[order], gram[order], context[order], part[order]
+        new_gram = np.concatenate(([True], (gram[1:] != gram[:-1]) | (part[1:] != part[:-1])))
+        new = new_gram | np.concatenate(([True], (context[1:] != context[:-1]) | (n[1:] != n[:-1])))
         number = np.cumsum(new_gram) - 1
-        several = new & (np.bincount(number, weights=new)[number] > 1)
+        several = new & ((np.bincount(number, weights=new)[number] > 1) | (part > 0))
         again = ~new
         volume = np.where(several, n + size - 1, 0)
         before, total = np.cumsum(volume) - volume, np.bincount(number, weights=volume)
-        piece, split = (before - before[new_gram][number]) // bound, total[number] > bound
+        piece, split = (before - before[new_gram][number]) // bound + part.astype(np.int64) * 1_000_003, (total[number] > bound) | (part > 0)
         return pd.DataFrame({
             "doc_id": np.concatenate((ids[again], ids[several])), "first": np.concatenate((first[again], first[several])), "n": np.concatenate((n[again] + size - 1, n[several])),
             "gram": pd.array(np.concatenate((np.zeros(again.sum(), np.int64), (gram[several] >> np.uint64(1)).astype(np.int64))), "Int64").astype("Int64"),
@@ -146,9 +192,9 @@ def _contexts(marks: DataFrame, texts: DataFrame, shards: int, size: int) -> Dat
                 for s in spans.as_py():
                     for column, value in zip(out, ((s["gram"] + s["piece"] * _STEP) % shards, doc.as_py(), s["first"], s["n"], s["split"], raw[s["first"] : s["first"] + s["n"] + size - 1]), strict=True):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], names=["shard", "doc_id", "first", "n", "split", "raw"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], names=["shard", "doc_id", "first", "n", "split", "raw"])
 
-    return texts.join(wanted, "doc_id").select("doc_id", "text", "spans").mapInArrow(run, "shard int, doc_id long, first long, n long, split boolean, raw binary")
+    return texts.join(wanted, "doc_id").select("doc_id", "text", "spans").mapInArrow(run, "shard long, doc_id long, first long, n long, split boolean, raw binary")
 
 
 def _runs(doc: np.ndarray, place: np.ndarray, size: int) -> dict[str, np.ndarray]:
@@ -235,13 +281,14 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
     """(doc_id, first, n): runs of bytes of docs (doc_id, text; no two equal texts) that repeat; they may overlap."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = int(min(65536, max(1, -(-total * 34 * 2 // (size - gram) // ENTRY_BYTES))))
+    shards = int(max(1, -(-total * 34 * 2 // (size - gram) // ENTRY_BYTES)))
+    frequent = Frequent(frequent_grams(docs, size, gram))
     marks = materialise(
-        _listed(docs, shards, size, gram).groupBy("shard").applyInPandas(_sifted(size, CONTEXT_BYTES), _MARK + ", whole boolean"), "marks"
+        _listed(docs, shards, size, gram, frequent).groupBy("shard").applyInPandas(_sifted(size, CONTEXT_BYTES, frequent), _MARK + ", whole boolean"), "marks"
     )
     volume, split = marks.where("not whole").agg(F.sum(F.col("n") + size - 1), F.sum(F.when(F.col("split"), F.col("n")))).first()
-    sorts = int(min(1 << 20, max(1, -(-(volume or 0) // CONTEXT_BYTES))))
-    parts = int(min(65536, max(1, -(-(split or 0) * _STRING.itemsize // ENTRY_BYTES))))
+    sorts = int(max(1, -(-(volume or 0) // CONTEXT_BYTES)))
+    parts = int(max(1, -(-(split or 0) * _STRING.itemsize // ENTRY_BYTES)))
     found = _contexts(marks, docs, sorts, size).groupBy("shard").applyInPandas(_sorted_repeats(size, parts), "doc_id long, first long, n long, part int, packed binary")
     whole = marks.where("whole").select("doc_id", "first", "n")
     if not split:
@@ -254,16 +301,31 @@ def repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
 def deduplicate(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of docs (doc_id, text)."""
     text = F.coalesce("text", F.lit(""))
-    facts = materialise(docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("digest")), "digests")
-    groups = facts.groupBy("digest").agg(F.min("doc_id").alias("winner"), F.count("*").alias("size")).where("size > 1")
-    copies = materialise(facts.where(f"n_bytes >= {size}").join(groups, "digest").where("doc_id <> winner").select("doc_id"), "copies")
-    firsts = materialise(docs.where(F.octet_length("text") >= size).select("doc_id", "text").join(copies, "doc_id", "left_anti"), "firsts")
+    keyed = docs.select("doc_id", text.alias("text"), F.unhex(F.sha2(text, 256)).alias("digest"))
+    facts = materialise(keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest"), "digests")
+    order_of = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
+    groups = facts.where(f"n_bytes >= {size}").groupBy("digest").agg(F.min(order_of).alias("winner"), F.count("*").alias("size")).where("size > 1").drop("size")
+    copies = materialise(facts.join(groups, "digest").where(order_of != F.col("winner")).select("doc_id", "digest").distinct(), "copies")
+    long_ = keyed.where(F.octet_length("text") >= size)
+    alone = facts.where(f"n_bytes >= {size}").join(copies, ["doc_id", "digest"], "left_anti")
+    if alone.where("doc_id is null").isEmpty() and alone.groupBy("doc_id").count().where("count > 1").isEmpty():
+        firsts = long_.join(copies, ["doc_id", "digest"], "left_anti").select("doc_id", "text")
+        number = None
+    else:  # ids that don't tell documents apart: they are numbered, in the order of id and digest
+        number = materialise(alone.select("doc_id", "digest").distinct().orderBy("doc_id", "digest").withColumn("seq", F.monotonically_increasing_id()), "numbers")
+        firsts = long_.join(number.withColumnRenamed("doc_id", "own"), "digest").where(F.col("doc_id").eqNullSafe(F.col("own"))).dropDuplicates(["seq"]).select(F.col("seq").alias("doc_id"), "text")
+    firsts = materialise(firsts, "firsts")
     found = materialise(repeats(firsts, size, gram), "repeats")
     runs = found.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
     cut = firsts.join(runs, "doc_id").select("doc_id", "text", "runs").mapInArrow(_cut, "doc_id long, n_removed long, n_spans long, kept_sha256 string")
-    gone = copies.withColumn("copy", F.lit(True)).distinct()
     empty = hashlib.sha256(b"").hexdigest()
-    return facts.join(gone, "doc_id", "left").join(cut.dropDuplicates(["doc_id"]), "doc_id", "left").select(
+    rows = facts.alias("f").join(copies.withColumn("copy", F.lit(True)).alias("c"), (F.col("f.digest") == F.col("c.digest")) & (F.col("f.doc_id") == F.col("c.doc_id")), "left").select("f.*", "copy")
+    if number is None:
+        rows = rows.join(cut, "doc_id", "left")
+    else:
+        cut = cut.withColumnRenamed("doc_id", "seq").join(number, "seq").drop("seq")
+        rows = rows.alias("f").join(cut.alias("n"), (F.col("f.digest") == F.col("n.digest")) & F.col("f.doc_id").eqNullSafe(F.col("n.doc_id")), "left").select("f.*", "n_removed", "n_spans", "kept_sha256")
+    return rows.select(
         "doc_id", "n_bytes",
         F.when(F.col("copy"), F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(F.col("copy"), F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),

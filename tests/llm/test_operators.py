@@ -469,3 +469,46 @@ def test_suffix_dedup_splits_hot_grams(spark, monkeypatch):
         assert got[i][1] == sum(gone) and got[i][3] == hashlib.sha256(kept).hexdigest(), i
     held = seen[0].selectExpr("shard", "length(raw) as size").groupBy("shard").sum("size").toPandas()["sum(size)"]
     assert held.max() < 10 * suffix_dedup.CONTEXT_BYTES < held.sum() / 4
+
+
+def test_suffix_dedup_of_repeated_and_missing_ids(spark):
+    rng = random.Random(19)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    rows = [(5, a), (5, a), (6, a), (7, b), (7, a[:150] + c), (7, b), (8, b[:200]), (9, None), (9, None), (None, c)]
+    got = sorted((tuple(r) for r in suffix_dedup.deduplicate(table(spark, rows)).collect()), key=str)
+    twins = sorted((hashlib.sha256(t.encode()).digest(), t) for t in (b, a[:150] + c))
+    numbered = list(enumerate([c, a, *(t for _, t in twins), b[:200]]))
+    gone = brute.repeated_bytes(numbered)
+    answer = {t: (len(t), sum(gone[k]), sum(g and not (i and gone[k][i - 1]) for i, g in enumerate(gone[k])), hashlib.sha256(bytes(x for x, g in zip(t.encode(), gone[k], strict=True) if not g)).hexdigest()) for k, t in numbered}
+    nothing = (0, 0, 0, hashlib.sha256(b"").hexdigest())
+    want = [(5, *answer[a])] * 2 + [(6, len(a), len(a), 1, nothing[3])] + [(7, *answer[b])] * 2 + [(7, *answer[a[:150] + c]), (8, *answer[b[:200]]), (9, *nothing), (9, *nothing), (None, *answer[c])]
+    assert got == sorted(want, key=str)
+
+
+def test_suffix_dedup_deals_out_frequent_grams(spark, monkeypatch):
+    rng = random.Random(21)
+    passage = prose(rng, 60)
+    rows = [(k, f"{prose(rng, 25)} {passage} {prose(rng, 25)}" if k % 3 else prose(rng, 40) + passage) for k in range(400)]
+    monkeypatch.setattr(suffix_dedup, "FREQUENT", 40)
+    monkeypatch.setattr(suffix_dedup, "SAMPLED", 1)
+    parts = suffix_dedup.frequent_grams(table(spark, rows), suffix_dedup.SIZE, suffix_dedup.GRAM)
+    assert len(parts) > 3 and max(parts.values()) >= 5
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.deduplicate(table(spark, rows)).collect()}
+    for i, gone in brute.repeated_bytes(rows).items():
+        kept = bytes(c for c, g in zip(rows[i][1].encode(), gone, strict=True) if not g)
+        assert got[i][1] == sum(gone) and got[i][3] == hashlib.sha256(kept).hexdigest(), i
+
+
+def test_suffix_sort_spills_shards_over_its_limit(monkeypatch):
+    """A shard forty times its queues' limit, sorted through files, as without them."""
+    rng = np.random.default_rng(4)
+    data = np.concatenate([rng.integers(97, 101, 60_000), np.tile(rng.integers(97, 123, 500), 40)]).astype(np.uint8)
+    spilled, spill = [], suffix.Queue._spill
+    monkeypatch.setattr(suffix.Queue, "_spill", lambda self: (spilled.append(self.held), spill(self))[1])
+    small = suffix.suffix_array(data, 100, limit=len(data) * 4 // 40)
+    assert len(spilled) > 40
+    spilled.clear()
+    plain = suffix.suffix_array(data, 100)
+    assert not spilled
+    raw = data.tobytes()
+    assert [raw[k : k + 100] for k in small] == [raw[k : k + 100] for k in plain] == sorted(raw[k : k + 100] for k in range(len(raw)))
