@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkmill.functions.text import unix
+from inkmill.functions.text import folded, is_ascii, prose_scan, unix, word_count
 
 # The word lists and patterns that results must agree on.
 VOCABULARY = (
@@ -35,7 +35,7 @@ PATTERNS: dict[str, tuple[list[str], list[str]]] = {
     "curly_quotes": (["[“”‘’]"], []),
     "emoji": ([EMOJI], []),
     "bold": ([r"\*\*[^*\n]+\*\*"], []),
-    "ai_vocab": ([], ["(?i)" + "|".join(rf"\b{w}\b" for w in VOCABULARY)]),
+    "ai_vocab": ([], [r"(?i)\b(?:" + "|".join(VOCABULARY) + r")\b"]),
     "inline_header_bullets": ([r"(?m)^[ \t]*[-*+][ \t]+\*\*[^*\n]+\*\*:"], []),
     "negative_parallelism": ([], [
         r"(?i)\bnot just\b[^.!?\n]{0,60}?\b(?:but|it'?s|its)\b", r"(?i)\bnot only\b[^.!?\n]{0,60}?\bbut\b", r"(?i)\bnot merely\b[^.!?\n]{0,60}?\b(?:but|it'?s)\b",
@@ -64,6 +64,20 @@ PATTERNS: dict[str, tuple[list[str], list[str]]] = {
     ]),
     "false_range": ([], [r"(?i)\bfrom\s+(?:the\s+)?\w[\w\s'-]{2,30}?\s+to\s+(?:the\s+)?\w"]),
 }
+#: What every match of each pattern holds, in lower case, in the order of PATTERNS; "" where there is nothing of the kind.
+GATES: dict[str, list[str]] = {
+    "em_dash": ["—", "--"], "bold": ["**"], "inline_header_bullets": ["**"], "negative_parallelism": ["not just", "not only", "not merely", "t just", ", just"],
+    "copula_avoidance": ["serve", "stand", "boast", "represent", "mark"], "participial_tail": [","],
+    "filler": [
+        "in order to", "due to the fact that", "at this point in time", "in the event that", "has the ability to", "have the ability to", "it is important to note that",
+        "it should be noted that", "when it comes to", "in terms of",
+    ],
+    "chat_artifacts": ["i hope this helps", "let me know if you", "certainly", "of course", "would you like me to", "for you", "feel free to"],
+    "cutoff_disclaimer": ["as of my", "while specific details are", "available information", "my training data", "have access to real"],
+    "sycophancy": ["great question", "absolutely right", "an excellent point", "what a ", "excellent question"],
+    "generic_uplift": ["the future looks bright", "exciting times", "journey toward", "a step in the right direction", "continues to thrive", "only time will tell"],
+    "false_range": ["from"],
+}
 HEDGE = r"(?i)\b(?:" + "|".join(HEDGES) + r")\b"
 WORD_ON_ASCII = r"\w(?:[\w'-]*\w)?"
 
@@ -76,23 +90,42 @@ class Detector:
     floor: float
     min_count: int
     column: Callable[[Column, Column], Column]
+    lowered: bool = False
 
 
 DETECTORS: dict[str, Detector] = {}
 
 
-def register_detector(key: str, label: str, gated: bool, floor: float, min_count: int, column: Callable[[Column, Column], Column]) -> None:
-    """column: (prepared text, its ASCII copy) to a count."""
-    DETECTORS[key] = Detector(key, label, gated, floor, min_count, column)
+def register_detector(key: str, label: str, gated: bool, floor: float, min_count: int, column: Callable[[Column, Column], Column], lowered: bool = False) -> None:
+    """column: (prepared text, its ASCII copy, in lower case if lowered) to a count."""
+    DETECTORS[key] = Detector(key, label, gated, floor, min_count, column, lowered)
+
+
+def _lowered(pattern: str) -> str:
+    """The pattern for a lower-cased ASCII text, in which case needn't be ignored; words that start alike are tried once."""
+    flags, body = ("", pattern) if not pattern.startswith("(?") or pattern[2] == ":" else pattern[2:].split(")", 1)
+    for words in (VOCABULARY, PARTICIPLES, HEDGES):
+        body = body.replace("(?:" + "|".join(words) + ")", _branches(words))
+    return f"(?{flags.replace('i', '')}d)" + body.lower()
+
+
+def _branches(words: list[str]) -> str:
+    """An alternative of the words in which a common first letter stands once, and so on; longer words come first."""
+    heads = {w[:1]: [x[1:] for x in words if x[:1] == w[:1]] for w in words if w}
+    parts = [h + (_branches(rest) if len(rest) > 1 else rest[0]) for h, rest in heads.items()] + [""] * ("" in words)
+    return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
 
 
 def _counted(key: str) -> Callable[[Column, Column], Column]:
-    def column(text: Column, ascii_text: Column) -> Column:
+    def column(text: Column, low: Column) -> Column:
         whole, plain = PATTERNS[key]
-        parts = [F.regexp_count(text, F.lit(unix(p))) for p in whole] + [F.regexp_count(ascii_text, F.lit(unix(p))) for p in plain]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out + p
+        gates = GATES.get(key, [""] * (len(whole) + len(plain)))
+        out = F.lit(0)
+        for on, pattern, gate in zip([text] * len(whole) + [low] * len(plain), [*map(unix, whole), *map(_lowered, plain)], gates, strict=True):
+            times = F.regexp_count(on, F.lit(pattern))
+            if on is text and not gate:  # marks outside ASCII
+                times = F.when(is_ascii(text), F.lit(0)).otherwise(times)
+            out = out + (F.when(on.contains(gate), times).otherwise(F.lit(0)) if gate else times)
         return out
 
     return column
@@ -108,12 +141,14 @@ def _title_case(text: Column, ascii_text: Column) -> Column:
         capital = F.size(F.filter(rest, lambda w: F.regexp_like(w, F.lit("^[A-Z]")) & F.regexp_like(w, F.lit("[a-z]"))))
         return (F.size(words) >= 3) & (capital >= F.greatest(F.lit(2), F.floor(F.size(rest) * 0.7).cast("int")))
 
-    return F.size(F.filter(F.regexp_extract_all(ascii_text, F.lit(unix(HEADING_LINE)), F.lit(1)), hit))
+    return F.when(ascii_text.contains("#"), F.size(F.filter(F.regexp_extract_all(ascii_text, F.lit(unix(HEADING_LINE)), F.lit(1)), hit))).otherwise(F.lit(0))
 
 
 def _hedged(text: Column, ascii_text: Column) -> Column:
     """Sentences with three hedges or more."""
-    return F.size(F.filter(F.split(ascii_text, r"(?<=[.!?])\s+"), lambda s: F.regexp_count(s, F.lit(unix(HEDGE))) >= 3))
+    hedge = F.lit(_lowered(HEDGE))
+    stacked = F.size(F.filter(F.split(ascii_text, r"(?<=[.!?])\s+"), lambda s: F.regexp_count(s, hedge) >= 3))
+    return F.when(F.regexp_count(ascii_text, hedge) >= 3, stacked).otherwise(F.lit(0))
 
 
 # Labels, floors and least counts, in the order of the report.
@@ -126,7 +161,7 @@ for _key, _label, _gated, _floor, _least in (
     ("cutoff_disclaimer", "knowledge-cutoff disclaimer", False, 0.0, 1), ("sycophancy", "sycophancy", False, 0.0, 1), ("generic_uplift", "generic uplift", True, 2.0, 1),
     ("false_range", "false ranges", True, 3.0, 2),
 ):
-    register_detector(_key, _label, _gated, _floor, _least, {"title_case_headings": _title_case, "hedge_stack": _hedged}.get(_key) or _counted(_key))
+    register_detector(_key, _label, _gated, _floor, _least, {"title_case_headings": _title_case, "hedge_stack": _hedged}.get(_key) or _counted(_key), _key != "title_case_headings")
 
 
 def registry(spark: SparkSession) -> DataFrame:
@@ -138,12 +173,13 @@ def registry(spark: SparkSession) -> DataFrame:
 def counts(docs: DataFrame, *keep: str) -> DataFrame:
     """One row a document and detector: the kept columns, words, key and count.
 
-    The text is prepared and folded once, and the counters are cast from one struct, so that
-    no later filter makes them prepare it anew.
+    The text is prepared, folded and lower-cased once, and the counters are cast from one struct,
+    so that no later filter makes them do it anew. A pattern runs on texts that hold what its
+    matches hold.
     """
-    from inkmill.functions.text import folded, prose_scan, word_count
-
+    prose, plain, low = F.col("prose"), F.col("plain"), F.col("low")
     prepared = docs.select(*keep, F.explode(F.array(prose_scan(F.col("text")))).alias("prose"))
-    prepared = prepared.select(*keep, "prose", F.explode(F.array(folded(F.col("prose")))).alias("plain"))
-    pairs = F.array(*(F.struct(F.lit(d.key).alias("key"), d.column(F.col("prose"), F.col("plain")).cast("long").alias("count")) for d in DETECTORS.values()))
-    return prepared.select(*keep, word_count(F.col("prose")).alias("words"), F.explode(pairs).alias("c")).select(*keep, "words", "c.key", "c.count")
+    prepared = prepared.select(*keep, "prose", F.explode(F.array(folded(prose))).alias("plain"))
+    prepared = prepared.select(*keep, "prose", "plain", F.explode(F.array(F.lower(plain))).alias("low"))
+    pairs = F.array(*(F.struct(F.lit(d.key).alias("key"), d.column(prose, low if d.lowered else plain).cast("long").alias("count")) for d in DETECTORS.values()))
+    return prepared.select(*keep, word_count(prose).alias("words"), F.explode(pairs).alias("c")).select(*keep, "words", "c.key", "c.count")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -55,23 +56,45 @@ def longest_flat_run(values: Column) -> Column:
     return F.when(F.size(values) < FLAT_SENTENCES, F.lit(0).cast("long")).otherwise(F.aggregate(values, start, step, lambda s: s["best"]))
 
 
-def _one_way(tokens: list[str]) -> float:
-    factors, seen, count = 0.0, set(), 0
-    for token in tokens:
-        count += 1
-        seen.add(token)
-        if len(seen) / count <= MTLD_THRESHOLD:
-            factors, count = factors + 1, 0
-            seen.clear()
-    if count:
-        factors += (1 - len(seen) / count) / (1 - MTLD_THRESHOLD)
-    return len(tokens) / max(factors, MTLD_LEAST)
+def _earlier(codes: np.ndarray) -> np.ndarray:
+    """Where each token stood last before, or -1."""
+    order = np.argsort(codes, kind="stable")
+    out = np.full(len(codes), -1)
+    same = codes[order[1:]] == codes[order[:-1]]
+    out[order[1:][same]] = order[:-1][same]
+    return out
+
+
+def _diversity(codes: np.ndarray) -> float:
+    """Tokens a factor. A factor ends at the first token at which the share of types since its start is down to the threshold; what is left at the end is part of one."""
+    earlier, start, whole, part = _earlier(codes), 0, 0, 0.0
+    while start < len(codes):
+        reach = 64
+        while True:
+            types = np.cumsum(earlier[start : start + reach] < start)
+            share = types / np.arange(1, len(types) + 1)
+            ends = np.flatnonzero(share <= MTLD_THRESHOLD)
+            if len(ends) or start + reach >= len(codes):
+                break
+            reach *= 2
+        if len(ends):
+            whole, start = whole + 1, start + int(ends[0]) + 1
+        else:
+            part, start = (1 - share[-1]) / (1 - MTLD_THRESHOLD), len(codes)
+    return len(codes) / max(whole + part, MTLD_LEAST)
+
+
+def lexical_diversity(tokens: np.ndarray | list[str] | None) -> float | None:
+    if tokens is None or len(tokens) < MTLD_TOKENS:
+        return None
+    codes = pd.factorize(np.asarray(tokens, object))[0]
+    return (_diversity(codes) + _diversity(codes[::-1])) / 2
 
 
 @pandas_udf(DoubleType())
 def mtld(tokens: pd.Series) -> pd.Series:
-    """Lexical diversity: tokens a factor, forwards and backwards; null under 100 tokens. A set that grows along the text has no built-in form."""
-    return tokens.map(lambda t: None if t is None or len(t) < MTLD_TOKENS else (_one_way(list(t)) + _one_way(list(t)[::-1])) / 2)
+    """Lexical diversity: tokens a factor, forwards and backwards; null under 100 tokens. Factors that start where the last one ended have no built-in form."""
+    return tokens.map(lexical_diversity)
 
 
 @pandas_udf(DoubleType())

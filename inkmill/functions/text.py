@@ -6,11 +6,14 @@ are spelled out, and the detectors match on an ASCII copy of the text (`folded`)
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: What counts as white space in Unicode text.
 SPACE = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+# Fixed values, down to the functions: patterns that results must agree on.
 #: A word: letters, digits and underscores, with apostrophes and hyphens inside.
 TOKEN = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_'-]*[\p{L}\p{N}_])?"
 FRONT_MATTER = r"(?s)\A---\n.*?\n---\n"
@@ -20,6 +23,12 @@ QUOTED = rf"(?m)^[{SPACE}]*>.*$"
 HEADING = rf"(?m)^#{{1,6}}[{SPACE}].*$"
 PARAGRAPH_BREAK = rf"\n[{SPACE}]*\n"
 SENTENCE_END = r"(?<=[.!?])[\"')\]]* +"
+#: Where lines of any convention end.
+LINE_END = r"\r\n|[\n\x0B\x0C\r\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+SUBJECT_MARKS = rf"\A[`#>*\-{SPACE}]+"
+COURTESY = rf"(?i)\A[{SPACE}]*(?:here'?s?|here is|sure[,!]|certainly[,!]|of course[,!])[^\n]*\n+"
+LEADING_HEADING = rf"\A#+[{SPACE}].*\n+"
+BLOCK_END, LINE_BREAK, TAG, NUMBERED_ENTITY = r"(?i)</(?:p|div|li|h[1-6]|blockquote)>", rf"(?i)<br[{SPACE}]*/?>", "<[^>]+>", "&#[0-9]+;"
 
 
 def unix(pattern: str) -> str:
@@ -31,10 +40,26 @@ def _drop(text: Column, pattern: str, by: str = "") -> Column:
     return F.regexp_replace(text, F.lit(unix(pattern)), F.lit(by))
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, F.lit(rf"\A[{SPACE}]+|[{SPACE}]+\z"), F.lit(""))
+
+
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
+def _where(step: tuple[str, ...], text: Column) -> Column:
+    """_drop by (mark, pattern, replacement) on the texts that hold the mark, which every match of the pattern does."""
+    return F.when(text.contains(step[0]), _drop(text, *step[1:])).otherwise(text)
+
+
 def prose_scan(text: Column) -> Column:
     """Text without front matter, fenced and inline code and quoted lines; null counts as empty."""
-    out = _drop(F.coalesce(text, F.lit("")), FRONT_MATTER)
-    return _drop(_drop(_drop(out, FENCE), INLINE_CODE, " "), QUOTED)
+    out = F.coalesce(text, F.lit(""))
+    for step in (("---", FRONT_MATTER), ("```", FENCE), ("`", INLINE_CODE, " "), (">", QUOTED)):
+        out = F.transform(F.array(out), functools.partial(_where, step))[0]  # so that each step's text is bound once
+    return out
 
 
 def prose_style(text: Column) -> Column:
@@ -46,7 +71,7 @@ def folded(text: Column) -> Column:
     """An ASCII copy, one character for one: white space to blanks, other letters and digits to 0, the rest to #."""
     out = F.regexp_replace(text, F.lit(r"[\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"), F.lit(" "))
     out = F.regexp_replace(out, F.lit(r"[^\x00-\x7F\P{L}]|[^\x00-\x7F\P{N}]"), F.lit("0"))
-    return F.regexp_replace(out, F.lit(r"[^\x00-\x7F]"), F.lit("#"))
+    return F.when(is_ascii(text), F.regexp_replace(text, F.lit(r"[\x0B\x1C-\x1F]"), F.lit(" "))).otherwise(F.regexp_replace(out, F.lit(r"[^\x00-\x7F]"), F.lit("#")))
 
 
 def tokens(text: Column) -> Column:
@@ -92,34 +117,30 @@ SKIPPED_TAGS = ("script", "style", "nav", "header", "footer", "aside", "form")
 def html_text(html: Column) -> Column:
     """The running text of a page: lines of more than eight words or with a sentence mark."""
     out = _drop(F.coalesce(html, F.lit("")), r"(?is)<(" + "|".join(SKIPPED_TAGS) + r")\b.*?</\1>", " ")
-    out = _drop(out, r"(?i)</(?:p|div|li|h[1-6]|blockquote)>", "\n\n")
-    out = _drop(_drop(out, rf"(?i)<br[{SPACE}]*/?>", "\n"), "<[^>]+>", " ")
+    out = _drop(_drop(_drop(out, BLOCK_END, "\n\n"), LINE_BREAK, "\n"), TAG, " ")
     for name, char in ENTITIES:
         out = F.replace(out, F.lit(name), F.lit(char))
     out = F.replace(out, F.lit("­"), F.lit(""))
-    out = _drop(_drop(_drop(out, "&#[0-9]+;", " "), "[ \t]+", " "), "\n{3,}", "\n\n")
+    out = _drop(_drop(_drop(out, NUMBERED_ENTITY, " "), "[ \t]+", " "), "\n{3,}", "\n\n")
     kept = F.filter(F.split(out, "\n"), lambda line: (F.regexp_count(line, F.lit(f"[^{SPACE}]+")) > 8) | F.regexp_like(line, F.lit("[.!?]")))
-    return F.regexp_replace(F.array_join(kept, "\n"), F.lit(rf"\A[{SPACE}]+|[{SPACE}]+\z"), F.lit(""))
+    return stripped(F.array_join(kept, "\n"))
 
 
 def clipped(text: Column, limit: int, mark: str = "\n[...]") -> Column:
     """Text without runs of blank lines, cut at limit characters, with a mark where something is missing."""
-    out = F.trim(_drop(text, "\n{3,}", "\n\n"))
+    out = _drop(stripped(text), "\n{3,}", "\n\n")
     return F.when(F.length(out) > limit, F.concat(F.left(out, F.lit(limit)), F.lit(mark))).otherwise(out)
 
 
 def without_preamble(text: Column) -> Column:
     """Generated text without a first line of courtesy and a leading heading."""
-    out = _drop(text, rf"(?i)\A[{SPACE}]*(?:here'?s?|here is|sure[,!]|certainly[,!]|of course[,!])[^\n]*\n+")
-    out = _drop(out, rf"\A#+[{SPACE}].*\n+")
-    return F.regexp_replace(_drop(out, "\n{3,}", "\n\n"), F.lit(rf"\A[{SPACE}]+|[{SPACE}]+\z"), F.lit(""))
+    return stripped(_drop(_drop(_drop(text, COURTESY), LEADING_HEADING), "\n{3,}", "\n\n"))
 
 
 def subject_line(text: Column) -> Column:
-    """The first line with something in it, without marks of markdown around it."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
-    first = F.coalesce(F.get(lines, F.lit(0)), F.lit(""))
-    return F.trim(F.btrim(F.trim(_drop(first, rf"\A[`#>*\-{SPACE}]+")), F.lit("`")))
+    """The first line with something in it, without white space and marks of markdown around it; lines end in any convention."""
+    lines = F.filter(F.transform(F.split(text, LINE_END), stripped), lambda x: x != "")
+    return F.btrim(stripped(_drop(F.coalesce(F.get(lines, F.lit(0)), F.lit("")), SUBJECT_MARKS)), F.lit("`"))
 
 
 def content_id(url: Column, digits: int = 12) -> Column:

@@ -44,6 +44,22 @@ def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
 DRAFTS = f"(SELECT doc_id, source AS author, text || ([{', '.join(map(S.quoted, SUFFIXES))}])[(doc_id % {len(SUFFIXES)}) + 1] AS text FROM documents)"
 
 
+def rough_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drafts of which a third has line ends of two characters and a blank head, and a third white space outside ASCII around it."""
+    text, third = F.col("text"), F.pmod("doc_id", F.lit(3))
+    windows = F.concat(F.lit("\r\n\t "), F.replace(text, F.lit("\n"), F.lit("\r\n")), F.lit(" \r\n\n"))
+    wide = F.concat(F.lit("\u00a0\u2028 "), text, F.lit("\u2003\x1f"))
+    return drafts(spark, sf_dir).withColumn("text", F.when(third == 1, windows).when(third == 2, wide).otherwise(text))
+
+
+ROUGH_DRAFTS = f"""(SELECT doc_id, CASE doc_id % 3 WHEN 1 THEN chr(13) || chr(10) || chr(9) || ' ' || replace(text, chr(10), chr(13) || chr(10)) || ' ' || chr(13) || chr(10) || chr(10)
+  WHEN 2 THEN chr(160) || chr(8232) || ' ' || text || chr(8195) || chr(31) ELSE text END AS text FROM {DRAFTS})"""
+_WHITE = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+_ENDS = "".join(map(chr, (11, 12, 13, 28, 29, 30, 0x85, 0x2028, 0x2029)))
+_LINES = f"string_split(translate(replace(text, chr(13) || chr(10), chr(10)), {S.quoted(_ENDS)}, repeat(chr(10), {len(_ENDS)})), chr(10))"
+FIRST_LINE = f"coalesce(list_filter(list_transform({_LINES}, lambda l: trim(l, {S.quoted(_WHITE)})), lambda l: l <> '')[1], '')"
+
+
 def spaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, author and text, with a blank line for every line break."""
     return spread(documents(spark, sf_dir).select("doc_id", F.col("source").alias("author"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text")), "doc_id")
@@ -232,8 +248,8 @@ QUERIES = {
     "corpus_spread": corpus_spread,
     "excerpts": lambda s, d: dataset.excerpts(dataset.fetched(pages(s, d)).select("page_id", "text")),
     "median_words": lambda s, d: dataset.upper_median(documents(s, d).select("lang", T.blank_words(F.col("text")).alias("words")), "lang", "words"),
-    "clipped": lambda s, d: drafts(s, d).select("doc_id", F.md5(T.clipped(F.col("text"), 2600)).alias("clip_md5"), F.md5(T.clipped(F.col("text"), 3000)).alias("feature_clip_md5")),
-    "subject_lines": lambda s, d: drafts(s, d).select("doc_id", T.subject_line(F.col("text")).alias("subject")),
+    "clipped": lambda s, d: rough_drafts(s, d).select("doc_id", F.md5(T.clipped(F.col("text"), 2600)).alias("clip_md5"), F.md5(T.clipped(F.col("text"), 3000)).alias("feature_clip_md5")),
+    "subject_lines": lambda s, d: rough_drafts(s, d).select("doc_id", T.subject_line(F.col("text")).alias("subject")),
     "generated_clean": lambda s, d: dataset.generated(drafts(s, d).select("doc_id", F.concat(F.lit("Sure, here it is:\n\n# A title\n"), "text").alias("text"))).select("doc_id", "words", "used", F.md5("text").alias("text_md5")),
 }
 
@@ -275,7 +291,7 @@ ORACLES = {
     "corpus_spread": _SPREAD,
     "excerpts": _EXCERPTS,
     "median_words": f"SELECT lang, count(*) AS n, list(words ORDER BY words)[count(*) // 2 + 1]::BIGINT AS upper_median FROM (SELECT lang, {S.blank_words('text')} AS words FROM documents) GROUP BY lang",
-    "clipped": "SELECT doc_id, " + ", ".join(f"md5(CASE WHEN length(t) > {n} THEN left(t, {n}) || chr(10) || '[...]' ELSE t END) AS {name}" for n, name in ((2600, "clip_md5"), (3000, "feature_clip_md5"))) + f" FROM (SELECT doc_id, trim(regexp_replace(text, '\n{{3,}}', chr(10) || chr(10), 'g')) AS t FROM {DRAFTS})",
-    "subject_lines": f"SELECT doc_id, trim(trim(trim(regexp_replace(coalesce(list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(l)), lambda l: l <> '')[1], ''), {S.quoted(rf'^[`#>*{chr(92)}-{T.SPACE}]+')}, '')), '`')) AS subject FROM {DRAFTS}",
+    "clipped": "SELECT doc_id, " + ", ".join(f"md5(CASE WHEN length(t) > {n} THEN left(t, {n}) || chr(10) || '[...]' ELSE t END) AS {name}" for n, name in ((2600, "clip_md5"), (3000, "feature_clip_md5"))) + f" FROM (SELECT doc_id, regexp_replace(trim(text, {S.quoted(_WHITE)}), '\n{{3,}}', chr(10) || chr(10), 'g') AS t FROM {ROUGH_DRAFTS})",
+    "subject_lines": f"SELECT doc_id, trim(trim(ltrim({FIRST_LINE}, {S.quoted('`#>*-' + _WHITE)}), {S.quoted(_WHITE)}), '`') AS subject FROM {ROUGH_DRAFTS}",
     "generated_clean": f"SELECT doc_id, {S.blank_words('t')}::BIGINT AS words, {S.blank_words('t')} >= {dataset.GENERATED_WORDS} AS used, md5(t) AS text_md5 FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '\n{{3,}}', chr(10) || chr(10), 'g'), {S.quoted(_STRIP)}, '', 'g') AS t FROM {DRAFTS})",
 }

@@ -23,6 +23,29 @@ def test_every_detector(spark):
     assert sum(counted(spark, None).values()) == 0
 
 
+def test_gated_patterns_count_what_plain_ones_do(spark):
+    """On texts put together from the words of all patterns, whole and cut, against the patterns as written, case ignored."""
+    import random
+    import re
+
+    rng = random.Random(11)
+    pieces = [*D.VOCABULARY, *D.HEDGES, *(f", {w}" for w in D.PARTICIPLES), *(g for own in D.GATES.values() for g in own), "It's", "isn't just", "no way, no how, just", "from the", "to a", "**b**:", "- ", "\n", ". ", "!", "but", "its", "here's a", "I don't have access to real-time", "serves as", "marks a", "—", "“", "☀", "é", "You're absolutely right", "What a great", "Let me know if you"]
+    texts = []
+    for _ in range(150):
+        words = [rng.choice(pieces) for _ in range(rng.randint(1, 60))]
+        texts.append("".join((w[:-1] if rng.random() < 0.1 else w.upper() if rng.random() < 0.1 else w) + rng.choice((" ", " ", " ", "", "\n")) for w in words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    from inkmill.functions import text as T
+
+    plain = {r["id"]: (r["p"], r["q"]) for r in docs.select("id", T.prose_scan(F.col("text")).alias("p")).select("id", "p", T.folded(F.col("p")).alias("q")).collect()}
+    got = {(r["id"], r["key"]): r["count"] for r in D.counts(docs, "id").collect()}
+    for key, (whole, ascii_ones) in D.PATTERNS.items():
+        if key != "emoji":
+            for k, (p, q) in plain.items():
+                want = sum(sum(1 for _ in re.finditer(x, p)) for x in whole) + sum(sum(1 for _ in re.finditer(x, q, re.ASCII)) for x in ascii_ones)
+                assert got[k, key] == want, (key, texts[k])
+
+
 HISTORY = " ".join(["word"] * 195) + " one — two — three — **bold** — **again**"
 SLOP = "We delve into a vibrant, robust realm, a testament. " + "plain " * 60 + "I hope this helps. It's not just x, it's y."
 CLEAN = "plain words " * 70 + "with one — or two — dashes."

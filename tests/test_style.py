@@ -3,7 +3,7 @@ import random
 import pytest
 
 from inkmill.operators import dataset, style
-from inkmill.functions.metrics import _one_way
+from inkmill.functions.metrics import lexical_diversity
 
 
 def measured(spark, *texts, **more):
@@ -22,9 +22,9 @@ def test_edges(spark):
 
 
 def test_mtld_of_filler():
-    assert _one_way(["a"] * 100) == pytest.approx(2.0)
+    assert lexical_diversity(["a"] * 100) == pytest.approx(2.0)
     rng = random.Random(3)
-    assert _one_way([f"w{rng.randrange(40)}" for _ in range(2000)]) == pytest.approx(30, abs=12)
+    assert lexical_diversity([f"w{rng.randrange(40)}" for _ in range(2000)]) == pytest.approx(30, abs=12)
 
 
 def test_worst_openings(spark):
@@ -90,3 +90,23 @@ def test_rarity(spark):
     docs = spark.createDataFrame([(1, "The the rare 3x"), (2, "unknown")], "doc_id long, text string")
     table = spark.createDataFrame([("the", 7.0), ("rare", 3.0), ("zero", 0.0)], "word string, zipf double")
     assert [(r["doc_id"], r["zipf_mean"]) for r in style.rarity(docs, table).collect()] == [(1, 5.67)]
+
+
+def test_diversity_against_a_walk_along_the_text():
+    import random
+
+    from inkmill.functions.metrics import MTLD_THRESHOLD, lexical_diversity
+
+    rng = random.Random(4)
+    for _ in range(60):
+        words = [f"w{int(rng.paretovariate(0.6)) % rng.randint(5, 900)}" for _ in range(rng.randint(100, 700))]
+        total = 0.0
+        for way in (words, words[::-1]):
+            begin, whole = 0, 0
+            for end in range(1, len(way) + 1):
+                if len(set(way[begin:end])) <= MTLD_THRESHOLD * (end - begin):
+                    whole, begin = whole + 1, end
+            rest = way[begin:]
+            total += len(way) / max(1e-9, whole + ((1 - len(set(rest)) / len(rest)) / (1 - MTLD_THRESHOLD) if rest else 0))
+        assert lexical_diversity(words) == pytest.approx(total / 2)
+    assert lexical_diversity(["a"] * 99) is None and lexical_diversity(None) is None

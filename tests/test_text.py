@@ -40,3 +40,7 @@ def test_generated_and_subject(spark):
     assert one(spark, "Sure, here you go:\n\n# Title\nText.\n\n\n\nMore.", T.without_preamble) == "Text.\n\nMore."
     assert one(spark, "\n  ## `fix: the thing`  \nbody", T.subject_line) == "fix: the thing"
     assert one(spark, "a" * 20, lambda c: T.clipped(c, 5)) == "aaaaa\n[...]"
+    assert one(spark, "\n\nhello\n\n", lambda c: T.clipped(c, 2600)) == "hello"
+    assert one(spark, "\u00a0\x1fa\r\n\n\n\nb\t\u2028", lambda c: T.clipped(c, 2600)) == "a\r\n\nb"
+    subjects = {"fix bug.\r\nbody": "fix bug.", "\t\nfix: it": "fix: it", "\x85\u2029 > * `a b ` \x0bc": "a b ", "": "", " \n ": ""}
+    assert {x: one(spark, x, T.subject_line) for x in subjects} == subjects
