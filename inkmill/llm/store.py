@@ -2,43 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL: dict[str, str] = {}
+from inkmill.sources.scratch import new_path
+
 #: Bytes of a batch that goes to a Python worker, about; the JVM and the worker each hold one or two a task.
 ARROW_BYTES = 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests in one process), a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if "dir" not in _LOCAL:
-        _LOCAL["dir"] = tempfile.mkdtemp(prefix="inkmill-")
-    return _LOCAL["dir"]
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    root = f"{shared_dir(spark)}/inkmill-{spark.sparkContext.applicationId}"
-    if root not in _LOCAL:
-        _LOCAL[root] = root
-        atexit.register(_remove, spark, root)
-    return f"{root}/{label}-{uuid.uuid4().hex[:12]}"
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # noqa: BLE001 - the session may be gone; the folder is scratch space
-        pass
-
-
 def small_batches(spark: SparkSession) -> None:
     """Lowers the session's bound on Arrow batches: long texts would fill ones of 10,000 rows."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))

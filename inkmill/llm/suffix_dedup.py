@@ -309,7 +309,7 @@ def deduplicate(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFram
     long_ = keyed.where(F.octet_length("text") >= size)
     alone = facts.where(f"n_bytes >= {size}").join(copies, ["doc_id", "digest"], "left_anti")
     if alone.where("doc_id is null").isEmpty() and alone.groupBy("doc_id").count().where("count > 1").isEmpty():
-        firsts = long_.join(copies, ["doc_id", "digest"], "left_anti").select("doc_id", "text")
+        firsts = long_.join(copies.hint("merge"), ["doc_id", "digest"], "left_anti").select("doc_id", "text")
         number = None
     else:  # ids that don't tell documents apart: they are numbered, in the order of id and digest
         number = materialise(alone.select("doc_id", "digest").distinct().orderBy("doc_id", "digest").withColumn("seq", F.monotonically_increasing_id()), "numbers")
