@@ -10,7 +10,8 @@ Texts longer than a window are compressed window by window, each with the fresh
 dictionary, so that what a text says of itself doesn't drown the dictionary; the sizes
 add up over the whole text. Null texts and texts without a letter are ``und`` with score
 0. Null languages aren't learned from; with none to learn from, every text is ``und``.
-Repeated rows get equal answers; an empty table gives no rows.
+Repeated rows get equal answers, also with one id; an empty table gives no rows. Very long
+texts are one task's work each. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,10 +25,8 @@ from pyspark.sql import functions as F
 
 from inkmill.llm.store import documents
 
-#: Bounds of the sample: texts and bytes a language, and languages (the most frequent ones).
-SAMPLE_TEXTS = 160
-SAMPLE_BYTES = 64 << 10
-LANGUAGES = 256
+#: Bound of the sample: whole texts a language.
+SAMPLE_TEXTS = 48
 LEVEL = 6
 WINDOW_BYTES = 8 << 10
 #: Below this margin (bytes saved over bytes compressed) an answer is rejected.
@@ -38,21 +37,20 @@ def fold(column: str = "doc_id", folds: int = 5) -> F.Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % folds
 
 
-def learn(docs: DataFrame, texts: int = SAMPLE_TEXTS, size: int = SAMPLE_BYTES, languages: int = LANGUAGES) -> dict[str, bytes]:
+def learn(docs: DataFrame, texts: int = SAMPLE_TEXTS) -> dict[str, bytes]:
     """The dictionary of each language, from the labelled rows of docs. Which texts are taken depends on a hash of the id only.
 
-    One pass counts the languages; a second takes the texts under a hash bound that lets through about
-    twice as many as are wanted, and never more than three times.
+    One pass counts the languages, of which there are few; a second takes the texts under a hash bound that lets
+    through about twice as many as are wanted, and never more than three times.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)))
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()}
     if not counts:
         return {}
-    near, share = F.lit(False), F.lit(0)
+    near = F.lit(False)
     for name, n in counts.items():
         near = F.when(F.col("lang") == name, F.col("h") < F.lit(min(1 << 40, 2 * texts * (1 << 40) // n))).otherwise(near)
-        share = F.when(F.col("lang") == name, F.lit(max(1, size // min(texts, n)))).otherwise(share)
-    rows = labelled.where(near).select("lang", "doc_id", "h", F.substring(F.col("text"), F.lit(1), share).alias("text")).orderBy("h", "doc_id").limit(3 * texts * len(counts)).collect()
+    rows = labelled.where(near).select("lang", "doc_id", "h", "text").orderBy("h", "doc_id", "text").limit(3 * texts * len(counts)).collect()
     return {name: "\n".join([r["text"] for r in rows if r["lang"] == name][:texts]).encode() for name in counts}
 
 
