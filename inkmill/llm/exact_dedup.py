@@ -10,8 +10,11 @@ byte and a foreign digest can't pass. Arrivals that are found are repeats; those
 aren't group among themselves.
 
 Null text counts as empty; an empty table gives no rows. Texts are equal when identical
-after each run of white space becomes one space. Ties go to the smallest id. Further
-columns of the input are ignored.
+after each run of white space becomes one space. Ties go to the smallest id. Of equal rows
+of one id, drop_repeats keeps one; rows of one id with differing texts are texts of their
+own. Rows without id are in groups with others, never the first unless all lack one, and
+stay. Very long texts are normalised and hashed whole. Further columns of the input are
+ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from inkmill.llm.store import documents, materialise
 #: Digests in a shard, about; a shard's hash is built and used in one task's memory.
 SHARD_DIGESTS = 50_000
 _BUCKET = 4
+_DIGEST = "_inkmill_digest"  # beside the columns of documents
 _HASH = "shard int, seeds binary, digests binary, winners binary, sizes binary"
 
 
@@ -139,7 +143,7 @@ def groups(arrivals: DataFrame, index: DataFrame, shards: int) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """doc_id, digest, keep_id and group_size of every row."""
-    keyed = materialise(digests(docs), "digests", 20 * docs.count())
+    keyed = materialise(digests(docs), "digests")
     low, high, n = keyed.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
     split = 0 if low is None else (low + high) // 2
     shards = max(1, -(-n // SHARD_DIGESTS))
@@ -153,8 +157,14 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    gone = deduplicate(docs).where("doc_id <> keep_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
+    found = deduplicate(docs)
+    gone = found.where("doc_id <> keep_id").select("doc_id", "digest").distinct()
+    keyed = docs.withColumn(_DIGEST, F.unhex(F.sha2(normalised(), 256)))
+    kept = keyed.alias("d").join(gone.alias("g"), (F.col("d.doc_id") == F.col("g.doc_id")) & (F.col(f"d.{_DIGEST}") == F.col("g.digest")), "left_anti")
+    if not found.groupBy("doc_id", "digest").count().where("doc_id is not null and count > 1").isEmpty():
+        named = kept.where("doc_id is not null").dropDuplicates(["doc_id", _DIGEST])  # equal rows of one id
+        kept = named.unionByName(kept.where("doc_id is null"))
+    return kept.drop(_DIGEST)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
