@@ -9,7 +9,8 @@ towards that of the same branch on all hosts, which is smoothed towards the shar
 branches with a purity of at least BLOCK are rejected.
 
 The tree is worked out on one row for each host and masked path with its counts, so a host
-that has a third of all urls is as many rows as it has templates.
+that has a third of all urls is as many rows as it has masked paths; the children of one
+parent are counted by partial sums, not gathered.
 
 Null urls and urls without `://` have empty host and path and are judged as such. Repeated
 rows get equal verdicts; ties between equally long rules go to the first. An empty table
@@ -20,7 +21,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 #: (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -59,8 +59,8 @@ def judged(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
     ).withColumn("blocked", F.coalesce("blocked", F.lit(0))).withColumn("parts", F.expr("filter(split(masked, '/'), x -> x <> '')"))
     levels = counts.select("host", "masked", "n", F.posexplode("parts").alias("level", "part"), "parts").withColumn("parent", F.expr("array_join(slice(parts, 1, level), '/')"))
     children = levels.groupBy("host", "parent", "part").agg(F.sum("n").alias("rows"))
-    family = Window.partitionBy("host", "parent")
-    wild = children.withColumns({"kinds": F.count("*").over(family), "all": F.sum("rows").over(family)}).select(
+    families = children.groupBy("host", "parent").agg(F.count("*").alias("kinds"), F.sum("rows").alias("all"))
+    wild = children.join(families, ["host", "parent"]).select(
         "host", "parent", "part", F.when((F.col("kinds") >= CHILDREN) & (F.col("rows") < FREQUENT * F.col("all")), F.lit("*")).otherwise(F.col("part")).alias("node")
     )
     paths = levels.join(wild, ["host", "parent", "part"]).groupBy("host", "masked").agg(F.sort_array(F.collect_list(F.struct("level", "node"))).alias("nodes"))
@@ -68,9 +68,9 @@ def judged(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
         "host", "masked", "labelled", "blocked", F.expr("coalesce(transform(nodes, x -> x.node), array())").alias("nodes")
     ).withColumns({"above": F.expr("array_join(slice(nodes, 1, greatest(size(nodes) - 1, 0)), '/')"), "template": F.array_join("nodes", "/")})
     branch = nodes.groupBy("host", "above", "template").agg(F.sum("labelled").alias("k"), F.sum("blocked").alias("b"))
-    siblings = Window.partitionBy("host", "above")
+    siblings = branch.groupBy("host", "above").agg(F.sum("k").alias("sk"), F.sum("b").alias("sb"), F.count("*").alias("kin"))
     share = F.col("sb") / F.greatest(F.col("sk"), F.lit(1))
-    merged = branch.withColumns({"sk": F.sum("k").over(siblings), "sb": F.sum("b").over(siblings), "kin": F.count("*").over(siblings)}).withColumn(
+    merged = branch.join(siblings, ["host", "above"]).withColumn(
         "branch", F.when((F.col("kin") > 1) & (F.abs(F.col("b") - F.col("k") * share) <= ALIKE * F.sqrt(F.col("k") * share * (1 - share)) + 0.5), F.concat("above", F.lit("/~"))).otherwise(F.col("template"))
     )
     own = merged.groupBy("host", "branch").agg(F.sum("k").alias("k"), F.sum("b").alias("b"))
