@@ -18,11 +18,17 @@ Only components are wanted, so a list isn't expanded into its pairs. In a few ro
 is held against a hub of its lists, first the one whose shingles are the most common, as
 those of a text are that others were copied from. Lists whose sets have become one component
 drop out, and the pairs between different components that remain are all verified, where
-sizes and the shared shingle's places leave room for a link. Every link is
-verified on the exact sets: 100 * intersection >= 75 * union.
+sizes and the shared shingle's places leave room for a link. Which sizes and places do is
+told on the distinct ones of a list first, so that a list of many sets that can't be linked,
+as of texts that share most but not enough, is never paired. Every link between classes is
+verified on the exact sets: 100 * intersection >= 75 * union. That the sets of a class are
+equal is told by a 64-bit signature, over the set and its size.
 
 Null, empty and blank texts have no set, no links and themselves as component. Repeated
-rows are one class. An empty table gives no rows. Other columns are ignored.
+rows are one class, also with one id; where rows of one id have differing texts, each takes
+part, and drop_near keeps all of them if any is the first of its component. Rows without id take part, aren't
+the smallest, and stay. A very long text is one task's work. An empty table gives no rows.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +43,7 @@ from pyspark.sql import functions as F
 
 from inkmill.llm.components import components
 from inkmill.llm.store import FILE_ROWS, documents, materialise
-from inkmill.llm.words import row_sets, set_signatures, text_blocks
+from inkmill.llm.words import mix, row_sets, set_signatures, text_blocks
 
 PERCENT = 75
 #: Bytes of packed shingles in a shard, about, and the largest size that can be light.
@@ -98,7 +104,7 @@ def _packed(docs: DataFrame, shards: int, share: float) -> DataFrame:
                     first = np.concatenate(([0], np.cumsum(size)))
                     idx = np.repeat(np.arange(len(own)), size)
                     h = hashes[at[own][idx] + np.arange(first[-1]) - first[:-1][idx]]
-                    shard = ((h & _LOW16) * np.uint64(shards) >> np.uint64(16)).astype(np.int32)
+                    shard = ((mix(h) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
                     order = np.argsort(shard, kind="stable")
                     h, idx, shard = h[order], idx[order], shard[order]
                     cut = np.searchsorted(shard, np.arange(shards + 1))
@@ -131,7 +137,7 @@ def _shared(key: tuple, rows: pd.DataFrame, buckets: int) -> pd.DataFrame:
     df = np.repeat(count, count)
     keep = df > 1
     token, node, df = token[keep], node[keep], df[keep]
-    value = (token << np.uint64(16)) | np.minimum(df, 65535).astype(np.uint64)
+    value = (token << np.uint64(16)) | np.minimum(df, 65535).astype(np.uint64)  # numbers over that only tie in the order, which then goes by hash
     bucket = (sigs[node] % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort((node, bucket))
     value, node, bucket = value[order], node[order], bucket[order]
@@ -176,7 +182,7 @@ def _prefixes(key: tuple, rows: pd.DataFrame, share: float) -> pd.DataFrame:
 
 def _ordered(texts: DataFrame, shingles: int, share: float) -> DataFrame:
     """What _prefixes gives for all sets, with numbers counted on a share of the shingles."""
-    shards = int(min(65536, max(1, -(-int(shingles * share) * 8 // SHARD_BYTES))))
+    shards = int(max(1, -(-int(shingles * share) * 8 // SHARD_BYTES)))
     packed = _packed(texts, shards, share).groupBy("shard").applyInPandas(lambda key, rows: _shared(key, rows, shards), "bucket int, head binary, packed binary, node binary")
     return materialise(packed.groupBy("bucket").applyInPandas(lambda key, rows: _prefixes(key, rows, share), _PREFIX), "prefixes", shards * FILE_ROWS)
 
@@ -238,6 +244,30 @@ def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(open_, "key", "left_semi")
 
 
+_PROFILE = ("key", "n", "light", "pos")
+
+
+def _open_pairs(rows: DataFrame) -> DataFrame:
+    """The pairs of sets of different components that a list has and that may be linked. Lists are sorted out by their distinct sizes and places first."""
+    kinds = rows.select(*_PROFILE).distinct()
+    met = kinds.alias("x").join(kinds.alias("y"), "key").where(_may("x", "y")).select("key", *(F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in "xy" for c in _PROFILE[1:]))
+    side = lambda s: rows.select("key", F.col("sig").alias(f"{s}_sig"), F.col("label").alias(f"{s}_label"), *(F.col(c).alias(f"{s}_{c}") for c in _PROFILE[1:]))
+    paired = met.join(side("x"), ["key", *(f"x_{c}" for c in _PROFILE[1:])]).join(side("y"), ["key", *(f"y_{c}" for c in _PROFILE[1:])])
+    return paired.where("x_sig > y_sig and x_label <> y_label").select(F.col("x_sig").alias("a"), F.col("y_sig").alias("b")).distinct()
+
+
+def _of_their_sets(rows: DataFrame) -> DataFrame:
+    """Of rows (sig, text), those whose text has this signature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [set_signatures(*row_sets(raw, starts)).view(np.int64) for _, _, raw, starts in text_blocks(batch.column(1))]
+            own = np.concatenate([np.zeros(0, np.int64), *found])
+            yield batch.filter(pa.array(own == batch.column(0).to_numpy(zero_copy_only=False)))
+
+    return rows.mapInArrow(run, "sig long, text string")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,13 +286,15 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def link(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs (doc_id, text)."""
-    n_docs = docs.count()
-    base = materialise(set_rows(docs), "sets", 20 * n_docs)
+    base = materialise(set_rows(docs), "sets")
     classes = base.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
     sifted = _ordered(docs, base.agg(F.sum("n")).first()[0] or 0, SIFTED)
     n_alive = sifted.count()
     alive = sifted.select("sig").join(classes, "sig").select("sig", F.col("rep").alias("doc_id"))
-    texts = materialise(docs.select("doc_id", "text").join(alive, "doc_id").select("sig", "text").dropDuplicates(["sig"]), "texts", 20 * n_alive)
+    held = docs.select(F.col("doc_id").alias("own"), "text").join(alive, F.col("own").eqNullSafe(F.col("doc_id"))).select("sig", "text")
+    if not base.where("n > 0").groupBy("doc_id").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low <> high").isEmpty():
+        held = _of_their_sets(held)  # an id that has several texts
+    texts = materialise(held.dropDuplicates(["sig"]), "texts")
     prefixes = _ordered(texts, sifted.agg(F.sum("n")).first()[0] or 0, 1.0)
     lists = _lists(prefixes, choose_boundary(prefixes))
     lists = materialise(lists.join(lists.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi"), "lists", 10 * n_alive)
@@ -272,9 +304,7 @@ def link(docs: DataFrame) -> DataFrame:
             pairs = _hub_pairs(lists, labels, turn)
         else:
             rows = materialise(_labelled(lists, labels), "open-lists", 10 * n_alive)
-            pairs = rows.alias("x").join(rows.alias("y"), "key").where((F.col("x.sig") > F.col("y.sig")) & (F.col("x.label") != F.col("y.label")) & _may("x", "y")).select(
-                F.col("x.sig").alias("a"), F.col("y.sig").alias("b")
-            ).distinct()
+            pairs = _open_pairs(rows)
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
         found = materialise(_verified(pairs, texts), "verified", 20 * n_alive)
@@ -282,14 +312,14 @@ def link(docs: DataFrame) -> DataFrame:
         labels = components(checked.where("linked").select("a", "b"))
     grown = classes.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     roots = grown.groupBy("label").agg(F.min("rep").alias("component_id"), F.sum("size").alias("rows"))
-    roots = materialise(roots.where("rows > 1"), "roots", n_docs)  # read from a table, so that the join with a large component can be split
+    roots = materialise(roots.where("rows > 1"), "roots")  # read from a table, so that the join with a large component can be split
     of = grown.join(roots, "label").select("sig", "component_id")
     return base.join(of, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def drop_near(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay: of each component the one with the smallest doc_id, with all columns."""
-    gone = link(docs).where("component_id <> doc_id").select("doc_id")
+    gone = link(docs).groupBy("doc_id").agg(F.bool_and(F.col("component_id") != F.col("doc_id")).alias("gone")).where("gone").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti")
 
 

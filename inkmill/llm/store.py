@@ -22,8 +22,9 @@ FILE_ROWS = 100_000
 def materialise(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """Writes df once and reads it back: later steps neither recompute it nor depend on executors' disks.
 
-    rows: how many df has at most, or more where a row is much work. It bounds the number of files and of
-    the tasks that write them: tables of a few thousand rows needn't have a file a shuffle partition.
+    rows: how many df has at most, or more where a row is much work, for rows of a bounded size. It bounds
+    the number of files and of the tasks that write them: tables of a few thousand rows needn't have a file
+    a shuffle partition. What reads texts is not bounded so, as these may be long.
     """
     spark = df.sparkSession
     small_batches(spark)

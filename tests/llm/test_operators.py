@@ -54,6 +54,9 @@ def test_exact_dedup(spark):
     assert kept.count() == len(set(norm.values())) and kept.columns == SCHEMA_NAMES
     assert exact_dedup.deduplicate(table(spark, EMPTY)).count() == 0
     null_id = spark.createDataFrame([(None, "a"), (1, "a")], "doc_id long, text string")
+    repeated = table(spark, [(5, "x y"), (5, "x  y"), (5, "z"), (6, "z"), (6, "w"), (None, "z")])
+    left = exact_dedup.drop_repeats(repeated)
+    assert sorted((r["doc_id"] or 0, r["text"].replace("  ", " ")) for r in left.collect()) == [(0, "z"), (5, "x y"), (5, "z"), (6, "w")] and left.columns == SCHEMA_NAMES
     assert {r["keep_id"] for r in exact_dedup.deduplicate(null_id).collect()} == {1}
 
 
@@ -88,6 +91,29 @@ def test_ngram_join(spark):
     assert {r["doc_id"] for r in kept.collect()} == {i for i in want if want[i] == i} and kept.columns == SCHEMA_NAMES
 
 
+def test_ngram_join_of_repeated_and_missing_ids(spark):
+    rng = random.Random(5)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    near = lambda t: t + " " + prose(rng, 2)
+    rows = [(3, a), (7, near(a)), (7, b), (7, b), (9, near(b)), (None, near(c)), (11, c), (12, "")]
+    got = sorted(((r["doc_id"], r["component_id"]) for r in ngram_join.link(table(spark, rows)).collect()), key=str)
+    assert got == sorted([(3, 3), (7, 3), (7, 7), (7, 7), (9, 7), (None, 11), (11, 11), (12, 12)], key=str)
+    assert sorted((r["doc_id"] or 0 for r in ngram_join.drop_near(table(spark, rows)).collect())) == [0, 3, 7, 7, 7, 11, 12]
+
+
+def test_ngram_join_never_pairs_lists_that_cannot_link(spark):
+    """Many texts that share four fifths and no more: their lists are open, and none of their pairs is verified."""
+    rng = random.Random(6)
+    shared = prose(rng, 160)
+    rows = [(k, f"{prose(rng, 40)} {shared}") for k in range(120)]
+    docs = table(spark, rows)
+    base = ngram_join.set_rows(docs)
+    lists = ngram_join._lists(ngram_join._ordered(docs, base.agg({"n": "sum"}).first()[0], 1.0), 0)
+    open_ = ngram_join._labelled(lists, None)
+    assert open_.count() >= 120 and ngram_join._open_pairs(open_).count() == 0
+    assert {r["component_id"] for r in ngram_join.link(docs).collect()} == set(range(120))
+
+
 def test_ngram_join_of_a_large_group(spark):
     """Copies around one text, of which some are linked with it only, and none is missed."""
     rng = random.Random(9)
@@ -290,6 +316,9 @@ def test_language_id(spark):
     assert all(got[i]["lang_pred"] == lang for i, _, lang in rows[:120])
     assert [got[i]["lang_pred"] for i in (200, 201, 202, 203)] == ["und", "und", "und", "aa"]
     assert all(0 <= r["score"] <= 1 for r in got.values())
+    assert language_id.identify(docs.where("false"), {"aa": b"abc"}).count() == 0
+    long_ = spark.createDataFrame([(1, " ".join(spoken["bb"] * 3000), "x", 0.5), (1, "abc dab", None, 1.0)], "doc_id long, text string, lang_pred string, score double")
+    assert [r["lang_pred"] for r in language_id.identify(long_, language_id.learn(docs)).collect()] == ["bb", "aa"]
     none = language_id.identify(docs, language_id.learn(docs.where("false")))
     assert {r["lang_pred"] for r in none.collect()} == {"und"}
 
