@@ -25,6 +25,7 @@ texts are scored whole, by one task. An empty table gives no rows. Other columns
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -453,9 +454,17 @@ def learn(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = No
     ids = {}
     for kind, n in (sample or SAMPLE).items():
         ids |= {r["doc_id"]: kind for r in marked.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect()}
-    rows = docs.where(F.col("doc_id").isin(list(ids)) & F.col("text").isNotNull()).select("doc_id", "text").collect() if ids else []
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return train([r["text"] for r in rows], [ids[r["doc_id"]] for r in rows])
+    if not ids:
+        return None
+    sample = docs.where(F.col("doc_id").isin(list(ids)) & F.col("text").isNotNull()).select("doc_id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((i, t) for b in batches for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        net = train([t for _, t in rows], [ids[i] for i, _ in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], names=["net"])
+
+    # the sample is bounded, and one task trains, so that the driver holds neither texts nor the training's arrays
+    return pickle.loads(sample.repartition(1).mapInArrow(run, "net binary").first()["net"])
 
 
 def score(docs: DataFrame, net: Network | None) -> DataFrame:
