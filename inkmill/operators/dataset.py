@@ -25,6 +25,15 @@ def fetched(pages: DataFrame, least: int = CORPUS_WORDS) -> DataFrame:
     return rows.select("page_id", "url", T.content_id(F.col("url"), 16).alias("cache_key"), T.content_id(F.col("url")).alias("id"), "text", "words", status.alias("status"))
 
 
+def usable_pages(rows: DataFrame, least: int = LEAST_VALUES) -> DataFrame:
+    """The pages of fetched(…) that are ok; refused where there are too few of them to derive ranges from."""
+    ok = rows.where("status = 'ok'")
+    n = ok.limit(least).count()
+    if n < least:
+        raise ValueError(f"only {n} sources usable: not enough to derive ranges")
+    return ok
+
+
 def failure_counts(rows: DataFrame) -> DataFrame:
     """Rows by the first word of their status."""
     return rows.groupBy(F.split_part("status", F.lit(" "), F.lit(1)).alias("word")).agg(F.count("*").alias("n"))

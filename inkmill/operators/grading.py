@@ -64,7 +64,6 @@ def _rows(rows: DataFrame, checks: list[tuple[str, Column]], *keep: str) -> Data
 
 
 
-
 def commit_message(rows: DataFrame) -> DataFrame:
     """Case 0. rows: (run_id, eval_id, text, clean: whether a scan finds nothing)."""
     rows = rows.withColumns({"plain": T.folded(F.col("text")), "subject": T.subject_line(F.col("text"))})
@@ -96,9 +95,12 @@ def statement(rows: DataFrame) -> DataFrame:
     ])
 
 
-def once_over(rows: DataFrame) -> DataFrame:
-    """Case 3. rows: (run_id, eval_id, text, original). What was made, a review or a revision, decides which assertions hold."""
-    ratio = M.token_similarity(F.col("original"), F.col("text"))
+def once_over(rows: DataFrame, similarity: Column | None = None) -> DataFrame:
+    """Case 3. rows: (run_id, eval_id, text, original). What was made, a review or a revision, decides which assertions hold.
+
+    similarity: of text and original, where it is known already.
+    """
+    ratio = M.token_similarity(F.col("original"), F.col("text")) if similarity is None else similarity
     rows = rows.withColumn("similarity", ratio).withColumns({"plain": T.folded(F.col("text")), "plain_original": T.folded(F.col("original"))})
     plain, words = F.col("plain"), F.greatest(T.word_count(F.col("text")), F.lit(1))
     you = times(plain, YOU) * 1000.0 / words

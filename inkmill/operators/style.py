@@ -154,4 +154,4 @@ def rarity(docs: DataFrame, frequencies: DataFrame) -> DataFrame:
     each = docs.select("doc_id", F.explode(F.transform(T.tokens(T.prose_style(F.col("text"))), F.lower)).alias("word")).where(F.regexp_like("word", F.lit(r"^\p{L}+$")))
     counted = each.groupBy("doc_id", "word").agg(F.count("*").alias("n"))
     known = counted.join(frequencies.where("zipf > 0"), "word")
-    return known.groupBy("doc_id").agg(F.round(F.sum(F.col("zipf") * F.col("n")) / F.sum("n"), 2).alias("zipf_mean"))
+    return known.groupBy("doc_id").agg(F.round(F.sum(F.col("zipf").cast("decimal(10,4)") * F.col("n")).cast("double") / F.sum("n"), 2).alias("zipf_mean"))

@@ -205,7 +205,7 @@ def caveats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The metrics of every page that is long enough; the others are counted by failure_counts."""
-    texts = dataset.fetched(pages(spark, sf_dir)).where("status = 'ok'").select(F.col("page_id").alias("doc_id"), "url", "text")
+    texts = dataset.usable_pages(dataset.fetched(pages(spark, sf_dir))).select(F.col("page_id").alias("doc_id"), "url", "text")
     return style.measured(texts, "doc_id", "url", with_mtld=False)
 
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkmill.plans import judged, prose
+from inkmill.plans import judged, outside, prose
 
-QUERIES = prose.QUERIES | judged.QUERIES
-ORACLES = prose.ORACLES | judged.ORACLES
+QUERIES = prose.QUERIES | judged.QUERIES | outside.QUERIES
+ORACLES = prose.ORACLES | judged.ORACLES | outside.ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,16 @@ def read_texts(spark: SparkSession, *paths: str) -> DataFrame:
     return rows.select("path", F.make_valid_utf8(F.expr("cast(content as string)")).alias("text"))
 
 
+def read_candidates(spark: SparkSession, specs: list[str]) -> DataFrame:
+    """label and text of candidates given as LABEL=PATH; of equal labels the last one counts."""
+    named = dict(spec.partition("=")[::2] for spec in specs)
+    out = None
+    for label, path in named.items():  # a handful that the caller lists
+        rows = read_texts(spark, path).select(F.lit(label).alias("label"), "text")
+        out = rows if out is None else out.unionByName(rows)
+    return out if out is not None else spark.createDataFrame([], "label string, text string")
+
+
 def from_text(spark: SparkSession, text: str, doc_id: int = 0) -> DataFrame:
     """One document that the caller already holds, as from standard input."""
     return spark.createDataFrame([(doc_id, text)], "doc_id long, text string")
