@@ -1,7 +1,9 @@
 """URL verdicts from rules, and from path templates where no rule fits. DataFrame functions only.
 
-A host's paths form a tree. Digits in a segment are variable and become `#`; a segment
-whose parent has many different children becomes `*` unless it is frequent itself. Sibling
+A host's paths form a tree, made from its root down. Digits in a segment are variable and
+become `#`; a segment whose parent has many different children becomes `*` unless it is
+frequent itself, and what is below all that became one `*` is below one node, so that the
+next level is generalised over all of them. Segments from the DEPTH-th on count as one. Sibling
 templates whose share of blocked urls doesn't differ from their common share by more than
 chance (a test of proportions) are merged into one branch `~`. Urls that a rule judges are
 the labelled ones. A branch's purity is its share of blocked labelled urls, smoothed
@@ -10,7 +12,8 @@ branches with a purity of at least BLOCK are rejected.
 
 The tree is worked out on one row for each host and masked path with its counts, so a host
 that has a third of all urls is as many rows as it has masked paths; the children of one
-parent are counted by partial sums, not gathered.
+parent are counted by partial sums, not gathered. Each level is a step, written before the
+next, with the paths that reach down to it.
 
 Null urls and urls without `://` have empty host and path and are judged as such. Repeated
 rows get equal verdicts; ties between equally long rules go to the first. An empty table
@@ -19,13 +22,17 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkmill.llm.store import materialise
+
 #: (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 #: A parent with so many different children is variable; a child with this share of its rows isn't.
 CHILDREN, FREQUENT = 12, 0.05
+#: Levels of the tree; more segments than that are joined into the last.
+DEPTH = 12
 #: Standard deviations within which branches are alike, weight of the smoothing, and purity from which a branch is rejected.
 ALIKE, WEIGHT, BLOCK = 1.96, 4.0, 0.6
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -40,7 +47,7 @@ def parsed(pages: DataFrame) -> DataFrame:
     }).drop("rest")
 
 
-def _rule_column(rules: tuple, value) -> F.Column:
+def _rule_column(rules: tuple, value) -> Column:
     """value(rule) of the longest rule that fits host and path, else null."""
     out = F.lit(None).cast("string")
     for rule in sorted(rules, key=lambda r: len(r[1] + r[2])):
@@ -49,6 +56,28 @@ def _rule_column(rules: tuple, value) -> F.Column:
     return out
 
 
+def _segments(path: Column) -> Column:
+    parts = F.filter(F.split(path, "/"), lambda x: x != "")
+    rest = F.array(F.array_join(F.slice(parts, DEPTH, F.greatest(F.size(parts), F.lit(1))), "/"))
+    return F.when(F.size(parts) > DEPTH, F.concat(F.slice(parts, 1, DEPTH - 1), rest)).otherwise(parts)
+
+
+def templates(counts: DataFrame) -> DataFrame:
+    """counts (host, parts, n, ...) with nodes, the segments of the template of each path."""
+    live = materialise(counts.withColumn("nodes", F.array().cast("array<string>")), "level")
+    depth = live.agg(F.max(F.size("parts"))).first()[0] or 0
+    out = live.where(F.size("parts") == 0)
+    for level in range(depth):
+        live = live.where(F.size("parts") > level).withColumn("part", F.element_at("parts", level + 1))
+        children = live.groupBy("host", "nodes", "part").agg(F.sum("n").alias("rows"))
+        families = children.groupBy("host", "nodes").agg(F.count("*").alias("kinds"), F.sum("rows").alias("all"))
+        wild = children.join(families, ["host", "nodes"]).where((F.col("kinds") >= CHILDREN) & (F.col("rows") < FREQUENT * F.col("all"))).select("host", "nodes", "part", F.lit("*").alias("node"))
+        grown = live.join(wild, ["host", "nodes", "part"], "left").withColumn("nodes", F.array_append("nodes", F.coalesce("node", "part"))).drop("part", "node")
+        live = materialise(grown, "level")
+        out = out.unionByName(live.where(F.size("parts") == level + 1))
+    return out
+
+
 def judged(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, template and purity of every row of pages (page_id, url)."""
     rows = parsed(pages.select("page_id", "url")).withColumns({
@@ -56,17 +85,8 @@ def judged(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
     })
     counts = rows.groupBy("host", "masked").agg(
         F.count("*").alias("n"), F.count("label").alias("labelled"), F.sum((F.col("label") == "block").cast("long")).alias("blocked")
-    ).withColumn("blocked", F.coalesce("blocked", F.lit(0))).withColumn("parts", F.expr("filter(split(masked, '/'), x -> x <> '')"))
-    levels = counts.select("host", "masked", "n", F.posexplode("parts").alias("level", "part"), "parts").withColumn("parent", F.expr("array_join(slice(parts, 1, level), '/')"))
-    children = levels.groupBy("host", "parent", "part").agg(F.sum("n").alias("rows"))
-    families = children.groupBy("host", "parent").agg(F.count("*").alias("kinds"), F.sum("rows").alias("all"))
-    wild = children.join(families, ["host", "parent"]).select(
-        "host", "parent", "part", F.when((F.col("kinds") >= CHILDREN) & (F.col("rows") < FREQUENT * F.col("all")), F.lit("*")).otherwise(F.col("part")).alias("node")
-    )
-    paths = levels.join(wild, ["host", "parent", "part"]).groupBy("host", "masked").agg(F.sort_array(F.collect_list(F.struct("level", "node"))).alias("nodes"))
-    nodes = counts.join(paths, ["host", "masked"], "left").select(
-        "host", "masked", "labelled", "blocked", F.expr("coalesce(transform(nodes, x -> x.node), array())").alias("nodes")
-    ).withColumns({"above": F.expr("array_join(slice(nodes, 1, greatest(size(nodes) - 1, 0)), '/')"), "template": F.array_join("nodes", "/")})
+    ).withColumn("blocked", F.coalesce("blocked", F.lit(0))).withColumn("parts", _segments(F.col("masked")))
+    nodes = templates(counts).withColumns({"above": F.expr("array_join(slice(nodes, 1, greatest(size(nodes) - 1, 0)), '/')"), "template": F.array_join("nodes", "/")})
     branch = nodes.groupBy("host", "above", "template").agg(F.sum("labelled").alias("k"), F.sum("blocked").alias("b"))
     siblings = branch.groupBy("host", "above").agg(F.sum("k").alias("sk"), F.sum("b").alias("sb"), F.count("*").alias("kin"))
     share = F.col("sb") / F.greatest(F.col("sk"), F.lit(1))
@@ -96,16 +116,15 @@ def _rule_sql(value) -> str:
 
 
 ORACLE = rf"""
-WITH u AS (SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+WITH RECURSIVE u AS (SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 r AS (SELECT *, {_rule_sql(lambda r: r[1] + r[2])} AS rule, {_rule_sql(lambda r: r[0])} AS label, regexp_replace(path, '[0-9]+', '#', 'g') AS masked FROM p),
 c AS (SELECT host, masked, count(*) AS n, count(label) AS labelled, count(*) FILTER (label = 'block') AS blocked, list_filter(string_split(masked, '/'), lambda x: x <> '') AS parts FROM r GROUP BY host, masked),
-l AS (SELECT host, masked, n, i AS level, parts[i] AS part, array_to_string(parts[1:i - 1], '/') AS parent FROM c, unnest(range(1, len(parts) + 1)) AS t(i)),
-ch AS (SELECT host, parent, part, sum(n) AS rws FROM l GROUP BY ALL),
-w AS (SELECT host, parent, part, CASE WHEN count(*) OVER f >= {CHILDREN} AND rws < {FREQUENT}::DOUBLE * sum(rws) OVER f THEN '*' ELSE part END AS node FROM ch WINDOW f AS (PARTITION BY host, parent)),
-pa AS (SELECT host, masked, list(node ORDER BY level) AS nodes FROM l JOIN w USING (host, parent, part) GROUP BY host, masked),
-no AS (SELECT host, masked, labelled, blocked, array_to_string(nodes[1:greatest(len(nodes) - 1, 0)], '/') AS above, array_to_string(nodes, '/') AS template
-  FROM (SELECT c.host, c.masked, labelled, blocked, coalesce(nodes, []) AS nodes FROM c LEFT JOIN pa USING (host, masked))),
+tr AS (SELECT host, masked, n, labelled, blocked, CASE WHEN len(parts) > {DEPTH} THEN list_append(parts[1:{DEPTH - 1}], array_to_string(parts[{DEPTH}:], '/')) ELSE parts END AS parts, []::VARCHAR[] AS nodes, 0 AS level FROM c
+  UNION ALL SELECT host, masked, n, labelled, blocked, parts, list_append(nodes, CASE WHEN kinds >= {CHILDREN} AND rws < {FREQUENT}::DOUBLE * every THEN '*' ELSE part END), level + 1 FROM (
+    SELECT *, sum(n) OVER (PARTITION BY host, nodes, part) AS rws, sum(n) OVER (PARTITION BY host, nodes) AS every, count(DISTINCT part) OVER (PARTITION BY host, nodes) AS kinds
+    FROM (SELECT *, parts[level + 1] AS part FROM tr WHERE len(parts) > level))),
+no AS (SELECT host, masked, labelled, blocked, array_to_string(nodes[1:greatest(len(nodes) - 1, 0)], '/') AS above, array_to_string(nodes, '/') AS template FROM tr WHERE level = len(parts)),
 br AS (SELECT host, above, template, sum(labelled) AS k, sum(blocked) AS b FROM no GROUP BY ALL),
 sb AS (SELECT *, count(*) OVER s AS kin, sum(b) OVER s / greatest(sum(k) OVER s, 1)::DOUBLE AS share FROM br WINDOW s AS (PARTITION BY host, above)),
 me AS (SELECT host, template, k, b, CASE WHEN kin > 1 AND abs(b - k * share) <= {ALIKE}::DOUBLE * sqrt(k * share * (1 - share)) + 0.5 THEN above || '/~' ELSE template END AS branch FROM sb),

@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from inkmill.llm import components, decontamination, exact_dedup, language_id, license_scan, ngram_join, packing, pii, suffix, suffix_dedup, tokens, toxicity, url_filter, words
 from tests.llm import brute
@@ -472,6 +473,17 @@ def test_url_filter(spark):
     assert url_filter.judged(pages.where("false")).count() == 0
 
 
+def test_url_tree_is_generalised_from_the_root_down(spark):
+    names = [chr(97 + k % 26) + chr(97 + k // 26) for k in range(60)]
+    urls = [f"http://h.net/u{x}/p{x}/edit" for x in names] + [f"http://h.net/u{x}/p{x}" for x in names] * 2 + ["http://k.net/" + "/".join(["s"] * 40)] * 2
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string")
+    counts = url_filter.parsed(pages).groupBy("host", "path").agg(F.count("*").alias("n")).withColumn("parts", url_filter._segments(F.col("path")))
+    found = {"/".join(r["nodes"]) for r in url_filter.templates(counts).collect()}
+    assert found == {"*/*/edit", "*/*", "/".join(["s"] * 40)}
+    got = url_filter.judged(pages).collect()
+    assert len(got) == len(urls) and len({(r["host"], r["path"], r["verdict"], r["purity"]) for r in got}) == len(set(urls))
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_suffix_array(seed):
     rng = np.random.default_rng(seed)
