@@ -296,7 +296,7 @@ def _checker(kind: str):
 
 
 def find(docs: DataFrame, trees: Trees) -> DataFrame:
-    """doc_id, counts of base spans, their digest and all spans of every row of docs (doc_id, text)."""
+    """doc_id, counts of base spans, their digest, all spans, and how many of these are secrets and in all, of every row of docs (doc_id, text)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     loose = {k: _scored(text, trees, k) for k in CANDIDATES}
     strict = {k: _kept(text, p, _checker(k)) for k, p in PATTERNS.items()}
@@ -310,7 +310,10 @@ def find(docs: DataFrame, trees: Trees) -> DataFrame:
         " else array_append(a, named_struct('start', m.start, 'rank', m.rank, 'end', m.end)) end)"
     )
     rows = rows.withColumn("every", F.when(F.size("more") == 0, F.col("base")).otherwise(F.array_sort(F.expr(clear))))
-    return rows.select("doc_id", *(f"n_{k}" for k in PATTERNS), F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("every").alias("spans"))
+    return rows.select(
+        "doc_id", *(f"n_{k}" for k in PATTERNS), F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("every").alias("spans"),
+        F.size(F.filter("every", lambda s: s["rank"] == KINDS.index("secret"))).cast("long").alias("n_secret"), F.size("every").cast("long").alias("n_spans"),
+    )
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
