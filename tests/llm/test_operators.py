@@ -220,8 +220,6 @@ def test_pii(spark):
         base = {f"{brute.KINDS[k]}:{s}:{e}" for s, k, e in brute.base_spans(t)}
         spans = [(x in base, *map(int, x.split(":")[1:])) for x in filter(None, got[i]["spans"].split(","))]
         assert all(0 <= s < e <= len(t or "") for _, s, e in spans) and [s for _, s, _ in spans] == sorted(s for _, s, _ in spans)
-        named = [x.split(":")[0] for x in filter(None, got[i]["spans"].split(","))]
-        assert got[i]["n_spans"] == len(named) and got[i]["n_secret"] == named.count("secret")
         assert not any(a < d and c < b and not (x and y) for k, (x, a, b) in enumerate(spans) for y, c, d in spans[k + 1 :])
     assert pii.find(table(spark, EMPTY), trees).count() == 0
 
