@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkmill.llm import decontamination, exact_dedup, fill_in_middle, language_id, lexical_search, license_scan, ngram_join, packing, pii, suffix_dedup, toxicity, url_filter
+from inkmill.llm import bpe, decontamination, exact_dedup, fill_in_middle, language_id, lexical_search, license_scan, ngram_join, packing, pii, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_packing": packing.op9_packing,
     "op10_ngram_join": ngram_join.op10_ngram_join,
     "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
+    "op12_bpe": bpe.op12_bpe,
     "op13_lexical_search": lexical_search.op13_lexical_search,
 }
 ORACLES = {"op3_license_scan": license_scan.ORACLE, "op6_url_filter": url_filter.ORACLE, "op2_decontamination": decontamination.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op10_ngram_join": ngram_join.ORACLE, "op11_fill_in_middle": fill_in_middle.ORACLE, "op13_lexical_search": lexical_search.ORACLE}

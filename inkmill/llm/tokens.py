@@ -41,14 +41,14 @@ _odd_in = re.compile(f"[{_ODD}\\u{_TOP:04x}-\\U0010ffff]").search
 _words_of = re.compile(f"[{_LETTER}]+|[{_DIGIT}]|[^{_LETTER}{_DIGIT}{_SPACE}]+").findall
 
 
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """The character that byte-level vocabularies write for each byte: itself where it is printable, else one from U+0100 on."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
     rest = [b for b in range(256) if b not in shown]
     return {b: chr(b) if b in shown else chr(256 + rest.index(b)) for b in range(256)}
 
 
-_LETTERS = _byte_letters()
+_LETTERS = byte_letters()
 
 
 class _Words(dict):
