@@ -74,8 +74,12 @@ def _pieces(raw: np.ndarray) -> Iterator[np.ndarray]:
 def text_terms(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each term in text order, first term of each text and the end) of a block of texts."""
     if len(raw) > CHUNK and len(starts) == 2:
-        found = [text_terms(x, np.array([0, len(x)]))[0] for x in _pieces(raw)]
+        found = [_hashed(x, np.array([0, len(x)]))[0] for x in _pieces(raw)]
         return np.concatenate(found), np.array([0, sum(map(len, found))])
+    return _hashed(raw, starts)
+
+
+def _hashed(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     begin, end = word_spans(_AS_SPACE[raw], starts)
     return span_hashes(raw, begin, end), np.searchsorted(begin, starts)
 
