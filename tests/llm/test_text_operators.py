@@ -127,6 +127,14 @@ def test_long_texts_in_parts(plain, monkeypatch, tmp_path):
         assert list(memoryview(own(text)).cast("I")) == plain.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.skipif(VOCABULARY is None, reason="no vocabulary here")
+def test_words_are_split_like_the_tokenizers():
+    known = bpe.vocabulary(VOCABULARY)
+    every = [*range(0x600), *range(0x2000, 0x2100), 0x3000, 0x65E5, 0x1F600, 0x10940, 0x323B0]
+    for text in [f"a{chr(c)}1{chr(c)} {chr(c)}!{chr(c)}  {chr(c)}'s{chr(c)}\n{chr(c)}'{chr(c)}'ll  " for c in every]:
+        assert [w for part in known.words(text) for w in part] == [text[a:b] for _, (a, b) in known.own_split(text)]
+
+
 def terms(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
 
