@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from inkmill.operators import logistic
+from inkmill.operators.logistic import CLAMP, MISSING
+from inkmill.sources.scratch import written
+
 # Dimensions with the sign that is expected of them, by battery.
 DIMENSIONS = (
     ("specific_detail", 1, 1), ("single_author", 1, 1), ("claims_carry_reasons", 1, 1), ("stock_vocabulary", -1, 1), ("unearned_promise", -1, 1),
@@ -31,7 +35,7 @@ AXES = {
     ), -0.9598846694951748),
 }
 KEYS = tuple(k for k, _, _ in DIMENSIONS)
-MISSING, CLAMP, L2, FOLDS, SEED, GRID = 0.5, 30.0, 0.02, 5, 11, 200
+FOLDS, SEED, GRID = 5, 11, 200
 AXIS_DROP, DIMENSION_DROP, TOP = 0.02, 0.15, 5
 
 
@@ -97,15 +101,12 @@ def youden(scores: DataFrame, *by: str) -> DataFrame:
 
 
 def fit(rows: DataFrame, keys: tuple[str, ...] = KEYS) -> tuple[tuple, float]:
-    """Weights by key and bias of the class-balanced ridge fit. rows: (label, *keys)."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
-    filled = rows.select(F.col("label").cast("double").alias("label"), *(F.coalesce(F.col(k), F.lit(MISSING)).alias(k) for k in keys))
-    weighted = filled.join(F.broadcast(class_weights(filled).select("label", "weight")), "label")
-    made = VectorAssembler(inputCols=list(keys), outputCol="features").transform(weighted)
-    model = LogisticRegression(regParam=L2, elasticNetParam=0.0, standardization=False, weightCol="weight", maxIter=200, tol=1e-10).fit(made)
-    return tuple(zip(keys, map(float, model.coefficients), strict=True)), float(model.intercept)
+    """Weights by key and bias of the class-balanced ridge fit. rows: (label, *keys); refused without rows of both labels."""
+    found = logistic.fits(rows, keys).first()
+    if found is None:
+        raise ValueError("a fit needs rows of both labels")
+    *weights, bias = found["coefficients"]
+    return tuple(zip(keys, weights, strict=True)), bias
 
 
 def fold(seed: int = SEED, folds: int = FOLDS) -> Column:
@@ -114,40 +115,41 @@ def fold(seed: int = SEED, folds: int = FOLDS) -> Column:
 
 
 def cross_validated(rows: DataFrame, keys: tuple[str, ...] = KEYS, folds: int = FOLDS) -> DataFrame:
-    """One row: accuracy at 0.5, mean and spread of the folds' AUC, and AUC over all held-out scores. rows: (id, label, *keys)."""
+    """One row: n, mean and spread of the folds' accuracy at 0.5 and of their AUC, and the AUC over all held-out scores. rows: (id, label, *keys).
+
+    The folds are fitted together. Rows of a fold without a fit, as when the others have one label only, aren't scored.
+    """
     rows = rows.withColumn("fold", fold(folds=folds))
-    held = None
-    for k in range(folds):
-        weights, bias = fit(rows.where(F.col("fold") != k), keys)
-        part = rows.where(F.col("fold") == k).select("fold", "label", F.round(probability(weights, bias), 6).alias("p"))
-        held = part if held is None else held.unionByName(part)
+    models = F.broadcast(logistic.fits(rows, keys, "fold").withColumnRenamed("held", "fold"))  # a row a fold
+    held = written(rows.join(models, "fold").select("fold", "label", F.round(logistic.chance(F.col("coefficients"), keys), 6).alias("p")), "held-out")
+    hit = F.avg(((F.col("p") > 0.5).cast("int") == F.col("label")).cast("double"))
+    hits = held.groupBy("fold").agg(hit.alias("hit"), F.count("*").alias("n")).agg(
+        F.sum("n").alias("n"), F.round(F.avg("hit"), 3).alias("accuracy"), F.round(F.stddev_pop("hit"), 3).alias("sd_accuracy")
+    )
     by_fold = auc(held, "fold").agg(F.round(F.avg("auc"), 3).alias("mean_auc"), F.round(F.stddev_pop("auc"), 3).alias("sd_auc"))
     pooled = auc(held.withColumn("every", F.lit(1)), "every").select(F.col("auc").alias("pooled_auc"))
-    hits = held.agg(F.round(F.avg(((F.col("p") > 0.5).cast("int") == F.col("label")).cast("double")), 3).alias("accuracy"), F.count("*").alias("n"))
     return hits.crossJoin(by_fold).crossJoin(pooled)  # one row each
 
 
 def leave_one_generator_out(rows: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """For each generator, how a model that never saw it does on it. rows: (id, label, generator, *keys).
 
-    The exemplars it is compared with were trained on, so the AUC is kind to them. The loop goes over
-    generators, of which there are few; each step is a distributed fit.
+    The threshold is that of the training scores. The exemplars that the generator is compared with were trained
+    on, so the AUC is kind to it. All generators go through the same few steps, as groups.
     """
-    out = None
-    for (held,) in rows.where("generator is not null").select("generator").distinct().orderBy("generator").collect():
-        seen, unseen = rows.where(~F.col("generator").eqNullSafe(held)), rows.where(F.col("generator") == held)
-        weights, bias = fit(seen, keys)
-        scored = lambda r: r.select("label", F.round(probability(weights, bias), 6).alias("p"))  # noqa: B023, E731
-        cut = youden(scored(seen).withColumn("every", F.lit(1)), "every").select("threshold")
-        one = scored(unseen).crossJoin(F.broadcast(cut)).agg(
-            F.count("*").alias("n"), F.round(F.avg((F.col("p") < F.col("threshold")).cast("double")), 3).alias("rejected"), F.round(F.first("threshold"), 3).alias("threshold"), F.round(F.avg("p"), 3).alias("mean_score")
-        )
-        exemplars = scored(rows.where("label = 1"))
-        both = exemplars.unionByName(scored(unseen).withColumn("label", F.lit(0))).withColumn("every", F.lit(1))
-        row = one.crossJoin(exemplars.agg(F.round(F.avg("p"), 3).alias("exemplar_mean"))).crossJoin(auc(both, "every").select(F.col("auc").alias("auc_vs_exemplars")))
-        row = row.select(F.lit(held).alias("generator"), "*")
-        out = row if out is None else out.unionByName(row)
-    return out
+    models = F.broadcast(logistic.fits(rows, keys, "generator"))  # logistic.MOST_FITS rows at most
+    met = rows.join(models, F.lit(True)).where((F.col("label") == 1) | F.col("generator").isNotNull())  # every row is scored by every model
+    p = F.round(logistic.chance(F.col("coefficients"), keys), 6)
+    scored = written(met.select("held", "label", F.col("generator").eqNullSafe(F.col("held")).alias("unseen"), p.alias("p")), "generator-scores")
+    cut = youden(scored.where("not unseen"), "held").select("held", "threshold")
+    mean = lambda name: F.round(F.sum(F.col("p").cast("decimal(22,6)")).cast("double") / F.count("*"), 3).alias(name)
+    unseen = scored.where("unseen").join(F.broadcast(cut), "held").groupBy("held").agg(
+        F.count("*").alias("n"), F.round(F.avg((F.col("p") < F.col("threshold")).cast("double")), 3).alias("rejected"), F.round(F.first("threshold"), 3).alias("threshold"), mean("mean_score")
+    )
+    exemplars = scored.where("label = 1")
+    both = exemplars.select("held", "p", "label").unionByName(scored.where("unseen").select("held", "p", F.lit(0).alias("label")))
+    out = unseen.join(exemplars.groupBy("held").agg(mean("exemplar_mean")), "held").join(auc(both, "held").select("held", F.col("auc").alias("auc_vs_exemplars")), "held")
+    return out.withColumnRenamed("held", "generator")
 
 
 def generalize_summary(aucs: DataFrame) -> DataFrame:
