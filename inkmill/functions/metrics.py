@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import difflib
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import DoubleType
 
 from inkmill.functions.text import TOKEN
@@ -56,48 +55,61 @@ def longest_flat_run(values: Column) -> Column:
     return F.when(F.size(values) < FLAT_SENTENCES, F.lit(0).cast("long")).otherwise(F.aggregate(values, start, step, lambda s: s["best"]))
 
 
-def _earlier(codes: np.ndarray) -> np.ndarray:
-    """Where each token stood last before, or -1."""
-    order = np.argsort(codes, kind="stable")
-    out = np.full(len(codes), -1)
-    same = codes[order[1:]] == codes[order[:-1]]
+#: Tokens of each text that a round looks at, and of all texts that go through the rounds together, about.
+_REACH, _TOGETHER = 64, 1 << 20
+
+
+def _earlier(codes: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Where each token stood last before in its row, or a place before all rows."""
+    order = np.argsort(row * (int(codes.max(initial=0)) + 1) + codes, kind="stable")
+    out, same = np.full(len(codes), -1), (codes[order[1:]] == codes[order[:-1]]) & (row[order[1:]] == row[order[:-1]])
     out[order[1:][same]] = order[:-1][same]
     return out
 
 
-def _diversity(codes: np.ndarray) -> float:
-    """Tokens a factor. A factor ends at the first token at which the share of types since its start is down to the threshold; what is left at the end is part of one."""
-    earlier, start, whole, part = _earlier(codes), 0, 0, 0.0
-    while start < len(codes):
-        reach = 64
-        while True:
-            types = np.cumsum(earlier[start : start + reach] < start)
-            share = types / np.arange(1, len(types) + 1)
-            ends = np.flatnonzero(share <= MTLD_THRESHOLD)
-            if len(ends) or start + reach >= len(codes):
-                break
-            reach *= 2
-        if len(ends):
-            whole, start = whole + 1, start + int(ends[0]) + 1
-        else:
-            part, start = (1 - share[-1]) / (1 - MTLD_THRESHOLD), len(codes)
-    return len(codes) / max(whole + part, MTLD_LEAST)
-
-
-def lexical_diversity(tokens: np.ndarray | list[str] | None) -> float | None:
-    if tokens is None or len(tokens) < MTLD_TOKENS:
-        return None
-    codes = pd.factorize(np.asarray(tokens, object))[0]
-    return (_diversity(codes) + _diversity(codes[::-1])) / 2
-
-
-@pandas_udf(DoubleType())
-def mtld(tokens: pd.Series) -> pd.Series:
-    """Lexical diversity: tokens a factor, forwards and backwards; null under 100 tokens. Factors that start where the last one ended have no built-in form."""
-    return tokens.map(lexical_diversity)
+def _factors(codes: np.ndarray, row: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Factors of each row's tokens. A factor ends at the first token at which the share of types since its start is down to the threshold; what is left at the end is part of one.
 
+    All rows go on together, a stretch of each in a round. A token is a new type if it stood last before the factor's start.
+    """
+    earlier, factors = _earlier(codes, row), np.zeros(len(begin))
+    start, at, types, open_ = begin.copy(), begin.copy(), np.zeros(len(begin), int), np.flatnonzero(begin < end)
+    step = np.arange(_REACH)
+    while len(open_):
+        place = at[open_, None] + step
+        inside = place < end[open_, None]
+        new = inside & (earlier[np.minimum(place, len(earlier) - 1)] < start[open_, None])
+        so_far = types[open_, None] + np.cumsum(new, axis=1)
+        down = inside & (so_far / (place - start[open_, None] + 1) <= MTLD_THRESHOLD)
+        hit, first = down.any(axis=1), down.argmax(axis=1)
+        done, rest = open_[hit], open_[~hit]
+        factors[done] += 1
+        start[done] = at[done] = at[done] + first[hit] + 1
+        types[done] = 0
+        types[rest], at[rest] = so_far[~hit, -1], np.minimum(at[rest] + _REACH, end[rest])
+        left = rest[at[rest] == end[rest]]
+        factors[left] += (1 - types[left] / (end[left] - start[left])) / (1 - MTLD_THRESHOLD)
+        open_ = open_[at[open_] < end[open_]]
+    return factors
+
+
+def lexical_diversity(tokens: pa.ListArray) -> np.ndarray:
+    """Tokens a factor, forwards and backwards, of each list; nan under MTLD_TOKENS tokens."""
+    every = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(int)
+    long, out = np.flatnonzero(every >= MTLD_TOKENS), np.full(len(every), np.nan)
+    block = np.cumsum(every[long]) // _TOGETHER
+    for own in np.split(long, np.flatnonzero(np.diff(block)) + 1) if len(long) else []:
+        size = every[own]
+        codes = tokens.take(pa.array(own)).flatten().dictionary_encode().indices.to_numpy().astype(np.int64)
+        row, end = np.repeat(np.arange(len(own)), size), np.cumsum(size)
+        forth = _factors(codes, row, end - size, end)
+        back = _factors(codes[::-1], row[::-1], len(codes) - end, len(codes) - end + size)
+        out[own] = (size / np.maximum(forth, MTLD_LEAST) + size / np.maximum(back, MTLD_LEAST)) / 2
+    return out
 
-@pandas_udf(DoubleType())
-def token_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The share of words in matching blocks of two texts, longest blocks first."""
-    return pd.Series([difflib.SequenceMatcher(None, (x or "").split(), (y or "").split()).ratio() for x, y in zip(a, b, strict=True)])
+
+@arrow_udf(DoubleType())
+def mtld(tokens: pa.Array) -> pa.Array:
+    """Lexical diversity: tokens a factor, forwards and backwards; null under 100 tokens. Factors that start where the last one ended have no built-in form."""
+    found = lexical_diversity(tokens)
+    return pa.array(found, mask=np.isnan(found))

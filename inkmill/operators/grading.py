@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkmill.functions import metrics as M
 from inkmill.functions import text as T
+from inkmill.functions.similarity import token_similarity
 from inkmill.functions.text import unix
 
 # Words and patterns that outputs are graded by.
@@ -100,7 +100,7 @@ def once_over(rows: DataFrame, similarity: Column | None = None) -> DataFrame:
 
     similarity: of text and original, where it is known already.
     """
-    ratio = M.token_similarity(F.col("original"), F.col("text")) if similarity is None else similarity
+    ratio = token_similarity(F.col("original"), F.col("text")) if similarity is None else similarity
     rows = rows.withColumn("similarity", ratio).withColumns({"plain": T.folded(F.col("text")), "plain_original": T.folded(F.col("original"))})
     plain, words = F.col("plain"), F.greatest(T.word_count(F.col("text")), F.lit(1))
     you = times(plain, YOU) * 1000.0 / words

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from inkmill.functions import detectors as D
 from inkmill.functions import text as T
-from inkmill.operators import dataset, fidelity, grading, pairwise, taste, tells
+from inkmill.functions.similarity import token_similarity
+from inkmill.operators import dataset, fidelity, grading, logistic, pairwise, taste, tells
 from inkmill.plans import prose
 from inkmill.plans import sqltext as S
 
@@ -167,15 +168,23 @@ RUNS = (
 )
 
 
+#: What stands before some of them.
+LEADS = ("", "\r\n\t \u00a0", "", "## `")
+
+
 def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """run_id, eval_id, text and original: each draft, with a suffix of ours, as the output of one of four cases."""
-    extra = F.element_at(F.array(*map(F.lit, RUNS)), (F.pmod(F.floor(F.col("doc_id") / 8), F.lit(len(RUNS))) + 1).cast("int"))
-    base = prose.documents(spark, sf_dir).select("doc_id", F.col("text").alias("original"))
-    rows = prose.drafts(spark, sf_dir).join(base, "doc_id")
-    return rows.select(F.col("doc_id").alias("run_id"), F.pmod(F.floor(F.col("doc_id") / 2), F.lit(4)).cast("int").alias("eval_id"), F.concat("text", extra).alias("text"), "original")
+    """run_id, eval_id, text and original: each draft, with a lead and a suffix of ours, as the output of one of four cases."""
+    doc = F.col("doc_id")
+    of = lambda texts, by: F.element_at(F.array(*map(F.lit, texts)), (F.pmod(F.floor(doc / by), F.lit(len(texts))) + 1).cast("int"))
+    rows = prose.drafts(spark, sf_dir, original=True)
+    return rows.select(doc.alias("run_id"), F.pmod(F.floor(doc / 2), F.lit(4)).cast("int").alias("eval_id"), F.concat(of(LEADS, 8), "text", of(RUNS, 8)).alias("text"), "original")
+
+
+def _of_sql(texts: tuple, by: int) -> str:
+    return f"([{', '.join(map(S.quoted, texts))}])[((d.doc_id // {by}) % {len(texts)}) + 1]"
 
 
-_OUTPUTS = f"(SELECT d.doc_id AS run_id, ((d.doc_id // 2) % 4)::INT AS eval_id, t.text || ([{', '.join(map(S.quoted, RUNS))}])[((d.doc_id // 8) % {len(RUNS)}) + 1] AS text, d.text AS original FROM documents d JOIN {prose.DRAFTS} t USING (doc_id))"
+_OUTPUTS = f"(SELECT d.doc_id AS run_id, ((d.doc_id // 2) % 4)::INT AS eval_id, {_of_sql(LEADS, 8)} || t.text || {_of_sql(RUNS, 8)} AS text, d.text AS original FROM documents d JOIN {prose.DRAFTS} t USING (doc_id))"
 
 
 def with_clean(rows: DataFrame) -> DataFrame:
@@ -219,7 +228,7 @@ def _graded_sql() -> str:
             ("items_retained", f"{_found('plain', grading.ITEMS.values())} = {len(grading.ITEMS)}"), ("imports_flagged", "NULL::BOOLEAN")],
         2: [("no_sample_claims", f"{_found('plain', grading.CLAIMS)} = 0"), ("no_made_up_links", f"{S.times('plain', grading.LINK)} = 0"), ("scan_clean", "clean"), ("states_reason", f"{S.times('plain', grading.REASON)} > 0")],
     }
-    subject = f"trim(trim(trim(regexp_replace(coalesce(list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(l)), lambda l: l <> '')[1], ''), {S.quoted(rf'^[`#>*{chr(92)}-{T.SPACE}]+')}, '')), '`'))"
+    subject = prose.SUBJECT
     counts = S.counts("outs", "run_id")
     rate = S.rate("count", "words")
     head = f"""outs AS MATERIALIZED (SELECT * FROM {_OUTPUTS}), cn AS MATERIALIZED ({counts}),
@@ -233,6 +242,17 @@ def _graded_sql() -> str:
 _GRADED = _graded_sql()
 
 
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn of a conversation and the next one, side by side."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    after = rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next"))
+    return rows.select("conv_id", "turn", "text").join(after, ["conv_id", "turn"])
+
+
+_TURNS = f"SELECT a.conv_id * 1000 + a.turn AS id, {S.blank_tokens('a.text')} AS a, {S.blank_tokens('b.text')} AS b FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1"
+OUTPUT_TOKENS = f"SELECT run_id AS id, {S.blank_tokens('original')} AS a, {S.blank_tokens('text')} AS b FROM {_OUTPUTS}"
+
+
 def once_over(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grading.once_over(outputs(spark, sf_dir).where("eval_id = 3"))
 
@@ -280,6 +300,43 @@ def families(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.split_part("generator", F.lit("/"), F.lit(1)).alias("family")).agg(F.count("*").alias("n"), F.countDistinct("generator").alias("models"))
 
 
+#: Plain descent at the published rate, for so many rounds that it has come to rest (the published loop stops after 4,000, a few hundredths before).
+EPOCHS, RATE = 24_000, 0.25
+
+
+def fits_sql(group: str) -> str:
+    """CTEs ba (id, label, own, x: answers and 1) and fi (held, w), by plain descent on all rows but those of each group; `group` is null for one fit."""
+    x = "[" + ", ".join(taste.KEYS) + ", 1.0::DOUBLE]"
+    n, z = len(taste.KEYS) + 1, f"greatest(-{taste.CLAMP}::DOUBLE, least({taste.CLAMP}::DOUBLE, list_dot_product(w, x[i])))"
+    return f"""ba AS MATERIALIZED (SELECT id, label, {group} AS own, {x}::DOUBLE[] AS x FROM {answers_sql()}),
+      tr AS (SELECT held, list(x ORDER BY id) AS x, list(label ORDER BY id) AS y, sum(label) AS n1, sum(1 - label) AS n0
+        FROM (SELECT DISTINCT own AS held FROM ba {"" if group.startswith("NULL") else "WHERE own IS NOT NULL"}) JOIN ba ON {"true" if group.startswith("NULL") else "own IS DISTINCT FROM held"} GROUP BY held),
+      dt AS MATERIALIZED (SELECT held, x, list_transform(range(1, {n + 1}), lambda j: list_transform(x, lambda r: r[j])) AS xt, y, list_transform(y, lambda v: CASE WHEN v = 1 THEN 0.5::DOUBLE / n1 ELSE 0.5::DOUBLE / n0 END) AS c FROM tr),
+      it AS (SELECT held, 0 AS k, list_transform(range({n}), lambda j: 0::DOUBLE) AS w FROM dt
+        UNION ALL SELECT held, k + 1, list_transform(range(1, {n + 1}), lambda j: w[j] - {RATE}::DOUBLE * (list_dot_product(e, xt[j]) + CASE WHEN j < {n} THEN {logistic.L2}::DOUBLE * w[j] ELSE 0 END))
+          FROM (SELECT it.held, k, w, xt, list_transform(range(1, len(x) + 1), lambda i: (1 / (1 + exp(-{z})) - y[i]) * c[i]) AS e FROM it JOIN dt ON it.held IS NOT DISTINCT FROM dt.held WHERE k < {EPOCHS})),
+      fi AS MATERIALIZED (SELECT held, w FROM it WHERE k = {EPOCHS})"""
+
+
+def _auc_sql(by: str, source: str) -> str:
+    """auc of each group of (by, p, label); null with one label only."""
+    return f"""SELECT {by}, CASE WHEN np * nn > 0 THEN ((w2 * 2000 + 2 * np * nn) // (4 * np * nn))::DOUBLE / 1000 END AS auc FROM (SELECT {by}, sum(label)::BIGINT AS np, sum(1 - label)::BIGINT AS nn,
+      (SELECT coalesce(sum(CASE WHEN a.p > b.p THEN 2 WHEN a.p = b.p THEN 1 ELSE 0 END), 0)::BIGINT FROM {source} a JOIN {source} b ON a.{by} = b.{by} AND a.label = 1 AND b.label = 0 WHERE a.{by} = s.{by}) AS w2 FROM {source} s GROUP BY {by})"""
+
+
+_P = f"round(1 / (1 + exp(-greatest(-{taste.CLAMP}::DOUBLE, least({taste.CLAMP}::DOUBLE, list_dot_product(w, x))))), 6)"
+_FOLD = f"('0x' || substr(md5(concat_ws('/', id, '{taste.SEED}')), 1, 6))::BIGINT % {taste.FOLDS}"
+_FIT = f"""WITH RECURSIVE {fits_sql("NULL::VARCHAR")} SELECT unnest([{', '.join(map(S.quoted, (*taste.KEYS, 'bias')))}]) AS key, round(unnest(w), 3) AS weight FROM fi"""
+_CV = f"""WITH RECURSIVE {fits_sql(_FOLD)}, hd AS MATERIALIZED (SELECT own AS fold, label, {_P} AS p, 1 AS every FROM ba JOIN fi ON own = held),
+  ht AS (SELECT fold, avg(((p > 0.5)::INT = label)::INT::DOUBLE) AS hit, count(*) AS n FROM hd GROUP BY fold), au AS ({_auc_sql("fold", "hd")}), po AS ({_auc_sql("every", "hd")})
+  SELECT sum(n)::BIGINT AS n, round(avg(hit), 3) AS accuracy, round(stddev_pop(hit), 3) AS sd_accuracy, (SELECT round(avg(auc), 3) FROM au) AS mean_auc, (SELECT round(stddev_pop(auc), 3) FROM au) AS sd_auc, (SELECT auc FROM po) AS pooled_auc FROM ht"""
+_LOGO = f"""WITH RECURSIVE {fits_sql("generator")}, sc AS MATERIALIZED (SELECT held, label, own IS NOT DISTINCT FROM held AS unseen, {_P} AS p FROM ba, fi),
+  yt AS (SELECT held, i, count(*) FILTER (label = 1 AND p >= i / {taste.GRID}) / (count(*) FILTER (label = 1))::DOUBLE + count(*) FILTER (label = 0 AND p < i / {taste.GRID}) / (count(*) FILTER (label = 0))::DOUBLE - 1 AS j FROM sc, range(1, {taste.GRID}) r(i) WHERE NOT unseen GROUP BY held, i),
+  yd AS (SELECT held, i / {taste.GRID} AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY held ORDER BY j DESC, i) AS r FROM yt) WHERE r = 1),
+  un AS (SELECT held, count(*) AS n, round(avg((p < threshold)::INT::DOUBLE), 3) AS rejected, round(any_value(threshold), 3) AS threshold, round(sum(p::DECIMAL(22, 6))::DOUBLE / count(*), 3) AS mean_score FROM sc JOIN yd USING (held) WHERE unseen GROUP BY held),
+  ex AS (SELECT held, round(sum(p::DECIMAL(22, 6))::DOUBLE / count(*), 3) AS exemplar_mean FROM sc WHERE label = 1 GROUP BY held),
+  bo AS MATERIALIZED (SELECT held, p, label FROM sc WHERE label = 1 UNION ALL SELECT held, p, 0 FROM sc WHERE unseen), au AS ({_auc_sql("held", "bo")})
+  SELECT held AS generator, n, rejected, threshold, mean_score, exemplar_mean, auc AS auc_vs_exemplars FROM un JOIN ex USING (held) JOIN au USING (held)"""
 _LADDERS = f"SELECT item_id AS source_id, a.x::INT AS low, b.x::INT AS high FROM benchmark, range({RUNGS}) a(x), range({RUNGS}) b(x) WHERE item_id % 9 <> 4 AND a.x < b.x"
 
 QUERIES = {
@@ -312,7 +369,8 @@ QUERIES = {
     "assertions": graded,
     "assertion_rollup": rollup,
     "assertions_once_over": once_over,
-    "token_similarity": lambda s, d: outputs(s, d).select("run_id", F.round(grading.M.token_similarity(F.col("original"), F.col("text")), 6).alias("similarity")),
+    "token_similarity": lambda s, d: outputs(s, d).select("run_id", F.round(token_similarity(F.col("original"), F.col("text")), 6).alias("similarity")),
+    "turn_similarity": lambda s, d: turns(s, d).select("conv_id", "turn", F.round(token_similarity("text", "next"), 6).alias("similarity")),
     "lowercase_ratio": lambda s, d: outputs(s, d).select("run_id", F.round(grading.lowercase_ratio(T.folded(F.col("text"))), 6).alias("ratio")),
     "file_contract": contract,
     "file_contract_only": lambda s, d: contract(s, d, [1, 3]),
@@ -339,6 +397,9 @@ ORACLES = {
       SELECT * FROM (SELECT id, key, before, after, round(before - after, 6) AS drop, row_number() OVER (PARTITION BY id ORDER BY round(before - after, 6) DESC, key DESC) AS place FROM l WHERE round(before - after, 6) > {taste.DIMENSION_DROP}) WHERE place <= {taste.TOP}""".replace("WITH l AS", f"WITH b AS MATERIALIZED (SELECT * FROM {answers_sql('b')}), a AS MATERIALIZED (SELECT * FROM {answers_sql('a', 0.05)}), l AS"),
     "generator_auc": _GENERATOR_AUC,
     "generalize_summary": f"SELECT count(*) AS n, list(auc ORDER BY auc)[count(*) // 2 + 1] AS median_auc, min(auc) AS worst_auc FROM ({_GENERATOR_AUC})",
+    "logistic_fit": _FIT,
+    "cv_metrics": _CV,
+    "leave_one_generator_out": _LOGO,
     "ladder_pairs": _LADDERS,
     "pair_debias": f"WITH {_PAIRS} SELECT source_id, formulation, low::INT AS low, high::INT AS high, p, bias FROM deb",
     "rank_accuracy": f"WITH {_PAIRS}, {_ACCURACY} SELECT * FROM acc",
@@ -355,6 +416,8 @@ ORACLES = {
     "assertions": f"WITH {_GRADED} SELECT run_id, eval_id, site::INT AS site, assertion, passed FROM graded",
     "assertion_rollup": f"""WITH {_GRADED}, r AS (SELECT run_id, sum(coalesce(passed, false)::INT)::BIGINT AS passed, sum((passed IS NOT NULL AND NOT passed)::INT)::BIGINT AS failed, count(passed) AS total, (count(*) - count(passed)) AS manual_pending FROM graded GROUP BY run_id)
       SELECT outs.run_id, eval_id, coalesce(passed, 0) AS passed, coalesce(failed, 0) AS failed, coalesce(total, 0) AS total, CASE WHEN total IS NOT NULL THEN round(coalesce(passed::DOUBLE / nullif(total, 0), 0), 4) END AS pass_rate, coalesce(manual_pending, 0) AS manual_pending, CASE WHEN manual_pending IS NULL THEN 'MISSING' ELSE 'graded' END AS status FROM outs LEFT JOIN r ON outs.run_id = r.run_id""",
+    "token_similarity": f"WITH RECURSIVE {S.similarity(OUTPUT_TOKENS)} SELECT id AS run_id, round(similarity, 6) AS similarity FROM sim",
+    "turn_similarity": f"WITH RECURSIVE {S.similarity(_TURNS)} SELECT id // 1000 AS conv_id, id % 1000 AS turn, round(similarity, 6) AS similarity FROM sim",
     "lowercase_ratio": f"SELECT run_id, round({_ratio('plain')}, 6) AS ratio FROM (SELECT run_id, {S.folded('text')} AS plain FROM {_OUTPUTS})",
     "file_contract": _contract_sql(),
     "file_contract_only": _contract_sql(" WHERE eval_id IN (1, 3)"),

@@ -93,7 +93,8 @@ def graded_once_over(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grading.once_over(rows, F.col("similarity"))
 
 
-def _once_over_sql() -> str:
+def _once_over_sql(known: bool) -> str:
+    """known: all outputs, with similarities from a hash; else those of the fourth case, with the tokens' similarity."""
     dash = lambda x: S.times(x, "—")
     banned = lambda x: "[" + ", ".join(f"regexp_matches({x}, {S.quoted(rf'(?i)\b{w}\b')})" for w in grading.BANNED) + "]"
     points = " + ".join(S.times("plain", p) for p in grading.POINTS)
@@ -107,11 +108,12 @@ def _once_over_sql() -> str:
         ("mode_suits", "NULL::BOOLEAN"),
     )
     base = f"""SELECT *, {S.folded('text')} AS plain, {S.folded('original')} AS plain_original, {S.folded('quoted')} AS plain_quoted FROM (
-      SELECT *, array_to_string(regexp_extract_all(text, '(?m)^>[ \t\n\r\f\x0b]?([^\n]*)$', 1), chr(10)) AS quoted, round({judged.noise_sql('run_id', "'s'")}, 4) AS similarity
-      FROM (SELECT o.run_id, o.eval_id, o.text, o.original FROM {judged._OUTPUTS} o))"""
+      SELECT *, array_to_string(regexp_extract_all(text, '(?m)^>[ \t\n\r\f\x0b]?([^\n]*)$', 1), chr(10)) AS quoted
+      FROM (SELECT run_id, eval_id, text, original, {f"""round({judged.noise_sql('run_id', "'s'")}, 4) AS similarity FROM {judged._OUTPUTS}""" if known else f"similarity FROM {judged._OUTPUTS} JOIN sim ON run_id = id"}))"""
     review = f"similarity < 0.4 AND ({S.times('plain', grading.YOU)}::DOUBLE * 1000.0 / greatest({S.word_count('text')}, 1) >= 8 OR {judged._found('plain', grading.REVIEW)} >= 2)"
     rows = " UNION ALL ".join(f"SELECT run_id, eval_id, {k} AS site, '{name}' AS assertion, {check} AS passed, review FROM o" for k, (name, check) in enumerate(checks))
-    return f"""WITH o AS MATERIALIZED (SELECT *, {review} AS review FROM ({base}))
+    similar = "" if known else S.similarity(judged.OUTPUT_TOKENS + " WHERE eval_id = 3") + ", "
+    return f"""WITH RECURSIVE {similar}o AS MATERIALIZED (SELECT *, {review} AS review FROM ({base}))
       SELECT run_id, eval_id, site::INT AS site, assertion, passed FROM ({rows}) WHERE NOT starts_with(assertion, CASE WHEN review THEN 'revision_' ELSE 'review_' END)"""
 
 
@@ -215,7 +217,8 @@ ORACLES = {
     "resume_sink": judged.ORACLES["negatives_assignment"],
     "word_rarity": f"""SELECT doc_id, round(sum(zipf::DECIMAL(10, 4) * n)::DOUBLE / sum(n), 2) AS zipf_mean FROM (SELECT doc_id, n, {_ZIPF} AS zipf FROM (
       SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, lower(unnest({S.tokens(S.prose_style('text'))})) AS word FROM documents) WHERE regexp_full_match(word, '\\p{{L}}+') GROUP BY ALL)) WHERE zipf > 0 GROUP BY doc_id""",
-    "once_over_by_similarity": _once_over_sql(),
+    "once_over_by_similarity": _once_over_sql(True),
+    "assertions_once_over": _once_over_sql(False),
     "generator_report": _GEN,
     "ladder_report": f"WITH {judged._PAIRS}, {judged._ACCURACY}, {judged._WINS}, vd AS ({judged._VERDICT}) SELECT row_number() OVER (ORDER BY vd.adjacent_accuracy DESC, formulation) - 1 AS place, printf('%-12s %6.2f %9.2f %7.2f %8.2f  %s', formulation, rank_accuracy, vd.adjacent_accuracy, coalesce(mean_spearman, 0), coalesce(vd.position_bias, 0), verdict) AS line FROM vd JOIN acc USING (formulation)",
     "fidelity_report": f"WITH fe AS ({judged.ORACLES['fidelity_error']}) SELECT label, 0::BIGINT AS place, printf('  %-16s p=%.2f (sd %.2f, n=%d)  fidelity_error=%.2f', label::VARCHAR, mean_p, stdev, n, fidelity_error) AS line FROM fe UNION ALL SELECT label, 1, repeat(' ', 19) || direction FROM fe",
@@ -224,7 +227,7 @@ ORACLES = {
     "style_report": _STYLE_REPORT,
     "rollup_report": f"SELECT run_id, printf('eval-%-23d', eval_id) || CASE WHEN status = 'MISSING' THEN '   MISSING' ELSE lpad(passed || '/' || total, 10, ' ') END AS line FROM ({judged.ORACLES['assertion_rollup']})",
     "candidate_report": f"{_RANKED} SELECT source_id, place - 1 AS place, printf('  %-18s %+.3f', item::VARCHAR, strength) AS line FROM rkd",
-    # These two queries are in judged.
+    # These queries are in judged.
     "bradley_terry": f"WITH {_PAIRS}, {_strengths_sql()} SELECT * FROM bt",
     "candidate_ranking": f"{_RANKED} SELECT * FROM rkd",
 }

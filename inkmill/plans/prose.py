@@ -35,10 +35,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, author and the document with a suffix of ours."""
+def drafts(spark: SparkSession, sf_dir: str, original: bool = False) -> DataFrame:
+    """doc_id, author and the document with a suffix of ours; with the document as it is, too, if original."""
     suffix = F.element_at(F.array(*map(F.lit, SUFFIXES)), (F.pmod("doc_id", F.lit(len(SUFFIXES))) + 1).cast("int"))
-    return spread(documents(spark, sf_dir).select("doc_id", F.col("source").alias("author"), F.concat("text", suffix).alias("text")), "doc_id")
+    rows = documents(spark, sf_dir).select("doc_id", F.col("source").alias("author"), F.concat("text", suffix).alias("text"), *([F.col("text").alias("original")] if original else []))
+    return spread(rows, "doc_id")
 
 
 DRAFTS = f"(SELECT doc_id, source AS author, text || ([{', '.join(map(S.quoted, SUFFIXES))}])[(doc_id % {len(SUFFIXES)}) + 1] AS text FROM documents)"
@@ -60,6 +61,9 @@ _LINES = f"string_split(translate(replace(text, chr(13) || chr(10), chr(10)), {S
 FIRST_LINE = f"coalesce(list_filter(list_transform({_LINES}, lambda l: trim(l, {S.quoted(_WHITE)})), lambda l: l <> '')[1], '')"
 
 
+SUBJECT = f"trim(trim(ltrim({FIRST_LINE}, {S.quoted('`#>*-' + _WHITE)}), {S.quoted(_WHITE)}), '`')"
+
+
 def spaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, author and text, with a blank line for every line break."""
     return spread(documents(spark, sf_dir).select("doc_id", F.col("source").alias("author"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text")), "doc_id")
@@ -292,6 +296,6 @@ ORACLES = {
     "excerpts": _EXCERPTS,
     "median_words": f"SELECT lang, count(*) AS n, list(words ORDER BY words)[count(*) // 2 + 1]::BIGINT AS upper_median FROM (SELECT lang, {S.blank_words('text')} AS words FROM documents) GROUP BY lang",
     "clipped": "SELECT doc_id, " + ", ".join(f"md5(CASE WHEN length(t) > {n} THEN left(t, {n}) || chr(10) || '[...]' ELSE t END) AS {name}" for n, name in ((2600, "clip_md5"), (3000, "feature_clip_md5"))) + f" FROM (SELECT doc_id, regexp_replace(trim(text, {S.quoted(_WHITE)}), '\n{{3,}}', chr(10) || chr(10), 'g') AS t FROM {ROUGH_DRAFTS})",
-    "subject_lines": f"SELECT doc_id, trim(trim(ltrim({FIRST_LINE}, {S.quoted('`#>*-' + _WHITE)}), {S.quoted(_WHITE)}), '`') AS subject FROM {ROUGH_DRAFTS}",
+    "subject_lines": f"SELECT doc_id, {SUBJECT} AS subject FROM {ROUGH_DRAFTS}",
     "generated_clean": f"SELECT doc_id, {S.blank_words('t')}::BIGINT AS words, {S.blank_words('t')} >= {dataset.GENERATED_WORDS} AS used, md5(t) AS text_md5 FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '\n{{3,}}', chr(10) || chr(10), 'g'), {S.quoted(_STRIP)}, '', 'g') AS t FROM {DRAFTS})",
 }

@@ -140,3 +140,27 @@ def html_text(x: str) -> str:
     out = _drop(_drop(_drop(out, "&#[0-9]+;", " "), "[ \t]+", " "), "\n{3,}", "\n\n")
     kept = f"list_filter(string_split({out}, chr(10)), lambda l: {times('l', f'[^{T.SPACE}]+')} > 8 OR regexp_matches(l, '[.!?]'))"
     return _drop(f"array_to_string({kept}, chr(10))", rf"\A[{T.SPACE}]+|[{T.SPACE}]+\z")
+
+
+def similarity(pairs: str) -> str:
+    """CTEs (recursive) that end in sim (id, similarity): tokens in matching blocks, the longest first, of pairs (id, a, b), lists of tokens."""
+    return f"""pr AS MATERIALIZED ({pairs}),
+      tb AS (SELECT id, unnest(b) AS t, generate_subscripts(b, 1) - 1 AS j, len(b) AS n FROM pr), ta AS (SELECT id, unnest(a) AS t, generate_subscripts(a, 1) - 1 AS i FROM pr),
+      pp AS (SELECT id, t, count(*) > any_value(n) // 100 + 1 AND any_value(n) >= 200 AS popular FROM tb GROUP BY id, t),
+      eq AS MATERIALIZED (SELECT id, i, j, popular FROM ta JOIN tb USING (id, t) JOIN pp USING (id, t)),
+      sg AS (SELECT id, 0::BIGINT AS al, len(a)::BIGINT AS ah, 0::BIGINT AS bl, len(b)::BIGINT AS bh, 0::BIGINT AS n, true AS open FROM pr WHERE len(a) > 0 AND len(b) > 0
+        UNION ALL SELECT id, u.al, u.ah, u.bl, u.bh, u.n, u.open FROM (SELECT id, unnest([
+            {{'al': al, 'ah': fi, 'bl': bl, 'bh': fi - d, 'n': 0, 'open': true}}, {{'al': fi + fn, 'ah': ah, 'bl': fi - d + fn, 'bh': bh, 'n': 0, 'open': true}}, {{'al': 0, 'ah': 1, 'bl': 0, 'bh': 1, 'n': fn, 'open': false}}]) AS u
+          FROM (SELECT *, row_number() OVER (PARTITION BY id, al ORDER BY cn DESC, ci, ci - d) AS r FROM (
+            SELECT id, al, ah, bl, bh, d, min(i) AS ci, CASE WHEN popular THEN 0 ELSE count(*) END AS cn, any_value(fi) AS fi, any_value(fn) AS fn FROM (
+              SELECT *, min(i) OVER w AS fi, count(*) OVER w AS fn FROM (
+                SELECT s.id, al, ah, bl, bh, e.i, e.i - e.j AS d, popular, e.i - row_number() OVER (PARTITION BY s.id, al, e.i - e.j ORDER BY e.i) AS f,
+                  e.i - row_number() OVER (PARTITION BY s.id, al, e.i - e.j, popular ORDER BY e.i) AS c FROM sg s JOIN eq e ON e.id = s.id AND e.i >= al AND e.i < ah AND e.j >= bl AND e.j < bh WHERE s.open) WINDOW w AS (PARTITION BY id, al, d, f))
+            GROUP BY id, al, ah, bl, bh, d, popular, c HAVING NOT popular OR (any_value(fi) = al AND al - d = bl))) WHERE r = 1)
+        WHERE u.al < u.ah AND u.bl < u.bh),
+      sim AS (SELECT id, CASE WHEN len(a) + len(b) = 0 THEN 1 ELSE 2 * coalesce(m, 0)::DOUBLE / (len(a) + len(b)) END AS similarity FROM pr LEFT JOIN (SELECT id, sum(n)::BIGINT AS m FROM sg WHERE NOT open GROUP BY id) USING (id))"""
+
+
+def blank_tokens(x: str) -> str:
+    """The runs of anything but white space."""
+    return f"regexp_extract_all({x}, {quoted(f'[^{T.SPACE}]+')})"

@@ -1,10 +1,12 @@
+import difflib
 import math
 import random
+import time
 
 import numpy as np
 import pytest
 
-from inkmill.functions import metrics as M
+from inkmill.functions.similarity import matching, similarity, token_similarity
 from inkmill.operators import dataset, grading, pairwise, reports, taste
 from inkmill.sources import fixtures, readers
 from tests.test_judged import gradient_fit
@@ -55,12 +57,42 @@ def test_token_similarity_against_a_plain_reading(spark):
     rng = random.Random(5)
     texts = [([rng.choice("abcde") for _ in range(rng.randrange(30))], [rng.choice("abcdef") for _ in range(rng.randrange(30))]) for _ in range(40)]
     df = spark.createDataFrame([(k, " ".join(a), " ".join(b)) for k, (a, b) in enumerate(texts)] + [(40, None, None)], "k int, a string, b string")
-    found = {r["k"]: r["s"] for r in df.select("k", M.token_similarity(df["a"], df["b"]).alias("s")).collect()}
+    found = {r["k"]: r["s"] for r in df.select("k", token_similarity(df["a"], df["b"]).alias("s")).collect()}
     for k, (a, b) in enumerate(texts):
         assert found[k] == pytest.approx(2 * plain_blocks(a, b) / (len(a) + len(b)) if a or b else 1.0)
     assert found[40] == 1.0
 
 
+def test_matching_blocks_equal_the_standard_ones():
+    rng = random.Random(7)
+    want = lambda a, b: sum(x.size for x in difflib.SequenceMatcher(None, a, b).get_matching_blocks())
+    for _ in range(1500):
+        letters = "abcdefgh"[: rng.randint(1, 8)]
+        a, b = ([rng.choice(letters) for _ in range(rng.randint(0, 25))] for _ in "ab")
+        assert matching(a, b) == want(a, b)
+    for k in range(120):  # popular tokens in lists of 200 and more
+        words = [f"w{j}" for j in range(rng.choice([3, 20, 100, 400]))]
+        draw = lambda n: rng.choices(words, [1 / (j + 1) for j in range(len(words))], k=n)  # noqa: B023, E731
+        a = draw(rng.randint(150, 700))
+        b = list(a) if k % 2 else draw(rng.randint(150, 700))
+        for _ in range(rng.randint(0, 60)):
+            at = rng.randrange(len(b))
+            b[at : at + rng.randint(0, 3)] = draw(rng.randint(1, 3))
+        assert matching(a, b) == want(a, b)
+    assert similarity(None, " ") == 1.0 and similarity("a", None) == 0.0
+
+
+def test_matching_is_not_quadratic():
+    rng = random.Random(8)
+    lists = [[f"w{rng.randrange(3000)}" for _ in range(20_000)] for _ in "ab"]
+    took = []
+    for n in (2000, 20_000):
+        began = time.process_time()
+        matching(lists[0][:n], lists[1][:n])
+        took.append(time.process_time() - began)
+    assert took[1] < 50 * took[0]
+
+
 def made(n=160):
     rng = np.random.default_rng(3)
     x = rng.random((n, 2)).round(4)
