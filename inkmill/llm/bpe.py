@@ -5,7 +5,7 @@ compiled, with their ids, into a minimal acyclic transducer. The file goes to th
 folder and from there once to each executor, also to one that comes later, where all
 workers map the same pages. A word that isn't in it is merged: the pair of neighbours with
 the least rank, the leftmost on ties, until none is left. Workers remember the words they
-have met, so neither is done for each occurrence.
+have met, so neither is done for each occurrence; the new words of some texts take each step together.
 
 Words are split as the tokenizer does, by its pattern; texts with characters that Unicode
 has not assigned, about which tables differ, are split by the tokenizer itself, and so are the
@@ -36,19 +36,19 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkmill.llm.lexicon import compiled, mapped
+from inkmill.llm.lexicon import Transducer, Words, compiled, mapped
 from inkmill.llm.store import documents, materialise, small_batches
 from inkmill.llm.tokens import byte_letters
 from inkmill.sources.scratch import new_path
 
-#: Words of the lexicon at most, and bytes of one.
+#: Words of the lexicon at most, and bytes of one, and of one that is merged along with others.
 WORDS, LONGEST = 1 << 16, 48
 #: Words that a task counts, and that a worker remembers, at most at a time.
 COUNTED, REMEMBERED = 200_000, 250_000
 #: Characters of a text from which on its words are taken a part at a time, and words of a part.
-LONG, PART = 1 << 20, 100_000
-#: Bytes of a word up to which its pairs are looked through for each merge.
-SHORT = 32
+LONG, PART = 1 << 20, 200_000
+#: New words that are looked up and merged together.
+BLOCK = 20_000
 #: Fixed value: the pattern by which byte-level vocabularies split words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -88,10 +88,14 @@ class Vocabulary:
         self.wide = regex.compile(PATTERN)
         self.narrow, self.plain = _narrow()
         letters, ids = byte_letters(), model["vocab"]
-        self.single = [ids[letters[b]] for b in range(256)]
+        self.single = np.array([ids[letters[b]] for b in range(256)])
         pairs = [pair if isinstance(pair, list) else pair.split(" ") for pair in model["merges"]]
         self.ranks = {(ids[a], ids[b]): rank for rank, (a, b) in enumerate(pairs)}
-        self.made = [ids[a + b] for a, b in pairs]
+        self.made = np.array([ids[a + b] for a, b in pairs])
+        self.pairs = np.array([ids[a] << 32 | ids[b] for a, b in pairs])
+        self.pair_ranks = np.argsort(self.pairs)
+        self.pairs = self.pairs[self.pair_ranks]
+        self.byte_ranks = self._rank(*np.broadcast_arrays(self.single[:, None], self.single[None, :]))
         of = {letter: b for b, letter in letters.items()}
         self.bytes = {i: bytes(of[c] for c in t) if all(c in of for c in t) else t.encode() for t, i in ids.items()}
         self.added = {}
@@ -119,25 +123,39 @@ class Vocabulary:
         """What stands between added tokens, with these at the odd places."""
         return self.added_in.split(text) if self.added and any(x in text for x in self.added) else [text]
 
-    def merged(self, word: bytes) -> list[int]:
-        """The ids of a word by merges alone."""
-        ids, of, made, none = [self.single[b] for b in word], self.ranks.get, self.made, len(self.made)
-        if len(ids) > SHORT:
-            return self._merged_long(ids)
-        ranks = [of(pair, none) for pair in itertools.pairwise(ids)]
-        while ranks and (least := min(ranks)) < none:
-            k = ranks.index(least)
-            ids[k : k + 2] = [made[least]]
-            del ranks[k]
-            if k:
-                ranks[k - 1] = of((ids[k - 1], ids[k]), none)
-            if k < len(ranks):
-                ranks[k] = of((ids[k], ids[k + 1]), none)
-        return ids
-
-    def _merged_long(self, ids: list[int]) -> list[int]:
-        """As merged, with the pairs in a queue, so that the work isn't the square of the length."""
-        ranks, n = self.ranks, len(ids)
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of pairs of ids; the number of merges for those that aren't merged."""
+        wanted = left.astype(np.int64) << 32 | right
+        at = np.minimum(np.searchsorted(self.pairs, wanted), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == wanted, self.pair_ranks[at], len(self.made))
+
+    def merged(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """(how many ids each word has, their ids), by merges alone: each round merges a pair in every word that has one left."""
+        none, (n, width) = len(self.made), words.letters.shape
+        own = np.arange(width) < words.size[:, None]
+        ids = np.where(own, self.single[words.letters], -1)
+        rank = np.full((n, width), none)
+        rank[:, :-1] = np.where(own[:, 1:], self.byte_ranks[words.letters[:, :-1], words.letters[:, 1:]], none)
+        after, before = np.tile(np.arange(1, width + 1), (n, 1)), np.tile(np.arange(-1, width - 1), (n, 1))
+        row = np.arange(n if width else 0)
+        while len(row):
+            k = rank[row].argmin(axis=1)
+            least = rank[row, k]
+            row, k, least = (x[least < none] for x in (row, k, least))
+            gone = after[row, k]
+            to = after[row, gone]
+            ids[row, k], ids[row, gone], rank[row, gone], rank[row, k], after[row, k] = self.made[least], -1, none, none, to
+            more = to < words.size[row]
+            r, a, b = row[more], k[more], to[more]
+            before[r, b], rank[r, a] = a, self._rank(ids[r, a], ids[r, b])
+            a = before[row, k]
+            r, a, b = row[a >= 0], a[a >= 0], k[a >= 0]
+            rank[r, a] = self._rank(ids[r, a], ids[r, b])
+        return (ids >= 0).sum(axis=1), ids[ids >= 0]
+
+    def merged_long(self, word: bytes) -> list[int]:
+        """As merged, of one word, with the pairs in a queue, so that the work isn't the square of the length."""
+        ids, ranks, n = [int(self.single[b]) for b in word], self.ranks, len(word)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         queue = [(ranks[pair], k, *pair) for k, pair in enumerate(itertools.pairwise(ids)) if pair in ranks]
         heapq.heapify(queue)
@@ -146,7 +164,7 @@ class Vocabulary:
             to = after[k]
             if ids[k] != left or to >= n or ids[to] != right:
                 continue  # one of the two has become part of another
-            ids[k], ids[to], after[k] = self.made[rank], -1, after[to]
+            ids[k], ids[to], after[k] = int(self.made[rank]), -1, after[to]
             if after[k] < n:
                 before[after[k]] = k
             for a, b in ((before[k], k), (k, after[k])):
@@ -161,37 +179,58 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-class Encoder(dict):
+class Encoder:
     """The ids of the words that this worker has met, as unsigned 32-bit numbers; those not met since the last clearing go with the next."""
 
-    def __init__(self, known: Vocabulary, lexicon):
-        super().__init__()
-        self.known, self.lexicon, self.before = known, lexicon, {}
-
-    def __missing__(self, word: str) -> bytes:
-        found = self.before.get(word)
-        if found is None:
-            raw = word.encode()
-            found = self.lexicon(raw) if len(raw) <= LONGEST else None
-            if found is None:
-                found = array("I", self.known.merged(raw)).tobytes()
-            if len(raw) > LONGEST:
-                return found
-        self[word] = found
-        return found
-
-    def __call__(self, text: str | None) -> bytes:
-        if len(self) > REMEMBERED:
-            self.before = dict(self)
-            self.clear()
-        out = []
-        for k, piece in enumerate(self.known.pieces(text or "")):
-            if k % 2:
-                out.append(array("I", [self.known.added[piece]]).tobytes())
-            else:
+    def __init__(self, known: Vocabulary, lexicon: Transducer):
+        self.known, self.lexicon, self.now, self.before = known, lexicon, {}, {}
+
+    def learn(self, words: set[str]) -> None:
+        """Makes sure that now has all of these: from the lexicon, or merged."""
+        if len(self.now) > REMEMBERED:
+            self.before, self.now = self.now, {}
+        words = words - self.now.keys()
+        self.now |= {w: self.before[w] for w in words & self.before.keys()}
+        rest = sorted(words - self.now.keys(), key=len)
+        for low in range(0, len(rest), BLOCK):
+            raw = [w.encode() for w in rest[low : low + BLOCK]]
+            short = np.array([k for k, x in enumerate(raw) if len(x) <= LONGEST], np.int64)
+            own = Words([raw[k] for k in short])
+            there, *found = self.lexicon(own)
+            other = self.known.merged(own.take(~there))
+            for which, (count, ids) in ((short[there], found), (short[~there], other)):
+                data, end = ids.astype("<u4").tobytes(), (4 * np.cumsum(count)).tolist()
+                for k, a, b in zip(which.tolist(), [0, *end], end, strict=False):
+                    self.now[rest[low + k]] = data[a:b]
+            for k, x in enumerate(raw):
+                if len(x) > LONGEST:
+                    self.now[rest[low + k]] = array("I", self.known.merged_long(x)).tobytes()
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        waiting, n = [], 0
+
+        def write() -> None:
+            self.learn(set().union(*(words for _, words in waiting if not isinstance(words, bytes))))
+            of = self.now.__getitem__
+            for k, words in waiting:
+                out[k].append(words if isinstance(words, bytes) else b"".join(map(of, words)))
+            waiting.clear()
+
+        for k, text in enumerate(texts):
+            for odd, piece in enumerate(self.known.pieces(text or "")):
+                if odd % 2:
+                    waiting.append((k, array("I", [self.known.added[piece]]).tobytes()))
+                    continue
                 for words in self.known.words(piece):
-                    out.append(b"".join(map(self.__getitem__, words)))
-        return b"".join(out)
+                    waiting.append((k, words))
+                    n += len(words)
+                    if n > PART:
+                        write()
+                        n = 0
+        write()
+        return [b"".join(parts) for parts in out]
 
 
 @functools.lru_cache(maxsize=1)
@@ -252,7 +291,7 @@ def compile_lexicon(docs: DataFrame, tokenizer: str | None = None, most: int = W
     small_batches(docs.sparkSession)
     known = Vocabulary(tokenizer)
     words = frequent(materialise(word_counts(docs, tokenizer), "word-counts"), most)
-    return share_file(docs.sparkSession, compiled({(w := word.encode()): tuple(known.merged(w)) for word in words}), "lexicon")
+    return share_file(docs.sparkSession, compiled({(w := word.encode()): tuple(known.merged_long(w)) for word in words}), "lexicon")
 
 
 def _with(batch: pa.RecordBatch, used: str, name: str, values: pa.Array) -> pa.RecordBatch:
@@ -272,7 +311,7 @@ def encode(docs: DataFrame, lexicon: str, tokenizer: str | None = None) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer, SparkFiles.get(lexicon))
         for batch in batches:
-            found = [own(text) for text in batch.column("text").to_pylist()]
+            found = own(batch.column("text").to_pylist())
             at = np.cumsum([0, *(len(x) // 4 for x in found)]).astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(found), np.int32))
             yield _with(batch, "text", "ids", pa.ListArray.from_arrays(pa.array(at), values))
@@ -287,13 +326,13 @@ def decode(rows: DataFrame, tokenizer: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = vocabulary(tokenizer).bytes
         for batch in batches:
-            texts = []
-            for ids in batch.column("ids"):
-                own = ids.values.to_numpy(zero_copy_only=False).tolist() if ids.is_valid else []
+            lists, texts = batch.column("ids"), []
+            at, own = lists.offsets.to_pylist(), lists.values.to_pylist()
+            for k in range(len(lists)):  # a null list has no values
                 try:
-                    raw = b"".join(map(of.__getitem__, own))
-                except (KeyError, TypeError):
-                    raw = b"".join([of.get(i, b"") for i in own])
+                    raw = b"".join(map(of.__getitem__, own[at[k] : at[k + 1]]))
+                except KeyError:
+                    raw = b"".join([of.get(i, b"") for i in own[at[k] : at[k + 1]]])
                 texts.append(raw.decode("utf-8", "replace"))
             yield _with(batch, "ids", "text", pa.array(texts, pa.string()))
 

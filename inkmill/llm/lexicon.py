@@ -7,7 +7,8 @@ on they are certain; where a longer word takes another turn they move further do
 
 The file holds little-endian numbers: the counts of states, arcs, ids on arcs and ids at
 ends, then for each state its first arc, for each arc its target and its first id, for each
-state its first id as an end, the ids of both, whether a state is an end, and the arcs' bytes.
+state its first id as an end, the ids of both, whether a state is an end, and the arcs' bytes,
+which ascend within a state.
 """
 
 from __future__ import annotations
@@ -17,8 +18,23 @@ import mmap
 import struct
 from array import array
 
+import numpy as np
+
 _HEAD = struct.Struct("<4I")
-_BYTES = [bytes([b]) for b in range(256)]
+
+
+class Words:
+    """Words side by side: their bytes, filled up with zeros, and how many each has."""
+
+    def __init__(self, words: list[bytes]):
+        self.size = np.fromiter(map(len, words), np.int64, len(words))
+        self.letters = np.zeros((len(words), int(self.size.max(initial=0))), np.uint8)
+        self.letters[np.arange(self.letters.shape[1]) < self.size[:, None]] = np.frombuffer(b"".join(words), np.uint8)
+
+    def take(self, which: np.ndarray) -> Words:
+        out = object.__new__(Words)
+        out.size, out.letters = self.size[which], self.letters[which]
+        return out
 
 
 class _Open:
@@ -96,30 +112,37 @@ class Transducer:
     def __init__(self, path: str):
         with open(path, "rb") as file:
             self.map = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
-        states, arcs, on_arcs, on_ends = _HEAD.unpack_from(self.map)
-        numbers, at = memoryview(self.map), _HEAD.size
-        cut = []
-        for n in (states + 1, arcs, arcs + 1, states + 1, on_arcs, on_ends):
-            cut.append(numbers[at : at + 4 * n].cast("I"))
-            at += 4 * n
-        self.first, self.target, self.ids_at, self.end_at, self.arc_ids, self.end_ids = cut
-        self.ends, self.label, self.states = at, at + states, states
-
-    def __call__(self, word: bytes) -> bytes | None:
-        """The ids of a word as unsigned 32-bit numbers; None if it isn't in the lexicon."""
-        state, out, find, first, base = self.states - 1, [], self.map.find, self.first, self.label
-        for byte in word:
-            arc = find(_BYTES[byte], base + first[state], base + first[state + 1]) - base
-            if arc < 0:
-                return None
-            low, high = self.ids_at[arc], self.ids_at[arc + 1]
-            if low < high:
-                out.append(self.arc_ids[low:high].tobytes())
-            state = self.target[arc]
-        if not self.map[self.ends + state]:
-            return None
-        out.append(self.end_ids[self.end_at[state] : self.end_at[state + 1]].tobytes())
-        return b"".join(out)
+        self.states, n_arcs, on_arcs, on_ends = _HEAD.unpack_from(self.map)
+        at, cut = _HEAD.size, []
+        for kind, n in (("<u4", self.states + 1), ("<u4", n_arcs), ("<u4", n_arcs + 1), ("<u4", self.states + 1), ("<u4", on_arcs + on_ends), ("u1", self.states), ("u1", n_arcs)):
+            cut.append(np.frombuffer(self.map, kind, n, at))
+            at += cut[-1].nbytes
+        first, self.target, self.ids_at, end_at, self.ids, self.ends, label = cut
+        self.end_at = end_at.astype(np.int64) + on_arcs  # ids at ends follow those on arcs
+        self.arcs = np.repeat(np.arange(self.states), np.diff(first.astype(np.int64))) << 8 | label
+
+    def __call__(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which words are in the lexicon, how many ids each of these has, their ids); all words take a step at a time."""
+        state, there = np.full(len(words.size), self.states - 1), np.ones(len(words.size), bool)
+        begin, count = (np.zeros((len(words.size), words.letters.shape[1] + 1), np.int64) for _ in range(2))
+        for step in range(words.letters.shape[1]):
+            on = np.flatnonzero(there & (words.size > step))
+            wanted = state[on] << 8 | words.letters[on, step]
+            arc = np.searchsorted(self.arcs, wanted)
+            hit = arc < len(self.arcs)
+            hit[hit] = self.arcs[arc[hit]] == wanted[hit]
+            there[on[~hit]] = False
+            on, arc = on[hit], arc[hit]
+            state[on] = self.target[arc]
+            begin[on, step] = self.ids_at[arc]
+            count[on, step] = self.ids_at[arc + 1] - begin[on, step]
+        there &= self.ends[state].astype(bool)
+        begin[:, -1] = self.end_at[state]
+        count[:, -1] = self.end_at[state + 1] - begin[:, -1]
+        begin, count = begin[there].ravel(), count[there]
+        total, flat = count.sum(axis=1), count.ravel()
+        place = np.repeat(begin - np.cumsum(flat) + flat, flat) + np.arange(flat.sum())
+        return there, total, self.ids[place]
 
 
 @functools.lru_cache(maxsize=2)

@@ -76,12 +76,12 @@ def test_transducer_is_minimal_and_exact(tmp_path):
     for own in (words, {}, {b"a": (1,)}, {b"a": (1, 2), b"ab": (1, 2, 3), b"abc": (4,)}):
         path = tmp_path / f"lexicon-{len(own)}"
         path.write_bytes(lexicon.compiled(own))
-        found = lexicon.Transducer(str(path))
-        for word, ids in own.items():
-            assert found(word) == array("I", ids).tobytes()
-        for _ in range(500):
-            other = bytes(rng.choice(b"abcd") for _ in range(rng.randint(0, 8)))
-            assert (found(other) is None) == (other not in own)
+        found, others = lexicon.Transducer(str(path)), [bytes(rng.choice(b"abcd") for _ in range(rng.randint(0, 8))) for _ in range(500)]
+        asked = [*own, *others]
+        there, count, ids = found(lexicon.Words(asked))
+        assert there.tolist() == [w in own for w in asked] and ids.tolist() == [i for w in asked for i in own.get(w, ())]
+        assert count.tolist() == [len(own[w]) for w in asked if w in own]
+    assert [len(x) for x in found(lexicon.Words([]))] == [0, 0, 0]
     ends = {stem + end: () for stem in (b"walk", b"talk", b"jump") for end in (b"", b"s", b"ed", b"ing")}
     path = tmp_path / "ends"
     path.write_bytes(lexicon.compiled(ends))
@@ -124,7 +124,30 @@ def test_long_texts_in_parts(plain, monkeypatch, tmp_path):
     path.write_bytes(lexicon.compiled({}))
     own = bpe.Encoder(bpe.vocabulary(VOCABULARY), lexicon.Transducer(str(path)))
     for text in ("it goes   on \n\n and on, doesn't it?  ", "日本語 " * 20, "x" * 3000):
-        assert list(memoryview(own(text)).cast("I")) == plain.encode(text, add_special_tokens=False).ids
+        assert list(memoryview(own([text])[0]).cast("I")) == plain.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.skipif(VOCABULARY is None, reason="no vocabulary here")
+def test_merging_together_and_alone(plain):
+    rng, known = random.Random(9), bpe.vocabulary(VOCABULARY)
+    words = [bytes(rng.choice(b"aeinrst thl\xc3\xa9") for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    count, ids = known.merged(lexicon.Words(words))
+    each = [known.merged_long(w) for w in words]
+    assert ids.tolist() == [i for x in each for i in x] and count.tolist() == [len(x) for x in each]
+    assert [len(x) for x in known.merged(lexicon.Words([]))] == [0, 0] and known.merged_long(b"") == []
+
+
+@pytest.mark.skipif(VOCABULARY is None, reason="no vocabulary here")
+def test_words_are_forgotten_and_learnt_again(plain, monkeypatch, tmp_path):
+    monkeypatch.setattr(bpe, "REMEMBERED", 5)
+    monkeypatch.setattr(bpe, "BLOCK", 3)
+    monkeypatch.setattr(bpe, "PART", 4)
+    path = tmp_path / "few"
+    path.write_bytes(lexicon.compiled({w.encode(): tuple(plain.encode(w, add_special_tokens=False).ids) for w in ("it", " goes", " on")}))
+    own = bpe.Encoder(bpe.vocabulary(VOCABULARY), lexicon.Transducer(str(path)))
+    texts = ["it goes on and on, and on", None, "a verylongword" + "abc" * 40, "it goes<|endoftext|> up", "and down it goes on"] * 3
+    for _ in range(3):
+        assert [list(memoryview(x).cast("I")) for x in own(texts)] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
 @pytest.mark.skipif(VOCABULARY is None, reason="no vocabulary here")
