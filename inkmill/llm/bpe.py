@@ -44,7 +44,7 @@ from inkmill.sources.scratch import new_path
 #: Words of the lexicon at most, and bytes of one, and of one that is merged along with others.
 WORDS, LONGEST = 1 << 16, 48
 #: Words that a task counts, and that a worker remembers, at most at a time.
-COUNTED, REMEMBERED = 200_000, 250_000
+COUNTED, REMEMBERED = 200_000, 200_000
 #: Characters of a text from which on its words are taken a part at a time, and words of a part.
 LONG, PART = 1 << 20, 200_000
 #: New words that are looked up and merged together.
@@ -108,7 +108,7 @@ class Vocabulary:
 
     def words(self, text: str) -> Iterator[list[str]]:
         """The words of a text without added tokens, a part at a time."""
-        odd = set(text) - self.plain
+        odd = () if text.isascii() else set(text) - self.plain
         pattern = self.wide if odd else self.narrow
         if odd and any(unicodedata.category(c) == "Cn" for c in odd):
             yield [text[a:b] for _, (a, b) in self.own_split(text)]
@@ -133,10 +133,10 @@ class Vocabulary:
         """(how many ids each word has, their ids), by merges alone: each round merges a pair in every word that has one left."""
         none, (n, width) = len(self.made), words.letters.shape
         own = np.arange(width) < words.size[:, None]
-        ids = np.where(own, self.single[words.letters], -1)
-        rank = np.full((n, width), none)
+        ids = np.where(own, self.single[words.letters], -1).astype(np.int32)
+        rank = np.full((n, width), none, np.int32)
         rank[:, :-1] = np.where(own[:, 1:], self.byte_ranks[words.letters[:, :-1], words.letters[:, 1:]], none)
-        after, before = np.tile(np.arange(1, width + 1), (n, 1)), np.tile(np.arange(-1, width - 1), (n, 1))
+        after, before = (np.tile(np.arange(first, first + width, dtype=np.int8), (n, 1)) for first in (1, -1))  # LONGEST is below 127
         row = np.arange(n if width else 0)
         while len(row):
             k = rank[row].argmin(axis=1)
@@ -189,9 +189,14 @@ class Encoder:
         """Makes sure that now has all of these: from the lexicon, or merged."""
         if len(self.now) > REMEMBERED:
             self.before, self.now = self.now, {}
-        words = words - self.now.keys()
-        self.now |= {w: self.before[w] for w in words & self.before.keys()}
-        rest = sorted(words - self.now.keys(), key=len)
+        now, before, rest = self.now, self.before, []
+        for word in words:
+            if word not in now:
+                if word in before:
+                    now[word] = before[word]
+                else:
+                    rest.append(word)
+        rest.sort(key=len)
         for low in range(0, len(rest), BLOCK):
             raw = [w.encode() for w in rest[low : low + BLOCK]]
             short = np.array([k for k, x in enumerate(raw) if len(x) <= LONGEST], np.int64)
@@ -201,10 +206,10 @@ class Encoder:
             for which, (count, ids) in ((short[there], found), (short[~there], other)):
                 data, end = ids.astype("<u4").tobytes(), (4 * np.cumsum(count)).tolist()
                 for k, a, b in zip(which.tolist(), [0, *end], end, strict=False):
-                    self.now[rest[low + k]] = data[a:b]
+                    now[rest[low + k]] = data[a:b]
             for k, x in enumerate(raw):
                 if len(x) > LONGEST:
-                    self.now[rest[low + k]] = array("I", self.known.merged_long(x)).tobytes()
+                    now[rest[low + k]] = array("I", self.known.merged_long(x)).tobytes()
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text."""
