@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from inkmill.functions import text as T
+from inkmill.sources.scratch import written
 
 # Fixed values.
 CORPUS_WORDS, DATASET_WORDS, GENERATED_WORDS = 300, 400, 100
@@ -109,6 +110,24 @@ def upper_median(rows: DataFrame, by: str, value: str) -> DataFrame:
     return _counted(rows, by, value).groupBy(by).agg(F.first("all").alias("n"), _at(F.floor(F.col("all") / 2), value).alias("upper_median"))
 
 
+def numbered(rows: DataFrame, by: list[str], name: str = "pos") -> DataFrame:
+    """rows with their place by these columns, counted from 0; equal rows in some order.
+
+    Rows are dealt out by range and sorted where they are, and each has its number there and the partition's; what the
+    partitions before hold is added. No task sees all rows, and the driver a count a partition.
+    """
+    ranged = rows.repartitionByRange(*map(F.col, by)).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
+    ranged = written(ranged, "ranged")
+    sizes = ranged.groupBy(F.shiftright("_at", 33).alias("_part")).agg(F.count("*").alias("n")).collect()
+    before, so_far = [], 0
+    for part, n in sorted((r["_part"], r["n"]) for r in sizes):
+        before.append((part, so_far))
+        so_far += n
+    starts = rows.sparkSession.createDataFrame(before, "_part long, _before long")
+    placed = ranged.withColumn("_part", F.shiftright("_at", 33)).join(F.broadcast(starts), "_part")  # a row a partition
+    return placed.withColumn(name, F.col("_before") + F.col("_at") - F.shiftleft("_part", 33)).drop("_part", "_at", "_before")
+
+
 def assignments(models: DataFrame, exemplars: DataFrame, per_model: int) -> DataFrame:
     """Which exemplar and brief each model is given: round robin. models: (pos, generator), exemplars: (pos, id)."""
     n = exemplars.agg(F.count("*").alias("n"))

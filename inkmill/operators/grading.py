@@ -142,8 +142,11 @@ def rollup(expected: DataFrame, graded: DataFrame) -> DataFrame:
     )
 
 
-def contract(specs: DataFrame, available: DataFrame, configs: DataFrame, only: list[int] | None = None) -> DataFrame:
-    """Which declared files each run gets, and which are missing. specs: (eval_id, files), available: (file), configs: (config)."""
-    rows = specs if only is None else specs.where(F.col("eval_id").isin(only))
+def contract(specs: DataFrame, available: DataFrame, configs: DataFrame, only: list[int] | DataFrame | None = None) -> DataFrame:
+    """Which declared files each run gets, and which are missing. specs: (eval_id, files), available: (file), configs: (config), only: case ids, or a table of them."""
+    if isinstance(only, DataFrame):
+        rows = specs.join(only.select("eval_id"), "eval_id", "left_semi")
+    else:
+        rows = specs if only is None else specs.where(F.col("eval_id").isin(only))
     wanted = rows.crossJoin(F.broadcast(configs)).select("eval_id", "config", F.explode_outer("files").alias("file"))  # a handful of configurations
     return wanted.join(available.withColumn("there", F.lit(True)), "file", "left").select("eval_id", "config", "file", F.col("file").isNull().alias("declares_none"), (F.col("file").isNotNull() & F.col("there").isNull()).alias("missing"))

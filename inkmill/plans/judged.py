@@ -16,9 +16,11 @@ from inkmill.functions.similarity import token_similarity
 from inkmill.operators import dataset, fidelity, grading, logistic, pairwise, taste, tells
 from inkmill.plans import prose
 from inkmill.plans import sqltext as S
+from inkmill.sources import readers, sinks
+from inkmill.sources.scratch import new_path
 
 FORMULATIONS = ("plain", "reader", "craft", "editor", "specific")
-GENERATORS, MODELS, PER_MODEL, RUNGS = 4, ("north/one", "north/two", "south/one", "west/one", "west/two", "east/one"), 8, 5
+GENERATORS, MODELS, RUNGS = 4, ("north/one", "north/two", "south/one", "west/one", "west/two", "east/one"), 5
 
 
 def noise(*parts: Column | str) -> Column:
@@ -69,6 +71,33 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 _AUC = "((sum(CASE WHEN a.p > b.p THEN 2 WHEN a.p = b.p THEN 1 ELSE 0 END) * 2000 + 2 * count(*)) // (4 * count(*)))::DOUBLE / 1000"
 
 
+def dimension_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dimensions, with the mean answer on exemplars and on others, and whether these differ to the expected side."""
+    each = F.array(*(F.struct(F.lit(k).alias("key"), F.col(k).cast("decimal(22,4)").alias("value")) for k in taste.KEYS))
+    long = answers(spark, sf_dir).select("label", F.explode(each).alias("a")).select("label", "a.*")
+    of = lambda label: F.round(F.try_divide(F.sum(F.when(F.col("label") == label, F.col("value"))).cast("double"), F.sum((F.col("label") == label).cast("long"))), 6)
+    means = long.groupBy("key").agg(of(1).alias("exemplars"), of(0).alias("others"))
+    return taste.dimensions(spark).join(means, "key").withColumn("as_expected", F.signum(F.col("exemplars") - F.col("others")) == F.col("sign"))
+
+
+def fitted(spark: SparkSession, sf_dir: str) -> tuple[tuple, float]:
+    """Weights and bias fitted on the answers, to three places."""
+    weights, bias = taste.fit(answers(spark, sf_dir))
+    return tuple((k, round(w, 3)) for k, w in weights), round(bias, 3)
+
+
+def weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The published axes' weights and the fitted ones."""
+    return taste.weight_report(spark, taste.AXES | {"fitted": fitted(spark, sf_dir)})
+
+
+def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fitted model, written as JSON with its axis unnamed, read back, and put to use on every row."""
+    path, (weights, bias) = new_path(spark, "model"), fitted(spark, sf_dir)
+    sinks.write_json(spark.createDataFrame([(None, [k for k, _ in weights], [w for _, w in weights], bias)], readers.MODEL), path)
+    return taste.axis_scores(answers(spark, sf_dir), "id", "label", axes=readers.read_model(spark, path))
+
+
 def generator_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The presence score of exemplars against each generator's texts."""
     rows = scores(spark, sf_dir).where("axis = 'presence'")
@@ -257,42 +286,38 @@ def once_over(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grading.once_over(outputs(spark, sf_dir).where("eval_id = 3"))
 
 
-SPECS = (("commit", ["repo.txt"]), ("draft", ["history.md", "draft.md"]), ("memo", []), ("review", ["history.md", "clean.md"]))
-AVAILABLE = ("repo.txt", "history.md", "draft.md")
 CONFIGS = ("with", "without")
 
 
-def contract(spark: SparkSession, sf_dir: str, only: list[int] | None = None) -> DataFrame:
-    specs = spark.createDataFrame([(k, files) for k, (_, files) in enumerate(SPECS)], "eval_id int, files array<string>")
-    there = spark.createDataFrame([(f,) for f in AVAILABLE], "file string")
+def contract(spark: SparkSession, sf_dir: str, long_only: bool = False) -> DataFrame:
+    """Conversations as cases that declare a document a turn, some of which there aren't; every fourth case declares none."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    name = F.when(F.pmod("conv_id", F.lit(4)) != 2, F.concat(F.lit("doc-"), F.col("conv_id") * 3 + F.col("turn")))
+    specs = rows.groupBy(F.col("conv_id").alias("eval_id")).agg(F.collect_list(name).alias("files"))  # a conversation's turns
+    there = prose.documents(spark, sf_dir).select(F.concat(F.lit("doc-"), "doc_id").alias("file")).distinct()
+    only = rows.where("turn >= 3").select(F.col("conv_id").alias("eval_id")) if long_only else None
     return grading.contract(specs, there, spark.createDataFrame([(c,) for c in CONFIGS], "config string"), only)
 
 
 def _contract_sql(only: str = "") -> str:
-    specs = ", ".join(f"({k}, [{', '.join(map(S.quoted, files)) or 'NULL'}])" for k, (_, files) in enumerate(SPECS))
-    there = ", ".join(map(S.quoted, AVAILABLE))
-    return f"SELECT eval_id, config, file, file IS NULL AS declares_none, coalesce(file NOT IN ({there}), false) AS missing FROM (SELECT eval_id, config, unnest(files) AS file FROM (VALUES {specs}) s(eval_id, files), (VALUES {', '.join(f'({S.quoted(c)})' for c in CONFIGS)}) c(config)){only}"
-
-
-def exemplars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The exemplars that the assignment can reach, numbered by id: as many as there are slots, which is the feature."""
-    ids = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select(F.col("doc_id").alias("id"))
-    from pyspark.sql.window import Window
-
-    return ids.orderBy("id").limit(len(MODELS) * PER_MODEL).withColumn("pos", F.row_number().over(Window.orderBy("id")).cast("long") - 1)
+    return f"""SELECT eval_id, config, file, file IS NULL AS declares_none, file IS NOT NULL AND file NOT IN (SELECT 'doc-' || doc_id FROM documents) AS missing
+      FROM (SELECT conv_id AS eval_id, 'doc-' || (conv_id * 3 + turn) AS file FROM conversations WHERE conv_id % 4 <> 2 UNION ALL SELECT DISTINCT conv_id, NULL FROM conversations WHERE conv_id % 4 = 2),
+        (VALUES {', '.join(f'({S.quoted(c)})' for c in CONFIGS)}) c(config){only}"""
 
 
 def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each model mirrors its share of all exemplars, numbered by id."""
+    ids = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select(F.col("doc_id").alias("id"))
     models = spark.createDataFrame([(k, m) for k, m in enumerate(MODELS)], "pos long, generator string")
-    return dataset.assignments(models, exemplars(spark, sf_dir), PER_MODEL)
+    return dataset.assignments(models, dataset.numbered(ids, ["id"]), -(-ids.count() // len(MODELS)))
 
 
 def _done(rows: DataFrame) -> DataFrame:
     return rows.where(noise(F.col("generator"), F.col("mirrors")) < 0.5).select("generator", "mirrors")
 
 
-_ASSIGNED = f"""WITH ex AS (SELECT doc_id AS id, row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n FROM (SELECT doc_id FROM labels WHERE quality = 1 ORDER BY doc_id LIMIT {len(MODELS) * PER_MODEL})),
-  asg AS (SELECT generator, i, id AS mirrors, i % 2 AS brief FROM (VALUES {", ".join(f"({k}, '{m}')" for k, m in enumerate(MODELS))}) m(mi, generator), range({PER_MODEL}) r(i), ex WHERE (mi * {PER_MODEL} + i) % n = pos)"""
+_ASSIGNED = f"""WITH ex AS (SELECT doc_id AS id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM labels WHERE quality = 1), pn AS (SELECT count(*) AS n, (count(*) + {len(MODELS) - 1}) // {len(MODELS)} AS per FROM ex),
+  asg AS (SELECT generator, i, id AS mirrors, i % 2 AS brief FROM (VALUES {", ".join(f"({k}, '{m}')" for k, m in enumerate(MODELS))}) m(mi, generator), (SELECT unnest(range(per)) AS i, n, per FROM pn) r JOIN ex ON (mi * per + i) % n = pos)"""
 
 
 def families(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -340,12 +365,13 @@ _LOGO = f"""WITH RECURSIVE {fits_sql("generator")}, sc AS MATERIALIZED (SELECT h
 _LADDERS = f"SELECT item_id AS source_id, a.x::INT AS low, b.x::INT AS high FROM benchmark, range({RUNGS}) a(x), range({RUNGS}) b(x) WHERE item_id % 9 <> 4 AND a.x < b.x"
 
 QUERIES = {
-    "taste_dimensions": lambda s, d: taste.dimensions(s),
+    "taste_dimensions": dimension_means,
     "class_weights": lambda s, d: taste.class_weights(answers(s, d)),
     "axis_scores": lambda s, d: scores(s, d).drop("generator"),
     "auc_rank": lambda s, d: taste.auc(scores(s, d), "axis"),
     "youden": lambda s, d: taste.youden(scores(s, d), "axis"),
-    "weight_report": lambda s, d: taste.weight_report(s),
+    "weight_report": weights,
+    "model_scores": model_scores,
     "rewrite_compare": lambda s, d: taste.compare_axes(answers(s, d, "b"), answers(s, d, "a", 0.05)),
     "rewrite_losses": lambda s, d: taste.lost(answers(s, d, "b"), answers(s, d, "a", 0.05)),
     "generator_auc": generator_auc,
@@ -358,7 +384,7 @@ QUERIES = {
     "rank_accuracy": lambda s, d: pairwise.accuracy(debiased(s, d), "formulation"),
     "spearman": rhos,
     "verdicts": verdicts,
-    "null_control": lambda s, d: pairwise.null_control(comparisons(s, d).where("slot_a = 0"), "source_id", "formulation"),
+    "null_control": lambda s, d: pairwise.null_control(comparisons(s, d), "source_id", "formulation", "slot_a"),
     "bradley_terry": lambda s, d: pairwise.bradley_terry(debiased(s, d), "source_id", "formulation"),
     "candidate_ranking": lambda s, d: pairwise.ranked(debiased(s, d).where("formulation = 'craft'").drop("formulation"), "source_id"),
     "fidelity_trials": lambda s, d: trials(s, d).select("label", "i", "real_is_a", "p_real"),
@@ -373,15 +399,18 @@ QUERIES = {
     "turn_similarity": lambda s, d: turns(s, d).select("conv_id", "turn", F.round(token_similarity("text", "next"), 6).alias("similarity")),
     "lowercase_ratio": lambda s, d: outputs(s, d).select("run_id", F.round(grading.lowercase_ratio(T.folded(F.col("text"))), 6).alias("ratio")),
     "file_contract": contract,
-    "file_contract_only": lambda s, d: contract(s, d, [1, 3]),
+    "file_contract_only": lambda s, d: contract(s, d, long_only=True),
     "negatives_assignment": assigned,
     "resume_pending": lambda s, d: dataset.pending(assigned(s, d), _done(assigned(s, d)), ["generator", "mirrors"]),
     "negative_families": families,
 }
 
+_DIMENSIONS = "(VALUES " + ", ".join(f"('{k}', {s}::INT, {b}::INT)" for k, s, b in taste.DIMENSIONS) + ") d(key, sign, battery)"
 _NEEDED_DONE = f"{noise_sql('generator', 'mirrors')} < 0.5"
 ORACLES = {
-    "taste_dimensions": "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {s}::INT, {b}::INT)" for k, s, b in taste.DIMENSIONS) + ") t(key, sign, battery)",
+    "taste_dimensions": f"""WITH an AS MATERIALIZED (SELECT * FROM {answers_sql()}), lg AS ({" UNION ALL ".join(f"SELECT '{k}' AS key, label, {k} AS value FROM an" for k in taste.KEYS)}),
+      mn AS (SELECT key, {", ".join(f"round((sum(value::DECIMAL(22, 4)) FILTER (label = {y}))::DOUBLE / count(*) FILTER (label = {y}), 6) AS {name}" for y, name in ((1, "exemplars"), (0, "others")))} FROM lg GROUP BY key)
+      SELECT key, sign, battery, exemplars, others, sign(exemplars - others) = sign AS as_expected FROM {_DIMENSIONS} JOIN mn USING (key)""",
     "class_weights": "SELECT quality AS label, count(*) AS n, (sum(count(*)) OVER ())::DOUBLE / (2 * count(*)) AS weight FROM labels GROUP BY quality",
     "axis_scores": _scores_sql("id, label", answers_sql()),
     "auc_rank": f"WITH s AS MATERIALIZED ({_scores_sql('id, label', answers_sql())}) SELECT a.axis, {_AUC} AS auc, count(DISTINCT a.id) AS n_pos, count(DISTINCT b.id) AS n_neg FROM s a JOIN s b ON a.axis = b.axis AND a.label = 1 AND b.label = 0 GROUP BY a.axis",
@@ -389,8 +418,9 @@ ORACLES = {
       t AS (SELECT axis, i, count(*) FILTER (label = 1 AND p >= i / {taste.GRID}) / (count(*) FILTER (label = 1))::DOUBLE + count(*) FILTER (label = 0 AND p < i / {taste.GRID}) / (count(*) FILTER (label = 0))::DOUBLE - 1 AS j
         FROM s, range(1, {taste.GRID}) r(i) GROUP BY axis, i)
       SELECT axis, i / {taste.GRID} AS threshold, round(j, 6) AS j FROM (SELECT *, row_number() OVER (PARTITION BY axis ORDER BY j DESC, i) AS r FROM t) WHERE r = 1""",
-    "weight_report": "SELECT axis, w.key, weight, sign, weight <> 0 AND sign(weight) <> d.sign AS disagrees, row_number() OVER (PARTITION BY axis ORDER BY abs(weight) DESC, w.key) AS place FROM (VALUES "
-    + ", ".join(f"('{a}', '{k}', {w!r}::DOUBLE)" for a, (ws, _) in taste.AXES.items() for k, w in ws) + ") w(axis, key, weight) JOIN (VALUES " + ", ".join(f"('{k}', {s}::INT)" for k, s, _ in taste.DIMENSIONS) + ") d(key, sign) ON w.key = d.key",
+    "weight_report": f"""WITH ws AS (SELECT * FROM (VALUES {", ".join(f"('{a}', '{k}', {w!r}::DOUBLE)" for a, (ws, _) in taste.AXES.items() for k, w in ws)}) w(axis, key, weight) UNION ALL SELECT 'fitted', key, weight FROM ({_FIT}) WHERE key <> 'bias')
+      SELECT axis, key, weight, sign, weight <> 0 AND sign(weight) <> sign AS disagrees, row_number() OVER (PARTITION BY axis ORDER BY abs(weight) DESC, key) AS place FROM ws JOIN {_DIMENSIONS} USING (key)""",
+    "model_scores": f"""WITH RECURSIVE {fits_sql("NULL::VARCHAR")}, rw AS (SELECT list_transform(w, lambda v: round(v, 3)) AS w FROM fi) SELECT id, label, 'score' AS axis, {_P} AS p FROM ba, rw""",
     "rewrite_compare": f"""WITH b AS MATERIALIZED ({_scores_sql('id', answers_sql('b'))}), a AS MATERIALIZED ({_scores_sql('id', answers_sql('a', 0.05))})
       SELECT id, axis, b.p AS before, a.p AS after, round(a.p - b.p, 6) AS delta, a.p < b.p - {taste.AXIS_DROP}::DOUBLE AS worse FROM b JOIN a USING (id, axis)""",
     "rewrite_losses": f"""WITH l AS ({" UNION ALL ".join(f"SELECT id, '{k}' AS key, b.{k} AS before, a.{k} AS after FROM b JOIN a USING (id)" for k, s, _ in taste.DIMENSIONS if s > 0)})
@@ -405,7 +435,7 @@ ORACLES = {
     "rank_accuracy": f"WITH {_PAIRS}, {_ACCURACY} SELECT * FROM acc",
     "spearman": f"WITH {_PAIRS}, {_WINS} SELECT * FROM rho",
     "verdicts": f"WITH {_PAIRS}, {_ACCURACY}, {_WINS} {_VERDICT}",
-    "null_control": f"WITH {_PAIRS} SELECT source_id, formulation, round(max(p_a), 3) AS worst_single_order, round((max(p_a) FILTER (turn = 0) + 1 - max(p_a) FILTER (turn = 1)) / 2, 3) AS debiased_sample FROM cmp WHERE slot_a = 0 AND slot_b = 0 GROUP BY ALL",
+    "null_control": f"WITH {_PAIRS} SELECT source_id, formulation, slot_a::INT AS slot_a, round(max(p_a)::DECIMAL(20, 6), 3)::DOUBLE AS worst_single_order, round(((max(p_a) FILTER (turn = 0) + 1 - max(p_a) FILTER (turn = 1)) / 2)::DECIMAL(20, 6), 3)::DOUBLE AS debiased_sample FROM cmp WHERE slot_a = slot_b GROUP BY source_id, formulation, slot_a",
     "fidelity_trials": f"WITH {_TRIALS} SELECT label, i, real_is_a, p_real FROM tr",
     "fidelity_error": f"""WITH {_TRIALS}, m AS (SELECT label, count(*) AS n, sum(p_real::DECIMAL(22, 4))::DOUBLE / count(*) AS m, sum((p_real::DECIMAL(15, 4) * p_real::DECIMAL(15, 4))::DECIMAL(30, 8))::DOUBLE / count(*) AS q FROM tr GROUP BY label)
       SELECT label, n, round(m, 3) AS mean_p, round(sqrt(greatest(0.0::DOUBLE, q - m * m)), 3) AS stdev, round(abs(m - 0.5::DOUBLE) * 2, 3) AS fidelity_error,
@@ -420,7 +450,7 @@ ORACLES = {
     "turn_similarity": f"WITH RECURSIVE {S.similarity(_TURNS)} SELECT id // 1000 AS conv_id, id % 1000 AS turn, round(similarity, 6) AS similarity FROM sim",
     "lowercase_ratio": f"SELECT run_id, round({_ratio('plain')}, 6) AS ratio FROM (SELECT run_id, {S.folded('text')} AS plain FROM {_OUTPUTS})",
     "file_contract": _contract_sql(),
-    "file_contract_only": _contract_sql(" WHERE eval_id IN (1, 3)"),
+    "file_contract_only": _contract_sql(" WHERE eval_id IN (SELECT conv_id FROM conversations WHERE turn >= 3)"),
     "negatives_assignment": f"{_ASSIGNED} SELECT * FROM asg",
     "resume_pending": f"{_ASSIGNED} SELECT * FROM asg WHERE NOT ({_NEEDED_DONE})",
     "negative_families": f"{_ASSIGNED} SELECT split_part(generator, '/', 1) AS family, count(*) AS n, count(DISTINCT generator) AS models FROM asg WHERE {_NEEDED_DONE} GROUP BY ALL",

@@ -12,11 +12,9 @@ from inkmill.functions import text as T
 from inkmill.operators import dataset, fidelity, grading, pairwise, reports, style, taste
 from inkmill.plans import judged, prose
 from inkmill.plans import sqltext as S
-from inkmill.sources import fixtures, readers, sinks
+from inkmill.sources import cache, fixtures, readers, sinks
 from inkmill.sources.scratch import new_path
-
-GIVEN = "It isn't much.\nTwo lines, seven words\t— or so — are given here."
-
+from inkmill.streaming.detect import stream_counts
 
 def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nations' names, written as a text file each and read by a list of two paths."""
@@ -28,7 +26,27 @@ def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def given_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readers.from_text(spark, GIVEN, 7).select("doc_id", "text", T.word_count(F.col("text")).alias("words"), T.blank_words(F.col("text")).alias("blank_words"))
+    """The text of the first document, as if the caller held it."""
+    row = prose.documents(spark, sf_dir).agg(F.min("doc_id").alias("doc_id"), F.min_by("text", "doc_id").alias("text")).first()
+    return readers.from_text(spark, row["text"], row["doc_id"]).select("doc_id", "text", T.word_count(F.col("text")).alias("words"), T.blank_words(F.col("text")).alias("blank_words"))
+
+
+def cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every url of pages fetched from a cache of those that were long enough."""
+    path, rows = new_path(spark, "cache"), prose.pages(spark, sf_dir)
+    ok = dataset.fetched(rows).where("status = 'ok'").select("url", "text")
+    cache.store(ok, path)
+    return cache.fetch(rows.select("page_id", "url"), path).select("page_id", "cache_key", "status", F.md5("text").alias("text_md5"))
+
+
+def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of drafts that come as a stream, as far as they are there."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    stream = spark.readStream.schema(docs.schema).parquet(f"{sf_dir}/documents.parque[t]")  # a pattern, as a stream takes no single file
+    path, counts = new_path(spark, "stream"), stream_counts(prose.with_suffix(stream), "doc_id")
+    sink = counts.writeStream.format("parquet").option("path", path).option("checkpointLocation", new_path(spark, "progress"))
+    sink.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(counts.schema).parquet(path)
 
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,12 +86,13 @@ def failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Assignments appended in two runs; the second adds only what the first didn't do."""
-    path, rows = new_path(spark, "resumed"), judged.assigned(spark, sf_dir)
-    keys = ["generator", "mirrors"]
-    sinks.append_new(rows.where(judged.noise(F.col("generator"), F.col("mirrors")) < 0.5), rows.limit(0), keys, path)
-    sinks.append_new(rows, spark.read.schema(rows.schema).parquet(path), keys, path)
-    return spark.read.schema(rows.schema).parquet(path).select(*rows.columns)
+    """Assignments made in three runs: the first does a half, the second breaks before its commit, the third adds what is missing."""
+    rows = judged.assigned(spark, sf_dir)
+    sink = sinks.Resumable(spark, new_path(spark, "resumed"), "generator string, i long, mirrors long, brief long", ["generator", "mirrors"])
+    sink.append(rows.where(judged.noise(F.col("generator"), F.col("mirrors")) < 0.5))
+    sink.stage(rows, sink.runs())
+    sink.append(rows)
+    return sink.read()
 
 
 def rarity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,18 +192,27 @@ def style_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two of our fixtures, written and read as labelled candidates."""
-    path = new_path(spark, "candidates")
-    rows = fixtures.files(spark).where("name in ('draft.md', 'notes.md')")
-    rows.repartition("name").select("name", F.regexp_replace("text", r"\n\z", "").alias("value")).write.partitionBy("name").text(path)
-    return readers.read_candidates(spark, [f"{name[:-3]}={path}/name={name}/*.txt" for name in ("draft.md", "notes.md")])
+    """The nations of each region, written as a text and read as labelled candidates."""
+    path, regions = new_path(spark, "candidates"), spark.read.parquet(f"{sf_dir}/region.parquet").select("r_regionkey", "r_name")
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").groupBy("n_regionkey").agg(F.array_join(F.sort_array(F.collect_list("n_name")), "\n").alias("value"))  # a handful a region
+    nations.repartition("n_regionkey").write.partitionBy("n_regionkey").text(path)
+    return readers.read_candidates(spark, [f"{r['r_name']}={path}/n_regionkey={r['r_regionkey']}/*.txt" for r in regions.collect()])  # the regions are few
+
+
+def _authored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prose.documents(spark, sf_dir).select("doc_id", F.col("source").alias("author"), "text")
+
+
+_COMMITS = f"""SELECT author, row_number() OVER (PARTITION BY author ORDER BY doc_id) - 1 AS place, {prose.SUBJECT.replace("(text,", "(lower(text),")} AS subject, trim(text, {S.quoted(prose._WHITE)}) AS body
+  FROM (SELECT doc_id, source AS author, text FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) <= {fixtures.LATEST})"""
 
 
 QUERIES = {
-    "fixture_commits": lambda s, d: fixtures.commits(s), "fixture_files": lambda s, d: fixtures.files(s), "labelled_candidates": candidates,
+    "fixture_commits": lambda s, d: fixtures.commits(_authored(s, d)), "fixture_files": lambda s, d: fixtures.files(_authored(s, d)), "labelled_candidates": candidates,
+    "cached_fetch": cached, "tell_stream": streamed,
     "text_files": text_files, "given_text": given_text, "manifest_sources": manifest, "ladder_rungs": ladders, "json_profile": json_profile, "failures_sink": failures, "resume_sink": resumed,
     "word_rarity": rarity, "once_over_by_similarity": graded_once_over, "generator_report": generator_lines, "ladder_report": ladder_lines, "fidelity_report": fidelity_lines,
-    "rewrite_report": rewrite_lines, "weights_report": lambda s, d: reports.weights_report(taste.weight_report(s)), "style_report": style_lines,
+    "rewrite_report": rewrite_lines, "weights_report": lambda s, d: reports.weights_report(judged.weights(s, d)), "style_report": style_lines,
     "rollup_report": lambda s, d: reports.rollup_report(judged.rollup(s, d)), "candidate_report": candidate_lines,
 }
 
@@ -203,13 +231,18 @@ _STYLE_REPORT = f"""WITH nt AS MATERIALIZED (SELECT *, list_position({_ORDER}, m
     UNION ALL SELECT doc_id, pos, 0, '  ' || note FROM nt UNION ALL SELECT doc_id, pos, 1, '     ' || metric || ' = ' || detail FROM nt
     UNION ALL SELECT nt.doc_id, pos, 2, '     most repeated: ' || string_agg(CASE WHEN contains(opening, '''') THEN '"' || opening || '"' ELSE '''' || opening || '''' END || ' x' || n, ', ' ORDER BY place) FROM nt JOIN wo USING (doc_id) WHERE metric = 'repeated_opening_rate' GROUP BY ALL)
   SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos, part) - 1 AS place, line FROM ln"""
-_FILES = f"(VALUES {', '.join(f'({S.quoted(n)}, {S.quoted(t)})' for n, t in fixtures.FILES)}) f(name, text)"
+_FILES = f"""SELECT author, unnest([{{'name': 'history.md', 'text': '# ' || coalesce(author, '') || chr(10) || chr(10) || subjects || chr(10)}}, {{'name': 'draft.md', 'text': last || chr(10) || chr(10) || {S.quoted(fixtures.LOUD)}}},
+  {{'name': 'notes.md', 'text': last || chr(10) || chr(10) || {S.quoted(fixtures.PLAIN)}}}]) AS f FROM (SELECT author, string_agg(subject, chr(10) ORDER BY place) AS subjects, arg_max(subject, place) AS last FROM ({_COMMITS}) GROUP BY author)"""
+_CACHED = f"""WITH pg AS MATERIALIZED ({prose._PAGES}), ch AS (SELECT cache_key, min(text) AS text FROM pg WHERE words >= {dataset.CORPUS_WORDS} AND url IS NOT NULL GROUP BY cache_key)
+  SELECT page_id, pg.cache_key, CASE WHEN ch.text IS NOT NULL THEN 'cached' WHEN url IS NULL THEN 'failed: no url' ELSE 'failed: not in the cache' END AS status, md5(ch.text) AS text_md5 FROM pg LEFT JOIN ch ON pg.cache_key = ch.cache_key"""
 ORACLES = {
-    "fixture_commits": "SELECT place::INT AS place, subject, body FROM (VALUES " + ", ".join(f"({k}, {S.quoted(a)}, {S.quoted(b)})" for k, (a, b) in enumerate(fixtures.COMMITS)) + ") c(place, subject, body)",
-    "fixture_files": f"SELECT name, text FROM {_FILES}",
-    "labelled_candidates": f"SELECT replace(name, '.md', '') AS label, text FROM {_FILES} WHERE name IN ('draft.md', 'notes.md')",
+    "fixture_commits": _COMMITS,
+    "fixture_files": f"SELECT author, f.name AS name, f.text AS text FROM ({_FILES})",
+    "labelled_candidates": "SELECT r_name AS label, string_agg(n_name, chr(10) ORDER BY n_name) || chr(10) AS text FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY r_name",
+    "cached_fetch": _CACHED,
+    "tell_stream": prose.ORACLES["tell_counts_long"],
     "text_files": "SELECT n_nationkey, n_name || ' — é' || chr(10) AS text FROM nation",
-    "given_text": f"SELECT 7::BIGINT AS doc_id, t AS text, {S.word_count('t')}::BIGINT AS words, {S.blank_words('t')}::BIGINT AS blank_words FROM (SELECT {S.quoted(GIVEN)} AS t)",
+    "given_text": f"SELECT doc_id, text, {S.word_count('text')}::BIGINT AS words, {S.blank_words('text')}::BIGINT AS blank_words FROM documents WHERE doc_id = (SELECT min(doc_id) FROM documents)",
     "manifest_sources": "SELECT shape, n_name AS author, 'essay' AS genre, 'https://example.org/' || n_nationkey AS url, NULL::VARCHAR AS why FROM nation, (VALUES ('bare'), ('wrapped')) s(shape)",
     "ladder_rungs": f"SELECT item_id::VARCHAR AS source_id, x::INT AS level, 'text ' || x AS text FROM benchmark, range({judged.RUNGS}) r(x) WHERE item_id % 9 <> 4",
     "json_profile": prose.ORACLES["style_profile"],

@@ -35,11 +35,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def with_suffix(docs: DataFrame) -> DataFrame:
+    """doc_id, author, the document with a suffix of ours as text, and the document as it is as original."""
+    suffix = F.element_at(F.array(*map(F.lit, SUFFIXES)), (F.pmod("doc_id", F.lit(len(SUFFIXES))) + 1).cast("int"))
+    return docs.select("doc_id", F.col("source").alias("author"), F.concat("text", suffix).alias("text"), F.col("text").alias("original"))
+
+
 def drafts(spark: SparkSession, sf_dir: str, original: bool = False) -> DataFrame:
     """doc_id, author and the document with a suffix of ours; with the document as it is, too, if original."""
-    suffix = F.element_at(F.array(*map(F.lit, SUFFIXES)), (F.pmod("doc_id", F.lit(len(SUFFIXES))) + 1).cast("int"))
-    rows = documents(spark, sf_dir).select("doc_id", F.col("source").alias("author"), F.concat("text", suffix).alias("text"), *([F.col("text").alias("original")] if original else []))
-    return spread(rows, "doc_id")
+    rows = with_suffix(documents(spark, sf_dir))
+    return spread(rows if original else rows.drop("original"), "doc_id")
 
 
 DRAFTS = f"(SELECT doc_id, source AS author, text || ([{', '.join(map(S.quoted, SUFFIXES))}])[(doc_id % {len(SUFFIXES)}) + 1] AS text FROM documents)"

@@ -1,41 +1,50 @@
-"""Inputs for the graded cases: the history of a small repository and three files, all texts of our own."""
+"""Inputs for the graded cases, made from authors' documents: a history of commits, notes of the past and two drafts."""
 
 from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
-
-#: Subject and body; all by one author who writes lines in lower case, with dashes, and says what they don't know.
-COMMITS = (
-    ("stop the exporter from dropping empty sheets", "an empty sheet was treated as a failed read — so monthly reports lost a tab.\n\nnow it is written with its header only."),
-    ("pin the parser to one locale", "numbers with a comma were read as thousands on two of the build machines.\n\ni don't know yet whether old files need a second pass."),
-    ("move thumbnails off the request path", "they were made while the page waited. a queue does it now — pages load first, pictures follow."),
-    ("count retries by partner", "one partner had most of the retries and the total hid it.\n\nthe chart shows ten partners; that number is arbitrary."),
-    ("remove the unused fax field", "nobody has filled it in since the form changed. checked with a query before the drop."),
-    ("fix the clock skew in the lease check", "leases looked expired on hosts that were a second ahead — two workers then took one job."),
-    ("write the audit line before the change", "a crash between both left changes without a line. the reverse is easier to explain."),
-    ("lower the page size of the search", "two hundred rows a page were too many on phones. fifty is a guess — tell me if it isn't enough."),
-)
-FILES = (
-    ("history.md", "# Past notes\n\nthe import is done — later than i said, and that was my estimate, not the data.\n\nwhat is **left**: the old invoices. i'd rather watch this for a week first.\n"),
-    ("draft.md", "We are thrilled to share pivotal updates.\n\n- **Sync**: duplicates are gone\n- **Webhooks**: retries are bounded\n\nThe cache is faster — not just a bit, but a lot. I hope this helps!\n"),
-    ("notes.md", "sync no longer makes duplicates — the key was wrong. webhooks retry six times, then stop.\n\nthe cache is faster on most pages; i haven't measured the rest.\n"),
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from inkmill.functions import text as T
+
+#: Commits of a history.
+LATEST = 8
+#: What a draft of three items holds: habits to lose in the one, habits to keep in the other.
+LOUD = (
+    "Our robust new till is live!\n\n- **Labels**: no more duplicates\n- **Cards**: a declined one has one retry\n- **Prices**: the list opens faster\n\n"
+    "It is not only quicker, but calmer. Let me know if questions come up.\n"
 )
+PLAIN = "labels print once now — the queue had kept a duplicate. a declined card gets a retry.\n\nprices open faster — by how much on old tablets, nobody has timed.\n"
 
 
-def commits(spark: SparkSession) -> DataFrame:
-    """place, subject and body, the oldest first."""
-    return spark.createDataFrame([(k, *c) for k, c in enumerate(COMMITS)], "place int, subject string, body string")
+def commits(docs: DataFrame) -> DataFrame:
+    """author, place, subject and body of each author's LATEST last documents, the oldest of them first. docs: (doc_id, author, text)."""
+    newest = F.row_number().over(Window.partitionBy("author").orderBy(F.desc("doc_id")))
+    rows = docs.select("doc_id", "author", "text").withColumn("r", newest).where(F.col("r") <= LATEST)
+    place = F.row_number().over(Window.partitionBy("author").orderBy(F.desc("r"))) - 1
+    return rows.select("author", place.alias("place"), T.subject_line(F.lower("text")).alias("subject"), T.stripped(F.col("text")).alias("body"))
 
 
-def files(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(FILES), "name string, text string")
+def files(docs: DataFrame) -> DataFrame:
+    """author, name and text of history.md, draft.md and notes.md of each author."""
+    each = commits(docs).groupBy("author").agg(F.sort_array(F.collect_list(F.struct("place", "subject"))).alias("c"))  # LATEST at most
+    subjects = F.col("c.subject")
+    last = F.element_at(subjects, -1)
+    made = {
+        "history.md": F.concat(F.lit("# "), F.coalesce("author", F.lit("")), F.lit("\n\n"), F.array_join(subjects, "\n"), F.lit("\n")),
+        "draft.md": F.concat(last, F.lit("\n\n" + LOUD)), "notes.md": F.concat(last, F.lit("\n\n" + PLAIN)),
+    }
+    return each.select("author", F.explode(F.array(*(F.struct(F.lit(n).alias("name"), t.alias("text")) for n, t in made.items()))).alias("f")).select("author", "f.*")
 
 
-def write(path: str) -> None:
-    """The files below a folder of this machine, with the commit messages in one, for a judge or a person."""
+def write(docs: DataFrame, author: str, path: str) -> None:
+    """One author's files below a folder of this machine, with the commit messages in one, for a judge or a person."""
+    own = docs.where(F.col("author") == author)
     os.makedirs(path, exist_ok=True)
-    for name, text in (*FILES, ("repo.txt", "\n\n".join(f"{a}\n\n{b}" for a, b in COMMITS) + "\n")):
+    history = "\n\n".join(f"{r['subject']}\n\n{r['body']}" for r in commits(own).orderBy("place").collect())  # LATEST at most
+    for name, text in (*((r["name"], r["text"]) for r in files(own).collect()), ("repo.txt", history + "\n")):
         with open(os.path.join(path, name), "w", encoding="utf-8") as out:
             out.write(text)

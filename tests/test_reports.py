@@ -4,6 +4,7 @@ import random
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from inkmill.functions.similarity import matching, similarity, token_similarity
@@ -154,6 +155,30 @@ def test_candidates_are_ranked(spark):
     ]
 
 
+def test_strengths_of_a_large_set(spark):
+    """A hundred thousand items, ten comparisons each, in one group."""
+    n = 100_000
+    rng = np.random.default_rng(2)
+    goodness = rng.normal(0, 1, n)
+    low, high = rng.integers(0, n, 5 * n), rng.integers(0, n, 5 * n)
+    low, high = (x[low != high] for x in (low, high))
+    pairs = pd.DataFrame({"low": low, "high": high, "p": 1 / (1 + np.exp(goodness[high] - goodness[low]))})
+    began = time.process_time()
+    found = pairwise._strengths(pairs)
+    assert time.process_time() - began < 120 and len(found) == len(np.unique(np.concatenate([low, high])))
+    assert np.corrcoef(found["strength"], goodness[found["item"]])[0, 1] > 0.99
+
+
+def test_numbering_over_partitions(spark):
+    rows = spark.createDataFrame([(int(k), int(k) % 7) for k in np.random.default_rng(3).permutation(5000)], "id long, x long").repartition(9)
+    assert [r["id"] for r in dataset.numbered(rows, ["id"]).orderBy("pos").collect()] == list(range(5000))
+    ties = dataset.numbered(rows, ["x", "id"], "k")
+    assert sorted(r["k"] for r in ties.collect()) == list(range(5000)) and ties.where("k = 0").first()["id"] == 0
+    assert dataset.numbered(rows.where("false"), ["id"]).count() == 0
+    plan = dataset.numbered(rows, ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "Window" not in plan
+
+
 def test_too_few_pages_are_refused(spark):
     rows = spark.createDataFrame([(k, "ok" if k < 3 else "too short") for k in range(9)], "page_id long, status string")
     with pytest.raises(ValueError, match="only 3"):
@@ -162,12 +187,18 @@ def test_too_few_pages_are_refused(spark):
 
 
 def test_fixtures_and_candidates(spark, tmp_path):
-    fixtures.write(str(tmp_path))
+    docs = spark.createDataFrame([(k, "ada" if k % 3 else "bob", f"\n# Point {k}\n\nWhat was done.") for k in range(30)] + [(50, None, None)], "doc_id long, author string, text string")
+    history = [r.asDict() for r in fixtures.commits(docs).where("author = 'ada'").orderBy("place").collect()]
+    assert [r["subject"] for r in history] == [f"point {k}" for k in range(30) if k % 3][-8:] and [r["place"] for r in history] == list(range(8))
+    assert {r["author"] for r in fixtures.files(docs).collect()} == {"ada", "bob", None} and fixtures.files(docs.where("false")).count() == 0
+    fixtures.write(docs, "ada", str(tmp_path))
     assert sorted(p.name for p in tmp_path.iterdir()) == ["draft.md", "history.md", "notes.md", "repo.txt"]
-    assert fixtures.commits(spark).count() == 8
-    found = readers.read_candidates(spark, [f"one={tmp_path}/draft.md", f"two={tmp_path}/notes.md"]).collect()
-    assert {r["label"]: r["text"] for r in found} == {"one": dict(fixtures.FILES)["draft.md"], "two": dict(fixtures.FILES)["notes.md"]}
+    found = {r["label"]: r["text"] for r in readers.read_candidates(spark, [f"one={tmp_path}/draft.md", f"two={tmp_path}/notes.md"]).collect()}
+    assert found["one"].startswith("point 29\n\n") and found["two"].endswith(fixtures.PLAIN)
     assert readers.read_candidates(spark, []).count() == 0
+    graded = spark.createDataFrame([(1, 1, found["one"]), (2, 1, found["two"])], "run_id long, eval_id int, text string")
+    passed = {(r["run_id"], r["assertion"]): r["passed"] for r in grading.cleaned_draft(graded).collect()}
+    assert passed[1, "items_retained"] and passed[2, "items_retained"] and not passed[1, "bullets_removed"] and passed[2, "bullets_removed"] and not passed[1, "vocabulary_removed"]
 
 
 def test_once_over_with_known_similarity(spark):
