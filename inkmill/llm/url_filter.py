@@ -3,8 +3,7 @@
 A host's paths form a tree, made from its root down. Digits in a segment are variable and
 become `#`; a segment whose parent has many different children becomes `*` unless it is
 frequent itself, and what is below all that became one `*` is below one node, so that the
-next level is generalised over all of them. Segments from the DEPTH-th on count as one. Sibling
-templates whose share of blocked urls doesn't differ from their common share by more than
+next level is generalised over all of them. Sibling templates whose share of blocked urls doesn't differ from their common share by more than
 chance (a test of proportions) are merged into one branch `~`. Urls that a rule judges are
 the labelled ones. A branch's purity is its share of blocked labelled urls, smoothed
 towards that of the same branch on all hosts, which is smoothed towards the share of all;
@@ -13,7 +12,8 @@ branches with a purity of at least BLOCK are rejected.
 The tree is worked out on one row for each host and masked path with its counts, so a host
 that has a third of all urls is as many rows as it has masked paths; the children of one
 parent are counted by partial sums, not gathered. Each level is a step, written before the
-next, with the paths that reach down to it.
+next, with the paths that go on below a node of CHILDREN paths or more: a single url of very many
+segments is done in one step, and there is no limit on depth.
 
 Null urls and urls without `://` have empty host and path and are judged as such. Repeated
 rows get equal verdicts; ties between equally long rules go to the first. An empty table
@@ -31,8 +31,6 @@ from inkmill.llm.store import materialise
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 #: A parent with so many different children is variable; a child with this share of its rows isn't.
 CHILDREN, FREQUENT = 12, 0.05
-#: Levels of the tree; more segments than that are joined into the last.
-DEPTH = 12
 #: Standard deviations within which branches are alike, weight of the smoothing, and purity from which a branch is rejected.
 ALIKE, WEIGHT, BLOCK = 1.96, 4.0, 0.6
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -57,24 +55,28 @@ def _rule_column(rules: tuple, value) -> Column:
 
 
 def _segments(path: Column) -> Column:
-    parts = F.filter(F.split(path, "/"), lambda x: x != "")
-    rest = F.array(F.array_join(F.slice(parts, DEPTH, F.greatest(F.size(parts), F.lit(1))), "/"))
-    return F.when(F.size(parts) > DEPTH, F.concat(F.slice(parts, 1, DEPTH - 1), rest)).otherwise(parts)
+    return F.filter(F.split(path, "/"), lambda x: x != "")
 
 
 def templates(counts: DataFrame) -> DataFrame:
-    """counts (host, parts, n, ...) with nodes, the segments of the template of each path."""
-    live = materialise(counts.withColumn("nodes", F.array().cast("array<string>")), "level")
-    depth = live.agg(F.max(F.size("parts"))).first()[0] or 0
-    out = live.where(F.size("parts") == 0)
-    for level in range(depth):
-        live = live.where(F.size("parts") > level).withColumn("part", F.element_at("parts", level + 1))
-        children = live.groupBy("host", "nodes", "part").agg(F.sum("n").alias("rows"))
-        families = children.groupBy("host", "nodes").agg(F.count("*").alias("kinds"), F.sum("rows").alias("all"))
-        wild = children.join(families, ["host", "nodes"]).where((F.col("kinds") >= CHILDREN) & (F.col("rows") < FREQUENT * F.col("all"))).select("host", "nodes", "part", F.lit("*").alias("node"))
-        grown = live.join(wild, ["host", "nodes", "part"], "left").withColumn("nodes", F.array_append("nodes", F.coalesce("node", "part"))).drop("part", "node")
-        live = materialise(grown, "level")
-        out = out.unionByName(live.where(F.size("parts") == level + 1))
+    """counts (host, parts, n, ...), a row a path, with nodes, the segments of the template of each path.
+
+    A node above fewer than CHILDREN paths has no variable child, nor has any below it, so that the rest of
+    these paths stays as it is and goes no further down. The steps end with the last node that has more.
+    """
+    live = materialise(counts.withColumn("nodes", F.array().cast("array<string>")).withColumn("done", F.size("parts") == 0), "level")
+    out, level = live.where("done"), 0
+    while not live.where("not done").isEmpty():
+        live = live.where("not done").withColumn("part", F.element_at("parts", level + 1))
+        children = live.groupBy("host", "nodes", "part").agg(F.sum("n").alias("rows"), F.count("*").alias("paths"))
+        families = children.groupBy("host", "nodes").agg(F.count("*").alias("kinds"), F.sum("rows").alias("all"), F.sum("paths").alias("below"))
+        wild = (F.col("kinds") >= CHILDREN) & (F.col("rows") < FREQUENT * F.col("all"))
+        turns = children.join(families, ["host", "nodes"]).select("host", "nodes", "part", F.when(wild, F.lit("*")).otherwise(F.col("part")).alias("node"), (F.col("below") < CHILDREN).alias("few"))
+        grown = live.drop("done").join(turns, ["host", "nodes", "part"])
+        rest = F.slice("parts", level + 1, F.size("parts"))
+        grown = grown.withColumn("nodes", F.when(F.col("few"), F.concat("nodes", rest)).otherwise(F.array_append("nodes", "node"))).withColumn("done", F.col("few") | (F.size("parts") == level + 1))
+        live, level = materialise(grown.drop("part", "node", "few"), "level"), level + 1
+        out = out.unionByName(live.where("done"))
     return out
 
 
@@ -120,7 +122,7 @@ WITH RECURSIVE u AS (SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') >
 p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 r AS (SELECT *, {_rule_sql(lambda r: r[1] + r[2])} AS rule, {_rule_sql(lambda r: r[0])} AS label, regexp_replace(path, '[0-9]+', '#', 'g') AS masked FROM p),
 c AS (SELECT host, masked, count(*) AS n, count(label) AS labelled, count(*) FILTER (label = 'block') AS blocked, list_filter(string_split(masked, '/'), lambda x: x <> '') AS parts FROM r GROUP BY host, masked),
-tr AS (SELECT host, masked, n, labelled, blocked, CASE WHEN len(parts) > {DEPTH} THEN list_append(parts[1:{DEPTH - 1}], array_to_string(parts[{DEPTH}:], '/')) ELSE parts END AS parts, []::VARCHAR[] AS nodes, 0 AS level FROM c
+tr AS (SELECT host, masked, n, labelled, blocked, parts, []::VARCHAR[] AS nodes, 0 AS level FROM c
   UNION ALL SELECT host, masked, n, labelled, blocked, parts, list_append(nodes, CASE WHEN kinds >= {CHILDREN} AND rws < {FREQUENT}::DOUBLE * every THEN '*' ELSE part END), level + 1 FROM (
     SELECT *, sum(n) OVER (PARTITION BY host, nodes, part) AS rws, sum(n) OVER (PARTITION BY host, nodes) AS every, count(DISTINCT part) OVER (PARTITION BY host, nodes) AS kinds
     FROM (SELECT *, parts[level + 1] AS part FROM tr WHERE len(parts) > level))),
