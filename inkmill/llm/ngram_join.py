@@ -77,6 +77,12 @@ def set_rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sig long")
 
 
+def _runs(numbers: np.ndarray) -> list[tuple[int, int]]:
+    """Where each run of equal numbers begins and ends: as much work as there are numbers, whatever they could be."""
+    cut = np.concatenate(([0], np.flatnonzero(numbers[1:] != numbers[:-1]) + 1, [len(numbers)])).tolist() if len(numbers) else []
+    return list(zip(cut[:-1], cut[1:], strict=True))
+
+
 def _packed(docs: DataFrame, shards: int, share: float) -> DataFrame:
     """The shingles that can be among the first of their set, packed by shard: the hash's upper 48 bits over a row number."""
     limit = min(2**64 - 1, int(share * 2**64))
@@ -107,13 +113,12 @@ def _packed(docs: DataFrame, shards: int, share: float) -> DataFrame:
                     shard = ((mix(h) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
                     order = np.argsort(shard, kind="stable")
                     h, idx, shard = h[order], idx[order], shard[order]
-                    cut = np.searchsorted(shard, np.arange(shards + 1))
                     out: list[list] = [[], [], []]
-                    for s in np.flatnonzero(np.diff(cut)):
-                        used, renamed = np.unique(idx[cut[s] : cut[s + 1]], return_inverse=True)
+                    for s, e in _runs(shard):
+                        used, renamed = np.unique(idx[s:e], return_inverse=True)
                         head = np.stack([sig[own[used]], n[own[used]].astype(np.uint64), lower[own[used]].astype(np.uint64)])
-                        out[0].append(int(s)), out[1].append(head.tobytes())
-                        out[2].append(((h[cut[s] : cut[s + 1]] & ~_LOW16) | renamed.astype(np.uint64)).tobytes())
+                        out[0].append(int(shard[s])), out[1].append(head.tobytes())
+                        out[2].append(((h[s:e] & ~_LOW16) | renamed.astype(np.uint64)).tobytes())
                     yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["shard", "head", "packed"])
 
     return docs.select("text").mapInArrow(run, "shard int, head binary, packed binary")
@@ -141,11 +146,10 @@ def _shared(key: tuple, rows: pd.DataFrame, buckets: int) -> pd.DataFrame:
     bucket = (sigs[node] % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort((node, bucket))
     value, node, bucket = value[order], node[order], bucket[order]
-    cut = np.searchsorted(bucket, np.arange(buckets + 1))
     out: list[list] = [[], [], [], []]
-    for b in np.flatnonzero(np.diff(cut)):
-        used, renamed = np.unique(node[cut[b] : cut[b + 1]], return_inverse=True)
-        for column, x in zip(out, (int(b), head[:, first[used]].tobytes(), value[cut[b] : cut[b + 1]].tobytes(), renamed.astype(np.uint32).tobytes()), strict=True):
+    for s, e in _runs(bucket):
+        used, renamed = np.unique(node[s:e], return_inverse=True)
+        for column, x in zip(out, (int(bucket[s]), head[:, first[used]].tobytes(), value[s:e].tobytes(), renamed.astype(np.uint32).tobytes()), strict=True):
             column.append(x)
     return pd.DataFrame(dict(zip(("bucket", "head", "packed", "node"), out, strict=True)))
 
@@ -307,7 +311,7 @@ def link(docs: DataFrame) -> DataFrame:
             pairs = _open_pairs(rows)
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        found = materialise(_verified(pairs, texts), "verified", 20 * n_alive)
+        found = materialise(_verified(pairs, texts), "verified")  # as many tasks as texts need, and so as many files
         checked = found if checked is None else checked.unionByName(found)
         labels = components(checked.where("linked").select("a", "b"))
     grown = classes.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
