@@ -19,8 +19,10 @@ task. A larger set is not: minima and item shingles are then dealt out by hash a
 and the candidates' texts are joined for the verification, so the corpus is read twice
 however many items there are.
 
-Null and empty texts have no shingles: such items are in no document. Items of fewer than
-five words are one shingle and are found only as whole documents of these words. Items
+An item of fewer than five words has no shingle of that size: its whole sequence of words is looked
+for among the documents' runs of as many words, one lookup a run, as there are no parts to miss.
+
+Null and empty texts have no shingles: such items are in no document. Items
 without id are searched like others. Repeated items give a row each; repeated rows of
 documents too, whatever their ids. Very long texts are worked on whole, by one task. Empty
 tables give no rows; other columns are ignored.
@@ -37,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkmill.llm.store import documents, materialise
-from inkmill.llm.words import row_sets, set_signatures, text_blocks
+from inkmill.llm.words import SHINGLE, row_runs, row_sets, set_signatures, text_blocks, word_hashes
 
 PERCENT = 75
 MISS = 1e-4
@@ -73,6 +75,10 @@ def _item_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.concatenate(([0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *(np.diff(at) for _, at in found)]))))
 
 
+def _word_counts(texts: pa.Array) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *(np.diff(word_hashes(raw, starts)[1]) for _, _, raw, starts in text_blocks(texts))])
+
+
 def partition_of(size: np.ndarray) -> np.ndarray:
     """The partition of an item of so many shingles: the power of two at or below it."""
     return np.frexp(np.maximum(size, 1))[1] - 1
@@ -86,13 +92,19 @@ class ItemIndex:
         self.hashes, self.at = _item_sets(pa.array(texts, pa.string()))
         self.size = np.diff(self.at)
         owner, kind = np.repeat(np.arange(len(self.size)), self.size), partition_of(self.size)
-        self.partitions = []
-        for k in np.unique(kind[self.size > 0]):
-            mine = np.flatnonzero(kind[owner] == k)
+        self.partitions, words = [], _word_counts(pa.array(texts, pa.string()))
+        for k in np.unique(kind[words >= SHINGLE]):
+            mine = np.flatnonzero((kind[owner] == k) & (words[owner] >= SHINGLE))
             order = mine[np.argsort(self.hashes[mine], kind="stable")]
             shingles, first = np.unique(self.hashes[order], return_index=True)
-            load = bin_load(int(self.size[(kind == k) & (self.size > 0)].min()), miss, percent) if miss else 0.0
+            load = bin_load(int(self.size[(kind == k) & (words >= SHINGLE)].min()), miss, percent) if miss else 0.0
             self.partitions.append((load, shingles, np.append(first, len(order)), owner[order]))
+        self.short = {}  # items of fewer words than a shingle, by how many
+        for width in np.unique(words[(words > 0) & (words < SHINGLE)]).tolist():
+            mine = np.flatnonzero(words == width)
+            order = mine[np.argsort(self.hashes[self.at[mine]], kind="stable")]
+            runs, first = np.unique(self.hashes[self.at[order]], return_index=True)
+            self.short[width] = (runs, np.append(first, len(order)), order)
 
     def candidates(self, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
         """(row, item) of the items that own a minimum of the row, as row * number of items + item, sorted."""
@@ -107,14 +119,28 @@ class ItemIndex:
             out.append(row * len(self.size) + owner[np.repeat(first[slot[hit]] - np.cumsum(n) + n, n) + np.arange(n.sum())])
         return np.unique(np.concatenate(out))
 
-    def search(self, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, item, shingles in common) for the items that rows contain."""
+    def short_items(self, raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, item) for the items of few words that rows hold as a run of words."""
+        out = [np.zeros(0, np.int64)]
+        for width, (known, first, item) in self.short.items():
+            runs, row = row_runs(raw, starts, width)
+            slot = np.minimum(np.searchsorted(known, runs), len(known) - 1)
+            met = np.unique(row[known[slot] == runs] * len(known) + slot[known[slot] == runs])
+            row, slot = np.divmod(met, len(known))
+            n = first[slot + 1] - first[slot]
+            out.append(np.repeat(row, n) * len(self.size) + item[np.repeat(first[slot] - np.cumsum(n) + n, n) + np.arange(n.sum())])
+        return np.divmod(np.concatenate(out), max(1, len(self.size)))
+
+    def search(self, raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, item, shingles in common) for the items that a block of texts contains."""
+        hashes, at = row_sets(raw, starts)
         row, item = np.divmod(self.candidates(hashes, at), max(1, len(self.size)))
         common = np.zeros(len(row), np.int64)
         for k, (r, i) in enumerate(zip(row.tolist(), item.tolist(), strict=True)):
             common[k] = held(hashes[at[r] : at[r + 1]], self.hashes[self.at[i] : self.at[i + 1]])
         good = 100 * common >= self.percent * self.size[item]
-        return row[good], item[good], common[good]
+        few = self.short_items(raw, starts)
+        return np.append(row[good], few[0]), np.append(item[good], few[1]), np.append(common[good], np.ones(len(few[0]), np.int64))
 
 
 def held(own: np.ndarray, wanted: np.ndarray) -> int:
@@ -127,16 +153,28 @@ _OUT = "doc_id long, item_id long, n_common long, n_item long, containment doubl
 
 def contained(docs: DataFrame, items: DataFrame, percent: int = PERCENT, block_chars: int = BLOCK_CHARS, miss: float = MISS) -> DataFrame:
     """(doc_id, item_id, n_common, n_item, containment) of the items (item_id, text) that rows of docs (doc_id, text) contain."""
-    if (items.agg(F.sum(F.length("text"))).first()[0] or 0) > block_chars:
-        return _joined(docs, items, percent, miss)
-    rows = items.select("item_id", "text").orderBy("item_id", "text").collect()  # block_chars at most
+    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    if chars > block_chars:
+        few = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")) < SHINGLE
+        out = _joined(docs, items.where(~few), percent, miss)
+        blocks = -(-(items.where(few).agg(F.sum(F.length("text"))).first()[0] or 0) // max(1, block_chars))
+        for block in range(blocks):  # those of few words, a part of them at a time
+            own = items.where(few & (F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block))
+            out = out.unionByName(_looked_up(docs, own, percent, miss))
+        return out
+    return _looked_up(docs, items, percent, miss)
+
+
+def _looked_up(docs: DataFrame, items: DataFrame, percent: int, miss: float) -> DataFrame:
+    """As contained, with all items in every task."""
+    rows = items.select("item_id", "text").orderBy("item_id", "text").collect()  # about BLOCK_CHARS at most
     index = docs.sparkSession.sparkContext.broadcast(ItemIndex([r["item_id"] for r in rows], [r["text"] for r in rows], percent, miss))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = index.value
         for batch in batches:
             for first, to, raw, starts in text_blocks(batch.column(1)):
-                row, item, common = known.search(*row_sets(raw, starts))
+                row, item, common = known.search(raw, starts)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(first, to - first).cast(pa.int64()).take(pa.array(row)), known.ids.take(pa.array(item)), pa.array(common),
                     pa.array(known.size[item].astype(np.int64)), pa.array(common / known.size[item], pa.float64()),
@@ -206,8 +244,9 @@ def _joined(docs: DataFrame, items: DataFrame, percent: int, miss: float) -> Dat
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs that contain no item, with all columns."""
-    return docs.join(contained(docs, items).select("doc_id").distinct(), "doc_id", "left_anti")
+    """The rows of docs that contain no item, with all columns. Rows of one id go together, and so do those without id."""
+    gone = contained(docs, items).select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,8 +262,10 @@ def shingle_sql(table: str, key: str) -> str:
         SELECT {key}, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS v FROM {table}))"""
 
 
-ORACLE = f"""
-WITH d AS ({shingle_sql("documents", "doc_id")}), b AS ({shingle_sql("benchmark", "item_id")})
+ORACLE = rf"""
+WITH d AS ({shingle_sql("documents", "doc_id")}), b0 AS ({shingle_sql("benchmark", "item_id")}), b AS (SELECT * FROM b0 WHERE len(string_split(h, ' ')) >= 5),
+w AS (SELECT doc_id, ' ' || regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g') || ' ' AS t FROM documents)
 SELECT doc_id, item_id, count(*) AS n_common, b.n::BIGINT AS n_item, count(*)::DOUBLE / b.n AS containment
 FROM d JOIN b USING (h) GROUP BY doc_id, item_id, b.n HAVING 100 * count(*) >= 75 * b.n
+UNION ALL SELECT doc_id, item_id, 1, 1, 1 FROM w JOIN b0 ON len(string_split(h, ' ')) < 5 AND contains(t, ' ' || h || ' ')
 """

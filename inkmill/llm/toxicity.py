@@ -485,9 +485,9 @@ def learned(docs: DataFrame, labels: DataFrame) -> Network | None:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that score below the threshold, with all columns."""
-    gone = score(docs, learned(docs, labels)).where(F.col("score") >= THRESHOLD).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
+    """The rows of docs that score below the threshold, with all columns. Rows of one id go together, and so do those without id."""
+    gone = score(docs, learned(docs, labels)).where(F.col("score") >= THRESHOLD).select(F.col("doc_id").alias("gone"))
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

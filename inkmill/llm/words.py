@@ -110,6 +110,17 @@ def row_shingles(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     return out, out_at
 
 
+def row_runs(raw: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each run of `width` words, fewer than SHINGLE, in text order, its row): as row_shingles has it for a text of these words."""
+    words, at = word_hashes(raw, starts)
+    total = np.full(max(0, len(words) - width + 1), width, np.uint64)
+    for k in range(width):
+        total += words[k : k + len(total)] * _MULT[k]
+    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    whole = row[: len(total)] == row[width - 1 :][: len(total)]
+    return mix(total[whole]), row[: len(total)][whole]
+
+
 def row_sets(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingles of each row, sorted within it, and where each row's begin."""
     hashes, at = row_shingles(raw, starts)
