@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from inkmill.llm.store import documents
 
-#: Bound of the sample: whole texts a language.
-SAMPLE_TEXTS = 48
+#: Bounds of the sample: whole texts a language, and bytes of these together. A text that doesn't fit is passed over, not cut.
+SAMPLE_TEXTS, SAMPLE_BYTES = 48, 256 << 10
 LEVEL = 6
 WINDOW_BYTES = 8 << 10
 #: Below this margin (bytes saved over bytes compressed) an answer is rejected.
@@ -37,13 +37,13 @@ def fold(column: str = "doc_id", folds: int = 5) -> F.Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % folds
 
 
-def learn(docs: DataFrame, texts: int = SAMPLE_TEXTS) -> dict[str, bytes]:
-    """The dictionary of each language, from the labelled rows of docs. Which texts are taken depends on a hash of the id only.
+def learn(docs: DataFrame, texts: int = SAMPLE_TEXTS, size: int = SAMPLE_BYTES) -> dict[str, bytes]:
+    """The dictionary of each language, from the labelled rows of docs. Which texts are taken depends on a hash of the id, and on their sizes.
 
     One pass counts the languages, of which there are few; a second takes the texts under a hash bound that lets
     through about twice as many as are wanted, and never more than three times.
     """
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)))
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.octet_length("text") <= size)).withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)))
     counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()}
     if not counts:
         return {}
@@ -51,7 +51,16 @@ def learn(docs: DataFrame, texts: int = SAMPLE_TEXTS) -> dict[str, bytes]:
     for name, n in counts.items():
         near = F.when(F.col("lang") == name, F.col("h") < F.lit(min(1 << 40, 2 * texts * (1 << 40) // n))).otherwise(near)
     rows = labelled.where(near).select("lang", "doc_id", "h", "text").orderBy("h", "doc_id", "text").limit(3 * texts * len(counts)).collect()
-    return {name: "\n".join([r["text"] for r in rows if r["lang"] == name][:texts]).encode() for name in counts}
+    return {name: _joined([r["text"].encode() for r in rows if r["lang"] == name], texts, size) for name in counts}
+
+
+def _joined(own: list[bytes], texts: int, size: int) -> bytes:
+    """The first so many of these texts that fit into size bytes together, a line end between them."""
+    out: list[bytes] = []
+    for text in own:
+        if len(out) < texts and sum(map(len, out)) + len(text) <= size:
+            out.append(text)
+    return b"\n".join(out)
 
 
 _OUT = "doc_id long, lang_pred string, score double, margin double, rejected boolean"

@@ -69,6 +69,13 @@ def test_perfect_hash(n):
     assert (exact_dedup.find_slots(keys, seeds, n) == slots).all()
 
 
+def test_runs_cost_what_there_is():
+    """Cutting a sorted array by number takes as long whether there could be ten numbers or a hundred million."""
+    numbers = np.sort(np.random.default_rng(1).integers(0, 10, 1000))
+    assert ngram_join._runs(numbers) == [(int(np.searchsorted(numbers, k)), int(np.searchsorted(numbers, k, "right"))) for k in range(10)]
+    assert ngram_join._runs(numbers * 10_000_000) == ngram_join._runs(numbers) and ngram_join._runs(numbers[:0]) == []
+
+
 def test_shingle_hashes_match_sets():
     texts = [t for _, t in corpus()] + ["a b c d e", "A\tb\nc  d e", "é ü é ü é ü"]
     sets = []
@@ -259,8 +266,11 @@ def test_decontamination(spark):
     for j, t in items:
         own = brute.shingles(t)
         for i, s in sets.items():
-            if own and 100 * len(own & s) >= 75 * len(own):
+            few = len(brute.words(t)) < 5
+            if not few and 100 * len(own & s) >= 75 * len(own):
                 want[i, j] = (len(own & s), len(own))
+            if few and own and " " + " ".join(brute.words(t)) + " " in " " + " ".join(brute.words(dict(rows)[i])) + " ":
+                want[i, j] = (1, 1)
     assert got == want and (3, 32) in want and (140, 34) in want
     blocks = decontamination.contained(table(spark, rows), spark.createDataFrame(items, "item_id long, text string"), block_chars=500)
     assert {(r["doc_id"], r["item_id"]) for r in blocks.collect()} == set(want)
@@ -280,11 +290,35 @@ def test_decontamination_looks_up_minima_only():
     doc = prose(rng, 4000).split(" ")
     items = [" ".join(doc[k : k + 300]) for k in range(0, 3600, 300)] + [" ".join(doc[k : k + 5]) + " " + prose(rng, 250) for k in range(0, 4000, 20)]
     index = decontamination.ItemIndex(list(range(len(items))), items)
-    hashes, at = words.row_sets(raw := np.frombuffer(" ".join(doc).encode(), np.uint8), np.array([0, len(raw)]))
+    raw = np.frombuffer(" ".join(doc).encode(), np.uint8)
+    hashes, at = words.row_sets(raw, np.array([0, len(raw)]))
     assert len(decontamination.minima(hashes, at, index.partitions[-1][0])) < len(hashes) / 4
     found = index.candidates(hashes, at)
     assert set(range(12)) <= set(found.tolist()) and len(found) < 12 + 100
-    assert index.search(hashes, at)[1].tolist() == list(range(12))
+    assert index.search(raw, np.array([0, len(raw)]))[1].tolist() == list(range(12))
+
+
+@pytest.mark.parametrize("chars", [1 << 20, 20])
+def test_short_items_inside_documents(spark, chars):
+    """Items of one to four words, in runs of the documents' words that don't cross rows, looked up in every task or in blocks."""
+    rng = random.Random(chars)
+    some = [rng.choice("abcde") + rng.choice("xyz") for _ in range(400)]
+    docs = [(k, " ".join(rng.choices(some, k=rng.randint(0, 30)))) for k in range(120)] + [(200, "x y z alpha Beta\ngamma q r s"), (201, "alpha beta"), (202, "gamma"), (203, None), (None, "alpha beta gamma")]
+    items = [(k, " ".join(rng.choices(some, k=rng.randint(1, 6)))) for k in range(60)] + [(100, "alpha beta gamma"), (101, "alpha beta gamma"), (102, "q"), (103, ""), (104, "beta gamma q r s")]
+    got = decontamination.contained(table(spark, docs), spark.createDataFrame(items, "item_id long, text string"), block_chars=chars)
+    inside = lambda i, d: f" {' '.join(brute.words(i))} " in f" {' '.join(brute.words(d))} "
+    want = set()
+    for j, i in items:
+        n, own = len(brute.words(i)), brute.shingles(i)
+        want |= {(d, j) for d, t in docs if own and (inside(i, t) if n < 5 else 100 * len(own & brute.shingles(t)) >= 75 * len(own))}
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want and {(200, 100), (200, 101), (200, 102), (None, 100), (200, 104)} <= want
+
+
+def test_rows_without_id_are_dropped_too(spark):
+    items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta")], "item_id long, text string")
+    rows = table(spark, [(None, "so alpha beta gamma delta epsilon zeta too"), (2, "clean"), (3, None)])
+    assert [r["doc_id"] for r in decontamination.drop_contaminated(rows, items).collect()] == [2, 3]
+    assert decontamination.drop_contaminated(rows.where("doc_id is not null"), items).count() == 2
 
 
 def test_license_scan(spark):
@@ -348,6 +382,31 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in none.collect()} == {"und"}
 
 
+def test_language_id_against_compressing_by_hand(spark):
+    """Sizes with each dictionary, window by window, one text after the other, and a sample that respects its bounds."""
+    zstd, rng = pytest.importorskip("zstandard"), random.Random(11)
+    speak = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(n))
+    rows = [(k, speak(("abcdef", "defghi", "ghijab")[k % 3], rng.choice((3, 40, 300, 4000))), ("x", "y", "z")[k % 3]) for k in range(90)] + [(90, None, "x"), (91, "é", "y"), (92, "12", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = language_id.learn(docs, 6, 9000)
+    texts = {lang: {t for _, t, x in rows if x == lang} for lang in "xyz"}
+    for lang, own in known.items():
+        assert len(own) <= 9000 + 6 and 1 <= len(own.split(b"\n")) <= 6 and set(own.decode().split("\n")) <= texts[lang]
+    tools = {
+        lang: zstd.ZstdCompressor(level=language_id.LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False, dict_data=zstd.ZstdCompressionDict(own, dict_type=zstd.DICT_TYPE_RAWCONTENT))
+        for lang, own in known.items()
+    }
+    for r in language_id.identify(docs, known).collect():
+        raw = (rows[r["doc_id"]][1] or "").encode()
+        if not any(map(str.isalpha, raw.decode())):
+            assert (r["lang_pred"], r["score"], r["rejected"]) == ("und", 0.0, True)
+            continue
+        step = language_id.WINDOW_BYTES
+        sizes = sorted((sum(len(tool.compress(raw[at : at + step])) for at in range(0, len(raw), step)), list(known).index(lang)) for lang, tool in tools.items())
+        gap = (sizes[1][0] - sizes[0][0]) / len(raw)
+        assert r["lang_pred"] == list(known)[sizes[0][1]] and r["margin"] == pytest.approx(gap) and r["rejected"] == (gap < language_id.MARGIN)
+
+
 def test_toxicity(spark):
     rng = random.Random(7)
     rows, labels = [], []
@@ -480,6 +539,10 @@ def test_url_tree_is_generalised_from_the_root_down(spark):
     counts = url_filter.parsed(pages).groupBy("host", "path").agg(F.count("*").alias("n")).withColumn("parts", url_filter._segments(F.col("path")))
     found = {"/".join(r["nodes"]) for r in url_filter.templates(counts).collect()}
     assert found == {"*/*/edit", "*/*", "/".join(["s"] * 40)}
+    deep = [(f"h{k}.net", "/".join([""] + ["s"] * 20 + [f"{x}", "end"]), 1) for k in range(2) for x in (names if k else names[:5])] + [("h2.net", "/x" * 3000, 1)]
+    rows = spark.createDataFrame(deep, "host string, path string, n long").withColumn("parts", url_filter._segments(F.col("path")))
+    found = {(r["host"], "/".join(r["nodes"])) for r in url_filter.templates(rows).collect()}
+    assert found == {("h1.net", "s/" * 20 + "*/end"), ("h2.net", "/".join(["x"] * 3000))} | {("h0.net", "s/" * 20 + x + "/end") for x in names[:5]}
     got = url_filter.judged(pages).collect()
     assert len(got) == len(urls) and len({(r["host"], r["path"], r["verdict"], r["purity"]) for r in got}) == len(set(urls))
 
