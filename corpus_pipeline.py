@@ -7,7 +7,8 @@ the smallest id stays; documents that hold a benchmark item go; the rest is pack
 Null text counts as empty: such a document is a copy of other empty ones and else stays, to
 be packed as one end id. Of equal rows of one id one stays; rows of one id with differing
 texts are documents of their own, but stay together in the near-duplicate stage if one does.
-Rows without id are never taken for the first of a group and stay. Very long texts are worked
+Rows without id are never taken for the first of a group; if one of them is toxic or holds an
+item, all go, as rows of one id do. Very long texts are worked
 on whole. Ties go to the smallest id. Empty tables give empty ones; without labels of both
 kinds nothing is toxic. Columns that documents has beside its own go through all stages but
 the last, whatever their names.
