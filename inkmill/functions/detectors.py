@@ -173,13 +173,14 @@ def registry(spark: SparkSession) -> DataFrame:
 def counts(docs: DataFrame, *keep: str) -> DataFrame:
     """One row a document and detector: the kept columns, words, key and count.
 
-    The text is prepared, folded and lower-cased once, and the counters are cast from one struct,
-    so that no later filter makes them do it anew. A pattern runs on texts that hold what its
-    matches hold.
+    The text is prepared, folded, lower-cased and its words are counted once, before a row becomes
+    one a detector, and the counters are cast from one struct, so that no later filter makes them
+    do it anew. A pattern runs on texts that hold what its matches hold.
     """
     prose, plain, low = F.col("prose"), F.col("plain"), F.col("low")
     prepared = docs.select(*keep, F.explode(F.array(prose_scan(F.col("text")))).alias("prose"))
     prepared = prepared.select(*keep, "prose", F.explode(F.array(folded(prose))).alias("plain"))
     prepared = prepared.select(*keep, "prose", "plain", F.explode(F.array(F.lower(plain))).alias("low"))
+    prepared = prepared.select(*keep, "prose", "plain", "low", F.explode(F.array(word_count(prose))).alias("words"))
     pairs = F.array(*(F.struct(F.lit(d.key).alias("key"), d.column(prose, low if d.lowered else plain).cast("long").alias("count")) for d in DETECTORS.values()))
-    return prepared.select(*keep, word_count(prose).alias("words"), F.explode(pairs).alias("c")).select(*keep, "words", "c.key", "c.count")
+    return prepared.select(*keep, "words", F.explode(pairs).alias("c")).select(*keep, "words", "c.key", "c.count")

@@ -70,7 +70,7 @@ def prose_style(text: Column) -> Column:
 def folded(text: Column) -> Column:
     """An ASCII copy, one character for one: white space to blanks, other letters and digits to 0, the rest to #."""
     out = F.regexp_replace(text, F.lit(r"[\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"), F.lit(" "))
-    out = F.regexp_replace(out, F.lit(r"[^\x00-\x7F\P{L}]|[^\x00-\x7F\P{N}]"), F.lit("0"))
+    out = F.regexp_replace(out, F.lit(r"[\p{L}\p{N}&&[^\x00-\x7F]]"), F.lit("0"))
     return F.when(is_ascii(text), F.regexp_replace(text, F.lit(r"[\x0B\x1C-\x1F]"), F.lit(" "))).otherwise(F.regexp_replace(out, F.lit(r"[^\x00-\x7F]"), F.lit("#")))
 
 
