@@ -33,6 +33,7 @@ Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,6 +50,10 @@ PERCENT = 75
 #: Bytes of packed shingles in a shard, about, and the largest size that can be light.
 SHARD_BYTES = 8 << 20
 MAX_LIGHT = 64
+#: Entries of a row of packed shingles, whose sets are known by 16 bits in it, and texts that are packed together.
+MOST = 60_000
+#: Shards up to which each task writes a row for each of them.
+DIRECT = 4096
 #: Hub rounds before the remaining pairs are enumerated.
 ROUNDS = 2
 #: Share of the shingles, those with the smallest hashes, on which sets without a partner are told.
@@ -83,9 +88,50 @@ def _runs(numbers: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(cut[:-1], cut[1:], strict=True))
 
 
-def _packed(docs: DataFrame, shards: int, share: float) -> DataFrame:
-    """The shingles that can be among the first of their set, packed by shard: the hash's upper 48 bits over a row number."""
+def _cut(number: np.ndarray, rows: np.ndarray, head: np.ndarray, of: dict[str, np.ndarray], pack, step: int) -> pd.DataFrame:
+    """A row a number, or a row `step` numbers in a row: the heads of the sets that occur, what pack makes of the sorted columns, and the numbers themselves if they are several."""
+    order = np.argsort(number, kind="stable")
+    number, rows, of = number[order], rows[order], {c: x[order] for c, x in of.items()}
+    out: list[dict] = []
+    for s, e in ((k, min(k + MOST, e)) for s, e in _runs(number // step) for k in range(s, e, MOST)):
+        used, renamed = np.unique(rows[s:e], return_inverse=True)
+        row = {"number": int(number[s] // step), "head": head[:, used].tobytes(), **pack({c: x[s:e] for c, x in of.items()}, renamed)}
+        out.append(row | ({"numbers": number[s:e].astype(np.uint32).tobytes()} if step > 1 else {}))
+    return pd.DataFrame(out)
+
+
+def _regrouped(rows: DataFrame, pack, columns: list[str], nodes, step: int) -> DataFrame:
+    """Rows that hold `step` numbers each, as rows of one number.
+
+    Where there are very many numbers, what one task makes for each of them is a few entries, in rows that cost more than
+    these. So it goes by ranges of numbers first; a task gathers a range from a `step`-th of the tasks, about as much as
+    one number has of all of them, and cuts it by number.
+    """
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        heads = [np.frombuffer(x, np.uint64).reshape(3, -1) for x in part["head"]]
+        base = np.concatenate(([0], np.cumsum([h.shape[1] for h in heads])))
+        own = np.concatenate([nodes(row) + b for row, b in zip(part.itertuples(), base, strict=False)])
+        of = {"packed": np.concatenate([np.frombuffer(x, np.uint64) for x in part["packed"]])}
+        return _cut(np.concatenate([np.frombuffer(x, np.uint32) for x in part["numbers"]]), own, np.concatenate(heads, axis=1), of, pack, 1)[["number", "head", *columns]]
+
+    return rows.groupBy("number", "part").applyInPandas(run, "number int, head binary, " + ", ".join(f"{c} binary" for c in columns))
+
+
+def _tokens_of(of: dict, renamed: np.ndarray) -> dict:
+    """Shingles by 48 bits over the place of their set in the head."""
+    return {"packed": ((of["packed"] & ~_LOW16) | renamed.astype(np.uint64)).tobytes()}
+
+
+def _values_of(of: dict, renamed: np.ndarray) -> dict:
+    """Values as they are, and the place of the set of each."""
+    return {"packed": of["packed"].tobytes(), "node": renamed.astype(np.uint32).tobytes()}
+
+
+def _packed(docs: DataFrame, shards: int, share: float, step: int = 1) -> DataFrame:
+    """(number, head, packed): the shingles that can be among the first of their set, by shard."""
     limit = min(2**64 - 1, int(share * 2**64))
+    made = pa.schema([("number", pa.int32()), ("head", pa.binary()), ("packed", pa.binary()), *([("numbers", pa.binary())] if step > 1 else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -104,27 +150,25 @@ def _packed(docs: DataFrame, shards: int, share: float) -> DataFrame:
                 lower = below[at[1:]] - below[at[:-1]]
                 wide = np.where(fresh, np.minimum(n, np.maximum(lower, lacking(n) + 2)), 0)
                 rows = np.flatnonzero(fresh)
-                for part in range(0, len(rows), 60_000):
-                    own = rows[part : part + 60_000]
+                for part in range(0, len(rows), MOST):
+                    own = rows[part : part + MOST]
                     size = wide[own]
                     first = np.concatenate(([0], np.cumsum(size)))
                     idx = np.repeat(np.arange(len(own)), size)
                     h = hashes[at[own][idx] + np.arange(first[-1]) - first[:-1][idx]]
                     shard = ((mix(h) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
-                    order = np.argsort(shard, kind="stable")
-                    h, idx, shard = h[order], idx[order], shard[order]
-                    out: list[list] = [[], [], []]
-                    for s, e in _runs(shard):
-                        used, renamed = np.unique(idx[s:e], return_inverse=True)
-                        head = np.stack([sig[own[used]], n[own[used]].astype(np.uint64), lower[own[used]].astype(np.uint64)])
-                        out[0].append(int(shard[s])), out[1].append(head.tobytes())
-                        out[2].append(((h[s:e] & ~_LOW16) | renamed.astype(np.uint64)).tobytes())
-                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["shard", "head", "packed"])
+                    head = np.stack([sig[own], n[own].astype(np.uint64), lower[own].astype(np.uint64)])
+                    rows_of = _cut(shard, idx, head, {"packed": h}, _tokens_of, step)
+                    if len(rows_of):
+                        yield pa.RecordBatch.from_pandas(rows_of, schema=made, preserve_index=False)
 
-    return docs.select("text").mapInArrow(run, "shard int, head binary, packed binary")
+    found = docs.select("text").mapInArrow(run, "number int, head binary, packed binary" + (", numbers binary" if step > 1 else ""))
+    if step == 1:
+        return found
+    return _regrouped(found.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(step))), _tokens_of, ["packed"], lambda row: (np.frombuffer(row.packed, np.uint64) & _LOW16).astype(np.int64), step)
 
 
-def _shared(key: tuple, rows: pd.DataFrame, buckets: int) -> pd.DataFrame:
+def _shared(key: tuple, rows: pd.DataFrame, buckets: int, step: int = 1) -> pd.DataFrame:
     """The shingles of this shard that several sets have, each over the number of its sets, packed by a bucket of sets."""
     heads = [np.frombuffer(x, np.uint64).reshape(3, -1) for x in rows["head"]]
     base = np.concatenate(([0], np.cumsum([h.shape[1] for h in heads])))
@@ -145,13 +189,9 @@ def _shared(key: tuple, rows: pd.DataFrame, buckets: int) -> pd.DataFrame:
     value = (token << np.uint64(16)) | np.minimum(df, 65535).astype(np.uint64)  # numbers over that only tie in the order, which then goes by hash
     bucket = (sigs[node] % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort((node, bucket))
-    value, node, bucket = value[order], node[order], bucket[order]
-    out: list[list] = [[], [], [], []]
-    for s, e in _runs(bucket):
-        used, renamed = np.unique(node[s:e], return_inverse=True)
-        for column, x in zip(out, (int(bucket[s]), head[:, first[used]].tobytes(), value[s:e].tobytes(), renamed.astype(np.uint32).tobytes()), strict=True):
-            column.append(x)
-    return pd.DataFrame(dict(zip(("bucket", "head", "packed", "node"), out, strict=True)))
+    out = _cut(bucket[order], node[order], head[:, first], {"packed": value[order]}, _values_of, step)
+    columns = ["number", "head", "packed", "node", *(["numbers", "part"] if step > 1 else [])]
+    return out.assign(part=key[0] % step)[columns] if len(out) else pd.DataFrame(columns=columns)
 
 
 _PREFIX = "sig long, n long, k1 int, k2 int, alone long, scan long, tokens array<long>"
@@ -180,15 +220,19 @@ def _prefixes(key: tuple, rows: pd.DataFrame, share: float) -> pd.DataFrame:
     some = np.flatnonzero(k2)
     return pd.DataFrame({
         "sig": sigs[some].view(np.int64), "n": n[some], "k1": k1[some], "k2": k2[some], "alone": alone[some], "scan": scan[some],
-        "tokens": [token[at[k] : at[k] + k2[k]].astype(np.int64) for k in some],
+        "tokens": pd.Series([token[at[k] : at[k] + k2[k]].astype(np.int64) for k in some], dtype=object),
     })
 
 
 def _ordered(texts: DataFrame, shingles: int, share: float) -> DataFrame:
     """What _prefixes gives for all sets, with numbers counted on a share of the shingles."""
     shards = int(max(1, -(-int(shingles * share) * 8 // SHARD_BYTES)))
-    packed = _packed(texts, shards, share).groupBy("shard").applyInPandas(lambda key, rows: _shared(key, rows, shards), "bucket int, head binary, packed binary, node binary")
-    return materialise(packed.groupBy("bucket").applyInPandas(lambda key, rows: _prefixes(key, rows, share), _PREFIX), "prefixes", shards * FILE_ROWS)
+    step = 1 if shards <= DIRECT else math.isqrt(shards - 1) + 1
+    schema = "number int, head binary, packed binary, node binary" + (", numbers binary, part int" if step > 1 else "")
+    shared = _packed(texts, shards, share, step).groupBy("number").applyInPandas(lambda key, rows: _shared(key, rows, shards, step), schema)
+    if step > 1:
+        shared = _regrouped(shared, _values_of, ["packed", "node"], lambda row: np.frombuffer(row.node, np.uint32).astype(np.int64), step)
+    return materialise(shared.groupBy("number").applyInPandas(lambda key, rows: _prefixes(key, rows, share), _PREFIX), "prefixes", shards * FILE_ROWS)
 
 
 def choose_boundary(prefixes: DataFrame, largest: int = MAX_LIGHT) -> int:

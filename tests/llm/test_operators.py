@@ -122,6 +122,19 @@ def test_ngram_join_never_pairs_lists_that_cannot_link(spark):
     assert {r["component_id"] for r in ngram_join.link(docs).collect()} == set(range(120))
 
 
+@pytest.mark.parametrize("direct", [1, 10_000])
+def test_ngram_join_over_many_shards(spark, monkeypatch, direct):
+    """Shards of a few hundred bytes, packed by ranges first or at once: the same prefixes, and the right components."""
+    rows = corpus(7)
+    docs, n = table(spark, rows).repartition(3), sum(len(brute.shingles(t)) for _, t in rows)
+    plain = {r["sig"]: r for r in ngram_join._ordered(docs, n, 1.0).collect()}
+    monkeypatch.setattr(ngram_join, "SHARD_BYTES", 400)
+    monkeypatch.setattr(ngram_join, "DIRECT", direct)
+    assert {r["sig"]: r for r in ngram_join._ordered(docs, n, 1.0).collect()} == plain and len(plain) > 20
+    if direct == 1:
+        assert {r["doc_id"]: r["component_id"] for r in ngram_join.link(docs).collect()} == brute.jaccard_components(rows)
+
+
 def test_ngram_join_of_a_large_group(spark):
     """Copies around one text, of which some are linked with it only, and none is missed."""
     rng = random.Random(9)
