@@ -74,7 +74,7 @@ def templates(counts: DataFrame) -> DataFrame:
         turns = children.join(families, ["host", "nodes"]).select("host", "nodes", "part", F.when(wild, F.lit("*")).otherwise(F.col("part")).alias("node"), (F.col("below") < CHILDREN).alias("few"))
         grown = live.drop("done").join(turns, ["host", "nodes", "part"])
         rest = F.slice("parts", level + 1, F.size("parts"))
-        grown = grown.withColumn("nodes", F.when(F.col("few"), F.concat("nodes", rest)).otherwise(F.array_append("nodes", "node"))).withColumn("done", F.col("few") | (F.size("parts") == level + 1))
+        grown = grown.withColumn("nodes", F.when(F.col("few"), F.concat("nodes", rest)).otherwise(F.array_append("nodes", F.col("node")))).withColumn("done", F.col("few") | (F.size("parts") == level + 1))
         live, level = materialise(grown.drop("part", "node", "few"), "level"), level + 1
         out = out.unionByName(live.where("done"))
     return out
