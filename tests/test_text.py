@@ -26,6 +26,11 @@ def test_sentences_and_paragraphs(spark):
     assert one(spark, text, T.paragraphs) == ['He said "stop." Then he left! Why?', "A new (block.) begins here. Yes."]
 
 
+def test_sentences_keep_digits_at_their_ends(spark):
+    text = "Five words are in here. 19.37.233.111\n\nThe year was 2. 2 of 2"
+    assert one(spark, text, T.sentences) == ["Five words are in here.", "19.37.233.111", "The year was 2.", "2 of 2"]
+
+
 def test_fold_keeps_length(spark):
     text = "é— x😀½"
     assert one(spark, text, T.folded) == "0# x#0"
