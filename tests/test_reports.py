@@ -20,6 +20,13 @@ def test_numbers_are_formatted_as_by_c(spark):
     assert [(r["two"], r["signed"]) for r in found] == [(f"{v:.2f}", f"{v:+.3f}") for v in values]
 
 
+def test_halves_are_formatted_as_by_c(spark):
+    values = [0.0005, -0.0005, 0.0015, 0.005, 0.0625, 0.5, 0.375, -2.5e-4, -0.0, 8.5e-3, None] + [k / 2000 for k in range(-999, 999, 2)] + [k / 200 for k in range(1, 999, 2)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    found = df.select("v", reports.fixed(df["v"], 2).alias("two"), reports.fixed(df["v"], 3, True).alias("signed")).collect()
+    assert [(r["two"], r["signed"]) for r in found] == [(None, None) if v is None else (f"{v:.2f}", f"{v:+.3f}") for v in values]
+
+
 def test_style_report(spark):
     rows = spark.createDataFrame([(1, 120, 9), (2, 50, 4)], "doc_id long, words long, sentences long")
     notes = spark.createDataFrame([(1, "repeated_opening_rate", 0.5, "more open the same way", "0.5 vs floor"), (1, "mtld", 40.0, "narrow", "40 vs 60")], "doc_id long, metric string, value double, note string, detail string")
