@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from inkmill.functions import text as T
+from inkmill.functions.metrics import rounded
 from inkmill.sources.scratch import written
 
 # Fixed values.
@@ -99,7 +100,7 @@ def spread(values: DataFrame) -> DataFrame:
     enough = F.first("all") >= LEAST_VALUES
     return rows.groupBy("metric").agg(
         F.sum("n").alias("n"),
-        *(F.when(enough, F.round(c, 3)).alias(name) for name, c in (
+        *(F.when(enough, rounded(c, 3)).alias(name) for name, c in (
             ("min", F.min("value")), ("p10", _at(F.floor(n * 0.1), "value")), ("median", middle), ("p90", _at(F.least(n - 1, F.floor(n * 0.9)), "value")), ("max", F.max("value")),
         )),
     )

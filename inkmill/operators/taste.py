@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from inkmill.functions.metrics import rounded
 from inkmill.operators import logistic
 from inkmill.operators.logistic import CLAMP, MISSING
 from inkmill.sources.scratch import written
@@ -53,7 +54,7 @@ def probability(weights: tuple, bias: float) -> Column:
 
 def axis_scores(rows: DataFrame, *keep: str, axes: dict | None = None) -> DataFrame:
     """A row a document and axis."""
-    pairs = F.array(*(F.struct(F.lit(a).alias("axis"), F.round(probability(w, b), 6).alias("p")) for a, (w, b) in (axes or AXES).items()))
+    pairs = F.array(*(F.struct(F.lit(a).alias("axis"), rounded(probability(w, b), 6).alias("p")) for a, (w, b) in (axes or AXES).items()))
     return rows.select(*keep, F.explode(pairs).alias("s")).select(*keep, "s.axis", "s.p")
 
 
@@ -97,7 +98,7 @@ def youden(scores: DataFrame, *by: str) -> DataFrame:
     )
     j = F.try_divide("tp", "pos") + F.try_divide("tn", "neg") - 1
     best = at.withColumn("j", j).groupBy(*by).agg(F.max_by("i", F.struct("j", -F.col("i"))).alias("i"), F.max("j").alias("j"))
-    return best.select(*by, F.when(F.col("j").isNull(), F.lit(0.5)).otherwise(F.col("i") / GRID).alias("threshold"), F.round("j", 6).alias("j"))
+    return best.select(*by, F.when(F.col("j").isNull(), F.lit(0.5)).otherwise(F.col("i") / GRID).alias("threshold"), rounded("j", 6).alias("j"))
 
 
 def fit(rows: DataFrame, keys: tuple[str, ...] = KEYS) -> tuple[tuple, float]:
@@ -121,12 +122,12 @@ def cross_validated(rows: DataFrame, keys: tuple[str, ...] = KEYS, folds: int =
     """
     rows = rows.withColumn("fold", fold(folds=folds))
     models = F.broadcast(logistic.fits(rows, keys, "fold").withColumnRenamed("held", "fold"))  # a row a fold
-    held = written(rows.join(models, "fold").select("fold", "label", F.round(logistic.chance(F.col("coefficients"), keys), 6).alias("p")), "held-out")
+    held = written(rows.join(models, "fold").select("fold", "label", rounded(logistic.chance(F.col("coefficients"), keys), 6).alias("p")), "held-out")
     hit = F.avg(((F.col("p") > 0.5).cast("int") == F.col("label")).cast("double"))
     hits = held.groupBy("fold").agg(hit.alias("hit"), F.count("*").alias("n")).agg(
-        F.sum("n").alias("n"), F.round(F.avg("hit"), 3).alias("accuracy"), F.round(F.stddev_pop("hit"), 3).alias("sd_accuracy")
+        F.sum("n").alias("n"), rounded(F.avg("hit"), 3).alias("accuracy"), rounded(F.stddev_pop("hit"), 3).alias("sd_accuracy")
     )
-    by_fold = auc(held, "fold").agg(F.round(F.avg("auc"), 3).alias("mean_auc"), F.round(F.stddev_pop("auc"), 3).alias("sd_auc"))
+    by_fold = auc(held, "fold").agg(rounded(F.avg("auc"), 3).alias("mean_auc"), rounded(F.stddev_pop("auc"), 3).alias("sd_auc"))
     pooled = auc(held.withColumn("every", F.lit(1)), "every").select(F.col("auc").alias("pooled_auc"))
     return hits.crossJoin(by_fold).crossJoin(pooled)  # one row each
 
@@ -139,12 +140,12 @@ def leave_one_generator_out(rows: DataFrame, keys: tuple[str, ...] = KEYS) -> Da
     """
     models = F.broadcast(logistic.fits(rows, keys, "generator"))  # logistic.MOST_FITS rows at most
     met = rows.join(models, F.lit(True)).where((F.col("label") == 1) | F.col("generator").isNotNull())  # every row is scored by every model
-    p = F.round(logistic.chance(F.col("coefficients"), keys), 6)
+    p = rounded(logistic.chance(F.col("coefficients"), keys), 6)
     scored = written(met.select("held", "label", F.col("generator").eqNullSafe(F.col("held")).alias("unseen"), p.alias("p")), "generator-scores")
     cut = youden(scored.where("not unseen"), "held").select("held", "threshold")
-    mean = lambda name: F.round(F.sum(F.col("p").cast("decimal(22,6)")).cast("double") / F.count("*"), 3).alias(name)
+    mean = lambda name: rounded(F.sum(F.col("p").cast("decimal(22,6)")).cast("double") / F.count("*"), 3).alias(name)
     unseen = scored.where("unseen").join(F.broadcast(cut), "held").groupBy("held").agg(
-        F.count("*").alias("n"), F.round(F.avg((F.col("p") < F.col("threshold")).cast("double")), 3).alias("rejected"), F.round(F.first("threshold"), 3).alias("threshold"), mean("mean_score")
+        F.count("*").alias("n"), rounded(F.avg((F.col("p") < F.col("threshold")).cast("double")), 3).alias("rejected"), rounded(F.first("threshold"), 3).alias("threshold"), mean("mean_score")
     )
     exemplars = scored.where("label = 1")
     both = exemplars.select("held", "p", "label").unionByName(scored.where("unseen").select("held", "p", F.lit(0).alias("label")))
@@ -170,13 +171,13 @@ def compare_axes(before: DataFrame, after: DataFrame) -> DataFrame:
     """Each axis before and after a rewrite, and whether it lost."""
     a, b = axis_scores(before, "id"), axis_scores(after, "id")
     both = a.withColumnRenamed("p", "before").join(b.withColumnRenamed("p", "after"), ["id", "axis"])
-    return both.select("id", "axis", "before", "after", F.round(F.col("after") - F.col("before"), 6).alias("delta"), (F.col("after") < F.col("before") - AXIS_DROP).alias("worse"))
+    return both.select("id", "axis", "before", "after", rounded(F.col("after") - F.col("before"), 6).alias("delta"), (F.col("after") < F.col("before") - AXIS_DROP).alias("worse"))
 
 
 def lost(before: DataFrame, after: DataFrame, top: int = TOP) -> DataFrame:
     """The wanted dimensions that a rewrite lost most of."""
     wanted = [k for k, sign, _ in DIMENSIONS if sign > 0]
     long = lambda rows, name: rows.select("id", F.explode(F.array(*(F.struct(F.lit(k).alias("key"), F.coalesce(k, F.lit(MISSING)).alias(name)) for k in wanted))).alias("d")).select("id", "d.*")
-    drop = long(before, "before").join(long(after, "after"), ["id", "key"]).withColumn("drop", F.round(F.col("before") - F.col("after"), 6)).where(F.col("drop") > DIMENSION_DROP)
+    drop = long(before, "before").join(long(after, "after"), ["id", "key"]).withColumn("drop", rounded(F.col("before") - F.col("after"), 6)).where(F.col("drop") > DIMENSION_DROP)
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("drop"), F.desc("key")))
     return drop.withColumn("place", place.cast("long")).where(F.col("place") <= top)

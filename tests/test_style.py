@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 
 from inkmill.operators import dataset, style
-from inkmill.functions.metrics import lexical_diversity
+from inkmill.functions.metrics import lexical_diversity, rounded
 
 
 def diversity(*lists):
@@ -33,6 +33,14 @@ def test_mtld_of_filler():
     assert diversity([f"w{rng.randrange(40)}" for _ in range(2000)])[0] == pytest.approx(30, abs=12)
 
 
+def test_rounding_is_that_of_sql(spark):
+    values = [0.575, -0.575, 1.025, 0.145, 4.029 / 474] + [k / 474 for k in range(474)] + [k / 80 for k in range(-160, 160)]
+    found = spark.createDataFrame([(v,) for v in values], "v double").select("v", rounded("v", 2).alias("two"), rounded("v", 3).alias("three")).collect()
+    half_up = lambda v, n: math.copysign(math.floor(abs(v) * 10**n + 0.5), v) / 10**n
+    assert [(r["two"], r["three"]) for r in found] == [(half_up(v, 2), half_up(v, 3)) for v in values]
+    assert [half_up(v, 2) for v in values[:4]] == [0.57, -0.57, 1.02, 0.14]
+
+
 def test_worst_openings(spark):
     rows = spark.createDataFrame([(1, "It is a. It is b. We go c. We go d. On top e. On top f. No x g. No x h.")], "doc_id long, text string")
     assert [(r["opening"], r["n"], r["place"]) for r in style.worst_openings(rows).orderBy("place").collect()] == [("we go", 2, 1), ("on top", 2, 2), ("no x", 2, 3)]
