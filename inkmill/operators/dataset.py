@@ -67,12 +67,12 @@ def excerpts(rows: DataFrame, target: int = TARGET_WORDS) -> DataFrame:
 
 
 def _long_lines(text: Column) -> Column:
-    lines = F.filter(F.split(text, "\n"), lambda x: F.regexp_count(x, F.lit(f"[^{T.SPACE}]+")) > PARAGRAPH_WORDS)
-    return F.transform(lines, lambda x: F.regexp_replace(x, F.lit(rf"\A[{T.SPACE}]+|[{T.SPACE}]+\z"), F.lit("")))
+    lines = F.filter(F.split(text, "\n"), lambda x: T.blank_words(x) > PARAGRAPH_WORDS)
+    return F.transform(lines, T.stripped)
 
 
 def _blank_lengths(paras: Column) -> Column:
-    return F.transform(paras, lambda x: F.regexp_count(x, F.lit(f"[^{T.SPACE}]+")).cast("long"))
+    return F.transform(paras, T.blank_words)
 
 
 def _counted(values: DataFrame, by: str, value: str) -> DataFrame:

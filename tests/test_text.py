@@ -1,3 +1,5 @@
+import time
+
 from pyspark.sql import functions as F
 
 from inkmill.functions import text as T
@@ -31,6 +33,18 @@ def test_sentences_keep_digits_at_their_ends(spark):
     assert one(spark, text, T.sentences) == ["Five words are in here.", "19.37.233.111", "The year was 2.", "2 of 2"]
 
 
+def test_patterns_for_java_match_the_same_characters(spark):
+    rows = spark.createDataFrame([(f"a{chr(k)}b",) for k in range(0x10000) if not 0xD800 <= k <= 0xDFFF], "c string")
+    for pattern in (f"[{T.SPACE}]+", f"[^{T.SPACE}]+"):
+        assert rows.where(F.regexp_count("c", F.lit(pattern)) != F.regexp_count("c", F.lit(T.unix(pattern)))).isEmpty()
+
+
+def test_words_are_counted_in_time(spark):
+    text, start = "sechs wörter einer längeren zeile hier " * 100_000, time.monotonic()
+    assert one(spark, text, lambda c: T.blank_words(F.concat(*[c] * 8))) == 4_800_000
+    assert time.monotonic() - start < 15
+
+
 def test_fold_keeps_length(spark):
     text = "é— x😀½"
     assert one(spark, text, T.folded) == "0# x#0"
