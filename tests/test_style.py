@@ -124,3 +124,9 @@ def test_diversity_against_a_walk_along_the_text():
             total += len(way) / max(1e-9, whole + ((1 - len(set(rest)) / len(rest)) / (1 - MTLD_THRESHOLD) if rest else 0))
         assert diversity(["x"], words, None, words[:3])[1] == pytest.approx(total / 2)
     assert all(map(math.isnan, diversity(["a"] * 99, None))) and diversity() == []
+
+
+def test_words_of_a_segment_are_counted_once(spark):
+    rows = spark.createDataFrame([(1, "ada", "One two. One two three.")], "doc_id long, author string, text string").repartition(2)
+    plan = style.measured(rows, "doc_id", "author", with_mtld=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") <= 3
