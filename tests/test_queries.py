@@ -51,3 +51,8 @@ def test_flagship(spark):
 def test_scan_reads_only_what_it_needs(spark):
     plan = QUERIES["word_counts"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+def test_rarity_reads_texts_once(spark):
+    plan = QUERIES["word_rarity"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" not in plan
