@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkmill.sources.files import Folder
+from inkmill.sources.scratch import written
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -17,7 +18,8 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def write_split(rows: DataFrame, ok: str, path: str, failures: str) -> None:
-    """Rows whose status is ok to one place, the others with their status to another: none is dropped."""
+    """Rows whose status is ok to one place, the others with their status to another: none is dropped. Rows are worked out once."""
+    rows = written(rows, "split")
     rows.where(F.col("status") == ok).write.mode("overwrite").parquet(path)
     rows.where(~F.col("status").eqNullSafe(ok)).write.mode("overwrite").parquet(failures)
 

@@ -32,6 +32,14 @@ def test_model_with_and_without_axes(spark, tmp_path):
     assert readers.read_model(spark, str(tmp_path / "n")) == {"score": ((("a", 0.5),), 1.0)}
 
 
+def test_split_rows_are_worked_out_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+    mark = F.udf(lambda status: (seen.add(1), status)[1], "string")
+    rows = spark.createDataFrame([(1, "ok"), (2, "thin"), (3, None)], "id long, status string").select("id", mark("status").alias("status"))
+    sinks.write_split(rows, "ok", str(tmp_path / "ok"), str(tmp_path / "failed"))
+    assert seen.value == 3
+
+
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([(1, "ok"), (2, "thin"), (3, None)], "id long, status string")
     sinks.write_split(rows, "ok", str(tmp_path / "ok"), str(tmp_path / "failed"))
