@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from inkmill.functions import matching as M
 from inkmill.functions import text as T
 from inkmill.functions.metrics import rounded
 from inkmill.sources.scratch import written
@@ -144,4 +145,4 @@ def pending(wanted: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 
 def generated(rows: DataFrame) -> DataFrame:
     """Cleaned texts with their words, and whether they are long enough. rows: (…, text)."""
-    return rows.withColumn("text", T.without_preamble(F.col("text"))).withColumn("words", T.blank_words(F.col("text"))).withColumn("used", F.col("words") >= GENERATED_WORDS)
+    return rows.withColumn("text", T.without_preamble(F.col("text"))).withColumn("words", M.blank_words("text")).withColumn("used", F.col("words") >= GENERATED_WORDS)

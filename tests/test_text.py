@@ -63,3 +63,12 @@ def test_generated_and_subject(spark):
     assert one(spark, "\u00a0\x1fa\r\n\n\n\nb\t\u2028", lambda c: T.clipped(c, 2600)) == "a\r\n\nb"
     subjects = {"fix bug.\r\nbody": "fix bug.", "\t\nfix: it": "fix: it", "\x85\u2029 > * `a b ` \x0bc": "a b ", "": "", " \n ": ""}
     assert {x: one(spark, x, T.subject_line) for x in subjects} == subjects
+
+
+def test_ends_are_trimmed_without_patterns(spark):
+    """White space is taken from both ends from there, not by a pattern that is tried at each blank within."""
+    white = T._WHITE
+    assert one(spark, white + "a" + white + "b" + white, T.stripped) == "a" + white + "b" and one(spark, white, T.stripped) == "" and one(spark, None, T.stripped) is None
+    assert one(spark, white + "# a\u00a0\x85b\n", T.subject_line) == "a" and one(spark, None, T.subject_line) == ""
+    plan = spark.createDataFrame([("",)], "x string").select(T.stripped(F.col("x")))._jdf.queryExecution().executedPlan().toString()
+    assert "regexp" not in plan.lower()
