@@ -47,6 +47,10 @@ WORDS, LONGEST = 1 << 16, 48
 COUNTED, REMEMBERED = 200_000, 200_000
 #: Characters of a text from which on its words are taken a part at a time, and words of a part.
 LONG, PART = 1 << 20, 200_000
+#: Rows that are decoded together.
+DECODED = 128
+#: Ids whose bytes are gathered together.
+JOINED = 1 << 16
 #: New words that are looked up and merged together.
 BLOCK = 20_000
 #: Fixed value: the pattern by which byte-level vocabularies split words.
@@ -97,13 +101,17 @@ class Vocabulary:
         self.pairs = self.pairs[self.pair_ranks]
         self.byte_ranks = self._rank(*np.broadcast_arrays(self.single[:, None], self.single[None, :]))
         of = {letter: b for b, letter in letters.items()}
-        self.bytes = {i: bytes(of[c] for c in t) if all(c in of for c in t) else t.encode() for t, i in ids.items()}
+        own_bytes = {i: bytes(of[c] for c in t) if all(c in of for c in t) else t.encode() for t, i in ids.items()}
         self.added = {}
         for token in own["added_tokens"]:
             if token["lstrip"] or token["rstrip"] or token["single_word"]:
                 raise ValueError(f"{path}: an added token takes its surroundings along")
             self.added[token["content"]] = token["id"]
-            self.bytes[token["id"]] = token["content"].encode()
+            own_bytes[token["id"]] = token["content"].encode()
+        #: The bytes of all ids side by side, how many each has and where they begin; ids that there aren't have none.
+        each = [own_bytes.get(i, b"") for i in range(max(own_bytes) + 2)]
+        self.bytes, self.size = np.frombuffer(b"".join(each), np.uint8), np.fromiter(map(len, each), np.int64, len(each))
+        self.begin = np.cumsum(self.size) - self.size
         self.added_in = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
     def words(self, text: str) -> Iterator[list[str]]:
@@ -129,6 +137,17 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.pairs, wanted), len(self.pairs) - 1)
         return np.where(self.pairs[at] == wanted, self.pair_ranks[at], len(self.made))
 
+    def joined(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes that ids stand for, side by side, and where those of each begin and the last end."""
+        ids = np.where((ids >= 0) & (ids < len(self.size)), ids, len(self.size) - 1)  # which has none
+        size = self.size[ids]
+        at, parts = np.concatenate(([0], np.cumsum(size))), []
+        for low in range(0, len(ids), JOINED):
+            part = slice(low, low + JOINED)
+            own = np.repeat(self.begin[ids[part]] - at[:-1][part], size[part])
+            parts.append(self.bytes[own + np.arange(at[low], at[low] + len(own))].tobytes())
+        return b"".join(parts), at
+
     def merged(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """(how many ids each word has, their ids), by merges alone: each round merges a pair in every word that has one left."""
         none, (n, width) = len(self.made), words.letters.shape
@@ -189,27 +208,22 @@ class Encoder:
         """Makes sure that now has all of these: from the lexicon, or merged."""
         if len(self.now) > REMEMBERED:
             self.before, self.now = self.now, {}
-        now, before, rest = self.now, self.before, []
-        for word in words:
-            if word not in now:
-                if word in before:
-                    now[word] = before[word]
-                else:
-                    rest.append(word)
-        rest.sort(key=len)
+        now, before = self.now, self.before
+        new = words.difference(now)
+        now.update([(word, before[word]) for word in new if word in before])
+        rest = sorted(new.difference(before), key=len)
         for low in range(0, len(rest), BLOCK):
-            raw = [w.encode() for w in rest[low : low + BLOCK]]
-            short = np.array([k for k, x in enumerate(raw) if len(x) <= LONGEST], np.int64)
+            own_words = rest[low : low + BLOCK]
+            raw = [w.encode() for w in own_words]
+            short = np.flatnonzero(np.fromiter(map(len, raw), np.int64, len(raw)) <= LONGEST)
             own = Words([raw[k] for k in short])
             there, *found = self.lexicon(own)
             other = self.known.merged(own.take(~there))
             for which, (count, ids) in ((short[there], found), (short[~there], other)):
                 data, end = ids.astype("<u4").tobytes(), (4 * np.cumsum(count)).tolist()
-                for k, a, b in zip(which.tolist(), [0, *end], end, strict=False):
-                    now[rest[low + k]] = data[a:b]
-            for k, x in enumerate(raw):
-                if len(x) > LONGEST:
-                    now[rest[low + k]] = array("I", self.known.merged_long(x)).tobytes()
+                now.update(zip(map(own_words.__getitem__, which.tolist()), map(data.__getitem__, map(slice, [0, *end], end)), strict=True))
+            if len(short) < len(raw):
+                now.update((w, array("I", self.known.merged_long(x)).tobytes()) for w, x in zip(own_words, raw, strict=True) if len(x) > LONGEST)
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text."""
@@ -329,16 +343,15 @@ def decode(rows: DataFrame, tokenizer: str | None = None) -> DataFrame:
     tokenizer, rows = tokenizer or default_tokenizer(), rows.drop("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = vocabulary(tokenizer).bytes
+        known = vocabulary(tokenizer)
         for batch in batches:
             lists, texts = batch.column("ids"), []
-            at, own = lists.offsets.to_pylist(), lists.values.to_pylist()
-            for k in range(len(lists)):  # a null list has no values
-                try:
-                    raw = b"".join(map(of.__getitem__, own[at[k] : at[k + 1]]))
-                except KeyError:
-                    raw = b"".join([of.get(i, b"") for i in own[at[k] : at[k + 1]]])
-                texts.append(raw.decode("utf-8", "replace"))
+            at, own = lists.offsets.to_numpy(), lists.values.fill_null(-1).to_numpy()
+            for low in range(0, len(lists), DECODED):  # a null list has no values
+                cut = at[low : low + DECODED + 1]
+                raw, ends = known.joined(own[cut[0] : cut[-1]])
+                ends = ends[cut - cut[0]].tolist()
+                texts += [raw[a:b].decode("utf-8", "replace") for a, b in itertools.pairwise(ends)]
             yield _with(batch, "ids", "text", pa.array(texts, pa.string()))
 
     return rows.mapInArrow(run, _schema(rows, "ids", "text string"))

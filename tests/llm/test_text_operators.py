@@ -89,6 +89,15 @@ def test_transducer_is_minimal_and_exact(tmp_path):
     futures = {frozenset(w[len(p) :] for w in ends if w.startswith(p)) for p in prefixes}
     assert lexicon.Transducer(str(path)).states == len(futures) == 12
 
+@pytest.mark.skipif(VOCABULARY is None, reason="no tokenizers")
+def test_ids_are_joined_without_a_step_an_id(monkeypatch):
+    """The bytes of many ids at once; ids that there aren't have none."""
+    known = bpe.vocabulary(VOCABULARY)
+    monkeypatch.setattr(bpe, "JOINED", 3)
+    raw, at = known.joined(np.array([known.single[65], -1, 10**6, known.single[66]]))
+    assert raw == b"AB" and at.tolist() == [0, 1, 1, 1, 2]
+
+
 
 @pytest.mark.skipif(VOCABULARY is None, reason="no vocabulary here")
 def test_bpe_equals_the_tokenizer(spark, plain):
