@@ -296,11 +296,18 @@ _PROFILE = ("key", "n", "light", "pos")
 
 
 def _open_pairs(rows: DataFrame) -> DataFrame:
-    """The pairs of sets of different components that a list has and that may be linked. Lists are sorted out by their distinct sizes and places first."""
-    kinds = rows.select(*_PROFILE).distinct()
-    met = kinds.alias("x").join(kinds.alias("y"), "key").where(_may("x", "y")).select("key", *(F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in "xy" for c in _PROFILE[1:]))
+    """The pairs of sets of different components that a list has and that may be linked.
+
+    Lists are sorted out by their distinct sizes and places first, with the components that each of these has: two kinds
+    that are of one component have no pair, and a set meets a kind only if that has another component than its own, and
+    a smaller set. So a large component doesn't meet itself.
+    """
+    kinds = rows.groupBy(*_PROFILE).agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("sig").alias("least"))
+    met = kinds.alias("x").join(kinds.alias("y"), "key").where(_may("x", "y")).where("least(x.low, y.low) <> greatest(x.high, y.high)")
+    met = met.select("key", *(F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in "xy" for c in _PROFILE[1:]), *(F.col(f"y.{c}").alias(c) for c in ("low", "high", "least")))
     side = lambda s: rows.select("key", F.col("sig").alias(f"{s}_sig"), F.col("label").alias(f"{s}_label"), *(F.col(c).alias(f"{s}_{c}") for c in _PROFILE[1:]))
-    paired = met.join(side("x"), ["key", *(f"x_{c}" for c in _PROFILE[1:])]).join(side("y"), ["key", *(f"y_{c}" for c in _PROFILE[1:])])
+    some = met.join(side("x"), ["key", *(f"x_{c}" for c in _PROFILE[1:])]).where("x_sig > least and (low <> high or x_label <> low)")
+    paired = some.drop("low", "high", "least").join(side("y"), ["key", *(f"y_{c}" for c in _PROFILE[1:])])
     return paired.where("x_sig > y_sig and x_label <> y_label").select(F.col("x_sig").alias("a"), F.col("y_sig").alias("b")).distinct()
 
 

@@ -653,3 +653,14 @@ def test_suffix_sort_spills_shards_over_its_limit(monkeypatch):
     assert not spilled
     raw = data.tobytes()
     assert [raw[k : k + 100] for k in small] == [raw[k : k + 100] for k in plain] == sorted(raw[k : k + 100] for k in range(len(raw)))
+
+
+def test_a_large_component_does_not_meet_itself(spark):
+    """Of lists whose sets are one component but for one, only the pairs with that one are made, whatever their sizes and places."""
+    from inkmill.llm import ngram_join
+
+    rows = [(7, s, 40 + s % 5, False, s % 3, 1 if s < 60 else 2) for s in range(61)] + [(8, s, 40 + s % 5, False, 0, 1) for s in range(61)]
+    lists = spark.createDataFrame(rows, "key long, sig long, n long, light boolean, pos long, label long")
+    found = ngram_join._open_pairs(lists)
+    assert sorted((r["a"], r["b"]) for r in found.collect()) == [(60, s) for s in range(60)]
+    assert "least" in found._jdf.queryExecution().optimizedPlan().toString()
