@@ -99,8 +99,8 @@ def flat_run(x: str) -> str:
     return f"CASE WHEN len({x}) < {M.FLAT_SENTENCES} THEN 0 ELSE list_reduce({cells}, lambda a, b: {{'best': greatest(a.best, {run}), 'run': {run}, 'last': b.last}}).best END"
 
 
-def mtld(x: str) -> str:
-    """Of a list of tokens."""
+def mtld(x: str, keep: str = "doc_id") -> str:
+    """Of a list of tokens, with keep."""
 
     def one_way(tokens: str) -> str:
         cells = f"list_prepend({{'t': '', 'f': 0.0::DOUBLE, 's': []::VARCHAR[], 'c': 0}}, list_transform({tokens}, lambda v: {{'t': v, 'f': 0.0::DOUBLE, 's': []::VARCHAR[], 'c': 0}}))"
@@ -112,7 +112,7 @@ def mtld(x: str) -> str:
     def value(state: str) -> str:
         return f"n / greatest({state}.f + CASE WHEN {state}.c > 0 THEN (1 - len({state}.s)::DOUBLE / {state}.c) / (1 - {M.MTLD_THRESHOLD}::DOUBLE) ELSE 0 END, {M.MTLD_LEAST}::DOUBLE)"
 
-    return f"SELECT doc_id, CASE WHEN n >= {M.MTLD_TOKENS} THEN ({value('fw')} + {value('bw')}) / 2 END AS mtld FROM (SELECT doc_id, len({x})::DOUBLE AS n, {one_way(x)} AS fw, {one_way(f'list_reverse({x})')} AS bw"
+    return f"SELECT {keep}, CASE WHEN n >= {M.MTLD_TOKENS} THEN ({value('fw')} + {value('bw')}) / 2 END AS mtld FROM (SELECT {keep}, len({x})::DOUBLE AS n, {one_way(x)} AS fw, {one_way(f'list_reverse({x})')} AS bw"
 
 
 def measured(source: str, keep: str) -> str:

@@ -70,6 +70,29 @@ def test_zero_mean_falls_to_floor(spark):
     assert [(n["metric"], n["detail"]) for n in notes] == [("repeated_opening_rate", "0.750 vs floor 0.250")]
 
 
+def against_sql(spark, folder, name, rows):
+    """The rows of a query on documents (doc_id, text, source), once they are those of its SQL."""
+    import duckdb
+
+    from inkmill.plans.registry import ORACLES, QUERIES
+
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{folder}/documents.parquet")
+    found = sorted(tuple(r) for r in QUERIES[name](spark, str(folder)).select("doc_id", "metric", "value", "note", "detail").collect())
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS FROM '{folder}/documents.parquet/*.parquet'")
+    assert found == sorted(con.sql(f"SELECT doc_id, metric, value, note, detail FROM ({ORACLES[name]})").fetchall())
+    return found
+
+
+NARROW = " ".join(f"w{k % 12}" for k in range(120))
+WIDE = " ".join(f"w{k % 90}" for k in range(120))
+
+
+def test_range_holds_vocabulary_too(spark, tmp_path):
+    found = against_sql(spark, tmp_path, "style_compare_range", [(1, NARROW, None), (2, WIDE, None), (3, NARROW, "ada"), (4, WIDE, "ada"), (5, None, "ada"), (6, "", "bob")])
+    assert [(r[0], r[3], r[4].split(" vs ")[1]) for r in found if r[1] == "mtld"] == [(1, "narrower vocabulary range than this author's", "floor 60.000")]
+
+
 def test_mixed(spark):
     own = spark.createDataFrame([("a", "sent_len_mean", 1.0, 10.0, 26.0), ("b", "sent_len_mean", 1.0, 10.0, 25.0), ("c", "sent_len_mean", 1.0, 0.0, 9.0)], "author string, metric string, mean double, lo double, hi double")
     assert {r["author"]: r["mixed"] for r in style.mixed_registers(own).collect()} == {"a": True, "b": False, "c": False}
