@@ -93,6 +93,14 @@ def test_range_holds_vocabulary_too(spark, tmp_path):
     assert [(r[0], r[3], r[4].split(" vs ")[1]) for r in found if r[1] == "mtld"] == [(1, "narrower vocabulary range than this author's", "floor 60.000")]
 
 
+def test_single_holds_drafts_against_one_sample(spark, tmp_path):
+    found = against_sql(spark, tmp_path, "style_compare_single", [(1, "Too short.", "ada"), (2, NARROW, "ada"), (3, WIDE, "ada"), (4, LONG, "ada"), (4, LONG + LONG, "bob"), (4, LONG, "bob"), (5, NARROW, None)])
+    assert [(r[0], r[1], r[4]) for r in found if r[1] in ("mtld", "sent_len_mean")] == [
+        (1, "sent_len_mean", "2.000 vs 120.000 (0.02x) - one sample only, weak signal"), (3, "mtld", "134.400 vs 17.100 (7.86x) - one sample only, weak signal"),
+        (4, "sent_len_mean", "6.500 vs 120.000 (0.05x) - one sample only, weak signal"), (5, "mtld", "17.100 vs floor 60.000"),
+    ]
+
+
 def test_mixed(spark):
     own = spark.createDataFrame([("a", "sent_len_mean", 1.0, 10.0, 26.0), ("b", "sent_len_mean", 1.0, 10.0, 25.0), ("c", "sent_len_mean", 1.0, 0.0, 9.0)], "author string, metric string, mean double, lo double, hi double")
     assert {r["author"]: r["mixed"] for r in style.mixed_registers(own).collect()} == {"a": True, "b": False, "c": False}
